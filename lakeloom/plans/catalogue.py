@@ -1,4 +1,295 @@
-"""Named queries over the sample tables, with their SQL."""
+"""Named queries over the sample tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..database import Database
+from ..operators import fingerprint, replicate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder for tables of our own: below the shared checkpoint folder, or a local one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared or tempfile.mkdtemp(prefix='lakeloom-')}/tables-{uuid.uuid4().hex}"
+
+
+def query(name: str, clause: dict | list, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir, c=clause: Database(spark, sf_dir).compile({"select": c})
+    ORACLE_SQL[name] = sql
+
+
+def made(name: str, sql: str | None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+query(
+    "revenue_by_nation",
+    {
+        "data": [{"nation": "n.n_name"}, {"revenue": {"round": [{"sum": {"*": ["l.l_extendedprice", {"-": [1, "l.l_discount"]}]}}, 2]}}, {"n_orders": {"count": {"distinct": "o.o_orderkey"}}}],
+        "from": {"l": "lineitem"},
+        "join": [
+            {"to": "orders", "as": "o", "on": {"=": ["l.l_orderkey", "o.o_orderkey"]}},
+            {"to": "customer", "as": "c", "on": {"=": ["o.o_custkey", "c.c_custkey"]}},
+            {"to": "nation", "as": "n", "on": {"=": ["c.c_nationkey", "n.n_nationkey"]}},
+        ],
+        "where": {"<": ["l.l_discount", 0.05]},
+        "group": "n.n_name",
+        "having": {">": ["n_orders", 3]},
+        "order": {"by": "revenue", "desc": True},
+        "limit": 20,
+    },
+    """SELECT n_name AS nation, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE l_discount < 0.05 GROUP BY n_name HAVING count(DISTINCT o_orderkey) > 3 ORDER BY revenue DESC LIMIT 20""",
+)
+query("select_star", {"data": "*", "from": "nation"}, "SELECT * FROM nation")
+query("select_alias_list", {"data": ["n_name", {"key": "n_nationkey", "twice": {"*": ["n_nationkey", 2]}}], "from": "nation"}, "SELECT n_name, n_nationkey AS key, n_nationkey * 2 AS twice FROM nation")
+query("select_literals_no_from", {"data": {"a": 1, "b": "'text'", "c": 2.5, "d": True}}, "SELECT 1 AS a, 'text' AS b, 2.5::DOUBLE AS d0, true AS d".replace("d0", "c"))
+query("filter_and_or_not", {"data": "o_orderkey", "from": "orders", "where": {"and": [{"or": [{"=": ["o_orderstatus", "'F'"]}, {"<": ["o_totalprice", 5000]}]}, {"not": {"=": ["o_orderpriority", "'1-URGENT'"]}}]}}, "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice < 5000) AND NOT o_orderpriority = '1-URGENT'")
+query("filter_between", {"data": "p_partkey", "from": "part", "where": {"between": {"value": "p_size", "min": 5, "max": 9}}}, "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9")
+query("filter_between_symmetric", {"data": "p_partkey", "from": "part", "where": {"between": {"value": "p_size", "min": 9, "max": 5, "symmetric": True}}}, "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9")
+query("filter_in_list", {"data": "n_name", "from": "nation", "where": {"in": ["n_nationkey", [1, 3, 5]]}}, "SELECT n_name FROM nation WHERE n_nationkey IN (1, 3, 5)")
+query("filter_is_null", {"data": {"with_value": {"count": "value"}, "n": {"count": "*"}}, "from": "events", "where": {"or": [{"is null": "props"}, {"is not null": "value"}]}}, "SELECT count(value) AS with_value, count(*) AS n FROM events WHERE props IS NULL OR value IS NOT NULL")
+query("filter_is", {"data": "n_name", "from": "nation", "where": {"is": [{">": ["n_nationkey", 20]}, True]}}, "SELECT n_name FROM nation WHERE (n_nationkey > 20) IS TRUE")
+query("like_ilike", {"data": ["c_custkey"], "from": "customer", "where": {"or": [{"like": ["c_mktsegment", "'AUTO%'"]}, {"ilike": ["c_name", "'%9'"]}, {"!~~": ["c_name", "'C%'"]}]}}, "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'AUTO%' OR c_name ILIKE '%9' OR c_name NOT LIKE 'C%'")
+query("contains_icontains", {"data": "c_custkey", "from": "customer", "where": {"or": [{"contains": ["c_mktsegment", "'BUILD'"]}, {"icontains": ["c_mktsegment", "'house'"]}]}}, "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE '%BUILD%' OR c_mktsegment ILIKE '%house%'")
+query("case_when", {"data": {"k": "p_partkey", "band": {"case": [{"when": {"<": ["p_size", 10]}, "then": "'small'"}, {"when": {"<": ["p_size", 30]}, "then": "'medium'"}, {"else": "'large'"}]}}, "from": "part"}, "SELECT p_partkey AS k, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS band FROM part")
+query("arith_ops", {"data": {"k": "p_partkey", "a": {"+": ["p_size", 1, 2]}, "b": {"-": ["p_size", 3]}, "c": {"/": ["p_size", 4]}, "d": {"%": ["p_size", 7]}, "e": {"-": "p_size"}}, "from": "part"}, "SELECT p_partkey AS k, p_size + 1 + 2 AS a, p_size - 3 AS b, p_size / 4 AS c, p_size % 7 AS d, -p_size AS e FROM part")
+query("bitwise_ops", {"data": {"k": "n_nationkey", "a": {"&": ["n_nationkey", 6]}, "b": {"|": ["n_nationkey", 6]}, "c": {"<<": ["n_nationkey", 2]}, "d": {">>": ["n_nationkey", 1]}, "e": {"~": "n_nationkey"}}, "from": "nation"}, "SELECT n_nationkey AS k, n_nationkey & 6 AS a, n_nationkey | 6 AS b, n_nationkey << 2 AS c, n_nationkey >> 1 AS d, ~n_nationkey AS e FROM nation")
+query("pow_xor_abs_sqrt_fact", {"data": {"k": "n_nationkey", "p": {"^": ["n_nationkey", 2]}, "x": {"#": ["n_nationkey", 5]}, "a": {"@": {"-": [3, "n_nationkey"]}}, "s": {"|/": "n_nationkey"}, "f": {"!": {"%": ["n_nationkey", 10]}}}, "from": "nation"}, "SELECT n_nationkey AS k, pow(n_nationkey, 2) AS p, xor(n_nationkey, 5) AS x, abs(3 - n_nationkey) AS a, sqrt(n_nationkey) AS s, factorial(n_nationkey % 10)::BIGINT AS f FROM nation")
+query("concat_ops", {"data": {"a": {"||": ["n_name", "'-'", "n_nationkey"]}, "b": {"concat": ["n_name", None, "'x'"]}, "c": {"upper": {"lower": "n_name"}}}, "from": "nation"}, "SELECT n_name || '-' || n_nationkey AS a, concat(n_name, NULL, 'x') AS b, upper(lower(n_name)) AS c FROM nation")
+
+ON = {"=": ["n.n_regionkey", "r.r_regionkey"]}
+SOME = {"and": [ON, {"<": ["n.n_nationkey", 7]}]}
+for kind, how in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    query(f"join_{kind}", {"data": ["n.n_name", "r.r_name"], "from": {"n": "nation"}, "join": {"to": "region", "as": "r", "on": SOME, "type": kind}}, f"SELECT n_name, r_name FROM nation n {how} region r ON n_regionkey = r_regionkey AND n_nationkey < 7")
+query("join_cross", {"data": ["n.n_name", "r.r_name"], "from": {"n": "nation"}, "join": {"to": "region", "as": "r", "type": "cross"}}, "SELECT n_name, r_name FROM nation CROSS JOIN region")
+query("join_comma", {"data": ["n.n_name", "r.r_name"], "from": [{"n": "nation"}, {"r": "region"}], "where": ON}, "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+query("join_theta", {"data": {"a": "n.n_nationkey", "b": "r.r_regionkey"}, "from": {"n": "nation"}, "join": {"to": "region", "as": "r", "on": {"<": ["n.n_nationkey", "r.r_regionkey"]}}}, "SELECT n_nationkey AS a, r_regionkey AS b FROM nation JOIN region ON n_nationkey < r_regionkey")
+query("join_self", {"data": {"a": "x.n_name", "b": "y.n_name"}, "from": {"x": "nation"}, "join": {"to": "nation", "as": "y", "on": {"and": [{"=": ["x.n_regionkey", "y.n_regionkey"]}, {"<": ["x.n_nationkey", "y.n_nationkey"]}]}}}, "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")
+query("join_subquery", {"data": {"c": "c.c_custkey", "n": "t.n"}, "from": {"c": "customer"}, "join": {"to": {"select": {"data": ["o_custkey", {"n": {"count": "*"}}], "from": "orders", "group": "o_custkey"}}, "as": "t", "on": {"=": ["c.c_custkey", "t.o_custkey"]}}}, "SELECT c_custkey AS c, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t ON c_custkey = o_custkey")
+INNER = {"select": {"data": 1, "from": {"o": "orders"}, "where": {"and": [{"=": ["o.o_custkey", "c.c_custkey"]}, {">": ["o.o_totalprice", 100000]}]}}}
+query("semi_exists", {"data": "c.c_custkey", "from": {"c": "customer"}, "where": {"exists": INNER}}, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+query("anti_not_exists", {"data": "c.c_custkey", "from": {"c": "customer"}, "where": {"not": {"exists": INNER}}}, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+query("in_subquery", {"data": "n_name", "from": "nation", "where": {"in": ["n_regionkey", {"select": {"data": "r_regionkey", "from": "region", "where": {"like": ["r_name", "'A%'"]}}}]}}, "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+query("lateral_join", {"data": ["r.r_name", "u.top"], "from": [{"r": "region"}, {"u": {"lateral": {"select": {"data": {"top": {"max": "n.n_nationkey"}}, "from": {"n": "nation"}, "where": ON}}}}]}, "SELECT r_name, top FROM region r, LATERAL (SELECT max(n_nationkey) AS top FROM nation n WHERE n.n_regionkey = r.r_regionkey) u")
+
+query("group_by", {"data": ["l_returnflag", "l_linestatus", {"n": {"count": "*"}, "qty": {"sum": "l_quantity"}, "top": {"max": "l_extendedprice"}, "least": {"min": "l_discount"}}], "from": "lineitem", "group": ["l_returnflag", "l_linestatus"]}, "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, max(l_extendedprice) AS top, min(l_discount) AS least FROM lineitem GROUP BY ALL")
+query("group_rollup", {"data": ["n_regionkey", {"odd": "n_name"}, {"n": {"count": "*"}}], "from": "nation", "group": {"by": ["n_regionkey", "n_name"], "rollup": True}}, "SELECT n_regionkey, n_name AS odd, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_name)")
+query("having_alias", {"data": ["o_custkey", {"n": {"count": "*"}}], "from": "orders", "group": "o_custkey", "having": {">": ["n", 12]}}, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+query("global_agg", {"data": {"n": {"count": "*"}, "lo": {"min": "o_totalprice"}, "hi": {"max": "o_totalprice"}}, "from": "orders"}, "SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
+query("count_distinct", {"data": {"n": {"count": {"distinct": "o_custkey"}}}, "from": "orders"}, "SELECT count(DISTINCT o_custkey) AS n FROM orders")
+query("select_distinct", {"data": {"distinct": ["c_mktsegment", "c_nationkey"]}, "from": "customer"}, "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
+query("array_agg_join", {"data": ["n_regionkey", {"names": {"array_to_string": [{"array_sort": {"array_agg": "n_name"}}, "','"]}}], "from": "nation", "group": "n_regionkey"}, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+query("json_agg_rows", {"data": {"rows": {"json_build_array": ["r_regionkey", "r_name", None]}, "object": {"json_build_object": ["'k'", "r_regionkey"]}}, "from": "region"}, "SELECT '[' || r_regionkey || ', \"' || r_name || '\", null]' AS rows, '{\"k\": ' || r_regionkey || '}' AS object FROM region")
+query("other_aggregates", {"data": ["o_orderstatus", {"spread": {"round": [{"stddev": "o_totalprice"}, 4]}, "mean": {"round": [{"avg": "o_totalprice"}, 4]}}], "from": "orders", "group": "o_orderstatus"}, "SELECT o_orderstatus, round(stddev(o_totalprice), 4) AS spread, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderstatus")
+
+query("order_desc_nulls", {"data": {"k": "p_partkey", "s": {"nullif": ["p_size", 1]}}, "from": "part", "order": [{"by": "s", "desc": True}, "k"], "limit": 30}, "SELECT p_partkey AS k, nullif(p_size, 1) AS s FROM part ORDER BY s DESC NULLS FIRST, k LIMIT 30")
+query("limit_offset", {"data": "o_orderkey", "from": "orders", "order": "o_orderkey", "limit": 25, "offset": 50}, "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
+query("topk", {"data": ["o_orderkey", "o_totalprice"], "from": "orders", "order": [{"by": "o_totalprice", "ascending": False}, "o_orderkey"], "limit": 10}, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+query("union_all", [{"data": {"k": "n_nationkey"}, "from": "nation"}, {"data": {"k": "r_regionkey"}, "from": "region"}], "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+query("union_distinct_order_limit", {"data": {"k": "n_regionkey"}, "from": "nation", "union": [{"select": {"data": {"k": "r_regionkey"}, "from": "region"}}, {"select": {"data": {"k": "n_nationkey"}, "from": "nation"}}], "order": {"by": "k", "desc": True}, "limit": 8}, "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region UNION SELECT n_nationkey FROM nation ORDER BY k DESC LIMIT 8")
+query("cte_single", {"with": {"as": "big", "query": {"select": {"data": "*", "from": "orders", "where": {">": ["o_totalprice", 200000]}}}}, "data": {"n": {"count": "*"}}, "from": "big"}, "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT count(*) AS n FROM big")
+query("cte_multi", {"with": [{"as": "a", "query": {"select": {"data": "*", "from": "nation", "where": {"<": ["n_nationkey", 10]}}}}, {"as": "b", "query": {"select": {"data": ["n_regionkey", {"n": {"count": "*"}}], "from": "a", "group": "n_regionkey"}}}], "data": ["b.n_regionkey", "b.n"], "from": "b"}, "WITH a AS (SELECT * FROM nation WHERE n_nationkey < 10), b AS (SELECT n_regionkey, count(*) AS n FROM a GROUP BY n_regionkey) SELECT * FROM b")
+query("derived_table", {"data": {"k": "t.k"}, "from": {"t": {"select": {"data": {"k": {"+": ["n_nationkey", 100]}}, "from": "nation"}}}}, "SELECT n_nationkey + 100 AS k FROM nation")
+query("scalar_subquery", {"data": {"r": "r_name", "n": {"select": {"data": {"c": {"count": "*"}}, "from": {"n": "nation"}, "where": {"=": ["n.n_regionkey", "region.r_regionkey"]}}}}, "from": "region"}, "SELECT r_name AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region")
+query("generate_series", {"data": {"v": "S", "w": {"concat": ["'name'", "S"]}}, "from": {"S": {"generate_series": [1, 100]}}}, "SELECT i AS v, concat('name', i) AS w FROM range(1, 101) t(i)")
+query("call_function_md5", {"data": {"k": "n_nationkey", "h": {"md5": "n_name"}}, "from": "nation"}, "SELECT n_nationkey AS k, md5(n_name) AS h FROM nation")
+
+
+@made("udf_call", "SELECT n_nationkey AS k, length(n_name) + 1 AS v FROM nation")
+def _udf(spark, sf_dir):
+    @F.pandas_udf("bigint")
+    def longer(s: pd.Series) -> pd.Series:
+        return s.str.len() + 1
+
+    db = Database(spark, sf_dir)
+    db.register_function("longer", longer)
+    return db.compile({"select": {"data": {"k": "n_nationkey", "v": {"longer": "n_name"}}, "from": "nation"}})
+
+
+def _model(name, build, sql):
+    QUERIES[name] = lambda spark, sf_dir: (lambda db: db.compile(build(db)))(Database(spark, sf_dir))
+    ORACLE_SQL[name] = sql
+
+
+_model("model_where_kwargs", lambda db: db.get_model("orders").where(o_orderstatus="F", o_totalprice__gt=150000).take("o_orderkey").select(), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
+_model("model_take_exclude", lambda db: db.get_model("nation").take("*", "-n_name", up={"upper": "n_name"}).select(), "SELECT n_nationkey, n_regionkey, upper(n_name) AS up FROM nation")
+_model("model_sort_limit", lambda db: db.get_model("orders").take("o_orderkey", "o_totalprice").sort("-o_totalprice", "o_orderkey").limit(15).select(), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+_model("model_count", lambda db: db.get_model("orders").where(o_orderstatus="O").select(count=True), "SELECT count(*) AS count FROM orders WHERE o_orderstatus = 'O'")
+_model("model_join", lambda db: db.get_model("nation").take("n_name", region="r.r_name").join({"to": "region", "as": "r", "on": {"=": ["nation.n_regionkey", "r.r_regionkey"]}}).select(), "SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+@made("model_key_lookup", "SELECT n_name, n_nationkey, n_regionkey FROM nation WHERE n_nationkey = 7")
+def _key(spark, sf_dir):
+    db = _loaded(spark, sf_dir, "nation", "n_nationkey")
+    return db.compile(db.get_model("nation").key(7).select())
+
+
+def _loaded(spark: SparkSession, sf_dir: str, table: str, key: str | None = None, rows: DataFrame | None = None, alias: str | None = None) -> Database:
+    """A database of our own with a copy of one table."""
+    from ..sources.store import definition
+
+    db = Database(spark, workspace(spark))
+    source = Database(spark, sf_dir)
+    rows = rows if rows is not None else source.table(table)
+    meta = {"columns": source.store.meta("main", table)["columns"]}
+    if key:
+        meta["columns"] = {k: v | ({"primary": True} if k == key else {}) for k, v in meta["columns"].items()}
+    db.store.write("main", alias or table, definition(alias or table, meta), rows, check=False)
+    return db
+
+
+def _change(name: str, table: str, statements: list[dict], sql: str, key: str | None = None, returned: bool = False) -> None:
+    def run(spark, sf_dir):
+        db = _loaded(spark, sf_dir, table, key)
+        out = None
+        for s in statements:
+            out = db.execute(s)
+        return out if returned else db.table(table)
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+_change("insert_values_default", "region", [{"insert": {"table": "region", "columns": ["r_regionkey", "r_name"], "values": [[10, "'NEW'"], [11, {"concat": ["'X'", "'Y'"]}]]}}, {"insert": {"table": "region", "columns": ["r_regionkey"], "values": [12]}}], "SELECT * FROM region UNION ALL VALUES (10, 'NEW'), (11, 'XY'), (12, NULL)")
+_change("insert_returning", "region", [{"insert": {"table": "region", "values": [[20, "'A'"]], "return": {"k": {"+": ["r_regionkey", 1]}}}}], "SELECT 21 AS k", returned=True)
+_change("update_where", "nation", [{"update": {"table": "nation", "set": {"n_name": {"concat": ["n_name", "'!'"]}}, "where": {"<": ["n_nationkey", 5]}}}], "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey FROM nation")
+_change("delete_where", "nation", [{"delete": {"table": "nation", "where": {"=": ["n_regionkey", 2]}}}], "SELECT * FROM nation WHERE n_regionkey <> 2")
+_change("delete_returning", "nation", [{"delete": {"table": "nation", "where": {"=": ["n_regionkey", 2]}, "return": ["n_nationkey", {"name": "n_name"}]}}], "SELECT n_nationkey, n_name AS name FROM nation WHERE n_regionkey = 2", returned=True)
+_change("truncate", "nation", [{"truncate": "nation"}], "SELECT * FROM nation WHERE false")
+_change("alter_add_column_default", "region", [{"alter": {"table": {"name": "region", "add": {"column": {"name": "size", "type": "integer", "default": 7}}}}}, {"alter": {"column": {"name": "region.r_name", "rename": "title"}}}], "SELECT r_regionkey, r_name AS title, 7 AS size FROM region")
+
+
+def _two(spark: SparkSession, sf_dir: str) -> Database:
+    db = _loaded(spark, sf_dir, "nation")
+    other = _loaded(spark, sf_dir, "region")
+    db.store.write("main", "region", other.store.meta("main", "region"), other.table("region"))
+    return db
+
+
+@made("insert_select", "SELECT * FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 1")
+def _insert_select(spark, sf_dir):
+    db = _two(spark, sf_dir)
+    db.execute({"insert": {"table": "region", "columns": ["r_regionkey", "r_name"], "values": {"select": {"data": [{"k": {"+": ["n_nationkey", 100]}}, "n_name"], "from": "nation", "where": {"=": ["n_regionkey", 1]}}}}})
+    return db.table("region")
+
+
+@made("update_from_join", "SELECT n_nationkey, r_name AS n_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey AND r_name LIKE 'A%' UNION ALL SELECT nation.* FROM nation JOIN region ON n_regionkey = r_regionkey AND r_name NOT LIKE 'A%'")
+def _update_from(spark, sf_dir):
+    db = _two(spark, sf_dir)
+    db.execute({"update": {"table": {"n": "nation"}, "set": {"n_name": "r.r_name"}, "from": {"r": "region"}, "where": {"and": [{"=": ["n.n_regionkey", "r.r_regionkey"]}, {"like": ["r.r_name", "'A%'"]}]}}})
+    return db.table("nation")
+
+
+@made("update_subquery", "SELECT r_regionkey, (SELECT max(n_name) FROM nation WHERE n_regionkey = r_regionkey) AS r_name FROM region")
+def _update_subquery(spark, sf_dir):
+    db = _two(spark, sf_dir)
+    db.execute({"update": {"table": {"r": "region"}, "set": ["r_name", {"select": {"data": {"m": {"max": "n.n_name"}}, "from": {"n": "nation"}, "where": {"=": ["n.n_regionkey", "r.r_regionkey"]}}}]}})
+    return db.table("region")
+
+
+@made("ctas", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def _ctas(spark, sf_dir):
+    db = _two(spark, sf_dir)
+    db.execute({"create": {"table": {"name": "counts", "as": {"select": {"data": ["n_regionkey", {"n": {"count": "*"}}], "from": "nation", "group": "n_regionkey"}}}}})
+    return db.table("counts")
+
+
+@made("constraint_violations_pk_fk_check", "SELECT unnest(['a__pk', 'b__ck']) AS name")
+def _violations(spark, sf_dir):
+    db = _two(spark, sf_dir)
+    rows = db.table("nation").unionByName(db.table("nation").limit(1))
+    meta = db.store.meta("main", "nation")
+    meta = {**meta, "constraints": {"a__pk": {"type": "primary", "columns": ["n_nationkey"]}, "b__ck": {"type": "check", "columns": [], "check": {"<": ["n_nationkey", 20]}}, "c__fk": {"type": "foreign", "columns": ["n_regionkey"], "related_name": "region", "related_columns": ["r_regionkey"]}}}
+    meta["constraints"] = {k: {"deferred": False, "deferrable": False, "check": None, **v} for k, v in meta["constraints"].items()}
+    return spark.createDataFrame([(v,) for v in db.store.violations("main", "nation", meta, rows)], "name string")
+
+
+@made("info_count_range", "SELECT count(*) AS count, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
+def _info(spark, sf_dir):
+    info = _loaded(spark, sf_dir, "orders", "o_orderkey").get_info(schema=False)["main"]["orders"]["rows"]
+    r = info["range"]["o_orderkey"]
+    return spark.createDataFrame([(info["count"], r["min"], r["max"])], "count long, lo long, hi long")
+
+
+SHARDS = "(SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4000 AS shard FROM orders)"
+
+
+@made("shard_stats", f"SELECT min(o_orderkey) AS min_pk, max(o_orderkey) AS max_pk, count(*) AS count FROM {SHARDS} GROUP BY shard")
+def _shards(spark, sf_dir):
+    rows = fingerprint.numbered(Database(spark, sf_dir).table("orders"), "o_orderkey", 4000)
+    return rows.groupBy("_shard").agg(F.min("o_orderkey").alias("min_pk"), F.max("o_orderkey").alias("max_pk"), F.count("*").alias("count")).drop("_shard")
+
+
+@made("shard_md5", f"""SELECT min(o_orderkey) AS min_pk, max(o_orderkey) AS max_pk, count(*) AS count, md5(string_agg('[' || to_json(o_custkey) || ', ' || to_json(o_orderkey) || ', ' || to_json(o_orderpriority) || ', ' || to_json(o_orderstatus) || ']', ',' ORDER BY o_orderkey)) AS md5
+    FROM {SHARDS} GROUP BY shard""")
+def _md5(spark, sf_dir):
+    names = ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    return fingerprint.shard_hashes(Database(spark, sf_dir).table("orders"), "o_orderkey", {c: c for c in names}, 4000)
+
+
+@made("keyset_page", "SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")
+def _page(spark, sf_dir):
+    return fingerprint.keyset_page(Database(spark, sf_dir).table("orders"), "o_orderkey", 100, 500)
+
+
+@made("page_statistics", "SELECT count(*) AS count, min(o_orderkey) AS min, max(o_orderkey) AS max FROM (SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100)")
+def _statistics(spark, sf_dir):
+    return fingerprint.statistics(Database(spark, sf_dir).table("orders"), "o_orderkey", limit=100, cursor=500)
+
+
+@made("edge_min_max", "SELECT min(c_name) AS min, max(c_name) AS max FROM customer")
+def _edges(spark, sf_dir):
+    return fingerprint.edges(Database(spark, sf_dir).table("customer"), "c_name")
+
+
+CHANGED = "o_orderkey % 97 = 5"
+
+
+def _altered(df: DataFrame) -> DataFrame:
+    """A target that lacks some rows, has others changed, and holds some that the source lacks."""
+    k = F.col("o_orderkey")
+    top = df.agg(F.max("o_orderkey")).first()[0] or 0
+    kept = df.filter((k % 211 != 3) & (k < top - 5)).withColumn("o_totalprice", F.when(F.expr(CHANGED), 0.0).otherwise(F.col("o_totalprice")))
+    return kept.unionByName(df.limit(3).withColumn("o_orderkey", k + 10 * (top + 1)))
+
+
+@made("copy_first_run", "SELECT * FROM orders")
+def _copy_first(spark, sf_dir):
+    source = Database(spark, sf_dir)
+    target = Database(spark, workspace(spark))
+    source.copy(target, {"schemas": {"main": {"tables": {"orders": True}}}}, final_diff=False)
+    return target.table("orders")
+
+
+@made("copy_incremental", "SELECT * FROM orders")
+def _copy_again(spark, sf_dir):
+    rows = Database(spark, sf_dir).table("orders")
+    source = _loaded(spark, sf_dir, "orders", "o_orderkey")
+    target = _loaded(spark, sf_dir, "orders", "o_orderkey", _altered(rows))
+    source.shard_rows = target.shard_rows = 1000
+    source.copy(target, final_diff=False)
+    return target.table("orders")
+
+
+@made("diff_rows_by_shard", None)
+def _diff(spark, sf_dir):
+    rows = Database(spark, sf_dir).table("orders")
+    new, copied, skipped = replicate.copy_rows(rows, _altered(rows), "o_orderkey", 1000)
+    return spark.createDataFrame([(copied, skipped)], "copied long, skipped long")
