@@ -101,7 +101,7 @@ class SkipChain:
         self.w = np.zeros((Nodes.FEATURES, n))
         self.pair = np.zeros((2, n, n))
 
-    def fit(self, nodes: Nodes, rounds: int = 200, rate: float = 0.5) -> None:
+    def fit(self, nodes: Nodes, rounds: int = 300, rate: float = 5.0) -> None:
         if not nodes.span:
             return
         x, y, n = np.array(nodes.features), np.array(nodes.label), len(KINDS) + 1
