@@ -166,7 +166,7 @@ def test_personal_data(docs):
     model.fit(nodes)
     t = "mail jo@x.example now jo@x.example, later JO@x.example"
     base = pii.base_spans(t)[:1]
-    assert [(0 <= s < e, k) for s, k, e in pii.extra_spans(model, [t], [base], 0.9)[0]] == [(True, 0)] * 2
+    assert [(0 <= s < e, k) for s, k, e in pii.extra_spans(model, [t], [base], 0.5)[0]] == [(True, 0)] * 2
 
 
 def brute_secrets(t):
@@ -215,7 +215,7 @@ def test_mixing_keeps_budgets(spark, docs):
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
-    t, rows = Tokenizer.from_file(queries.vocabulary()), texts(docs) | {90: "x\x1cy z<|endoftext|>w  don't", 91: "É" * 20}
+    t, rows = Tokenizer.from_file(queries.vocabulary()), texts(docs) | {90: "x\x1cy z<|endoftext|>w  don't", 91: "É" * 20, 92: "The the. THE, don't. 'tis. a<|ENDOFTEXT|> x<|endoftext|>. é. ’. 5. a.b. ..", 93: "Word! Word? Word;; W."}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = packing.pack_documents(df, queries.vocabulary()).toPandas().sort_values(["doc_id", "piece"])
     for k, g in got.groupby("doc_id"):
