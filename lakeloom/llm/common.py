@@ -63,23 +63,54 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash, remembered for at most ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+CHUNK = 1 << 20
+_rng = np.random.default_rng(20)
+_LETTER = _rng.integers(1, 1 << 63, 256, np.uint64)
+_BREAK = np.zeros(256, bool)
+_BREAK[[32, *range(9, 14)]] = True
+_LETTER[_BREAK] = 0
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2 ** 64."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            step = np.full(max(n, CHUNK + 4096), base, np.uint64)
+            step[0] = 1
+            _powers.append(np.cumprod(step))
+    return _powers[0], _powers[1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, end to end, and where each text begins (one more than there are texts).
+
+    A word's hash is a polynomial in random values of its bytes, taken from running sums over whole chunks of text;
+    chunks end between words, so a hash depends on nothing but the word.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]) if texts else b"", np.uint8)
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        stop = min(at + CHUNK, len(raw))
+        while not _BREAK[raw[stop - 1]]:
+            more = np.flatnonzero(_BREAK[raw[stop : stop + CHUNK]])
+            stop = stop + int(more[0]) + 1 if len(more) else min(stop + CHUNK, len(raw))
+        part = raw[at:stop]
+        up, down = _power_tables(len(part))
+        inside = np.concatenate([[False], ~_BREAK[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[part] * up[: len(part)])])
+        hashes.append(scramble((sums[last] - sums[first]) * down[first]))
+        places.append(first + at)
+        at = stop
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    begin = np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)])
+    return np.concatenate(hashes), begin
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,29 +48,33 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over pieces, each a sequence of symbols from 1; exact for patterns of up to ``depth`` symbols (a power of two).
+    """Index over pieces, each some words; exact for patterns of up to ``depth`` symbols (a power of two).
 
     Suffixes are sorted by their first ``depth`` symbols, which is all that backward search needs for such patterns.
     """
 
-    def __init__(self, pieces: list[np.ndarray], size: int):
+    def __init__(self, pieces: list[bytes], size: int):
         self.size = size
+        words = b" \x00 ".join([*pieces, b""]).split()  # a word of one zero byte can't occur otherwise: see below
+        if any(b"\x00" in p for p in pieces):
+            words = [w for p in pieces for w in (*p.split(), None)]
+            symbol = dict.fromkeys(words)
+            symbol = {w: i for i, w in enumerate([None, *(w for w in symbol if w is not None)])}
+        else:
+            symbol = {w: i for i, w in enumerate(dict.fromkeys([b"\x00", *words]))}
         depth = 1
         while depth < size:
             depth *= 2
-        self.length = np.array([len(p) for p in pieces], np.int64)
-        self.end = np.cumsum(self.length + 1) - 1  # of each piece: the place of its terminator, which is symbol 0
-        text = np.zeros(int(self.end[-1]) + 1, np.int64)
-        inside = np.ones(len(text), bool)
-        inside[self.end] = False
-        text[inside] = np.concatenate(pieces)
+        text = np.fromiter(map(symbol.__getitem__, words), np.int64, len(words))
+        self.end = np.flatnonzero(text == 0)  # of each piece: the place of its terminator, which is symbol 0
+        self.length = np.diff(self.end, prepend=-1) - 1
         self.text, n = text, len(text)
         rank, width, kept = text, 1, {1: text}
         while True:
             shifted = np.zeros(n, np.int64)
             shifted[: n - width] = rank[width:]
             key = rank * (int(rank.max()) + 1) + shifted
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.empty(n, np.int64)
             new[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) != 0).astype(np.int64)]))
             rank, width = new, width * 2
@@ -127,9 +133,7 @@ def first_places(texts: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np
 
     Piece i holds the words of (doc, tie) from word ``start[i]``. Words are compared as they are, not by hash.
     """
-    vocabulary: dict[bytes, int] = {}
-    pieces = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in t.split()), np.int64) for t in texts]
-    index = FMIndex(pieces, size)
+    index = FMIndex(texts, size)
     at, row = index.windows()
     begin = index.end - index.length
     piece = np.searchsorted(index.end, at)
@@ -166,15 +170,13 @@ def _anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.n
     return g[heads], heads, np.concatenate([heads[1:], [n]]), times
 
 
-_words = common.WordHash()
-
-
 def _list_anchors(size, gram):
     def run(batches):
         for b in batches:
             ks, ts, hs, fs, es, ns = [], [], [], [], [], []
-            for k, t, text in zip(b.column("_k").to_pylist(), b.column("_t").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, f, e, n = _anchors(_words.of((text or "").encode().split()), size, gram)
+            words, begin = common.word_hashes([(x or "").encode() for x in b.column("text").to_pylist()])
+            for i, (k, t) in enumerate(zip(b.column("_k").to_pylist(), b.column("_t").to_pylist(), strict=True)):
+                h, f, e, n = _anchors(words[begin[i] : begin[i + 1]], size, gram)
                 ks.append(np.full(len(h), k, np.int64))
                 ts.append(np.full(len(h), t, np.int64))
                 hs.append(h)
@@ -191,24 +193,40 @@ def _list_anchors(size, gram):
     return run
 
 
+def _flat(column, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """(first, last, *fields) of a column of lists of structs: where each row's items stand, and the items end to end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    items = column.flatten()
+    count = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    last = np.cumsum(count)
+    return last - count, last, *[np.asarray(items.field(n)) for n in names]
+
+
 def _list_pieces(size):
     def run(batches):
         for b in batches:
-            out = ([], [], [], [], [])
-            for k, t, text, runs in zip(*(b.column(c).to_pylist() for c in ("_k", "_t", "text", "runs")), strict=True):
+            first, last, begins, ends, anchors, hot = _flat(b.column("runs"), ("begin", "end", "anchor", "hot"))
+            begins, ends, anchors, hot = begins.tolist(), ends.tolist(), anchors.tolist(), hot.tolist()
+            routes, pieces, starts, rows = [], [], [], []
+            for i, (text, x, y) in enumerate(zip(b.column("text").to_pylist(), first.tolist(), last.tolist(), strict=True)):
                 words = (text or "").encode().split()
-                for r in runs:
-                    if r["hot"]:  # one window at a time, dealt by its own words
-                        parts = [(s, b" ".join(words[s : s + size]), None) for s in range(r["begin"], r["end"])]
+                for j in range(x, y):
+                    if hot[j]:  # one window at a time, dealt by its own words
+                        for s in range(begins[j], ends[j]):
+                            piece = b" ".join(words[s : s + size])
+                            routes.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                            pieces.append(piece)
+                            starts.append(s)
                     else:
-                        parts = [(r["begin"], b" ".join(words[r["begin"] : r["end"] + size - 1]), r["anchor"])]
-                    for s, piece, route in parts:
-                        if route is None:
-                            route = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        for col, v in zip(out, (route, piece, k, t, s), strict=True):
-                            col.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], ["route", "piece", "_k", "_t", "start"])
+                        routes.append(anchors[j])
+                        pieces.append(b" ".join(words[begins[j] : ends[j] + size - 1]))
+                        starts.append(begins[j])
+                rows.append(len(routes))
+            each = np.repeat(np.arange(b.num_rows), np.diff(rows, prepend=0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(routes, pa.int64()), pa.array(pieces, pa.binary()), b.column("_k").take(pa.array(each)), b.column("_t").take(pa.array(each)), pa.array(starts, pa.int32())],
+                ["route", "piece", "_k", "_t", "start"],
+            )
 
     return run
 
@@ -223,35 +241,43 @@ def _index_shard(size):
     return run
 
 
-def _removed(n_words: int, runs, firsts, size: int) -> np.ndarray:
+def _removed(n_words: int, runs: tuple[np.ndarray, np.ndarray], firsts: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
     """Which words lie in a window that starts earlier elsewhere: candidate windows less the first places."""
-    window = np.zeros(max(0, n_words - size + 1), bool)
-    for r in runs or ():
-        window[r["begin"] : r["end"]] = True
-    for f in firsts or ():
-        window[f["begin"] : f["end"]] = False
+    window = np.zeros(n_words + 1, np.int32)
+    np.add.at(window, runs[0], 1)
+    np.add.at(window, runs[1], -1)
+    first = np.zeros(n_words + 1, np.int32)
+    np.add.at(first, firsts[0], 1)
+    np.add.at(first, firsts[1], -1)
+    at = np.flatnonzero((np.cumsum(window) > 0) & (np.cumsum(first) == 0))
     edge = np.zeros(n_words + 1, np.int32)
-    at = np.flatnonzero(window)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + size, -1)
+    edge[at] += 1
+    edge[at + size] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
 def _keep(size):
     def run(batches):
         for b in batches:
-            ks, ts, removed, sha, spans = [], [], [], [], []
-            for k, t, text, runs, firsts in zip(*(b.column(c).to_pylist() for c in ("_k", "_t", "text", "runs", "firsts")), strict=True):
+            rx, ry, rb, re = _flat(b.column("runs"), ("begin", "end"))
+            fx, fy, fb, fe = _flat(b.column("firsts"), ("begin", "end"))
+            removed, sha, spans = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 words = (text or "").encode().split()
-                gone = _removed(len(words), runs, firsts, size)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                ks.append(k)
-                ts.append(t)
+                r, f = slice(rx[i], ry[i]), slice(fx[i], fy[i])
+                gone = _removed(len(words), (rb[r], re[r]), (fb[f], fe[f]), size)
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
                 removed.append(int(gone.sum()))
-                spans.append(",".join(f"{x}:{y}" for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
-                sha.append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip((ks, ts, removed, sha, spans), kinds, strict=True)], ["_k", "_t", "n_removed", "kept_sha256", "removed_spans"])
+                spans.append(",".join(f"{x}:{y}" for x, y in zip(edges[::2], edges[1::2], strict=True)))
+                kept, at = [], 0
+                for x, y in zip([*edges[::2], len(words)], [*edges[1::2], None], strict=True):
+                    kept += words[at:x]
+                    at = y
+                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_k"), b.column("_t"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.string())],
+                ["_k", "_t", "n_removed", "kept_sha256", "removed_spans"],
+            )
 
     return run
 
