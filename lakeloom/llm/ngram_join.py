@@ -15,71 +15,78 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
 
-_words = common.WordHash()
 
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """The set of word shingles of each text, as sorted 64-bit hashes; a text of fewer words is one shingle."""
+    words, begin = common.word_hashes([(t or "").encode().lower() for t in texts])
+    grams = common.gram_hashes(words, size)
+    out = []
+    for a, z in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if z - a >= size:
+            out.append(np.unique(grams[a : z - size + 1]))
+        elif z > a:
+            out.append(common.gram_hashes(words[a:z], z - a) ^ np.uint64(z - a))
+        else:
+            out.append(words[:0])
+    return out
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The set of word shingles of a text, as sorted 64-bit hashes; a text of fewer words is one shingle."""
-    words = _words.of((text or "").encode().lower().split())
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return np.unique(common.gram_hashes(words, size) if len(words) >= size else common.gram_hashes(words, len(words)) ^ np.uint64(len(words)))
 
+def set_id(s: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
 
-def _identity(size):
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
-            sid = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_k"), b.column("_t"), pa.array(sid, pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                ["doc_id", "_k", "_t", "sid", "n"],
-            )
 
-    return run
+_LISTED = "doc_id long, _k long, _t long, sid long, n long, h long, c long"
 
 
-def _frequent(size, share, chunk=2_000_000):
+def _identity(size, share, chunk=2_000_000):
+    """A row for each document: its set's id and size; and rows (h, c) for shingles that many documents of the part hold."""
+
     def run(batches):
         docs, held, many = 0, [], 0
         keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def merged():
             k, c = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], times[:0])
-            k, c = np.concatenate([keys, k]), np.concatenate([times, c])
-            k, back = np.unique(k, return_inverse=True)
-            c = np.bincount(back, c, len(k)).astype(np.int64)
+            k, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([times, c]), len(k)).astype(np.int64)
             return k[c > 1], c[c > 1]
 
+        def columns(*given):
+            n = len(given[0] if given[0] is not None else given[-1])
+            cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in given]
+            return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _LISTED.split(", ")])
+
         for b in batches:
-            for t in b.column("text").to_pylist():
-                s = shingles(t, size)
-                docs += 1
+            sets = shingle_sets(b.column("text").to_pylist(), size)
+            docs += len(sets)
+            for s in sets:
                 held.append(s)
                 many += len(s)
                 if many > chunk:
                     keys, times = merged()
                     held, many = [], 0
+            ids = [set_id(s) if len(s) else None for s in sets]
+            yield columns(b.column("doc_id"), b.column("_k"), b.column("_t"), ids, [len(s) for s in sets], None, None)
         keys, times = merged()
         ok = times >= max(2, share / 2 * docs)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(times[ok])], ["h", "c"])
+        yield columns(None, None, None, None, None, keys[ok].view(np.int64), times[ok])
 
     return run
 
 
-def frequent_shingles(rows: DataFrame, size: int, share: float, most: int) -> np.ndarray:
+def frequent_shingles(listed: DataFrame, share: float, most: int) -> np.ndarray:
     """Shingles that at least ``share`` of all rows hold (every part reports those of half that share): a bounded list.
 
     It only decides the order of shingles, never the result.
     """
-    total = rows.count()
-    seen = rows.select("text").mapInArrow(_frequent(size, share), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    total = listed.filter("h is null").count()
+    seen = listed.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
     top = seen.filter(F.col("c") >= max(3, share * total)).orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -90,30 +97,36 @@ def extra(n: int) -> int:
 
 
 def _regions(size, percent, frequent):
+    """Rows (h, sid, place): the regions of each set; place is 0 in those of ordinary shingles, else tells rows apart.
+
+    One more row of each set has place -1 - v, v being how many frequent shingles the set has.
+    """
+
     def run(batches):
         hot = frequent.value
         for b in batches:
-            hs, ids, ns, ps, fs = [], [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, size)
+            hs, ids, ps = [], [], []
+            for s in shingle_sets(b.column("text").to_pylist(), size):
                 n = len(s)
                 if not n:
                     continue
-                sid = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                else:
-                    late = np.zeros(n, bool)
+                late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
                 p = min(n, n - -(-percent * n // 100) + extra(n))
-                first = np.concatenate([s[~late], s[late]])[:p]
-                hs.append(first)
-                ids.append(np.full(p, sid, np.int64))
-                ns.append(np.full(p, n, np.int32))
-                ps.append(np.arange(p, dtype=np.int32))
-                fs.append(np.arange(p) >= n - late.sum())
+                sid = set_id(s)
+                many = int(late.sum())
+                place = np.arange(p)
+                ids.append(np.full(p + 1, sid, np.int64))
+                if many:
+                    s = np.concatenate([s[~late], s[late]])
+                    place = np.where(place >= n - many, 1 + (place << 8 | sid & 255), 0)
+                else:
+                    place[:] = 0
+                ps.append(np.append(place, -1 - many))
+                hs.append(np.append(s[:p], np.uint64(sid & (2**64 - 1))))
             if hs:
-                cols = [np.concatenate(x) for x in (hs, ids, ns, ps, fs)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["h", "sid", "n", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps))], ["h", "sid", "place"]
+                )
 
     return run
 
@@ -121,7 +134,7 @@ def _regions(size, percent, frequent):
 def _whole(size):
     def run(batches):
         for b in batches:
-            sets = [shingles(t, size).view(np.int64) for t in b.column("text").to_pylist()]
+            sets = [s.view(np.int64) for s in shingle_sets(b.column("text").to_pylist(), size)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column("sid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["sid", "items"])
@@ -138,59 +151,88 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def similar_sets(rows: DataFrame, ids: DataFrame, size: int, percent: int, share: float, most_frequent: int) -> DataFrame:
-    """Links (a, b) between different sets that decide the components of all links: rows (doc_id, text, _k, _t), ids (sid, _k, _t)."""
+def _need(n: str):
+    return F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col(n) / 12)))
+
+
+def _alike(pairs: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes fit and that share as many regions as two similar sets must."""
+    a = regions.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
+    b = regions.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+    both = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.filter(F.size(F.array_intersect("ha", "hb")) >= F.least(_need("na"), _need("nb"))).select("a", "b")
+
+
+def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, share: float, most_frequent: int) -> DataFrame:
+    """Links (a, b) between different sets that decide the components of all links: rows (doc_id, text, _k, _t)."""
     spark = rows.sparkSession
     limit = 1 - percent / 100 + 1e-9
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, size, share, most_frequent))
-    placed = rows.select("text").mapInArrow(_regions(size, percent, frequent), "h long, sid long, n int, pos int, hot boolean")
-    # regions of ordinary shingles: one shuffle; those of one set only go at once
-    w = Window.partitionBy("h")
-    first = F.min(F.struct("pos", "sid"))
-    cold = placed.filter("not hot").select(
-        "h", "sid", "n", "pos", first.over(w)["sid"].alias("pivot"), F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi")
-    )
-    cold = cold.filter("lo <> hi").select("h", "sid", "n", "pos", "pivot")
-    # regions of frequent shingles (a bounded list) may be large: combine before the shuffle, then look the pivot up
-    hot = placed.filter("hot").groupBy("h", "sid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    pivots = hot.groupBy("h").agg(first["sid"].alias("pivot"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi")
-    hot = hot.join(F.broadcast(pivots.select("h", "pivot")), "h").select("h", "sid", "n", "pos", "pivot")
-    members = common.durable(cold.union(hot).distinct())
-    star = members.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    star = common.durable(star)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(listed, share, most_frequent))
+    ids = listed.filter("sid is not null")
+    sizes = ids.groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("_k", "_t")).alias("r"))
+    # one shuffle: regions of ordinary shingles meet whole, rows of frequent ones are spread; regions of one set go
+    w = Window.partitionBy("h", "place")
+    placed = rows.select("text").mapInArrow(_regions(size, percent, frequent), "h long, sid long, place long")
+    placed = placed.select("h", "sid", "place", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
+    listed_rows = common.durable(placed.filter("lo <> hi or place <> 0").select("h", "sid", "place").distinct())
+    members = listed_rows.filter("place >= 0")
+    # sets with too few shared regions to be similar to any other go
+    regions = members.groupBy("sid").agg(F.collect_set("h").alias("hs")).join(sizes.select("sid", "n"), "sid")
+    regions = common.durable(regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("hs") >= _need("_low")).select("sid", "n", "hs"))
+    at = regions.select("sid", "n", F.explode("hs").alias("h")).join(members, ["h", "sid"])
+    # the pivot of a region: the set in which its shingle comes earliest (a sum of few rare shingles: near the middle of a crowd)
+    pivots = at.groupBy("h").agg(F.min(F.struct("place", "sid"))["sid"].alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    pivots = common.durable(pivots.select("h", "pivot"))
+    at = common.durable(at.join(common.small(pivots), "h").filter("sid <> pivot").select("h", "sid", "n", "pivot", (F.col("place") > 0).alias("hot")))
+    star = common.durable(at.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
+    star = common.durable(_alike(star, regions, percent))
     needed = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct()
-    keys = ids.groupBy("sid").agg(F.min(F.struct("_k", "_t")).alias("r")).join(needed, "sid").select("sid", "r._k", "r._t")
-    sets = rows.join(common.small(common.durable(keys)), ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>")
-    sets = common.durable(sets.dropDuplicates(["sid"]))
-    measured = common.durable(_measured(star, sets, percent))
+    measured = common.durable(_measured(star, _sets(rows, sizes, needed, size), percent))
     linked = measured.filter("linked").select("a", "b")
     labels = common.connected_components(linked)
     known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "d")
-    at = members.join(known, ["pivot", "sid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    at = at.join(known, ["pivot", "sid"], "left")
     at = at.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
     at = at.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    at = common.durable(at.filter("sid <> pivot").select("h", "sid", "n", "d", "label", (F.col("label") != F.col("home")).alias("open")))
-    x = at.filter("open").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "d", "label")])
-    more = x.join(at, "h").filter(
+    # rings of a region: members by how many frequent shingles they have, which is their distance from the set of all of
+    # those; u counts a member's shingles that no other set of a frequent region can have
+    own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + _need("n")) - F.size("hs")
+    rings = listed_rows.filter("place < 0").select("sid", (-1 - F.col("place")).alias("v"))
+    facts = regions.join(rings, "sid").select("sid", "v", F.greatest(own, F.lit(0)).alias("u"))
+    at = at.join(facts, "sid").select(
+        "h", "sid", "n", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
+    )
+    at = common.durable(at)
+
+    def near(u: str, v: str, n: str) -> Column:  # a lower bound of the symmetric difference, against what similar sets of these sizes may have
+        return (100 + percent) * (F.col("x_u") + F.col(u) + F.abs(F.col("x_v") - F.col(v))) <= (100 - percent) * (F.col("x_n") + F.col(n))
+
+    x = at.filter("open").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "d", "label", "u", "v")])
+    ring = at.groupBy("h", "v").agg(F.min("u").alias("ring_u"), F.max("n").alias("ring_n"))
+    x = x.join(ring, "h").filter(near("ring_u", "v", "ring_n")).drop("ring_u", "ring_n")
+    more = x.join(at, ["h", "v"]).filter(
         (F.col("label") != F.col("x_label"))
         & (~F.col("open") | (F.col("x_sid") < F.col("sid")))
         & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
-        & (F.abs(F.col("d") - F.col("x_d")) <= limit)
-    )
-    need = lambda c: F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col(c) / 12)))
-    more = (
-        more.select(F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b"), F.least(need("n"), need("x_n")).alias("need"), "h")
-        .groupBy("a", "b")
-        .agg(F.count("h").alias("c"), F.min("need").alias("need"))
-        .filter("c >= need")
-        .select("a", "b")
+        & near("u", "v", "n")
+        & F.coalesce(F.abs(F.col("d") - F.col("x_d")) <= limit, F.lit(True))  # a distance not measured is over the limit
     )
-    return linked.union(_measured(common.durable(more), sets, percent).filter("linked").select("a", "b"))
+    more = common.durable(more.select(F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")).distinct())
+    more = common.durable(_alike(more, regions, percent))
+    needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
+    return linked.union(_measured(more, _sets(rows, sizes, needed, size), percent).filter("linked").select("a", "b"))
+
+
+def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """sid, items for the sets ``needed``, from one document of each."""
+    keys = common.durable(sizes.join(needed, "sid").select("sid", "r._k", "r._t"))
+    sets = rows.join(common.small(keys), ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>")
+    return common.durable(sets.dropDuplicates(["sid"]))
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.001, most_frequent: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.0002, most_frequent: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document.
 
@@ -207,8 +249,9 @@ def jaccard_components(
     common.ship_code(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", *common.row_key())
-    ids = common.durable(rows.mapInArrow(_identity(size), "doc_id long, _k long, _t long, sid long, n long"))
-    links = similar_sets(rows, ids.filter("sid is not null"), size, percent, share, most_frequent)
+    listed = common.durable(rows.mapInArrow(_identity(size, share), _LISTED))
+    ids = listed.filter("h is null").select("doc_id", "sid", "n")
+    links = similar_sets(rows, listed, size, percent, share, most_frequent)
     labels = common.connected_components(links)
     least = ids.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     labelled = common.durable(
