@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from . import common
 
 
+PLAIN = (b".", b",", b";", b":", b"!", b"?")
+
+
 class WordTokens(dict):
     """word (UTF-8, without ASCII white space) -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -21,7 +24,7 @@ class WordTokens(dict):
     in order; up to twice ``most`` words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -32,6 +35,11 @@ class WordTokens(dict):
             self.old = dict(self)
             self.clear()
         out = self.old.get(word)
+        if out is None and b"<|" not in word:
+            if word[-1:] in PLAIN and word[-2:-1].isalnum():  # a mark after a letter or digit is a token of its own
+                out = self[word[:-1]] + self[word[-1:]]
+            elif word.isascii() and word.lower() != word:
+                out = self[word.lower()]
         if out is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
