@@ -14,40 +14,93 @@ from pyspark.sql import functions as F
 from . import common
 
 
-PLAIN = (b".", b",", b";", b":", b"!", b"?")
+PLAIN = b".,;:!?"
+SEPARATOR = b"\x7f"  # a token of its own between spaces; words that hold it are encoded singly
 
 
 class WordTokens(dict):
     """word (UTF-8, without ASCII white space) -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser never joins characters across white space, so a text's ids are those of its words
-    in order; up to twice ``most`` words are remembered.
+    in order; up to twice ``most`` words are remembered. New words are encoded many at a time, as one text with
+    ``SEPARATOR`` between words; its token tells which ids belong to which word.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, at_once: int = 4096):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.tokenizer, self.most, self.at_once, self.old = Tokenizer.from_file(path), most, at_once, {}
+        (self.separator,) = self._ids(SEPARATOR.decode())
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode(self, words: list[bytes]) -> None:
+        """Remember ``words``, as they are."""
+        alone = [w for w in words if b"<|" in w or SEPARATOR in w]  # may hold a special token, or what parts the others
+        for w in alone:
+            ids = self._ids(w.decode())
+            self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        if alone:
+            words = [w for w in words if w not in self]
+        between = b" " + SEPARATOR + b" "
+        for i in range(0, len(words), self.at_once):
+            some = words[i : i + self.at_once]
+            ids = np.array(self._ids((between.join(some) + between).decode()), "<u4")
+            ends = np.flatnonzero(ids == self.separator)
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary joins words")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                self[w] = raw[start:end]
+                start = end + 4
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember every one of ``words``; the ids of a word in capitals, or with a mark, are put together from plainer words."""
         if len(self) >= self.most:  # words in use move over from the older half
             self.old = dict(self)
             self.clear()
-        out = self.old.get(word)
-        if out is None and b"<|" not in word:
-            if word[-1:] in PLAIN and word[-2:-1].isalnum():  # a mark after a letter or digit is a token of its own
-                out = self[word[:-1]] + self[word[-1:]]
-            elif word.isascii() and word.lower() != word:
-                out = self[word.lower()]
-        if out is None:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = out
-        return out
-
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        words = words.difference(self)
+        if self.old:
+            for w in words.intersection(self.old):
+                self[w] = self.old[w]
+            words = words.difference(self.old)
+        plain, marked, capitals = set(), [], []
+        for w in words:
+            base = w
+            if w[-1] in PLAIN and w[-2:-1].isalnum() and b"<|" not in w:  # a mark after a letter or digit is a token of its own
+                base = w[:-1]
+                marked.append(w)
+            if base.isascii() and b"<|" not in base and (low := base.lower()) != base:
+                capitals.append(base)
+                base = low
+            plain.add(base)
+        if marked:
+            plain.update({w[-1:] for w in marked})
+        self.encode(list(plain.difference(self)))
+        for w in capitals:
+            self[w] = self[w.lower()]
+        for w in marked:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+def _groups(texts: list[str | None], most_chars: int = 1 << 20):
+    """Runs of texts of about ``most_chars`` together; a longer one is whole, and alone or last."""
+    group, chars = [], 0
+    for t in texts:
+        group.append(t or "")
+        chars += len(group[-1])
+        if chars >= most_chars:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -63,8 +116,9 @@ def _pieces(path: str, limit: int, end_id: int):
         t, end, step = _tokens[path], struct.pack("<I", end_id), 4 * limit
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = t.of(text or "") + end
+            raws = (raw for group in _groups(b.column("text").to_pylist()) for raw in t.of(group))
+            for doc, raw in zip(b.column("doc_id").to_pylist(), raws, strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     ids.append(doc)
