@@ -7,7 +7,8 @@ within the distance can have its nearest pivot, so the document is replicated to
 boundary window). Each region then picks a document as its pivot and measures every member's distance from it: members
 within the limit are linked to the pivot and form one component. What remains is joined recursively: only members of
 different components, only if their distances from the pivot differ by no more than the limit (triangle inequality),
-and only if they share enough regions.
+and only if tables of parities, much smaller than the sets, differ in few enough places.
+A pair is taken from the first region that both share.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql.window import Window
 
 from . import common
 
+#: How many regions before its own each row of a region names, so that a pair comes from the first region it shares.
+LAST = 4
+
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The set of word shingles of each text, as sorted 64-bit hashes; a text of fewer words is one shingle."""
@@ -131,17 +135,52 @@ def _regions(size, percent, frequent):
     return run
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of some places (two to four for every shingle, 256 at least), whether an odd number of shingles fall there.
+
+    Two such tables differ in at most as many places as the sets differ in shingles.
+    """
+    words = 4
+    while words < len(s) / 32:
+        words *= 2
+    place = (s & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _lists(of: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in of])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(of) if of else np.empty(0, np.int64)))
+
+
 def _whole(size):
     def run(batches):
         for b in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(b.column("text").to_pylist(), size)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["sid", "items"])
+            sets = shingle_sets(b.column("text").to_pylist(), size)
+            columns = [b.column("sid"), _lists([s.view(np.int64) for s in sets]), _lists([parities(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "items", "odd"])
 
     return run
 
 
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose parities differ in no more places than similar sets of their sizes may differ in shingles."""
+    a = sets.select(F.col("sid").alias("a"), F.size("items").alias("na"), F.col("odd").alias("oa"))
+    b = sets.select(F.col("sid").alias("b"), F.size("items").alias("nb"), F.col("odd").alias("ob"))
+    both = pairs.join(a, "a").join(b, "b")
+
+    def folded(x: str, y: str) -> Column:  # of twice as many places as y: both halves together
+        n = F.size(y)
+        half = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda i, j: i.bitwiseXOR(j))
+        return F.when(F.size(x) > n, half).otherwise(F.col(x))
+
+    apart = F.zip_with(folded("oa", "ob"), folded("ob", "oa"), lambda i, j: F.bit_count(i.bitwiseXOR(j)))
+    differ = F.aggregate(apart, F.lit(0), lambda t, i: t + i)
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    # sizes more than one doubling apart are not compared here
+    return both.filter((F.greatest(F.size("oa"), F.size("ob")) > 2 * F.least(F.size("oa"), F.size("ob"))) | near).select("a", "b")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b) with their Jaccard distance and whether they link, which is decided in whole numbers."""
     a = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
@@ -179,11 +218,13 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     # sets with too few shared regions to be similar to any other go
     regions = members.groupBy("sid").agg(F.collect_set("h").alias("hs")).join(sizes.select("sid", "n"), "sid")
     regions = common.durable(regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("hs") >= _need("_low")).select("sid", "n", "hs"))
-    at = regions.select("sid", "n", F.explode("hs").alias("h")).join(members, ["h", "sid"])
+    ordered = regions.withColumn("hs", F.array_sort("hs")).select("sid", "n", "hs", F.posexplode("hs").alias("_i", "h"))
+    last = F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i")))
+    at = ordered.select("sid", "n", "h", last.alias("last")).join(members, ["h", "sid"])
     # the pivot of a region: the set in which its shingle comes earliest (a sum of few rare shingles: near the middle of a crowd)
     pivots = at.groupBy("h").agg(F.min(F.struct("place", "sid"))["sid"].alias("pivot"), F.count("*").alias("c")).filter("c > 1")
     pivots = common.durable(pivots.select("h", "pivot"))
-    at = common.durable(at.join(common.small(pivots), "h").filter("sid <> pivot").select("h", "sid", "n", "pivot", (F.col("place") > 0).alias("hot")))
+    at = common.durable(at.join(common.small(pivots), "h").filter("sid <> pivot").select("h", "sid", "n", "last", "pivot", (F.col("place") > 0).alias("hot")))
     star = common.durable(at.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
     star = common.durable(_alike(star, regions, percent))
     needed = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct()
@@ -201,14 +242,14 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     rings = listed_rows.filter("place < 0").select("sid", (-1 - F.col("place")).alias("v"))
     facts = regions.join(rings, "sid").select("sid", "v", F.greatest(own, F.lit(0)).alias("u"))
     at = at.join(facts, "sid").select(
-        "h", "sid", "n", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
+        "h", "sid", "n", "last", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
     )
     at = common.durable(at)
 
     def near(u: str, v: str, n: str) -> Column:  # a lower bound of the symmetric difference, against what similar sets of these sizes may have
         return (100 + percent) * (F.col("x_u") + F.col(u) + F.abs(F.col("x_v") - F.col(v))) <= (100 - percent) * (F.col("x_n") + F.col(n))
 
-    x = at.filter("open").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "d", "label", "u", "v")])
+    x = at.filter("open").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "last", "d", "label", "u", "v")])
     ring = at.groupBy("h", "v").agg(F.min("u").alias("ring_u"), F.max("n").alias("ring_n"))
     x = x.join(ring, "h").filter(near("ring_u", "v", "ring_n")).drop("ring_u", "ring_n")
     more = x.join(at, ["h", "v"]).filter(
@@ -216,18 +257,20 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
         & (~F.col("open") | (F.col("x_sid") < F.col("sid")))
         & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
         & near("u", "v", "n")
+        & ~F.arrays_overlap("last", "x_last")  # an earlier region has the pair too
         & F.coalesce(F.abs(F.col("d") - F.col("x_d")) <= limit, F.lit(True))  # a distance not measured is over the limit
     )
     more = common.durable(more.select(F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")).distinct())
-    more = common.durable(_alike(more, regions, percent))
     needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
-    return linked.union(_measured(more, _sets(rows, sizes, needed, size), percent).filter("linked").select("a", "b"))
+    sets = _sets(rows, sizes, needed, size)
+    more = common.durable(_close(more, sets, percent))
+    return linked.union(_measured(more, sets, percent).filter("linked").select("a", "b"))
 
 
 def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """sid, items for the sets ``needed``, from one document of each."""
     keys = common.durable(sizes.join(needed, "sid").select("sid", "r._k", "r._t"))
-    sets = rows.join(common.small(keys), ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>")
+    sets = rows.join(common.small(keys), ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>, odd array<long>")
     return common.durable(sets.dropDuplicates(["sid"]))
 
 

@@ -128,6 +128,16 @@ def test_components(spark, docs):
     assert got == brute_components(rows)
 
 
+def test_parities_never_overstate():
+    rng = np.random.default_rng(3)
+    for n in (1, 60, 130, 900):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 5 :], rng.integers(0, 1 << 63, n // 7 + 1).astype(np.uint64)])
+        x, y = (np.unpackbits(ngram_join.parities(s).view(np.uint8)) for s in (a, b))
+        if len(x) == len(y):
+            assert (x != y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_quality_counts_and_verdicts(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = texts(docs)
