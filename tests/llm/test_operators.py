@@ -138,6 +138,15 @@ def test_parities_never_overstate():
             assert (x != y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_parities_of_two_sizes_fold(spark):
+    items = np.random.default_rng(4).integers(1, 1 << 62, 400).astype(np.uint64)
+    sets = [items[:140], items[:120], items[200:340], items[20:140]]  # eight words, four, eight, four
+    table = [(i, [int(x) for x in s], [int(x) for x in ngram_join.parities(s)]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(table, "sid long, items array<long>, odd array<long>")
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 3), (1, 2), (2, 3)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in ngram_join._close(pairs, df, 80).collect()} == {(0, 1), (1, 0), (0, 3)}
+
+
 def test_quality_counts_and_verdicts(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = texts(docs)
