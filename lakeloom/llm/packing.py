@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-PLAIN = b".,;:!?"
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 SEPARATOR = b"\x7f"  # a token of its own between spaces; words that hold it are encoded singly
 
 
@@ -57,7 +57,7 @@ class WordTokens(dict):
                 start = end + 4
 
     def learn(self, words: set[bytes]) -> None:
-        """Remember every one of ``words``; the ids of a word in capitals, or with a mark, are put together from plainer words."""
+        """Remember every one of ``words``; the ids of a word in capitals, or with marks behind, are put together from plainer words."""
         if len(self) >= self.most:  # words in use move over from the older half
             self.old = dict(self)
             self.clear()
@@ -69,20 +69,22 @@ class WordTokens(dict):
         plain, marked, capitals = set(), [], []
         for w in words:
             base = w
-            if w[-1] in PLAIN and w[-2:-1].isalnum() and b"<|" not in w:  # a mark after a letter or digit is a token of its own
-                base = w[:-1]
-                marked.append(w)
+            if w[-1] in MARKS and b"<|" not in w:
+                base = w.rstrip(MARKS)
+                if base[-1:].isalnum():  # marks after a letter or digit are encoded on their own
+                    marked.append((w, base, w[len(base) :]))
+                else:
+                    base = w
             if base.isascii() and b"<|" not in base and (low := base.lower()) != base:
                 capitals.append(base)
                 base = low
             plain.add(base)
-        if marked:
-            plain.update({w[-1:] for w in marked})
+        plain.update({end for _, _, end in marked})
         self.encode(list(plain.difference(self)))
         for w in capitals:
             self[w] = self[w.lower()]
-        for w in marked:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+        for w, base, end in marked:
+            self[w] = self[base] + self[end]
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
@@ -90,8 +92,8 @@ class WordTokens(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-def _groups(texts: list[str | None], most_chars: int = 1 << 20):
-    """Runs of texts of about ``most_chars`` together; a longer one is whole, and alone or last."""
+def _groups(texts: list[str | None], most_chars: int = 1 << 23):
+    """Runs of texts of about ``most_chars`` together; a longer one is whole, and alone or last. Long runs look up each word less often."""
     group, chars = [], 0
     for t in texts:
         group.append(t or "")

@@ -234,7 +234,7 @@ def test_mixing_keeps_budgets(spark, docs):
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
-    t, rows = Tokenizer.from_file(queries.vocabulary()), texts(docs) | {90: "x\x1cy z<|endoftext|>w  don't", 91: "É" * 20, 92: "The the. THE, don't. 'tis. a<|ENDOFTEXT|> x<|endoftext|>. é. ’. 5. a.b. ..", 93: "Word! Word? Word;; W."}
+    t, rows = Tokenizer.from_file(queries.vocabulary()), texts(docs) | {90: "x\x1cy z<|endoftext|>w  don't", 91: "É" * 20, 92: "The the. THE, don't. 'tis. a<|ENDOFTEXT|> x<|endoftext|>. é. ’. 5. a.b. ..", 93: "Word! Word? Word;; W.", 94: "Erat.%%% don## x.%<|y a<| foo.<| 5%%, don't'.. a|b| x-_- AB's!? é### q'~~ ~~ 'S.' K."}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = packing.pack_documents(df, queries.vocabulary()).toPandas().sort_values(["doc_id", "piece"])
     for k, g in got.groupby("doc_id"):
