@@ -208,40 +208,44 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     limit = 1 - percent / 100 + 1e-9
     frequent = spark.sparkContext.broadcast(frequent_shingles(listed, share, most_frequent))
     ids = listed.filter("sid is not null")
-    sizes = ids.groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("_k", "_t")).alias("r"))
+    sizes = ids.groupBy("sid", "_k", "_t").agg(F.min("n").alias("n"), F.count("*").alias("_c"))
+    sizes = sizes.groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("_k", "_t", "_c")).alias("r"))
     # one shuffle: regions of ordinary shingles meet whole, rows of frequent ones are spread; regions of one set go
     w = Window.partitionBy("h", "place")
     placed = rows.select("text").mapInArrow(_regions(size, percent, frequent), "h long, sid long, place long")
     placed = placed.select("h", "sid", "place", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
     listed_rows = common.durable(placed.filter("lo <> hi or place <> 0").select("h", "sid", "place").distinct())
-    members = listed_rows.filter("place >= 0")
+    # rings of a region: members by how many frequent shingles they have (v), which is their distance from the set of all
+    # of those; u counts a member's shingles that no other set of a frequent region can have
+    region = F.collect_set(F.when(F.col("place") >= 0, F.struct("h", "place")))
+    regions = listed_rows.groupBy("sid").agg(region.alias("rs"), F.max(F.when(F.col("place") < 0, -1 - F.col("place"))).alias("v"))
+    own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + _need("n")) - F.size("rs")
+    regions = regions.filter(F.size("rs") > 0).join(sizes.select("sid", "n"), "sid").withColumn("u", F.greatest(own, F.lit(0)))
     # sets with too few shared regions to be similar to any other go
-    regions = members.groupBy("sid").agg(F.collect_set("h").alias("hs")).join(sizes.select("sid", "n"), "sid")
-    regions = common.durable(regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("hs") >= _need("_low")).select("sid", "n", "hs"))
-    ordered = regions.withColumn("hs", F.array_sort("hs")).select("sid", "n", "hs", F.posexplode("hs").alias("_i", "h"))
-    last = F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i")))
-    at = ordered.select("sid", "n", "h", last.alias("last")).join(members, ["h", "sid"])
+    regions = regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("rs") >= _need("_low"))
+    regions = common.durable(regions.select("sid", "n", "u", "v", F.array_sort("rs").alias("rs"), F.array_sort("rs.h").alias("hs")))
+    member = regions.select("sid", F.explode("rs").alias("r")).select("sid", "r.*")
     # the pivot of a region: the set in which its shingle comes earliest (a sum of few rare shingles: near the middle of a crowd)
-    pivots = at.groupBy("h").agg(F.min(F.struct("place", "sid"))["sid"].alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    pivots = common.durable(pivots.select("h", "pivot"))
-    at = common.durable(at.join(common.small(pivots), "h").filter("sid <> pivot").select("h", "sid", "n", "last", "pivot", (F.col("place") > 0).alias("hot")))
-    star = common.durable(at.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
+    pivots = member.groupBy("h").agg(F.min(F.struct("place", "sid"))["sid"].alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    pivots = common.durable(pivots.select("h", "pivot", "c"))
+    star = member.select("h", "sid").join(common.small(pivots.select("h", "pivot")), "h").filter("sid <> pivot")
+    star = common.durable(star.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
     star = common.durable(_alike(star, regions, percent))
     needed = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct()
     measured = common.durable(_measured(star, _sets(rows, sizes, needed, size), percent))
     linked = measured.filter("linked").select("a", "b")
     labels = common.connected_components(linked)
+    # regions with other members than a pivot and one more
+    at = regions.select("sid", "n", "u", "v", "hs", F.posexplode("rs").alias("_i", "r"))
+    last = F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i")))
+    at = at.select("r.h", "sid", "n", "u", "v", last.alias("last"), (F.col("r.place") > 0).alias("hot"))
+    at = at.join(common.small(common.durable(pivots.filter("c > 2").select("h", "pivot"))), "h").filter("sid <> pivot")
     known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "d")
     at = at.join(known, ["pivot", "sid"], "left")
     at = at.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
     at = at.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    # rings of a region: members by how many frequent shingles they have, which is their distance from the set of all of
-    # those; u counts a member's shingles that no other set of a frequent region can have
-    own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + _need("n")) - F.size("hs")
-    rings = listed_rows.filter("place < 0").select("sid", (-1 - F.col("place")).alias("v"))
-    facts = regions.join(rings, "sid").select("sid", "v", F.greatest(own, F.lit(0)).alias("u"))
-    at = at.join(facts, "sid").select(
+    at = at.select(
         "h", "sid", "n", "last", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
     )
     at = common.durable(at)
@@ -264,14 +268,19 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
     sets = _sets(rows, sizes, needed, size)
     more = common.durable(_close(more, sets, percent))
+    needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
+    sets = sets.join(common.small(common.durable(needed)), "sid", "left_semi")
     return linked.union(_measured(more, sets, percent).filter("linked").select("a", "b"))
 
 
 def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """sid, items for the sets ``needed``, from one document of each."""
-    keys = common.durable(sizes.join(needed, "sid").select("sid", "r._k", "r._t"))
-    sets = rows.join(common.small(keys), ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>, odd array<long>")
-    return common.durable(sets.dropDuplicates(["sid"]))
+    keys = common.durable(sizes.join(needed, "sid").select("sid", "r.*"))
+    of = common.small(keys.select("sid", "_k", "_t"))
+    sets = rows.join(of, ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>, odd array<long>")
+    if keys.filter("_c > 1").limit(1).count():  # rows that repeat id and text
+        sets = sets.dropDuplicates(["sid"])
+    return common.durable(sets)
 
 
 def jaccard_components(
