@@ -128,6 +128,13 @@ def test_components(spark, docs):
     assert got == brute_components(rows)
 
 
+def test_components_of_a_long_chain(spark):
+    at = np.random.default_rng(7).permutation(3000)  # text i shares enough with texts i - 1 and i + 1 only
+    rows = [(int(k), " ".join(f"c{j}" for j in range(6 * i, 6 * i + 60))) for i, k in enumerate(at)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == [(56, 0)] * 3000
+
+
 def test_parities_never_overstate():
     rng = np.random.default_rng(3)
     for n in (1, 60, 130, 900):
