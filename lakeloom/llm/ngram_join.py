@@ -6,7 +6,7 @@ shingles a document lies nearest its first one, and the triangle inequality boun
 within the distance can have its nearest pivot, so the document is replicated to that many regions and no more (the
 boundary window). Each region then picks a document as its pivot and measures every member's distance from it: members
 within the limit are linked to the pivot and form one component. What remains is joined recursively: only members of
-different components, only if their distances from the pivot differ by no more than the limit (triangle inequality),
+different components (unless all links are asked for, then all members), only if their distances from the pivot differ by no more than the limit (triangle inequality),
 and only if tables of parities, much smaller than the sets, differ in few enough places.
 A pair is taken from the first region that both share.
 """
@@ -202,8 +202,11 @@ def _alike(pairs: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.size(F.array_intersect("ha", "hb")) >= F.least(_need("na"), _need("nb"))).select("a", "b")
 
 
-def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, share: float, most_frequent: int) -> DataFrame:
-    """Links (a, b) between different sets that decide the components of all links: rows (doc_id, text, _k, _t)."""
+def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, share: float, most_frequent: int, every: bool = False) -> DataFrame:
+    """Links (a, b) between different sets: of rows (doc_id, text, _k, _t).
+
+    With ``every`` all links, each once with a < b; else those that decide the components of all links.
+    """
     spark = rows.sparkSession
     limit = 1 - percent / 100 + 1e-9
     frequent = spark.sparkContext.broadcast(frequent_shingles(listed, share, most_frequent))
@@ -234,7 +237,6 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     needed = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct()
     measured = common.durable(_measured(star, _sets(rows, sizes, needed, size), percent))
     linked = measured.filter("linked").select("a", "b")
-    labels = common.connected_components(linked)
     # regions with other members than a pivot and one more
     at = regions.select("sid", "n", "u", "v", "hs", F.posexplode("rs").alias("_i", "r"))
     last = F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i")))
@@ -242,9 +244,13 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     at = at.join(common.small(common.durable(pivots.filter("c > 2").select("h", "pivot"))), "h").filter("sid <> pivot")
     known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "d")
     at = at.join(known, ["pivot", "sid"], "left")
-    at = at.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
-    at = at.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+    if every:  # members are told apart by themselves, so all of their pairs are candidates
+        at = at.withColumn("label", F.col("sid")).withColumn("home", F.col("pivot"))
+    else:
+        labels = common.connected_components(linked)
+        at = at.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
+        at = at.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
     at = at.select(
         "h", "sid", "n", "last", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
     )
@@ -270,7 +276,9 @@ def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, sh
     more = common.durable(_close(more, sets, percent))
     needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
     sets = sets.join(common.small(common.durable(needed)), "sid", "left_semi")
-    return linked.union(_measured(more, sets, percent).filter("linked").select("a", "b"))
+    found = linked.union(_measured(more, sets, percent).filter("linked").select("a", "b"))
+    # a pair may have been measured from either of two pivots, and in a region of neither
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if every else found
 
 
 def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -285,16 +293,19 @@ def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> Da
 
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.0002, most_frequent: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
+    count_links: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per document.
+    """doc_id, n_shingles, component_id, and with ``count_links`` n_links: one row per document.
 
     A document's set is that of its ``size``-word shingles after lower-casing A-Z (with fewer words, the whole sequence).
     Documents link if 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id reachable by links.
-    Equal sets are one point of the space, so copies cost no links. Shingles that more than ``share`` of the documents
+    n_links is the number of other documents that a document links with, copies too; every link is found and measured for
+    it, a crowd of k different near copies costing k * (k - 1) / 2 of them. Without it only as many are as decide the components.
+    Equal sets are one point of the space, so copies cost no pairs. Shingles that more than ``share`` of the documents
     hold come last in the order, which keeps common lines from forming regions. Sets are told apart, and shingles
     compared, by 64-bit hashes.
 
-    Texts without words (null and empty ones too) have an empty set and are alone: component_id is their own id. A null id is
+    Texts without words (null and empty ones too) have an empty set and are alone: component_id is their own id, n_links 0. A null id is
     ignored for component_id unless all ids of the component are null. Rows that repeat an id are each a document.
     Other columns are ignored; empty input gives no rows.
     """
@@ -303,17 +314,25 @@ def jaccard_components(
     rows = rows.select("doc_id", "text", *common.row_key())
     listed = common.durable(rows.mapInArrow(_identity(size, share), _LISTED))
     ids = listed.filter("h is null").select("doc_id", "sid", "n")
-    links = similar_sets(rows, listed, size, percent, share, most_frequent)
+    links = similar_sets(rows, listed, size, percent, share, most_frequent, count_links)
+    links = common.durable(links) if count_links else links
     labels = common.connected_components(links)
-    least = ids.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    least = ids.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     labelled = common.durable(
-        least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least")
+        least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least", "copies")
     )
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = common.durable(labelled.join(best, "label").select("sid", "component_id"))
+    by_set = labelled.join(best, "label").select("sid", "component_id", "copies")
+    if count_links:
+        ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
+        others = ends.join(labelled.select(F.col("sid").alias("other"), F.col("copies").alias("there")), "other")
+        others = others.groupBy("sid").agg(F.sum("there").alias("others"))
+        by_set = by_set.join(others, "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    by_set = common.durable(by_set.drop("copies", "others"))
     out = ids.join(common.small(by_set), "sid", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
     )

@@ -55,7 +55,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,30 @@ def test_components_of_a_long_chain(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in got] == [(56, 0)] * 3000
 
 
+def test_links_of_each_document(spark, docs):
+    rng = np.random.default_rng(6)
+    rows = [(k, t) for k, t in texts(docs).items()] + [(None, ""), (1, " ")]
+    base = [f"b{i}" for i in range(60)]
+    for i in range(90):  # two crowds of near copies, with copies of the same text and of the same id and text
+        w = [x + "z" * (i % 2) for x in base]
+        for at in rng.integers(0, 60, rng.integers(0, 4)):
+            w[at] = f"n{rng.integers(0, 40)}"
+        rows += [(10_000 + i, " ".join(w))] * (1 + (i % 9 == 0)) + [(20_000 + i, " ".join(w).upper())] * (i % 7 == 0)
+    words = [WORD.findall((t or "").lower()) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    want = collections.Counter()
+    for i, a in enumerate(sets):
+        n = sum(j != i and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) if a else 0
+        want[rows[i][0], len(a), n] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = collections.Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    for share in (0.0002, 0.05):
+        got = ngram_join.jaccard_components(df, share=share, count_links=True).collect()
+        assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == want
+        assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == plain
+    assert "n_links" in queries.op7_ngram_join(spark, SF).columns
+
+
 def test_parities_never_overstate():
     rng = np.random.default_rng(3)
     for n in (1, 60, 130, 900):
