@@ -5,9 +5,11 @@ division: every document would lie in every region. Here the first pivots are si
 shingles a document lies nearest its first one, and the triangle inequality bounds how far down its own order a partner
 within the distance can have its nearest pivot, so the document is replicated to that many regions and no more (the
 boundary window). Each region then picks a document as its pivot and measures every member's distance from it: members
-within the limit are linked to the pivot and form one component. What remains is joined recursively: only members of
+within the limit are linked to the pivot and form one component. What remains is joined once more inside
+the region, with no second pivot and no recursion: only members of
 different components (unless all links are asked for, then all members), only if their distances from the pivot differ by no more than the limit (triangle inequality),
-and only if tables of parities, much smaller than the sets, differ in few enough places.
+and only if tables of parities, much smaller than the sets, differ in few enough places. Members whose distance from the
+pivot was not measured pass the triangle inequality unseen, so it drops few pairs in a region of one ordinary shingle.
 A pair is taken from the first region that both share.
 """
 
