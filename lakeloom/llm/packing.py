@@ -160,24 +160,36 @@ def best_fit(length: np.ndarray, capacity: tuple[float, float, float], rule: str
     mask = 0  # bit r: some open bin has residual r
     docs_left, cost_left, left = [], [], []
     bins, offsets = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+
+    def scored(b: int, n: int, item: np.ndarray) -> float:  # infinity where there is no room
+        if docs_left[b] < 1 or cost_left[b] < n * n:
+            return np.inf
+        rest = np.array([left[b] / cap[0], docs_left[b] / cap[1], cost_left[b] / cap[2]])
+        return float(weight @ (item * rest)) if rule == "dot" else float(np.sqrt((weight * (rest - item) ** 2).sum()))
+
     for i in order:
         n = int(length[i])
         item = np.array([n, 1.0, float(n) * n]) / cap
-        best, best_score, seen, r = -1, np.inf, 0, n
+        best, best_score, seen, r, passed = -1, np.inf, 0, n, []  # passed: classes with bins not tried yet
         above = mask >> n
         while above:
             skip = (above & -above).bit_length() - 1
             r, above = r + skip, above >> skip
-            for b in open_at[r][-4:] if seen < probe else open_at[r]:
-                if docs_left[b] >= 1 and cost_left[b] >= n * n:
-                    rest = np.array([r / cap[0], docs_left[b] / cap[1], cost_left[b] / cap[2]])
-                    score = float(weight @ (item * rest)) if rule == "dot" else float(np.sqrt((weight * (rest - item) ** 2).sum()))
-                    if score < best_score:
-                        best, best_score = b, score
+            some = open_at[r]
+            if seen < probe and len(some) > 4:
+                passed.append(r)
+                some = some[-4:]
+            for b in some:
+                if (score := scored(b, n, item)) < best_score:
+                    best, best_score = b, score
                 seen += 1
             if best >= 0 and (r == n or seen >= probe or best_score <= 0 or r > n + 8):
                 break
             r, above = r + 1, above >> 1
+        if best < 0:
+            for b in (b for r in passed for b in open_at[r][:-4]):
+                if (score := scored(b, n, item)) < best_score:
+                    best, best_score = b, score
         if best < 0:
             best = len(left)
             left.append(top)

@@ -281,6 +281,19 @@ def test_packing(spark, docs):
     assert sorted(np.bincount(bins)) == [2, 2]
 
 
+def test_packing_opens_no_bin_while_one_has_room():
+    length = np.random.default_rng(0).choice([50, 40, 30, 20, 10], 400)
+    bins, _ = packing.best_fit(length, (100.0, 100.0, 3700.0))  # the cost binds; many bins are left with the same tokens
+    left = []
+    for i in np.argsort(-length, kind="stable"):
+        n = int(length[i])
+        if bins[i] == len(left):
+            assert not any(t >= n and d >= 1 and c >= n * n for t, d, c in left)
+            left.append([100, 100, 3700])
+        left[bins[i]] = [x - y for x, y in zip(left[bins[i]], (n, 1, n * n), strict=True)]
+        assert min(left[bins[i]]) >= 0
+
+
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "x" * 2000), (2, "http://b", "x" * 2000), (3, None, None), (4, "http://c\n", "é" * 3)], "page_id long, url string, html string")
     blob = b"".join(bytes(r["content"]) for r in warc.write_warc(pages).collect())
