@@ -83,17 +83,15 @@ def gram_buckets(words: Column, buckets: int) -> Column:
     return F.when(F.size(words) > 1, F.concat(ones, twos)).otherwise(ones)
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int, most_trusted: int) -> list[float]:
+def bucket_weights(docs: DataFrame, halves: DataFrame, buckets: int) -> list[float]:
     """For each bucket log P(bucket | trusted) - log P(bucket | all).
 
-    The raw multinomial counts every n-gram of every document; the target is fitted on the "fit" half of at most
-    ``most_trusted`` trusted documents, those with the smallest hash of their id. ``PRIOR`` counts that follow the raw
+    The raw multinomial counts every n-gram of every document; the target counts those of all trusted documents
+    of the "fit" half. ``PRIOR`` counts that follow the raw
     multinomial are added to each bucket, so n-grams that were hardly seen say little.
     """
-    chosen = _chosen(trusted, most_trusted).filter("fit")
-    marked = docs.select("doc_id", F.explode(F.array(words_of(F.col("text")))).alias("words")).join(
-        F.broadcast(chosen.select("doc_id", F.lit(1).alias("ok"))), "doc_id", "left"
-    )
+    fit = common.small(halves.filter("fit").select("doc_id", F.lit(1).alias("ok")))
+    marked = docs.select("doc_id", "text").join(fit, "doc_id", "left").select("ok", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     grams = marked.select("ok", F.explode(gram_buckets(F.col("words"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("ok").alias("good"), F.count("*").alias("raw"))
     good, raw = [0] * buckets, [0] * buckets
@@ -103,14 +101,14 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int, most_trust
     return [math.log((g + PRIOR) / (r * share + PRIOR)) for g, r in zip(good, raw, strict=True)]
 
 
-def _chosen(trusted: DataFrame, most_trusted: int) -> DataFrame:
+def _halves(trusted: DataFrame) -> DataFrame:
+    """doc_id of every trusted document, once, and whether it is of the half that is fitted on."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
-    return ids.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("fit"))
+    return common.durable(ids.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("fit")))
 
 
 def quality_rules(
-    docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 15, most_trusted: int = 200_000, keep_share: float = 0.998,
+    docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 15, keep_share: float = 0.998,
     least_words: int = 50, most_repeated: int = 50, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr; and the columns ``carry``.
@@ -118,7 +116,7 @@ def quality_rules(
     ``docs``: doc_id, text. ``trusted``: doc_id of trusted documents. llr is the mean over the n-grams of a document of the
     log ratio of the trusted and the raw multinomial. The threshold is the value (to 0.001) that ``keep_share`` of the
     trusted documents outside the fitted half reach; it is the same for every document, and nothing is drawn at random.
-    Three scans, no shuffle of text: counts, threshold (trusted documents only), verdicts.
+    Three scans, and no shuffle of text unless trusted ids are too many to broadcast: counts, threshold (trusted documents only), verdicts.
 
     A null or empty text has no words, so base_failed is true. Without trusted documents (or with an empty table) every
     ratio is 0 and only the base rules decide. Rows that repeat an id are each judged on their own; a null id is never
@@ -128,8 +126,9 @@ def quality_rules(
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(a) for a, c in kept_as.items()]
     )
-    weights = common.literal_table(bucket_weights(rows.select("doc_id", "text"), trusted, buckets, most_trusted))
-    aside = rows.select("doc_id", "text").join(F.broadcast(_chosen(trusted, most_trusted).filter("not fit")), "doc_id", "left_semi")
+    halves = _halves(trusted)
+    weights = common.literal_table(bucket_weights(rows.select("doc_id", "text"), halves, buckets))
+    aside = rows.select("doc_id", "text").join(common.small(halves.filter("not fit").select("doc_id")), "doc_id", "left_semi")
     judge = lambda df: _measure(df, weights, buckets, least_words, most_repeated)
     floor = threshold(judge(aside).filter("not base_failed"), keep_share)
     out = judge(rows).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(floor)))

@@ -196,6 +196,13 @@ def test_quality_counts_and_verdicts(spark, docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_uses_all_trusted(spark, docs):
+    few = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id")
+    many = few.union(spark.range(10_000_000, 10_900_000).toDF("doc_id"))  # ids of no document change nothing
+    rows = [sorted((r["doc_id"], r["kept"], r["llr"]) for r in quality.quality_rules(docs, t).collect()) for t in (few, many)]
+    assert rows[0] == rows[1]
+
+
 def brute_personal(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
