@@ -147,19 +147,31 @@ class SkipChain:
         return p / p.sum(1, keepdims=True)
 
 
-def extra_spans(model: SkipChain, texts: list[str], bases: list[list[tuple[int, int, int]]], least: float) -> list[list[tuple[int, int, int]]]:
-    """What the field adds to each text: tokens of a kind with probability ``least`` or more that no base span touches."""
-    nodes, out = Nodes(), [[] for _ in texts]
-    for i, (t, s) in enumerate(zip(texts, bases, strict=True)):
-        if s:  # labels spread from base spans only
-            nodes.add(i, t, s)
-    if nodes.span:
+def extra_spans(model: SkipChain, texts: list[str], bases: list[list[tuple[int, int, int]]], least: float, at_once: int = 100_000) -> list[list[tuple[int, int, int]]]:
+    """What the field adds to each text: tokens of a kind with probability ``least`` or more that no base span touches.
+
+    Texts without tokens of the field cost nothing; no edge joins two texts, so they are judged in groups of about ``at_once`` tokens.
+    """
+    out = [[] for _ in texts]
+
+    def judge(nodes: Nodes) -> None:
+        if not nodes.span:
+            return
         p = model.posterior(nodes)
         best = p.argmax(1)
         for i in np.flatnonzero((best > 0) & (p.max(1) >= least) & (np.array(nodes.label) == 0)):
             start, end = nodes.span[i]
             if start < end:
                 out[nodes.doc[i]].append((start, int(best[i]) - 1, end))
+
+    nodes = Nodes()
+    for i, (t, s) in enumerate(zip(texts, bases, strict=True)):
+        if s or ANY.search(t):
+            nodes.add(i, t, s)
+        if len(nodes.span) >= at_once:
+            judge(nodes)
+            nodes = Nodes()
+    judge(nodes)
     return out
 
 
@@ -188,8 +200,8 @@ def _find(model, least):
 def find_personal_data(docs: DataFrame, most_sample: int = 3000, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    The patterns give the base spans (which the counts and base_sha256 are of). In texts that have some, every token with
-    a digit or an at sign is a node of a conditional random field: neighbours are joined by chain edges, repeated tokens
+    The patterns give the base spans (which the counts and base_sha256 are of). In every text, with base spans or
+    without, each token with a digit or an at sign is a node of a conditional random field: neighbours are joined by chain edges, repeated tokens
     and tokens of the same digits by skip edges, so a number that is written again without its prefix gets its label.
     The field learns from the patterns' labels in at most ``most_sample`` texts, those with the smallest hash of their
     id. Spans are kind:start:end in code points, end exclusive, by start and then kind.

@@ -226,6 +226,18 @@ def test_personal_data(docs):
     assert [(0 <= s < e, k) for s, k, e in pii.extra_spans(model, [t], [base], 0.5)[0]] == [(True, 0)] * 2
 
 
+def test_field_judges_texts_without_base_spans():
+    model, nodes = pii.SkipChain(), pii.Nodes()
+    for i in range(30):
+        t = f"call +1 555 555-01{i:02d} or mail p{i}@x.example and 17"
+        nodes.add(i, t, pii.base_spans(t))
+    model.fit(nodes)
+    rows = ["mail jo@localhost now", "no such token", "in 17 days"]
+    assert not any(pii.base_spans(t) for t in rows)
+    for at_once in (1, 100_000):
+        assert pii.extra_spans(model, rows, [[]] * 3, 0.5, at_once) == [[(5, 0, 17)], [], []]
+
+
 def brute_secrets(t):
     word = "".join
     kw = "|".join(word(f"[{c}{c.upper()}]" for c in k) for k in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
