@@ -6,7 +6,9 @@ stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import common, exact, mixing, ngram_join, packing, quality
@@ -15,9 +17,20 @@ from lakeloom.llm.queries import vocabulary
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids ``dropped``; a null id is never dropped."""
-    return docs.join(common.small(common.durable(dropped.select("doc_id").distinct())), "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, key: list[Column], dropped: DataFrame, staying: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``key`` (_k, _t: id and text) is in ``dropped``; of rows that share a key in ``staying`` one stays.
+
+    ``staying`` has a row for each row of a group that stays.
+    """
+    narrow = ["_k", "_t"]
+    rows = docs.select(*COLUMNS, *key)
+    rest = rows.join(common.small(common.durable(dropped.select(narrow).distinct())), narrow, "left_anti")
+    again = common.durable(staying.groupBy(narrow).count().filter("count > 1").select(narrow))
+    if not again.limit(1).count():
+        return rest.select(*COLUMNS)
+    again = common.small(again)
+    one = rest.join(again, narrow, "left_semi").groupBy(narrow).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return rest.join(again, narrow, "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +41,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _without(docs, exact.exact_dedup(docs, keep="largest").filter("not kept"))
+    """Of equal texts one row with the largest doc_id stays."""
+    k, _ = common.row_key()
+    low = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+    found = exact.exact_dedup(docs, keep="largest").select(k, F.col("text_sha256").alias("_t"), "kept")
+    found = common.durable(found)
+    return _without(docs, [k, F.sha2(low, 256).alias("_t")], found.filter("not kept"), found.filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
-    return _without(docs, ngram_join.jaccard_components(docs).filter("doc_id <> component_id"))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) one row with the smallest doc_id stays."""
+    found = common.durable(ngram_join.jaccard_components(docs, row_keys=True).filter("label is not null"))
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_t")).alias("best"), F.count("*").alias("n"))
+    best = common.small(common.durable(best.filter("n > 1").select("label", "best")))
+    of = found.join(best, "label").withColumn("stays", (F.col("best._k") == F.col("_k")) & (F.col("best._t") == F.col("_t")))
+    return _without(docs, common.row_key(), of.filter("not stays"), of.filter("stays"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

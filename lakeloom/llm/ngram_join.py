@@ -295,7 +295,7 @@ def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> Da
 
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.0002, most_frequent: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
-    count_links: bool = False,
+    count_links: bool = False, row_keys: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, and with ``count_links`` n_links: one row per document.
 
@@ -303,7 +303,8 @@ def jaccard_components(
     Documents link if 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id reachable by links.
     n_links is the number of other documents that a document links with, copies too; every link is found and measured for
     it, a crowd of k different near copies costing k * (k - 1) / 2 of them. Without it only as many are as decide the components.
-    Equal sets are one point of the space, so copies cost no pairs. Shingles that more than ``share`` of the documents
+    ``row_keys`` adds _k and _t (``common.row_key``) and label, which names the component even where ids repeat and is null
+    for an empty set. Equal sets are one point of the space, so copies cost no pairs. Shingles that more than ``share`` of the documents
     hold come last in the order, which keeps common lines from forming regions. Sets are told apart, and shingles
     compared, by 64-bit hashes.
 
@@ -315,7 +316,7 @@ def jaccard_components(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", *common.row_key())
     listed = common.durable(rows.mapInArrow(_identity(size, share), _LISTED))
-    ids = listed.filter("h is null").select("doc_id", "sid", "n")
+    ids = listed.filter("h is null").select("doc_id", "_k", "_t", "sid", "n")
     links = similar_sets(rows, listed, size, percent, share, most_frequent, count_links)
     links = common.durable(links) if count_links else links
     labels = common.connected_components(links)
@@ -324,7 +325,7 @@ def jaccard_components(
         least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least", "copies")
     )
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = labelled.join(best, "label").select("sid", "component_id", "copies")
+    by_set = labelled.join(best, "label").select("sid", "label", "component_id", "copies")
     if count_links:
         ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
         others = ends.join(labelled.select(F.col("sid").alias("other"), F.col("copies").alias("there")), "other")
@@ -337,4 +338,5 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+        *(["_k", "_t", "label"] if row_keys else []),
     )

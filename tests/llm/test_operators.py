@@ -336,3 +336,17 @@ def test_pipeline_stages(spark):
         before, after = after, stage(spark, after, SF)
         assert set(after.columns) == set(p.COLUMNS) and after.count() <= before.count(), name
     assert p.run(spark, SF).select("doc_id").distinct().count() == after.count()
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    import corpus_pipeline as p
+
+    word = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    near = word("a") + " end"
+    rows = [(5, word("a")), (5, word("b")), (6, word("A")), (7, word("c")), (7, word("c")), (None, word("d")), (None, word("d")), (None, word("c")), (8, word("e"))]
+    frame = lambda r: spark.createDataFrame([(k, t, "en", "s", 1) for k, t in r], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in p.exact_stage(spark, frame(rows), SF).collect())
+    assert got == collections.Counter([(5, word("b")), (6, word("A")), (7, word("c")), (None, word("d")), (8, word("e"))])
+    rows = [(4, near), (5, word("a")), (5, word("b")), (7, word("c")), (7, word("c")), (7, word("f")), (None, word("d")), (None, word("d")), (None, near), (9, ""), (9, "x")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in p.near_stage(spark, frame(rows), SF).collect())
+    assert got == collections.Counter([(4, near), (5, word("b")), (7, word("c")), (7, word("f")), (None, word("d")), (9, ""), (9, "x")])
