@@ -88,11 +88,12 @@ def statistics(df: DataFrame, key: str, columns: dict[str, str] | None = None, l
     return rows.agg(*aggs)
 
 
-def keyset_page(df: DataFrame, key: str, limit: int, cursor: Any = None) -> DataFrame:
+def keyset_page(df: DataFrame, key: str, limit: int | None, cursor: Any = None) -> DataFrame:
     rows = df.filter(F.col(f"`{key}`") > F.lit(cursor)) if cursor is not None else df
-    return rows.orderBy(F.col(f"`{key}`")).limit(limit)
+    return rows.orderBy(F.col(f"`{key}`").asc_nulls_last()).limit(limit) if limit is not None else rows
 
 
-def edges(df: DataFrame, column: str) -> DataFrame:
-    """The smallest and the largest value of a column."""
-    return df.agg(F.min(F.col(f"`{column}`")).alias("min"), F.max(F.col(f"`{column}`")).alias("max"))
+def edges(df: DataFrame, column: str, key: str | None = None, limit: int | None = None, cursor: Any = None) -> DataFrame:
+    """The smallest and the largest value of a column; in the first ``limit`` rows whose ``key`` (by default the column) is beyond ``cursor``."""
+    rows = keyset_page(df, key or column, limit, cursor)
+    return rows.agg(F.min(F.col(f"`{column}`")).alias("min"), F.max(F.col(f"`{column}`")).alias("max"))
