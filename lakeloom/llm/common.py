@@ -113,6 +113,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), begin
 
 
+def text_groups(texts: list[str | None], most_chars: int):
+    """Runs of texts (a null one is empty) of about ``most_chars`` together; a longer one is whole, and alone or last."""
+    group, chars = [], 0
+    for t in texts:
+        group.append(t or "")
+        chars += len(group[-1])
+        if chars >= most_chars:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixing of a uint64 array."""
     x = x ^ (x >> np.uint64(30))

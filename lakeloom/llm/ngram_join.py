@@ -4,21 +4,21 @@ Almost all texts are at Jaccard distance 1 from one another, so whole documents
 division: every document would lie in every region. Here the first pivots are single shingles: under one order of all
 shingles a document lies nearest its first one, and the triangle inequality bounds how far down its own order a partner
 within the distance can have its nearest pivot, so the document is replicated to that many regions and no more (the
-boundary window). Each region then picks a document as its pivot and measures every member's distance from it: members
-within the limit are linked to the pivot and form one component. What remains is joined once more inside
-the region, with no second pivot and no recursion: only members of
-different components (unless all links are asked for, then all members), only if their distances from the pivot differ by no more than the limit (triangle inequality),
-and only if tables of parities, much smaller than the sets, differ in few enough places. Members whose distance from the
-pivot was not measured pass the triangle inequality unseen, so it drops few pairs in a region of one ordinary shingle.
-A pair is taken from the first region that both share.
+boundary window). Small regions give the pairs of sets that share enough regions; members of a large region are only
+chained to its pivot. The components of these pairs and chains are the cells: two linked texts always lie in one cell.
+Each cell is joined on whole sets, recursively: document pivots part it into Voronoi regions, the triangle inequality
+decides which boundary documents are replicated to which region, and regions are parted again until they are small or
+too dense to be parted; those are measured in blocks. Links are counted there, so a crowd of near copies costs rows in
+proportion to its documents, not to its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,8 @@ from . import common
 
 #: How many regions before its own each row of a region names, so that a pair comes from the first region it shares.
 LAST = 4
+#: A region of a cell that is no larger is measured as it is; a larger one is parted by so many pivots.
+LEAF, PIVOTS = 512, 8
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -43,57 +45,68 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit hash of a set, as two signed halves; the first one names the set."""
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[8:], "little", signed=True), int.from_bytes(d[:8], "little", signed=True)
 
 
-_LISTED = "doc_id long, _k long, _t long, sid long, n long, h long, c long"
+def _name(s: np.ndarray, clashing: frozenset[int]) -> int:
+    low, high = set_id(s)
+    return high if low in clashing else low
 
 
-def _identity(size, share, chunk=2_000_000):
-    """A row for each document: its set's id and size; and rows (h, c) for shingles that many documents of the part hold."""
+_LISTED = "doc_id long, _k long, _t long, low long, high long, n long, h long, c long"
 
-    def run(batches):
-        docs, held, many = 0, [], 0
-        keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-        def merged():
-            k, c = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], times[:0])
-            k, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            c = np.bincount(back, np.concatenate([times, c]), len(k)).astype(np.int64)
-            return k[c > 1], c[c > 1]
+def _listed_rows(*given) -> pa.RecordBatch:
+    n = len(given[0] if given[0] is not None else given[-1])
+    cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in given]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _LISTED.split(", ")])
+
 
-        def columns(*given):
-            n = len(given[0] if given[0] is not None else given[-1])
-            cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in given]
-            return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _LISTED.split(", ")])
+def _identity(size, most=1 << 20):
+    """A row for each document: its set's id and size; and rows (h, c) for shingles that several documents of the part hold.
 
+    The table of shingles keeps at most about ``most``: when full it forgets the rarest (they only decide an order).
+    """
+
+    def run(batches):
+        keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
         for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), size)
-            docs += len(sets)
-            for s in sets:
-                held.append(s)
-                many += len(s)
-                if many > chunk:
-                    keys, times = merged()
-                    held, many = [], 0
-            ids = [set_id(s) if len(s) else None for s in sets]
-            yield columns(b.column("doc_id"), b.column("_k"), b.column("_t"), ids, [len(s) for s in sets], None, None)
-        keys, times = merged()
-        ok = times >= max(2, share / 2 * docs)
-        yield columns(None, None, None, None, None, keys[ok].view(np.int64), times[ok])
+            at = 0
+            for group in common.text_groups(b.column("text").to_pylist(), 1 << 21):
+                sets = shingle_sets(group, size)
+                part = b.slice(at, len(group))
+                at += len(group)
+                ids = [set_id(s) if len(s) else (None, None) for s in sets]
+                yield _listed_rows(
+                    part.column("doc_id"), part.column("_k"), part.column("_t"), [x for x, _ in ids], [y for _, y in ids], [len(s) for s in sets], None, None
+                )
+                k, c = np.unique(np.concatenate(sets), return_counts=True)
+                at_key = np.searchsorted(keys, k)
+                hit = keys[np.minimum(at_key, len(keys) - 1)] == k if len(keys) else np.zeros(len(k), bool)
+                times[at_key[hit]] += c[hit]
+                keys, times = np.concatenate([keys, k[~hit]]), np.concatenate([times, c[~hit]])
+                floor = 1
+                while len(keys) > most and floor < 1 << 40:
+                    ok = times > floor
+                    keys, times, floor = keys[ok], times[ok], 2 * floor
+                order = np.argsort(keys, kind="stable")
+                keys, times = keys[order], times[order]
+        ok = times > 1
+        yield _listed_rows(None, None, None, None, None, None, keys[ok].view(np.int64), times[ok])
 
     return run
 
 
-def frequent_shingles(listed: DataFrame, share: float, most: int) -> np.ndarray:
-    """Shingles that at least ``share`` of all rows hold (every part reports those of half that share): a bounded list.
+def frequent_shingles(listed: DataFrame, least: int, most: int) -> np.ndarray:
+    """Shingles held by at least ``least`` rows (as far as the parts told of them), the ``most`` most frequent: a bounded list.
 
     It only decides the order of shingles, never the result.
     """
-    total = listed.filter("h is null").count()
     seen = listed.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
-    top = seen.filter(F.col("c") >= max(3, share * total)).orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()
+    top = seen.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -102,211 +115,272 @@ def extra(n: int) -> int:
     return max(1, min(8, n // 12))
 
 
-def _regions(size, percent, frequent):
-    """Rows (h, sid, place): the regions of each set; place is 0 in those of ordinary shingles, else tells rows apart.
-
-    One more row of each set has place -1 - v, v being how many frequent shingles the set has.
-    """
+def _regions(size, percent, frequent, clashing):
+    """Rows (h, sid, place): the regions of each set, once a part; place is 0 in those of ordinary shingles, else it deals rows out."""
 
     def run(batches):
-        hot = frequent.value
+        hot, seen = frequent.value, set()
         for b in batches:
-            hs, ids, ps = [], [], []
-            for s in shingle_sets(b.column("text").to_pylist(), size):
-                n = len(s)
-                if not n:
-                    continue
-                late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
-                p = min(n, n - -(-percent * n // 100) + extra(n))
-                sid = set_id(s)
-                many = int(late.sum())
-                place = np.arange(p)
-                ids.append(np.full(p + 1, sid, np.int64))
-                if many:
-                    s = np.concatenate([s[~late], s[late]])
-                    place = np.where(place >= n - many, 1 + (place << 8 | sid & 255), 0)
-                else:
-                    place[:] = 0
-                ps.append(np.append(place, -1 - many))
-                hs.append(np.append(s[:p], np.uint64(sid & (2**64 - 1))))
-            if hs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps))], ["h", "sid", "place"]
-                )
+            for group in common.text_groups(b.column("text").to_pylist(), 1 << 21):
+                hs, ids, ps = [], [], []
+                for s in shingle_sets(group, size):
+                    n = len(s)
+                    if not n or (sid := _name(s, clashing)) in seen:
+                        continue
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(sid)
+                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(n, bool)
+                    p = min(n, n - -(-percent * n // 100) + extra(n))
+                    many = int(late.sum())
+                    if many:
+                        s = np.concatenate([s[~late], s[late]])
+                    hs.append(s[:p])
+                    ids.append(np.full(p, sid, np.int64))
+                    ps.append(np.where(np.arange(p) >= n - many, 1 + (sid & 255), 0))
+                if hs:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ps).astype(np.int16))], ["h", "sid", "place"]
+                    )
 
     return run
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """For each of some places (two to four for every shingle, 256 at least), whether an odd number of shingles fall there.
+def _need(n: str):
+    return F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col(n) / 12)))
+
 
-    Two such tables differ in at most as many places as the sets differ in shingles.
-    """
-    words = 4
-    while words < len(s) / 32:
-        words *= 2
-    place = (s & np.uint64(64 * words - 1)).astype(np.int64)
-    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def _alike(pairs: DataFrame, regions: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that share as many regions as two similar sets must."""
+    a = regions.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
+    b = regions.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+    both = pairs.join(a, "a").join(b, "b")
+    return both.filter(F.size(F.array_intersect("ha", "hb")) >= F.least(_need("na"), _need("nb"))).select("a", "b")
 
 
-def _lists(of: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in of])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(of) if of else np.empty(0, np.int64)))
+def candidates(rows: DataFrame, listed: DataFrame, sizes: DataFrame, clashing: frozenset[int], size: int, percent: int, share: float, most_frequent: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of sets whose components hold every link: likely pairs of small regions, and pivot and member of large ones."""
+    total = listed.filter("h is null").count()
+    least = int(max(3, min(share * total, crowd / 2)))
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(listed, least, most_frequent))
+    # one shuffle: regions of ordinary shingles meet whole, rows of frequent ones are spread; regions of one set go
+    w = Window.partitionBy("h", "place")
+    placed = rows.select("text").mapInArrow(_regions(size, percent, frequent, clashing), "h long, sid long, place short")
+    placed = placed.select("h", "sid", "place", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
+    shared = placed.filter("lo <> hi or place <> 0").groupBy("sid").agg(F.collect_set("h").alias("hs"))
+    # sets with too few shared regions to be similar to any other go
+    regions = shared.join(sizes.select("sid", "n"), "sid").withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("hs") >= _need("_low"))
+    regions = common.durable(regions.select("sid", "n", F.array_sort("hs").alias("hs")))
+    counts = regions.select("sid", F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("sid").alias("pivot"))
+    counts = common.durable(counts.filter("c > 1"))
+    large = common.small(counts.filter(F.col("c") > crowd).select("h", "pivot"))
+    chains = regions.select("sid", F.explode("hs").alias("h")).join(large, "h").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    at = regions.select("sid", "n", "hs", F.posexplode("hs").alias("_i", "h"))
+    at = at.select("h", "sid", "n", F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i"))).alias("last"))
+    at = at.join(common.small(counts.filter(F.col("c") <= crowd).select("h")), "h", "left_semi")
+    x = at.select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "last")])
+    pairs = x.join(at, "h").filter(
+        (F.col("x_sid") < F.col("sid")) & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & ~F.arrays_overlap("last", "x_last")
+    )
+    pairs = common.durable(pairs.select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
+    return common.durable(chains.distinct().union(_alike(pairs, regions)))
+
+
+class Cell:
+    """Exact join of sets by recursion on Voronoi regions. Counts links (weighted by copies) and unites what is linked."""
+
+    def __init__(self, sets: list[np.ndarray], copies: np.ndarray, percent: int, leaf: int = LEAF):
+        self.percent, self.copies, self.leaf = percent, copies.astype(np.float64), leaf
+        self.n = np.array([len(s) for s in sets], np.int64)
+        names, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), self.n)
+        more = times[col] > 1  # a shingle of one set adds nothing to an intersection
+        number = np.cumsum(times > 1) - 1
+        self.row, self.col = row[more], number[col[more]]
+        self.begin = np.searchsorted(self.row, np.arange(len(sets) + 1))
+        self.others = np.zeros(len(sets))
+        self.up = list(range(len(sets)))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def unite(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        if i != j:
+            self.up[max(i, j)] = min(i, j)
+
+    def _entries(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``of``, shingle) of all shingles of the sets ``of``."""
+        count = self.begin[of + 1] - self.begin[of]
+        at = np.repeat(self.begin[of] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return np.repeat(np.arange(len(of)), count), self.col[at]
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Sizes of the intersections of the sets ``a`` with the sets ``b``: products of 0/1 tables, some columns at a time."""
+        (ra, ca), (rb, cb) = self._entries(a), self._entries(b)
+        both = np.intersect1d(ca, cb)
+        out = np.zeros((len(a), len(b)), np.float32)
+        if not len(both):
+            return out
+        step = max(1, most // max(len(a), len(b)))
+        pa_, pb = np.minimum(np.searchsorted(both, ca), len(both) - 1), np.minimum(np.searchsorted(both, cb), len(both) - 1)
+        ina, inb = both[pa_] == ca, both[pb] == cb
+        ra, pa_, rb, pb = ra[ina], pa_[ina], rb[inb], pb[inb]
+        for at in range(0, len(both), step):
+            x, y = np.zeros((len(a), min(step, len(both) - at)), np.float32), np.zeros((len(b), min(step, len(both) - at)), np.float32)
+            i, j = (pa_ >= at) & (pa_ < at + step), (pb >= at) & (pb < at + step)
+            x[ra[i], pa_[i] - at] = 1
+            y[rb[j], pb[j] - at] = 1
+            out += x @ y.T
+        return out
+
+    def measure(self, own: np.ndarray, guests: np.ndarray, within: bool) -> None:
+        """Measures pairs of ``own`` (if ``within``) and of ``own`` with ``guests``, in blocks."""
+        for i in range(0, len(own), self.leaf):
+            a = own[i : i + self.leaf]
+            for b in [*([own[j : j + self.leaf] for j in range(i, len(own), self.leaf)] if within else []), *[guests[j : j + self.leaf] for j in range(0, len(guests), self.leaf)]]:
+                inter = self.common(a, b).astype(np.int64)
+                linked = 100 * inter >= self.percent * (self.n[a][:, None] + self.n[b] - inter)
+                if a[0] == b[0]:  # a block with itself
+                    linked &= np.arange(len(a))[:, None] < np.arange(len(b))
+                if not linked.any():
+                    continue
+                self.others[a] += linked @ self.copies[b]
+                self.others[b] += linked.T @ self.copies[a]
+                la, lb = np.arange(len(a)), np.full(len(b), len(a))
+                while True:  # the smallest row reachable inside the block
+                    lb_new = np.minimum(lb, np.where(linked, la[:, None], len(a)).min(0))
+                    la_new = np.minimum(la, np.where(linked, lb_new, len(a)).min(1))
+                    if (la_new == la).all() and (lb_new == lb).all():
+                        break
+                    la, lb = la_new, lb_new
+                for x, y in zip(a.tolist(), a[la].tolist(), strict=True):
+                    self.unite(x, y)
+                ok = lb < len(a)
+                for x, y in zip(b[ok].tolist(), a[lb[ok]].tolist(), strict=True):
+                    self.unite(x, y)
+
+    def join(self, own: np.ndarray, guests: np.ndarray, within: bool = True) -> None:
+        """Finds all links of ``own`` with each other (if ``within``) and with ``guests``.
+
+        Each pivot's region holds the members nearest to it. A partner of one of them, within ``limit``, that is nearest
+        to another pivot is at most 2 * limit further from this one than from its own, and within limit of the region's
+        radius: such boundary sets are replicated to the region (of two regions, to the one with the smaller number).
+        """
+        if not len(own) or not len(own) + len(guests) > 1:
+            return
+        if len(own) + len(guests) <= self.leaf:
+            return self.measure(own, guests, within)
+        limit = 1 - self.percent / 100 + 1e-9
+        every = np.concatenate([own, guests])
+        pivots = own[np.linspace(0, len(own) - 1, min(PIVOTS, len(own))).astype(int)]
+        inter = np.concatenate([self.common(every[i : i + self.leaf], pivots) for i in range(0, len(every), self.leaf)]).astype(np.float64)
+        d = 1 - inter / (self.n[every][:, None] + self.n[pivots] - inter)
+        home = d.argmin(1)
+        mine = np.arange(len(every)) < len(own)
+        near = d - d[np.arange(len(every)), home][:, None] <= 2 * limit
+        parts, work = [], 0
+        for i in range(len(pivots)):
+            inside = mine & (home == i)
+            if not inside.any():
+                continue
+            close = near[:, i] & (d[:, i] <= d[inside, i].max() + limit)
+            visiting = close & (~mine | (home > i) if within else ~mine)
+            parts.append((every[inside], every[visiting]))
+            work += inside.sum() * (inside.sum() / 2 + visiting.sum())
+        if work > 0.7 * len(own) * ((len(own) / 2 if within else 0) + len(guests)):  # too dense to be parted
+            return self.measure(own, guests, within)
+        for inside, visiting in parts:
+            self.join(inside, visiting, within)
 
 
 def _whole(size):
+    """Adds the set (items) of the text."""
+
     def run(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), size)
-            columns = [b.column("sid"), _lists([s.view(np.int64) for s in sets]), _lists([parities(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["sid", "items", "odd"])
+            at = 0
+            for group in common.text_groups(b.column("text").to_pylist(), 1 << 21):
+                part = b.slice(at, len(group)).drop_columns(["text"])
+                at += len(group)
+                sets = shingle_sets(group, size)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, items], [*part.schema.names, "items"])
 
     return run
 
 
-def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose parities differ in no more places than similar sets of their sizes may differ in shingles."""
-    a = sets.select(F.col("sid").alias("a"), F.size("items").alias("na"), F.col("odd").alias("oa"))
-    b = sets.select(F.col("sid").alias("b"), F.size("items").alias("nb"), F.col("odd").alias("ob"))
-    both = pairs.join(a, "a").join(b, "b")
-
-    def folded(x: str, y: str) -> Column:  # of twice as many places as y: both halves together
-        n = F.size(y)
-        half = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda i, j: i.bitwiseXOR(j))
-        return F.when(F.size(x) > n, half).otherwise(F.col(x))
-
-    apart = F.zip_with(folded("oa", "ob"), folded("ob", "oa"), lambda i, j: F.bit_count(i.bitwiseXOR(j)))
-    differ = F.aggregate(apart, F.lit(0), lambda t, i: t + i)
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    # sizes more than one doubling apart are not compared here
-    return both.filter((F.greatest(F.size("oa"), F.size("ob")) > 2 * F.least(F.size("oa"), F.size("ob"))) | near).select("a", "b")
-
-
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with their Jaccard distance and whether they link, which is decided in whole numbers."""
-    a = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
-    union = F.size("ia") + F.size("ib") - F.col("common")
-    return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
-
-
-def _need(n: str):
-    return F.greatest(F.lit(1), F.least(F.lit(8), F.floor(F.col(n) / 12)))
-
+def _joined(percent, leaf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sid").sort_values(["label", "sid"], kind="stable").reset_index(drop=True)
+        label, sid = pdf["label"].to_numpy(np.int64), pdf["sid"].to_numpy(np.int64)
+        others, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        heads = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+        side = (pdf["part"] == pdf["i"]).to_numpy()
+        same = (pdf["i"] == pdf["j"]).to_numpy()
+        for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(pdf)], strict=True):
+            sets = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["items"].iloc[a:z]]
+            cell = Cell(sets, pdf["copies"].to_numpy()[a:z], percent, leaf)
+            here = np.arange(z - a)
+            if same[a]:
+                cell.join(here, here[:0])
+            else:
+                cell.join(here[side[a:z]], here[~side[a:z]], within=False)
+            others[a:z] = cell.others
+            root[a:z] = [a + cell.root(i) for i in range(z - a)]
+        return pd.DataFrame({"sid": sid, "others": others, "root": sid[root]})
 
-def _alike(pairs: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sizes fit and that share as many regions as two similar sets must."""
-    a = regions.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
-    b = regions.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
-    both = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.filter(F.size(F.array_intersect("ha", "hb")) >= F.least(_need("na"), _need("nb"))).select("a", "b")
+    return run
 
 
-def similar_sets(rows: DataFrame, listed: DataFrame, size: int, percent: int, share: float, most_frequent: int, every: bool = False) -> DataFrame:
-    """Links (a, b) between different sets: of rows (doc_id, text, _k, _t).
+def links_and_roots(rows: DataFrame, sizes: DataFrame, labels: DataFrame, size: int, percent: int, cell_items: int, leaf: int) -> DataFrame:
+    """sid, others (documents of other, linked sets), label (smallest sid of the component) for the sets of ``labels`` (node, label).
 
-    With ``every`` all links, each once with a < b; else those that decide the components of all links.
+    Cells of fewer than ``cell_items`` shingles are dealt to buckets of about that size; a larger one is cut into parts
+    and every pair of its parts is a task of its own.
     """
-    spark = rows.sparkSession
-    limit = 1 - percent / 100 + 1e-9
-    frequent = spark.sparkContext.broadcast(frequent_shingles(listed, share, most_frequent))
-    ids = listed.filter("sid is not null")
-    sizes = ids.groupBy("sid", "_k", "_t").agg(F.min("n").alias("n"), F.count("*").alias("_c"))
-    sizes = sizes.groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("_k", "_t", "_c")).alias("r"))
-    # one shuffle: regions of ordinary shingles meet whole, rows of frequent ones are spread; regions of one set go
-    w = Window.partitionBy("h", "place")
-    placed = rows.select("text").mapInArrow(_regions(size, percent, frequent), "h long, sid long, place long")
-    placed = placed.select("h", "sid", "place", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
-    listed_rows = common.durable(placed.filter("lo <> hi or place <> 0").select("h", "sid", "place").distinct())
-    # rings of a region: members by how many frequent shingles they have (v), which is their distance from the set of all
-    # of those; u counts a member's shingles that no other set of a frequent region can have
-    region = F.collect_set(F.when(F.col("place") >= 0, F.struct("h", "place")))
-    regions = listed_rows.groupBy("sid").agg(region.alias("rs"), F.max(F.when(F.col("place") < 0, -1 - F.col("place"))).alias("v"))
-    own = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + _need("n")) - F.size("rs")
-    regions = regions.filter(F.size("rs") > 0).join(sizes.select("sid", "n"), "sid").withColumn("u", F.greatest(own, F.lit(0)))
-    # sets with too few shared regions to be similar to any other go
-    regions = regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("rs") >= _need("_low"))
-    regions = common.durable(regions.select("sid", "n", "u", "v", F.array_sort("rs").alias("rs"), F.array_sort("rs.h").alias("hs")))
-    member = regions.select("sid", F.explode("rs").alias("r")).select("sid", "r.*")
-    # the pivot of a region: the set in which its shingle comes earliest (a sum of few rare shingles: near the middle of a crowd)
-    pivots = member.groupBy("h").agg(F.min(F.struct("place", "sid"))["sid"].alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    pivots = common.durable(pivots.select("h", "pivot", "c"))
-    star = member.select("h", "sid").join(common.small(pivots.select("h", "pivot")), "h").filter("sid <> pivot")
-    star = common.durable(star.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    star = common.durable(_alike(star, regions, percent))
-    needed = star.select(F.col("a").alias("sid")).union(star.select("b")).distinct()
-    measured = common.durable(_measured(star, _sets(rows, sizes, needed, size), percent))
-    linked = measured.filter("linked").select("a", "b")
-    # regions with other members than a pivot and one more
-    at = regions.select("sid", "n", "u", "v", "hs", F.posexplode("rs").alias("_i", "r"))
-    last = F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i")))
-    at = at.select("r.h", "sid", "n", "u", "v", last.alias("last"), (F.col("r.place") > 0).alias("hot"))
-    at = at.join(common.small(common.durable(pivots.filter("c > 2").select("h", "pivot"))), "h").filter("sid <> pivot")
-    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "d")
-    at = at.join(known, ["pivot", "sid"], "left")
-    if every:  # members are told apart by themselves, so all of their pairs are candidates
-        at = at.withColumn("label", F.col("sid")).withColumn("home", F.col("pivot"))
-    else:
-        labels = common.connected_components(linked)
-        at = at.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        home = labels.select(F.col("node").alias("pivot"), F.col("label").alias("home"))
-        at = at.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-    at = at.select(
-        "h", "sid", "n", "last", "d", "label", (F.col("label") != F.col("home")).alias("open"), "hot", F.when(F.col("hot"), F.col("v")).otherwise(0).alias("v"), F.when(F.col("hot"), F.col("u")).otherwise(0).alias("u")
+    of = sizes.join(labels.withColumnRenamed("node", "sid"), "sid").select("sid", "label", "n", "r", "copies")
+    cells = common.durable(of.groupBy("label").agg(F.sum("n").alias("items"), F.count("*").alias("sets")))
+    total = cells.agg(F.sum("items").alias("n"), F.max("items").alias("m")).first()
+    buckets = max(1, -(-(total["n"] or 0) // cell_items))
+    parts = F.ceil(F.col("items") / cell_items).cast("int")
+    keys = of.join(common.small(cells.select("label", parts.alias("parts"))), "label")
+    keys = common.durable(keys.select("r._k", "r._t", "sid", "label", "copies", "parts", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")))
+    sets = rows.join(common.small(keys), ["_k", "_t"]).drop("doc_id", "_k", "_t")
+    sets = sets.select("sid", "label", "copies", "parts", "part", "text").mapInArrow(
+        _whole(size), "sid long, label long, copies long, parts int, part int, items array<long>"
     )
-    at = common.durable(at)
-
-    def near(u: str, v: str, n: str) -> Column:  # a lower bound of the symmetric difference, against what similar sets of these sizes may have
-        return (100 + percent) * (F.col("x_u") + F.col(u) + F.abs(F.col("x_v") - F.col(v))) <= (100 - percent) * (F.col("x_n") + F.col(n))
-
-    x = at.filter("open").select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "last", "d", "label", "u", "v")])
-    ring = at.groupBy("h", "v").agg(F.min("u").alias("ring_u"), F.max("n").alias("ring_n"))
-    x = x.join(ring, "h").filter(near("ring_u", "v", "ring_n")).drop("ring_u", "ring_n")
-    more = x.join(at, ["h", "v"]).filter(
-        (F.col("label") != F.col("x_label"))
-        & (~F.col("open") | (F.col("x_sid") < F.col("sid")))
-        & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
-        & near("u", "v", "n")
-        & ~F.arrays_overlap("last", "x_last")  # an earlier region has the pair too
-        & F.coalesce(F.abs(F.col("d") - F.col("x_d")) <= limit, F.lit(True))  # a distance not measured is over the limit
+    sets = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_other"))
+    sets = sets.select(
+        F.when(F.col("parts") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(buckets))).alias("cell"), (F.col("parts") > 1).alias("large"),
+        F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "label", "sid", "copies", "items",
     )
-    more = common.durable(more.select(F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")).distinct())
-    needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
-    sets = _sets(rows, sizes, needed, size)
-    more = common.durable(_close(more, sets, percent))
-    needed = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
-    sets = sets.join(common.small(common.durable(needed)), "sid", "left_semi")
-    found = linked.union(_measured(more, sets, percent).filter("linked").select("a", "b"))
-    # a pair may have been measured from either of two pivots, and in a region of neither
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if every else found
-
-
-def _sets(rows: DataFrame, sizes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """sid, items for the sets ``needed``, from one document of each."""
-    keys = common.durable(sizes.join(needed, "sid").select("sid", "r.*"))
-    of = common.small(keys.select("sid", "_k", "_t"))
-    sets = rows.join(of, ["_k", "_t"]).select("sid", "text").mapInArrow(_whole(size), "sid long, items array<long>, odd array<long>")
-    if keys.filter("_c > 1").limit(1).count():  # rows that repeat id and text
-        sets = sets.dropDuplicates(["sid"])
-    return common.durable(sets)
+    found = common.durable(sets.groupBy("large", "cell", "i", "j").applyInPandas(_joined(percent, leaf), "sid long, others long, root long"))
+    if (total["m"] or 0) <= cell_items:
+        return found.select("sid", "others", F.col("root").alias("label"))
+    united = common.connected_components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    sums = found.groupBy("sid").agg(F.sum("others").alias("others"))
+    return sums.join(united.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "others", F.coalesce("label", "sid").alias("label"))
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.0002, most_frequent: int = 1_000_000, doc_id: str = "doc_id", text: str = "text",
-    count_links: bool = False, row_keys: bool = False,
+    docs: DataFrame, size: int = 5, percent: int = 80, share: float = 0.0002, most_frequent: int = 1_000_000, crowd: int = 64, cell_items: int = 2_000_000,
+    doc_id: str = "doc_id", text: str = "text", row_keys: bool = False, leaf: int = LEAF,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, and with ``count_links`` n_links: one row per document.
+    """doc_id, n_shingles, component_id, n_links: one row per document.
 
     A document's set is that of its ``size``-word shingles after lower-casing A-Z (with fewer words, the whole sequence).
     Documents link if 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id reachable by links.
-    n_links is the number of other documents that a document links with, copies too; every link is found and measured for
-    it, a crowd of k different near copies costing k * (k - 1) / 2 of them. Without it only as many are as decide the components.
+    n_links is the number of other documents that a document links with, copies too; every link between different sets is
+    measured, but none is written out. Equal sets are one point of the space, so copies cost no pairs.
     ``row_keys`` adds _k and _t (``common.row_key``) and label, which names the component even where ids repeat and is null
-    for an empty set. Equal sets are one point of the space, so copies cost no pairs. Shingles that more than ``share`` of the documents
-    hold come last in the order, which keeps common lines from forming regions. Sets are told apart, and shingles
-    compared, by 64-bit hashes.
+    for an empty set. Shingles that more than ``share`` of the documents (or more than half of ``crowd``) hold come last in
+    the order, which keeps common lines from forming regions; regions of more than ``crowd`` sets give no pairs but a
+    chain. Sets are told apart by 128-bit hashes, and shingles compared by 64-bit hashes within a pair of sets.
 
     Texts without words (null and empty ones too) have an empty set and are alone: component_id is their own id, n_links 0. A null id is
     ignored for component_id unless all ids of the component are null. Rows that repeat an id are each a document.
@@ -315,28 +389,29 @@ def jaccard_components(
     common.ship_code(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", *common.row_key())
-    listed = common.durable(rows.mapInArrow(_identity(size, share), _LISTED))
-    ids = listed.filter("h is null").select("doc_id", "_k", "_t", "sid", "n")
-    links = similar_sets(rows, listed, size, percent, share, most_frequent, count_links)
-    links = common.durable(links) if count_links else links
-    labels = common.connected_components(links)
-    least = ids.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    labelled = common.durable(
-        least.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "least", "copies")
+    listed = common.durable(rows.mapInArrow(_identity(size), _LISTED))
+    held = listed.filter("low is not null")
+    # two sets with one first half: the second half names them (few at any size, if any)
+    clashing = frozenset(r["low"] for r in held.groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b")).filter("a <> b").select("low").collect())
+    sid = F.when(F.col("low").isin(*clashing), F.col("high")).otherwise(F.col("low")) if clashing else F.col("low")
+    ids = listed.filter("h is null").select("doc_id", "_k", "_t", sid.alias("sid"), "n")
+    sizes = ids.filter("sid is not null").groupBy("sid").agg(
+        F.min("n").alias("n"), F.min(F.struct("_k", "_t")).alias("r"), F.count("*").alias("copies"), F.min("doc_id").alias("least")
+    )
+    sizes = common.durable(sizes)
+    likely = candidates(rows, listed, sizes, clashing, size, percent, share, most_frequent, crowd)
+    found = links_and_roots(rows, sizes, common.connected_components(likely), size, percent, cell_items, leaf)
+    labelled = sizes.join(found, "sid", "left").select(
+        "sid", F.coalesce("label", "sid").alias("label"), "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
     )
+    labelled = common.durable(labelled)
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = labelled.join(best, "label").select("sid", "label", "component_id", "copies")
-    if count_links:
-        ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select("b", "a"))
-        others = ends.join(labelled.select(F.col("sid").alias("other"), F.col("copies").alias("there")), "other")
-        others = others.groupBy("sid").agg(F.sum("there").alias("others"))
-        by_set = by_set.join(others, "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-    by_set = common.durable(by_set.drop("copies", "others"))
+    by_set = common.durable(labelled.join(best, "label").select("sid", "label", "component_id", "n_links"))
     out = ids.join(common.small(by_set), "sid", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         *(["_k", "_t", "label"] if row_keys else []),
     )

@@ -92,19 +92,6 @@ class WordTokens(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-def _groups(texts: list[str | None], most_chars: int = 1 << 23):
-    """Runs of texts of about ``most_chars`` together; a longer one is whole, and alone or last. Long runs look up each word less often."""
-    group, chars = [], 0
-    for t in texts:
-        group.append(t or "")
-        chars += len(group[-1])
-        if chars >= most_chars:
-            yield group
-            group, chars = [], 0
-    if group:
-        yield group
-
-
 _tokens: dict[str, WordTokens] = {}
 
 
@@ -118,7 +105,7 @@ def _pieces(path: str, limit: int, end_id: int):
         t, end, step = _tokens[path], struct.pack("<I", end_id), 4 * limit
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            raws = (raw for group in _groups(b.column("text").to_pylist()) for raw in t.of(group))
+            raws = (raw for group in common.text_groups(b.column("text").to_pylist(), 1 << 23) for raw in t.of(group))
             for doc, raw in zip(b.column("doc_id").to_pylist(), raws, strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), step)):

@@ -152,30 +152,44 @@ def test_links_of_each_document(spark, docs):
         want[rows[i][0], len(a), n] += 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain = collections.Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
-    for share in (0.0002, 0.05):
-        got = ngram_join.jaccard_components(df, share=share, count_links=True).collect()
+    for given in ({}, {"share": 0.05}, {"crowd": 2, "leaf": 8}, {"crowd": 4, "leaf": 16, "cell_items": 900}):
+        got = ngram_join.jaccard_components(df, **given).collect()
         assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == want
         assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == plain
     assert "n_links" in queries.op7_ngram_join(spark, SF).columns
 
 
-def test_parities_never_overstate():
+def test_cells_of_any_size_agree():
     rng = np.random.default_rng(3)
-    for n in (1, 60, 130, 900):
-        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        b = np.concatenate([a[n // 5 :], rng.integers(0, 1 << 63, n // 7 + 1).astype(np.uint64)])
-        x, y = (np.unpackbits(ngram_join.parities(s).view(np.uint8)) for s in (a, b))
-        if len(x) == len(y):
-            assert (x != y).sum() <= len(np.setxor1d(a, b))
-
-
-def test_parities_of_two_sizes_fold(spark):
-    items = np.random.default_rng(4).integers(1, 1 << 62, 400).astype(np.uint64)
-    sets = [items[:140], items[:120], items[200:340], items[20:140]]  # eight words, four, eight, four
-    table = [(i, [int(x) for x in s], [int(x) for x in ngram_join.parities(s)]) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(table, "sid long, items array<long>, odd array<long>")
-    pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 3), (1, 2), (2, 3)], "a long, b long")
-    assert {(r["a"], r["b"]) for r in ngram_join._close(pairs, df, 80).collect()} == {(0, 1), (1, 0), (0, 3)}
+    sets = []
+    for _ in range(40):  # crowds of near copies around several texts, and sets on the edge
+        base = rng.integers(0, 1 << 60, int(rng.integers(20, 60))).astype(np.uint64)
+        for _ in range(6):
+            more = rng.integers(0, 1 << 60, 9).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.2])], more[: rng.integers(0, 9)]])))
+    copies = rng.integers(1, 4, len(sets))
+    held = [set(x.tolist()) for x in sets]
+    links = [[b for b in range(len(sets)) if b != a and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])] for a in range(len(sets))]
+    assert sum(map(len, links)) > 100
+    every = np.arange(len(sets))
+    for leaf in (3, 16, 1000):
+        cell = ngram_join.Cell(sets, copies, 80, leaf)
+        cell.join(every, every[:0])
+        assert cell.others.tolist() == [sum(copies[b] for b in x) for x in links]
+        assert all(cell.root(a) == cell.root(b) for a, x in enumerate(links) for b in x)
+        two = ngram_join.Cell(sets, copies, 80, leaf)
+        for own, guests, within in ((every[::2], every[:0], True), (every[1::2], every[:0], True), (every[::2], every[1::2], False)):
+            two.join(own, guests, within)
+        assert two.others.tolist() == cell.others.tolist()
+        assert [two.root(i) for i in every] == [cell.root(i) for i in every]
+
+
+def test_clashing_set_names(spark, monkeypatch):
+    rows = [(i, f"one two three four five six seven w{i % 4}") for i in range(8)]
+    true_id = ngram_join.set_id
+    monkeypatch.setattr(ngram_join, "set_id", lambda s: (7, true_id(s)[1]))  # the driver's own use
+    s = [ngram_join.shingle_sets([t], 5)[0] for _, t in rows]
+    assert len({ngram_join._name(x, frozenset({7})) for x in s}) == 4 and len({ngram_join._name(x, frozenset()) for x in s}) == 1
 
 
 def test_quality_counts_and_verdicts(spark, docs):
