@@ -26,12 +26,13 @@ class WordTokens(dict):
     ``SEPARATOR`` between words; its token tells which ids belong to which word.
     """
 
-    def __init__(self, path: str, most: int = 700_000, at_once: int = 4096):
+    def __init__(self, vocabulary: str, most: int = 700_000, at_once: int = 4096):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most, self.at_once, self.old = Tokenizer.from_file(path), most, at_once, {}
+        self.tokenizer, self.most, self.at_once, self.old = Tokenizer.from_str(vocabulary), most, at_once, {}
         (self.separator,) = self._ids(SEPARATOR.decode())
+        self.folds = all(self._ids(w) == self._ids(w.lower()) for w in ("The", "THE", "WORLD", "Xq"))  # capitals mean nothing
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -75,7 +76,7 @@ class WordTokens(dict):
                     marked.append((w, base, w[len(base) :]))
                 else:
                     base = w
-            if base.isascii() and b"<|" not in base and (low := base.lower()) != base:
+            if self.folds and base.isascii() and b"<|" not in base and (low := base.lower()) != base:
                 capitals.append(base)
                 base = low
             plain.add(base)
@@ -92,17 +93,18 @@ class WordTokens(dict):
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
-_tokens: dict[str, WordTokens] = {}
+_tokens: dict[int, WordTokens] = {}
 
 
-def _pieces(path: str, limit: int, end_id: int):
+def _pieces(vocabulary, limit: int, end_id: int):
     def cut(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _tokens:
-            _tokens[path] = WordTokens(path)
-        t, end, step = _tokens[path], struct.pack("<I", end_id), 4 * limit
+        key = zlib.crc32(vocabulary.value.encode())
+        if key not in _tokens:
+            _tokens[key] = WordTokens(vocabulary.value)
+        t, end, step = _tokens[key], struct.pack("<I", end_id), 4 * limit
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             raws = (raw for group in common.text_groups(b.column("text").to_pylist(), 1 << 23) for raw in t.of(group))
@@ -127,73 +129,47 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int = 2048, end_id: in
     """doc_id, piece, start, length, ids_crc32: each document's ids, closed by ``end_id``, cut only where it is longer than ``limit``."""
     common.ship_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(vocabulary, limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    with open(vocabulary, encoding="utf-8") as f:  # executors need not see the driver's file
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    return rows.mapInArrow(_pieces(shared, limit, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(length: np.ndarray, capacity: tuple[float, float, float], rule: str = "dot", probe: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(length: np.ndarray, capacity: tuple[float, float, float], rule: str = "dot") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; the order of bins is that of their opening.
 
     An item takes (tokens, 1 document, length squared as attention cost); a bin holds ``capacity`` of each. Items go in
-    by falling length, each to an open bin that has room in every dimension. Open bins are kept by their residual
-    tokens; the item's own residual class and the ``probe`` tightest bins above it are scored: by weighted dot-product
-    of item and residual, both relative to capacity, smallest first (the bin it fills most closely), or by the norm of what would
-    be left (``rule`` "norm"). Where none of the probed bins has room, all further open bins are tried before a new one opens.
+    by falling length. Every open bin that has room in every dimension is scored: by the weighted dot-product of item and
+    residual, both relative to capacity (smallest first: the bin it fills most closely), or by the norm of what would be
+    left (``rule`` "norm"); of equal scores the bin opened first is taken, and a bin opens only if none has room. Bins too
+    full for the smallest item are no longer looked at.
     """
-    cap = np.array(capacity, float)
-    weight = np.array([1.0, 0.05, 0.05])
+    cap, weight = np.array(capacity, float), np.array([1.0, 0.05, 0.05])
     order = np.argsort(-length, kind="stable")
-    top = int(capacity[0])
-    open_at: list[list[int]] = [[] for _ in range(top + 1)]  # residual tokens -> bins
-    mask = 0  # bit r: some open bin has residual r
-    docs_left, cost_left, left = [], [], []
-    bins, offsets = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-
-    def scored(b: int, n: int, item: np.ndarray) -> float:  # infinity where there is no room
-        if docs_left[b] < 1 or cost_left[b] < n * n:
-            return np.inf
-        rest = np.array([left[b] / cap[0], docs_left[b] / cap[1], cost_left[b] / cap[2]])
-        return float(weight @ (item * rest)) if rule == "dot" else float(np.sqrt((weight * (rest - item) ** 2).sum()))
-
+    least = int(length.min()) if len(length) else 0
+    left = np.empty((3, len(length)))  # of open bins: what is left of each capacity
+    name = np.empty(len(length), np.int64)
+    bins, offsets, n_open, n_bins = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), 0, 0
     for i in order:
         n = int(length[i])
-        item = np.array([n, 1.0, float(n) * n]) / cap
-        best, best_score, seen, r, passed = -1, np.inf, 0, n, []  # passed: classes with bins not tried yet
-        above = mask >> n
-        while above:
-            skip = (above & -above).bit_length() - 1
-            r, above = r + skip, above >> skip
-            some = open_at[r]
-            if seen < probe and len(some) > 4:
-                passed.append(r)
-                some = some[-4:]
-            for b in some:
-                if (score := scored(b, n, item)) < best_score:
-                    best, best_score = b, score
-                seen += 1
-            if best >= 0 and (r == n or seen >= probe or best_score <= 0 or r > n + 8):
-                break
-            r, above = r + 1, above >> 1
-        if best < 0:
-            for b in (b for r in passed for b in open_at[r][:-4]):
-                if (score := scored(b, n, item)) < best_score:
-                    best, best_score = b, score
-        if best < 0:
-            best = len(left)
-            left.append(top)
-            docs_left.append(capacity[1])
-            cost_left.append(capacity[2])
+        item = np.array([n, 1.0, float(n) * n])
+        rest = left[:, :n_open]
+        room = (rest >= item[:, None]).all(0)
+        if room.any():
+            if rule == "dot":
+                score = (weight * item / cap / cap) @ rest
+            else:
+                score = weight @ ((rest - item[:, None]) / cap[:, None]) ** 2
+            at = int(np.where(room, score, np.inf).argmin())
         else:
-            own = open_at[left[best]]
-            own.remove(best)
-            if not own:
-                mask &= ~(1 << left[best])
-        bins[i], offsets[i] = best, top - left[best]
-        left[best] -= n
-        docs_left[best] -= 1
-        cost_left[best] -= n * n
-        if left[best] > 0 and docs_left[best] >= 1:
-            open_at[left[best]].append(best)
-            mask |= 1 << left[best]
+            at = n_open
+            left[:, at], name[at] = cap, n_bins
+            n_open, n_bins = n_open + 1, n_bins + 1
+        bins[i], offsets[i] = name[at], cap[0] - left[0, at]
+        left[:, at] -= item
+        if left[0, at] < least or left[1, at] < 1 or left[2, at] < least * least:  # closed; the others keep their order
+            left[:, at : n_open - 1] = left[:, at + 1 : n_open].copy()
+            name[at : n_open - 1] = name[at + 1 : n_open].copy()
+            n_open -= 1
     return bins, offsets
 
 
@@ -216,7 +192,9 @@ def pack_documents(
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document, placed.
 
     Pieces are dealt by hash to shards of about ``shard_pieces`` each and packed there; a shard leaves a few bins
-    partly empty. By default documents and attention cost bind no earlier than tokens do.
+    partly empty. By default documents and attention cost bind no earlier than tokens do (a sequence of ``limit`` tokens
+    has at most ``limit`` documents and a cost of at most limit squared): a smaller capacity would need more sequences.
+    They still weigh in the choice of a bin.
     A null text is empty (one piece, the end id); rows that repeat an id are packed each on its own; a null id is
     dealt like any other. Other columns are ignored; empty input gives no rows.
     """
