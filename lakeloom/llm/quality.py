@@ -32,45 +32,35 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """Words in three-word windows that occur twice or more in the text, the first occurrence included.
 
-    Windows are told apart by a 64-bit hash. Where all differ the answer is 0; else they are sorted as (hash, position)
-    packed in one number (three words' hash prefix, 20 bits of position; a struct beyond 2 ** 20 windows), and
-    neighbours with equal hash mark their positions.
+    Windows are told apart by a 64-bit hash. Where all differ the answer is 0; else they are sorted as one number each (the
+    first bits of the hash, then the position). Neighbours with equal first bits are few; those are compared by their
+    whole hashes, in a sort of their own, and windows that have a twin mark their positions.
     """
 
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda p, i: F.when(i + 1 < F.size(at), F.least(F.lit(3), at[i + 1] - p)).otherwise(3))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
 
-    def short(h: Column) -> Column:
-        low = F.lit((1 << 20) - 1).cast("long")
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-(1 << 20))).bitwiseOR(i.cast("long"))))
+    def marked(h: Column) -> Column:
+        low = F.when(F.size(h) <= 1 << 20, F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")  # the position's bits
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
 
-        def marked(s: Column) -> Column:
-            spot = lambda x: x.bitwiseAND(low).cast("int")
-            twin = lambda x, y: h[spot(x)] == h[spot(y)]
-            both = F.filter(s, lambda x, i: ((i > 0) & twin(x, F.get(s, i - 1))) | ((i + 1 < F.size(s)) & twin(x, F.get(s, i + 1))))
-            return F.sort_array(F.transform(both, spot))
+        def near(s: Column) -> Column:
+            same = lambda x, j: x.bitwiseXOR(F.get(s, j)).bitwiseAND(F.bitwise_not(low)) == 0
+            both = F.filter(s, lambda x, i: ((i > 0) & same(x, i - 1)) | ((i + 1 < F.size(s)) & same(x, i + 1)))
+            spots = F.transform(both, lambda x: x.bitwiseAND(low).cast("int"))
+            return F.sort_array(F.transform(spots, lambda i: F.struct(F.get(h, i).alias("h"), i.alias("i"))))
 
-        return let(let(packed, marked), covered)
-
-    def long(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-
-        def marked(s: Column) -> Column:
+        def twins(s: Column) -> Column:
             twin = lambda x, j: x["h"] == F.get(s, j)["h"]
             both = F.filter(s, lambda x, i: ((i > 0) & twin(x, i - 1)) | ((i + 1 < F.size(s)) & twin(x, i + 1)))
             return F.sort_array(F.transform(both, lambda x: x["i"]))
 
-        return let(let(pairs, marked), covered)
+        return let(let(let(packed, near), twins), covered)
 
     def count(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
-        return let(
-            hashes,
-            lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
-            .when(F.size(h) <= (1 << 20), short(h))
-            .otherwise(long(h)),
-        )
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(marked(h)))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(count(words))
 
