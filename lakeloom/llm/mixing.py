@@ -9,10 +9,22 @@ from pyspark.sql.window import Window
 from . import common
 from .quality import words_of
 
+#: Target shares of the registered query: by length class (short texts below 1,000 characters, long ones from 10,000 on), and a few leaves.
+TARGETS = {
+    ("long",): 0.45, ("medium",): 0.45, ("short",): 0.1,
+    ("long", "en"): 0.4, ("long", "de"): 0.25, ("long", "fr"): 0.2, ("long", "es"): 0.15,
+    ("medium", "en"): 0.5, ("medium", "de"): 0.2, ("medium", "fr"): 0.2, ("medium", "es"): 0.1,
+}
 SPACE = 1 << 62
 SLICES = 1 << 12
 
 
+def length_class(text: Column) -> Column:
+    """The domain of a text where tables name none: short, medium or long."""
+    n = F.char_length(F.coalesce(text.cast("string"), F.lit("")))
+    return F.when(n < 1_000, "short").when(n < 10_000, "medium").otherwise("long")
+
+
 def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], total: Column, weights: dict[tuple[str, ...], float], power: float, most_epochs: int) -> DataFrame:
     """``leaves`` (one column a level, tokens) with ``budget``.
 
@@ -41,7 +53,7 @@ def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], total: Column, weig
         share = F.when(F.col("_w") <= 0, 0.0).otherwise(F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap"))))
         dealt = nodes.select(*[F.col(c).alias(f"_{c}") for c in path], share.alias("_dealt"))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in path]
-        out = out.join(F.broadcast(dealt) if depth < 2 else dealt, same).select(*leaves.columns, F.col("_dealt").alias("_budget"))
+        out = out.join(common.small(common.durable(dealt)), same).select(*leaves.columns, F.col("_dealt").alias("_budget"))
     return out.select(*leaves.columns, F.floor(F.col("_budget") + 1e-6).cast("long").alias("budget"))
 
 
@@ -55,8 +67,9 @@ def mix_sources(
     the order of a seeded hash, another one in each epoch; it takes whole epochs, then the longest prefix of the next
     one that its budget holds. copies says how often a document was taken.
 
-    The running sum that finds the end of a prefix is taken over slices of the hash range first; only the documents of
-    the slice in which the prefix ends are sorted, so a leaf that holds a third of all rows is dealt over all tasks.
+    The running sum that finds the end of a prefix is taken over at most ``SLICES`` slices of the hash range first (one
+    row each); only the documents of the slice in which the prefix ends are sorted, so a leaf that holds a third of all
+    rows is dealt over all tasks.
     Defaults: domain is the part of source before its first digit, tokens are words. Trees of more than ``most_leaves`` leaves
     are joined by a shuffle instead of a broadcast.
 

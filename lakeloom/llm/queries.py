@@ -43,7 +43,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, share=0.9, weights=mixing.TARGETS, most_epochs=3, domain=mixing.length_class(F.col("text")))
 
 
 def _trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
