@@ -50,6 +50,12 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def by_hash(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows of ``df``: those whose hash of ``key`` lies below a threshold (all rows if n is no more)."""
+    share = min(1.0, most / max(1, n))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:

@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def _normal(batch: pa.RecordBatch, column: str) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(batch.column(column).cast(pa.large_string()), ""))
-
-
-def _halves(raw: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    """The 128-bit content hash of each text, as two columns."""
-    both = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in raw), np.int64).reshape(-1, 2)
-    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
-
-
-def _sign(batches):
-    for b in batches:
-        low = _normal(b, "text")
-        raw = [x.encode() for x in low.to_pylist()]
-        sha = pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(raw), sha], ["doc_id", "h1", "h2", "text_sha256"])
-
-
-def _lowered(batches):
-    for b in batches:
-        low = _normal(b, "text")
-        raw = [x.encode() for x in low.to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(raw), low.cast(pa.string())], ["doc_id", "h1", "h2", "body"])
-
-
 def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -50,23 +22,17 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id",
     keep_id null, and then every row of it is kept. Rows that repeat id and text are all marked kept or all dropped.
     Empty input gives no rows; other columns are ignored.
     """
-    common.ship_code(docs.sparkSession)
     best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = rows.mapInArrow(_sign, "doc_id long, h1 long, h2 long, text_sha256 string")
-    groups = signed.groupBy("h1", "h2").agg(F.count("*").alias("rows"))
-    shared = common.durable(groups.filter("rows > 1").select("h1", "h2"))
+    low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), low.alias("body"))
+    rows = rows.select("doc_id", "body", F.unhex(F.md5("body")).alias("h"))
+    groups = rows.groupBy("h").agg(F.count("*").alias("rows"))
+    shared = common.durable(groups.filter("rows > 1").select("h"))
     # bytes are compared here: the text itself is part of the grouping key
-    bodies = (
-        rows.mapInArrow(_lowered, "doc_id long, h1 long, h2 long, body string")
-        .join(common.small(shared.select("h1", "h2")), ["h1", "h2"])
-    )
-    classes = common.durable(
-        bodies.groupBy("h1", "h2", "body")
-        .agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h1", "h2", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    out = signed.join(common.small(classes), ["h1", "h2", "text_sha256"], "left")
+    classes = rows.join(common.small(shared), "h").groupBy("h", "body").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = common.durable(classes.select("h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size"))
+    signed = rows.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256"))
+    out = signed.join(common.small(classes), ["h", "text_sha256"], "left")
     one = F.col("group_size").isNull()
     return out.select(
         "doc_id",
