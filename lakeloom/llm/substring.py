@@ -29,24 +29,43 @@ class WaveletMatrix:
         s = symbols
         for level in range(bits - 1, -1, -1):
             bit = ((s >> level) & 1).astype(np.uint8)
-            packed = np.packbits(np.concatenate([bit, np.zeros(64 + (-len(bit)) % 64, np.uint8)]), bitorder="little").view(np.uint64)
-            counts = np.zeros(len(packed), np.int32)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=counts[1:])
-            zeros = int(len(bit) - bit.sum())
-            self.levels.append((packed, counts, zeros))
+            self.levels.append((BitRank(bit), int(len(bit) - bit.sum())))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """For each pair: place of ``upto`` after sorting stably by symbol, within the block of ``symbol``; not yet less its start."""
         at = upto.copy()
-        for level, (packed, counts, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
-            word = at >> 6
-            below = packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = counts[word] + np.bitwise_count(below)
+        for level, (vector, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
+            ones = vector.ones(at)
             at = np.where((symbol >> level) & 1, zeros + ones, at - ones)
         return at
 
 
+class BitRank:
+    """A bit vector in 64-bit words with a count a word: ones below a place."""
+
+    def __init__(self, bit: np.ndarray):
+        self.packed = np.packbits(np.concatenate([bit.astype(np.uint8), np.zeros(64 + (-len(bit)) % 64, np.uint8)]), bitorder="little").view(np.uint64)
+        self.counts = np.zeros(len(self.packed), np.int32)
+        np.cumsum(np.bitwise_count(self.packed[:-1]), out=self.counts[1:])
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
+class Runs:
+    """Where the rows that share a prefix begin and end: a bit a row, and the first row of each run."""
+
+    def __init__(self, head: np.ndarray):
+        self.bits, self.n = BitRank(head), len(head)
+        self.first = np.append(np.flatnonzero(head), len(head)).astype(np.int32)
+
+    def around(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.bits.ones(row + 1)
+        return self.first[k - 1].astype(np.int64), self.first[k].astype(np.int64)
+
+
 class FMIndex:
     """Index over pieces, each some words; exact for patterns of up to ``depth`` symbols (a power of two).
 
@@ -81,27 +100,18 @@ class FMIndex:
             kept = {width // 2: kept[width // 2], width: rank}
             if width >= depth:
                 break
-        self.sa = order
-        half, names = width // 2, kept[width // 2]
-        self.parent = self._runs(names, half, size - 1)
-        self.whole = self._runs(names, half, size)
+        self.parent = Runs(self._heads(order, kept[width // 2], size - 1 - width // 2))
         sigma = int(text.max()) + 1
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.bwt = WaveletMatrix(text[order - 1], max(1, int(sigma - 1).bit_length()))
         every = np.arange(sigma)
         self.start = self.bwt.rank(every, np.zeros(sigma, np.int64))
 
-    def _runs(self, names: np.ndarray, half: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end row of the suffixes that share each row's first ``depth`` symbols (half <= depth <= 2 * half)."""
-        n, sa, more = len(names), self.sa, depth - half
-        later = np.minimum(sa + more, n - 1)
-        a, b = names[sa], names[later]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        ends = np.concatenate([first[1:], [n]])
-        which = np.zeros(n, np.int64)
-        which[first[1:]] = 1
-        which = np.cumsum(which)
-        return first[which], ends[which]
+    @staticmethod
+    def _heads(sa: np.ndarray, names: np.ndarray, more: int) -> np.ndarray:
+        """Which rows differ from the one before in their first symbols: those that ``names`` tells apart, and ``more`` after."""
+        a, b = names[sa], names[np.minimum(sa + more, len(names) - 1)]
+        return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Place in the text and lowest row of every window of ``size`` symbols, by matching statistics from right to left.
@@ -118,7 +128,7 @@ class FMIndex:
             at = end[:m] - 1 - step
             c, l, h = self.text[at], lo[:m], hi[:m]
             if step >= self.size:
-                l, h = self.parent[0][l], self.parent[1][l]
+                l, h = self.parent.around(l)
             base = self.first[c] - self.start[c]
             l, h = base + self.bwt.rank(c, l), base + self.bwt.rank(c, h)
             lo[:m], hi[:m] = l, h
@@ -143,9 +153,8 @@ def first_places(texts: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np
     number[order] = same
     names = order[np.concatenate([[True], np.diff(same) != 0])]
     place = (number[piece] << 32) | (start[piece] + at - begin[piece])
-    run = index.whole[0][row]
-    by = np.argsort(run, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(run[by]) != 0]))
+    by = np.argsort(row, kind="stable")  # the lowest row of a window's interval names its words
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(row[by]) != 0]))
     least = np.sort(np.minimum.reduceat(place[by], heads))
     heads = np.concatenate([[True], np.diff(least) != 1])
     ends = np.concatenate([heads[1:], [True]])
@@ -153,8 +162,12 @@ def first_places(texts: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np
     return doc[who], tie[who], least[heads] & 0xFFFFFFFF, (least[ends] & 0xFFFFFFFF) + 1
 
 
+#: A run of windows is cut after so many, so that no piece of text is longer, however often one phrase repeats.
+MOST_RUN = 1024
+
+
 def _anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, from, to, times): runs of windows that share their anchor; times is 2 if it may repeat inside its run."""
+    """(anchor, from, to, times): runs of windows that share their anchor, of ``MOST_RUN`` at most; times is 2 if it may repeat inside its run."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -165,7 +178,12 @@ def _anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.n
         step = min(have, need - have)
         g = np.minimum(g[: len(g) - step], g[step:])
         have += step
-    heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    change = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    if np.diff(np.append(change, n)).max() > MOST_RUN:
+        since = np.arange(n) - np.repeat(change, np.diff(np.append(change, n)))
+        heads = np.flatnonzero(since % MOST_RUN == 0)
+    else:
+        heads = change
     times = 1 + np.isin(g[heads], again) if len(again) else np.ones(len(heads), np.int64)
     return g[heads], heads, np.concatenate([heads[1:], [n]]), times
 
@@ -211,12 +229,15 @@ def _list_pieces(size):
             for i, (text, x, y) in enumerate(zip(b.column("text").to_pylist(), first.tolist(), last.tolist(), strict=True)):
                 words = (text or "").encode().split()
                 for j in range(x, y):
-                    if hot[j]:  # one window at a time, dealt by its own words
+                    if hot[j]:  # one window at a time, dealt by its own words; of equal ones in a run the first
+                        seen = set()
                         for s in range(begins[j], ends[j]):
                             piece = b" ".join(words[s : s + size])
-                            routes.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
-                            pieces.append(piece)
-                            starts.append(s)
+                            if piece not in seen:
+                                seen.add(piece)
+                                routes.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                                pieces.append(piece)
+                                starts.append(s)
                     else:
                         routes.append(anchors[j])
                         pieces.append(b" ".join(words[begins[j] : ends[j] + size - 1]))
@@ -296,7 +317,7 @@ def repeated_passages(docs: DataFrame, size: int = 20, gram: int = 8, hot: int =
     """doc_id, n_words, n_removed, kept_sha256, removed_spans (word positions ``from:to``), one row per document.
 
     A word goes if a window of ``size`` words over it starts earlier in the corpus: at a smaller doc_id, or earlier in
-    the same document. Anchors that more than ``hot`` windows runs share are dealt out by whole windows instead, so a
+    the same document. Anchors that more than ``hot`` runs share (a phrase repeated on and on is many runs) are dealt out by whole windows instead, so a
     passage that a third of all documents hold does not fill one shard. Equal pieces are combined before the shuffle.
 
     Null and empty texts have no words. A null doc_id comes before all others; among rows of one doc_id but different

@@ -71,6 +71,15 @@ def test_passages(spark, hot):
     assert got == brute_passages(rows, 20)
 
 
+def test_one_phrase_a_million_times(spark):
+    long = "one two three four five " * 200_000
+    rows = {1: "zero " * 5 + long, 2: long, 3: "one two three four five " * 3 + "end " * 20, 4: " ".join(f"x{i}" for i in range(25)) + " " + "one two three four five " * 5}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.repeated_passages(df).collect()}
+    # document 1 keeps all windows that start in its first ten words; the five phases of the phrase repeat from then on
+    assert got == {1: (1_000_005, 1_000_005 - 10), 2: (1_000_000, 1_000_000), 3: (35, 0), 4: (50, 25)}
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     for f in (
