@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,11 +15,14 @@ from .operators import ddl, diffing, mutate, replicate
 from .operators.fingerprint import SHARD_ROWS, shard_hashes
 from .plans import scope as scopes
 from .plans.model import Model
+from .plans import sqltext
 from .plans.select import Compiler
 from .sources.store import DEFAULT, Store, split_name
 
 COMMANDS = ("select", "insert", "update", "delete", "truncate", "create", "alter", "drop", "show", "explain", "set")
 
+FEATURES = frozenset({"schema", "table", "sequence", "constraint", "index", "transaction", "array", "json", "returning", "with", "lateral", "stream"})
+
 
 class Database:
     """One root folder (or catalog, or server) of tables, seen through a scope.
@@ -46,8 +50,25 @@ class Database:
         self.store.reset()
 
     def close(self) -> None:
+        """Forgets what is cached; temporary tables go."""
+        for at in self.store.temporary:
+            self.store.drop(*at)
+        self.store.temporary.clear()
         self.store.reset()
 
+    def has(self, feature: str) -> bool:
+        """Whether the engine has a feature: a kind of statement or object, or a function."""
+        return feature in FEATURES or self.has_function(feature)
+
+    @contextmanager
+    def use(self, session: SparkSession) -> Iterator[Database]:
+        """This database through another session (its temporary views and settings), for the time of a block."""
+        own, self.spark, self.store.spark = self.spark, session, session
+        try:
+            yield self
+        finally:
+            self.spark = self.store.spark = own
+
     def has_function(self, name: str) -> bool:
         return self.spark.catalog.functionExists(name)
 
@@ -124,7 +145,8 @@ class Database:
         if self.prompt and not self.prompt(str(query)):
             raise QueryError("stopped at the prompt")
         if isinstance(query, str):
-            return self._sql(query, params)
+            found = sqltext.statement(query)
+            return self._sql(query, params) if found is None else self._change(*found, params)
         if isinstance(query, list):
             out = None
             for q in query:
@@ -159,13 +181,8 @@ class Database:
 
     _MARK = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`)|(\$\d+)|(\$[A-Za-z_]\w*)|(%s)")
 
-    def _sql(self, text: str, params: Any) -> DataFrame:
-        """SQL over views of this database's tables; ``$1``, ``$name`` and ``%s`` become Spark's own markers outside quotes."""
-        for schema in self.store.schemas():
-            for t in self.store.tables(schema):
-                if re.search(rf"\b{re.escape(t)}\b", text):
-                    self.table(t, schema).createOrReplaceTempView(t)
-                    text = re.sub(rf"\b{re.escape(schema)}\.{re.escape(t)}\b", t, text)
+    def _marked(self, text: str, params: Any) -> tuple[str, Any]:
+        """``$1``, ``$name`` and ``%s`` outside quotes as Spark's own markers, and the values in that order."""
         order: list[int] = []
 
         def marker(m: re.Match) -> str:
@@ -175,11 +192,30 @@ class Database:
             return f":{m[3][1:]}" if m[3] else "?" if m[4] else m[0]
 
         text = self._MARK.sub(marker, text)
-        if params is None:
-            return self.spark.sql(text)
-        if isinstance(params, dict):
-            return self.spark.sql(text, args=params)
-        return self.spark.sql(text, args=[params[i] for i in order] if order else list(params))
+        if params is None or isinstance(params, dict):
+            return text, params
+        return text, [params[i] for i in order] if order else list(params)
+
+    def _sql(self, text: str, params: Any) -> DataFrame:
+        """SQL that reads this database's tables; a schema's name chooses its own table, and quoted text stays as it is."""
+        text, values = self._marked(text, params)
+        with sqltext.Views(self.store) as views:
+            text = sqltext.bind_tables(text, views.resolve)
+            return self.spark.sql(text) if values is None else self.spark.sql(text, args=values)
+
+    def _change(self, kind: str, m: re.Match, params: Any) -> mutate.Result:
+        """A statement given as text that changes tables or schemas, through the same code as its JSON form."""
+        clause, source = sqltext.change(kind, m)
+        with sqltext.Views(self.store) as views:
+            if source is not None:
+                rows = self._sql(source, params)
+                if "insert" in clause:
+                    return mutate.insert(self.store, self.compiler(), {**clause["insert"], "values": rows})
+                ddl.create(self.store, self.compiler(), {"table": {**clause["create"]["table"], "as": rows}})
+                return mutate.Result(0)
+            if params is not None:
+                clause = _filled(clause, params)
+            return self._run(_each_raw(clause, lambda text: sqltext.bind_tables(text, views.resolve)))
 
     # information
 
@@ -203,7 +239,7 @@ class Database:
                     from .operators.replicate import _prints
 
                     p = df.select(*by.values()).agg(*_prints(list(by.values()))).first()
-                    rows["hashes"] = {None: f"{p['n']}:{p['hash']}"}
+                    rows["hashes"] = {None: f"{p['n']}:{p['hash']}:{p['hash_b']}"}
             out["rows"] = rows
         if with_schema:
             for g in ("columns", "constraints", "indexes"):
@@ -319,7 +355,8 @@ class Database:
                 left = a.store.read(*src).select(*[F.col(f"`{x}`").cast(kinds[y].dataType).alias(y) for x, y in cols.values()])
                 keys = primary_keys(meta)
                 key = keys[0] if len(keys) == 1 and any(c.get("primary") for c in meta["columns"].values()) else None
-                rows, copied, skipped = replicate.copy_rows(left, b.store.read(*dst), key, min(a.shard_rows, b.shard_rows))
+                stage = lambda df, at=dst: b.store.stage(*at, df)
+                rows, copied, skipped = replicate.copy_rows(left, b.store.read(*dst), key, min(a.shard_rows, b.shard_rows), stage)
                 if rows is not None:
                     b.store.write(*dst, meta, rows, check=False)
                 data.setdefault(t_name, {})[dst[1]] = {"copied": copied, "skipped": skipped}
@@ -402,3 +439,32 @@ def _touched(d: dict, schema: str, table: str) -> bool:
 
 def _without_sequences(info: dict) -> dict:
     return {s: {t: v for t, v in ts.items() if v.get("type") != "sequence"} for s, ts in info.items()}
+
+
+def _each_raw(x: Any, f: Callable[[str], str]) -> Any:
+    if isinstance(x, dict):
+        return {k: f(v) if k == "raw" and isinstance(v, str) else _each_raw(v, f) for k, v in x.items()}
+    return [_each_raw(v, f) for v in x] if isinstance(x, list) else x
+
+
+def _filled(clause: dict, params: Any) -> dict:
+    """Values in place of ``$1``, ``$name`` and ``%s`` in the texts of a change, as SQL literals."""
+    given = iter(params) if not isinstance(params, dict) else None
+
+    def literal(v: Any) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool) or isinstance(v, (int, float)):
+            return str(v)
+        kind = {"datetime": "TIMESTAMP ", "date": "DATE "}.get(type(v).__name__, "")
+        return kind + "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def fill(text: str) -> str:
+        def marker(m: re.Match) -> str:
+            if m[2]:
+                return literal(params[int(m[2][1:]) - 1])
+            return literal(params[m[3][1:]]) if m[3] else literal(next(given)) if m[4] else m[0]
+
+        return Database._MARK.sub(marker, text)
+
+    return _each_raw(clause, fill)

@@ -86,6 +86,8 @@ OPERATORS: dict[str, Callable[..., Column]] = {
     "like": lambda a, b: F.call_function("like", a, b), "ilike": lambda a, b: F.call_function("ilike", a, b),
     "~~": lambda a, b: F.call_function("like", a, b), "!~~": lambda a, b: ~F.call_function("like", a, b),
 }
+#: Infix operators that take ``any`` or ``all`` of an array on their right.
+COMPARISONS = frozenset({"=", "!=", "<>", "<", "<=", ">", ">=", "like", "ilike", "~~", "!~~"})
 #: Operators of one operand.
 UNARY: dict[str, Callable[[Column], Column]] = {
     "not": lambda a: ~a, "is null": lambda a: a.isNull(), "is not null": lambda a: a.isNotNull(), "-": lambda a: -a, "+": lambda a: a,
@@ -123,7 +125,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "generate_series": lambda a, b, *step: F.explode(F.sequence(a, b, *step)), "array_length": lambda a, dim=None: F.size(a),
     "array_to_string": lambda a, sep: F.call_function("array_join", F.transform(a, lambda x: x.cast("string")), sep),
     "group_concat": lambda x, sep=None: F.listagg(x.cast("string"), F.lit(",") if sep is None else sep),
-    "string_agg": lambda x, sep: F.listagg(x.cast("string"), sep), "any": lambda a: a, "div": lambda a, b: F.call_function("div", a, b),
+    "string_agg": lambda x, sep: F.listagg(x.cast("string"), sep), "div": lambda a, b: F.call_function("div", a, b),
     "length": F.char_length, "count_distinct": F.count_distinct, "row": lambda *xs: F.struct(*xs),
 }
 KEYWORDS = {"null": lambda: F.lit(None), "current_timestamp": F.current_timestamp, "current_date": F.current_date, "true": lambda: F.lit(True), "false": lambda: F.lit(False)}
@@ -184,6 +186,8 @@ def to_column(x: Any, ctx: Context) -> Column:
     if name in OPERATORS:
         if len(args) < 2 and name not in ("and", "or", "||"):
             raise QueryError(f"{key} needs two operands or more")
+        if len(args) == 2 and isinstance(args[1], dict) and len(args[1]) == 1 and (how := next(iter(args[1])).lower()) in ("any", "some", "all") and name in COMPARISONS:
+            return _quantified(name, args[0], how, next(iter(args[1].values())), ctx)
         return OPERATORS[name](*[to_column(a, ctx) for a in args])
     if name == "count" and len(args) == 1:
         if args[0] == "*":
@@ -223,6 +227,23 @@ def _subquery(x: Any, ctx: Context) -> DataFrame:
     return ctx.subquery(x, ctx)
 
 
+def _quantified(name: str, left: Any, how: str, arg: Any, ctx: Context) -> Column:
+    """``left`` compared with any or all elements of an array or values of a subquery (of one column)."""
+    value = to_column(left, ctx)
+    only = arg[0] if isinstance(arg, list) and len(arg) == 1 else arg
+    if isinstance(only, dict) and "select" in only:
+        rows, every = _subquery(only, ctx), how == "all"
+        if (name == "=" and not every) or (name in ("!=", "<>") and every):
+            return ~value.isin(rows) if every else value.isin(rows)
+        if name not in ("<", "<=", ">", ">="):
+            raise QueryError(f"{name} {how} takes an array, not a select")
+        edge = F.max if (name[0] == ">") == every else F.min  # above all: above the largest; above any: above the smallest
+        return OPERATORS[name](value, rows.agg(edge(F.col(_quoted([rows.columns[0]])))).scalar())
+    elements = to_column(only, ctx)
+    test = F.exists if how in ("any", "some") else F.forall
+    return test(elements, lambda e: OPERATORS[name](value, e))
+
+
 def _case(entries: Any, ctx: Context) -> Column:
     if not isinstance(entries, list) or len(entries) < 2:
         raise QueryError("case needs two entries or more")

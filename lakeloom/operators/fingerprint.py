@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARD_ROWS = 16000
-CUTS = 512
+#: Rows between two cut points, and how many cut points there may be.
+PART_ROWS, MOST_CUTS = 1_000_000, 1 << 16
 
 
 def row_text(columns: dict[str, str], kinds: dict[str, str]) -> Column:
@@ -25,9 +26,15 @@ def row_text(columns: dict[str, str], kinds: dict[str, str]) -> Column:
     return F.concat(F.lit("["), *parts, F.lit("]"))
 
 
-def cut_points(df: DataFrame, key: str, most: int = CUTS) -> list[Any]:
-    """At most ``most`` key values that part the rows about evenly: a bounded uniform sample, the same in every run."""
+def how_many_cuts(rows: int) -> int:
+    """A cut for about every ``PART_ROWS`` rows, so that no task has to sort more than about that many, however large the table."""
+    return max(64, min(MOST_CUTS, rows // PART_ROWS))
+
+
+def cut_points(df: DataFrame, key: str, most: int | None = None) -> list[Any]:
+    """Key values that part the rows about evenly: a bounded uniform sample, the same in every run."""
     k = F.col(f"`{key}`")
+    most = how_many_cuts(df.count()) if most is None else most
     some = df.filter(k.isNotNull()).select(k.alias("k")).orderBy(F.xxhash64("k"), "k").limit(most)
     return [r["k"] for r in some.distinct().orderBy("k").collect()]
 
@@ -41,25 +48,27 @@ def bucket_of(key: Column, cuts: list[Any]) -> Column:
         mid = (lo + hi) // 2
         return F.when(key < F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
 
-    return between(0, len(cuts))
+    if len(cuts) <= 64:
+        return between(0, len(cuts))
+    table = F.array(*[F.lit(c) for c in cuts])  # folded to one constant
+    steps = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
+    ahead = lambda at, step: (at + step <= len(cuts)) & F.coalesce(F.get(table, at + step - 1) <= key, key.isNull())
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
 
 
 def numbered(df: DataFrame, key: str, shard_rows: int = SHARD_ROWS, cuts: list[Any] | None = None) -> DataFrame:
     """``df`` with ``_bucket`` and ``_shard``: rows in order of ``key``, ``shard_rows`` to a shard.
 
-    Rows are parted at sampled cut points and numbered inside each part; the parts' counts (a bounded list) say how
-    many rows come before. No task sees more than a part, and nothing depends on how the input is laid out.
+    Rows are parted at sampled cut points (one for about a million rows) and numbered inside each part; the parts'
+    counts, one row each, say how many rows come before. Nothing depends on how the input is laid out.
     """
-    cuts = cut_points(df, key, 64) if cuts is None else cuts
+    cuts = cut_points(df, key) if cuts is None else cuts
     placed = df.withColumn("_bucket", bucket_of(F.col(f"`{key}`"), cuts))
-    counts = {r["_bucket"]: r["count"] for r in placed.groupBy("_bucket").count().collect()}
-    before, total = [], 0
-    for b in sorted(counts):
-        before += [F.lit(b), F.lit(total)]
-        total += counts[b]
-    offset = F.create_map(*before)[F.col("_bucket")] if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(f"`{key}`").asc_nulls_last())) - 1 + offset
-    return placed.withColumn("_shard", F.floor(place / shard_rows))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_before"))  # at most MOST_CUTS + 1 rows
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(f"`{key}`").asc_nulls_last())) - 1
+    rows = placed.withColumn("_place", place).join(F.broadcast(counts), "_bucket")
+    return rows.withColumn("_shard", F.floor((F.col("_place") + F.col("_before")) / shard_rows)).select(*df.columns, "_bucket", "_shard")
 
 
 def md5_of(rows: Column, key: Column) -> Column:

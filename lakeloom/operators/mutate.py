@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import Context, QueryError, identifier, to_column
 from ..plans.select import Compiler
-from ..sources.store import Store, split_name
+from ..sources.store import Store, StoreError, split_name
 
 
 class Result:
@@ -48,16 +48,29 @@ def _returned(clause: dict, rows: DataFrame, alias: str, compiler: Compiler) ->
     return rows.alias(alias).select(*cols)
 
 
+def counter_of(table: str, name: str, column: dict) -> str | None:
+    """The sequence that numbers a column: the one its ``nextval`` default names, or its own."""
+    d = column.get("default")
+    if isinstance(d, dict) and set(d) == {"nextval"}:
+        arg = d["nextval"]
+        arg = arg[0] if isinstance(arg, list) else arg
+        arg = arg["literal"] if isinstance(arg, dict) and "literal" in arg else arg
+        return str(arg).strip("'\"").rpartition(".")[2].strip("'\"")
+    return f"{table}__{name}__seq" if column.get("sequence") else None
+
+
 def default_of(store: Store, schema: str, column: dict):
     """The default of a column as an expression; sequences are handled apart."""
     d = column.get("default")
+    if isinstance(d, dict) and set(d) == {"nextval"}:
+        return F.lit(None)
     return to_column(d, Context()) if d is not None else F.lit(None)
 
 
 def with_sequence(store: Store, schema: str, table: str, meta: dict, rows: DataFrame, missing: list[str]) -> DataFrame:
     """Fill sequence columns: partitions count their rows first, then number them from the counter on (no global sort)."""
     for name in missing:
-        key = f"{table}__{name}__seq"
+        key = counter_of(table, name, meta["columns"][name])
         counters = store.sequences(schema)
         old = store.read(schema, table)
         last = counters.get(key, {}).get("value")
@@ -69,12 +82,15 @@ def with_sequence(store: Store, schema: str, table: str, meta: dict, rows: DataF
         before, total = {}, 0
         for p in sorted(parts):
             before[p], total = total, total + parts[p]
-        offset = F.lit(0)
-        if before:
-            offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")]
-        number = F.row_number().over(Window.partitionBy("_part").orderBy("_row")) + offset
+        limits = counters.get(key, {})
+        final = last + total * step
+        if total and ((limits.get("max") is not None and final > limits["max"]) or (limits.get("min") is not None and final < limits["min"])):
+            raise StoreError(f"sequence {key} ends at {limits['max' if step > 0 else 'min']}")
+        offsets = F.broadcast(store.spark.createDataFrame(list(before.items()), "_part int, _before long"))
+        kept = kept.join(offsets, "_part")
+        number = F.row_number().over(Window.partitionBy("_part").orderBy("_row")) + F.col("_before")
         value = F.lit(last) + number * F.lit(step)
-        rows = kept.withColumn(name, F.coalesce(F.col(name), value)).drop("_part", "_row")
+        rows = kept.withColumn(name, F.coalesce(F.col(name), value)).drop("_part", "_row", "_before")
         counters[key] = {**counters.get(key, {}), "type": "sequence", "increment": step, "value": last + total * step}
         store.save_sequences(schema, counters)
     return rows
@@ -92,8 +108,8 @@ def insert(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     if unknown := set(columns) - set(names):
         raise QueryError(f"no columns {sorted(unknown)} in {name}")
     values = clause.get("values")
-    if isinstance(values, dict) and "select" in values:
-        new = compiler.run(values)
+    if isinstance(values, DataFrame) or isinstance(values, dict) and "select" in values:
+        new = values if isinstance(values, DataFrame) else compiler.run(values)
         if len(new.columns) != len(columns):
             raise QueryError("insert has another number of columns than its select")
         new = new.toDF(*columns)
@@ -121,11 +137,11 @@ def insert(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
         given = set(columns)
     absent = [c for c in names if c not in given]
     new = new.select("*", *[default_of(store, at[0], meta["columns"][c]).cast(store.schema(meta)[c].dataType).alias(c) for c in absent])
-    new = with_sequence(store, *at, meta, new.select(*[F.col(f"`{c}`").cast(store.schema(meta)[c].dataType).alias(c) for c in names]), [c for c in absent if meta["columns"][c].get("sequence")])
-    old = store.read(*at)
+    new = with_sequence(store, *at, meta, new.select(*[F.col(f"`{c}`").cast(store.schema(meta)[c].dataType).alias(c) for c in names]), [c for c in absent if counter_of(at[1], c, meta["columns"][c])])
     new = store.stage(*at, new)
     count = new.count()
-    store.write(*at, meta, old.unionByName(new))
+    if count:
+        store.append(*at, meta, new)
     return Result(count, _returned(clause, new, alias or at[1], compiler))
 
 
@@ -189,6 +205,7 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
     )
     count = new.filter("_hit").count()
     if count:
+        store.check_referring(*at, marked.filter("_hit").select(*old.columns), new, set(sets))
         store.write(*at, meta, new.drop("_hit"))
     return Result(count, _returned(clause, new.filter("_hit").drop("_hit"), alias, compiler))
 
@@ -207,6 +224,7 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     count = hit.count()
     gone = _returned(clause, hit, alias, compiler)
     if count:
+        store.check_referring(*at, hit, old.alias(alias).filter(~where))
         if clause.get("where") is None:
             store.write(*at, meta, old.limit(0))
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,6 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..database import Database
 from ..operators import fingerprint, replicate
@@ -18,11 +20,19 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """A fresh folder for tables of our own: below the shared checkpoint folder, or a local one where none is set."""
+    """A fresh folder for tables of our own: below the shared checkpoint folder; on one machine (tests) a local one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='lakeloom-')}/tables-{uuid.uuid4().hex}"
 
 
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = workspace(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def query(name: str, clause: dict | list, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir, c=clause: Database(spark, sf_dir).compile({"select": c})
     ORACLE_SQL[name] = sql
@@ -288,8 +298,134 @@ def _copy_again(spark, sf_dir):
     return target.table("orders")
 
 
-@made("diff_rows_by_shard", None)
+@made("diff_rows_by_shard", f"""WITH top AS (SELECT max(o_orderkey) AS top FROM orders), s AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS shard FROM orders),
+    bad AS (SELECT DISTINCT shard FROM s, top WHERE o_orderkey % 211 = 3 OR o_orderkey >= top - 5 OR ({CHANGED} AND o_totalprice <> 0))
+    SELECT count(*) FILTER (shard IN (SELECT shard FROM bad)) AS copied, count(*) FILTER (shard NOT IN (SELECT shard FROM bad)) AS skipped FROM s""")
 def _diff(spark, sf_dir):
     rows = Database(spark, sf_dir).table("orders")
-    new, copied, skipped = replicate.copy_rows(rows, _altered(rows), "o_orderkey", 1000)
+    new, copied, skipped = replicate.copy_rows(rows, _altered(rows), "o_orderkey", 1000, lambda df: _kept(spark, df))
     return spark.createDataFrame([(copied, skipped)], "copied long, skipped long")
+
+
+# functions
+
+query(
+    "json_agg_values",
+    {"data": ["n_regionkey", {"names": {"json_agg": "n_name"}}], "from": {"n": {"select": {"data": ["n_regionkey", {"n_name": {"min": "n_name"}}], "from": "nation", "group": "n_regionkey"}}}, "group": "n_regionkey"},
+    "SELECT n_regionkey, '[\"' || min(n_name) || '\"]' AS names FROM nation GROUP BY n_regionkey",
+)
+query(
+    "group_concat_lengths",
+    {"data": ["n_regionkey", {"chars": {"length": {"group_concat": "n_name"}}}], "from": "nation", "group": "n_regionkey"},
+    "SELECT n_regionkey, length(string_agg(n_name, ',')) AS chars FROM nation GROUP BY n_regionkey",
+)
+query(
+    "age_of_orders",
+    {"data": ["o_orderkey", {"days": {"datediff": [{"cast": [{"+": [{"cast": ["o_orderdate", "'timestamp'"]}, {"age": [{"cast": ["o_orderdate", "'timestamp'"]}, {"literal": datetime.datetime(1990, 1, 1)}]}]}, "'date'"]}, "o_orderdate"]}}], "from": "orders"},
+    "SELECT o_orderkey, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::INTEGER AS days FROM orders",
+)
+query("now_is_later", {"data": {"n": {"count": "*"}}, "from": "orders", "where": {"<": ["o_orderdate", {"now": None}]}}, "SELECT count(*) AS n FROM orders WHERE o_orderdate < now()::TIMESTAMP")
+query("unnest_array", {"data": ["n_nationkey", {"v": {"unnest": {"array": ["n_regionkey", 100]}}}], "from": "nation"}, "SELECT n_nationkey, unnest([n_regionkey, 100]) AS v FROM nation")
+query(
+    "array_length_of_groups", {"data": ["n_regionkey", {"n": {"array_length": [{"array_agg": "n_name"}, 1]}}], "from": "nation", "group": "n_regionkey"},
+    "SELECT n_regionkey, count(n_name)::INTEGER AS n FROM nation GROUP BY n_regionkey",
+)
+query("array_to_json_pairs", {"data": ["n_nationkey", {"j": {"array_to_json": {"array": ["n_nationkey", "n_regionkey"]}}}], "from": "nation"}, "SELECT n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' AS j FROM nation")
+query("equals_any_array", {"data": ["n_nationkey", "n_name"], "from": "nation", "where": {"=": ["n_regionkey", {"any": {"array": [1, 3]}}]}}, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (1, 3)")
+query(
+    "above_all_of_select", {"data": "c_custkey", "from": "customer", "where": {">": ["c_acctbal", {"all": {"select": {"data": "c_acctbal", "from": "customer", "where": {"=": ["c_nationkey", 3]}}}}]}},
+    "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = 3)",
+)
+query("keyword_values", {"data": ["r_regionkey", {"nothing": {"coalesce": [{"null": None}, "r_name"]}}, {"past": {"<": [{"cast": ["'2001-02-03'", "'timestamp'"]}, {"current_timestamp": None}]}}], "from": "region"}, "SELECT r_regionkey, r_name AS nothing, true AS past FROM region")
+
+
+@made("edge_after_cursor", "SELECT min(o_totalprice) AS min, max(o_totalprice) AS max FROM (SELECT * FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 250)")
+def _edge_page(spark, sf_dir):
+    return fingerprint.edges(Database(spark, sf_dir).table("orders"), "o_totalprice", "o_orderkey", 250, 700)
+
+
+# statements as text, and what they leave
+
+_NATION = "CREATE TABLE nation (id integer PRIMARY KEY, name text, region integer)"
+
+
+def _text(spark, sf_dir, *statements: str) -> Database:
+    db = Database(spark, workspace(spark))
+    db.create_schema("raw")
+    replicated = {"schemas": {"main": {"target": "raw", "tables": {"nation": True, "region": True}}}}
+    Database(spark, sf_dir).copy(db, replicated, final_diff=False)
+    db.execute([_NATION, "INSERT INTO nation SELECT n_nationkey, n_name, n_regionkey FROM raw.nation", *statements])
+    return db
+
+
+@made("text_changes", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN r_name ELSE n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN -n_regionkey ELSE n_regionkey END AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 7")
+def _text_changes(spark, sf_dir):
+    return _text(
+        spark, sf_dir, "DELETE FROM nation WHERE id = 7", "UPDATE nation SET region = -region WHERE id % 2 = 0",
+        "UPDATE nation SET name = r.r_name FROM raw.region r WHERE abs(nation.region) = r.r_regionkey AND nation.id < 5",
+    ).table("nation")
+
+
+@made("text_same_name_in_two_schemas", "SELECT a.n_nationkey AS id, a.n_name || ' main.nation' AS name, b.n_regionkey AS region FROM nation a JOIN nation b ON a.n_nationkey = b.n_nationkey + 1")
+def _text_schemas(spark, sf_dir):
+    return _text(spark, sf_dir).compile("SELECT nation.id, concat(name, ' main.nation') AS name, n_regionkey AS region FROM nation JOIN raw.nation AS r ON nation.id = r.n_nationkey + 1")
+
+
+@made("text_alter_rename_drop", "SELECT n_nationkey AS id, n_name AS title, 1 AS seen FROM nation")
+def _text_alter(spark, sf_dir):
+    db = _text(
+        spark, sf_dir, "ALTER TABLE nation ADD COLUMN seen integer DEFAULT 1", "ALTER TABLE nation RENAME COLUMN name TO title", "ALTER TABLE nation DROP COLUMN region",
+        "ALTER TABLE nation RENAME TO state", "DROP SCHEMA raw CASCADE",
+    )
+    assert db.store.schemas() == ["main"]
+    return db.table("state")
+
+
+@made("insert_with_nextval", "SELECT 95 + 5 * row_number() OVER (ORDER BY n_nationkey) AS no, n_nationkey AS id FROM nation")
+def _nextval(spark, sf_dir):
+    db = _text(spark, sf_dir, "CREATE SEQUENCE ticket START WITH 100 INCREMENT BY 5")
+    db.create_table("queue", {"columns": {"no": {"type": "integer", "default": {"nextval": "'ticket'"}}, "id": {"type": "integer"}}})
+    db.execute({"insert": {"table": "queue", "columns": ["id"], "values": {"select": {"data": "id", "from": "nation", "order": "id"}}}})
+    got = db.table("queue")  # which row gets which number is open: pair them in order
+    w = Window.partitionBy(F.lit(0))
+    return got.select(F.row_number().over(w.orderBy("no")).alias("k"), "no").join(got.select(F.row_number().over(w.orderBy("id")).alias("k"), "id"), "k").select(F.col("no").cast("long"), "id")
+
+
+@made("insert_with_clause", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT n_nationkey + 100, n_name, 9 FROM nation WHERE n_regionkey = 2")
+def _insert_with(spark, sf_dir):
+    db = _text(spark, sf_dir)
+    few = {"as": "few", "query": {"select": {"data": ["id", "name"], "from": "nation", "where": {"=": ["region", 2]}}}}
+    db.execute({"insert": {"table": "nation", "with": few, "values": {"select": {"data": [{"i": {"+": ["id", 100]}}, "name", {"r": 9}], "from": "few"}}}})
+    return db.table("nation")
+
+
+@made("copy_null_swap", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS a, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS b FROM orders")
+def _null_swap(spark, sf_dir):
+    source, target = Database(spark, workspace(spark)), Database(spark, workspace(spark))
+    orders = Database(spark, sf_dir).table("orders")
+    for db, even in ((source, 0), (target, 1)):
+        odd = F.col("o_orderkey") % 2 == even
+        db.create_table("t", {"columns": {"k": {"type": "bigint", "primary": True}, "a": {"type": "text"}, "b": {"type": "text"}}})
+        part = orders.select(F.col("o_orderkey").alias("k"), F.when(odd, F.col("o_orderpriority")).alias("a"), F.when(~odd, F.col("o_orderpriority")).alias("b"))
+        db.store.write("main", "t", db.store.meta("main", "t"), part)
+    source.copy(target, final_diff=False)
+    return target.table("t")
+
+
+@made("diff_of_databases", "SELECT count(*) AS source_rows, count(*) FILTER (o_orderkey % 10 <> 0) AS target_rows, min(o_orderkey) FILTER (o_orderkey % 10 <> 0) AS target_min FROM orders")
+def _diff_databases(spark, sf_dir):
+    orders = Database(spark, sf_dir).table("orders")
+    source, target = _loaded(spark, sf_dir, "orders", "o_orderkey"), _loaded(spark, sf_dir, "orders", "o_orderkey", orders.filter("o_orderkey % 10 <> 0"))
+    d = source.diff(target, schema=False)["main"]["orders"]["rows"]
+    low = d.get("range", {}).get("o_orderkey", {}).get("min") or [None, source.table("orders").agg(F.min("o_orderkey")).first()[0]]
+    return spark.createDataFrame([(d["count"][0], d["count"][1], low[1])], "source_rows long, target_rows long, target_min long")
+
+
+@made("apply_definition", "SELECT * FROM (VALUES ('id', 'integer', true), ('name', 'text', false), ('note', 'text', false)) AS t(name, type, is_key)")
+def _apply(spark, sf_dir):
+    db = _text(spark, sf_dir)
+    wanted = {"id": {"type": "integer", "null": False, "primary": True}, "name": {"type": "text"}, "note": {"type": "text"}}
+    db.apply({"main": {"nation": {"columns": wanted}}})
+    assert db.apply({"main": {"nation": {"columns": wanted}}}) == {}
+    columns = db.get_info(data=False)["main"]["nation"]["columns"]
+    return spark.createDataFrame([(k, v["type"], bool(v["primary"])) for k, v in columns.items()], "name string, type string, is_key boolean")

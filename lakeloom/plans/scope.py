@@ -10,9 +10,10 @@ class NotIncluded(Exception):
     """The scope leaves this name out."""
 
 
-def _rank(pattern: str, position: int) -> tuple:
-    stars = sum(pattern.count(c) for c in "*?[")
-    return (not stars, -stars, len(pattern) - stars, position)
+def _rank(key: str, position: int) -> tuple:
+    """How specific an entry is: names without ``*`` before all others, then more wildcards, then more other characters, then the later."""
+    stars = key.count("*")
+    return (stars == 0, stars, len(key) - stars - key.startswith("~"), position)
 
 
 def merge(a: Any, b: Any) -> Any:
@@ -48,7 +49,7 @@ def find(scope: Any, kind: str, name: str, tag: str | None = None) -> tuple[str,
         invert = pattern.startswith("~")
         if fnmatchcase(name, pattern.lstrip("~")) != invert:
             plain = not invert and not any(c in key for c in "*?[~")
-            hits.append((_rank(pattern.lstrip("~"), i), key if plain else name, value))
+            hits.append((_rank(key, i), key if plain else name, value))
     hits.sort(key=lambda h: h[0])
     out: Any = {}
     for _, _, value in hits:

@@ -1,8 +1,8 @@
 """Tables as immutable Parquet snapshots with a metadata record.
 
-``root/schema/table/_meta.json`` names the current snapshot ``v<n>`` and holds columns, constraints and indexes. A change
-writes a new snapshot and then swaps the record in one step, so readers see either state and a lost executor costs
-nothing but a rerun. Plain files ``root/table.parquet`` are tables of the default schema, to be read only.
+``root/schema/table/_meta.json`` names the parts of the current snapshot (folders ``v<n>``) and holds columns, constraints
+and indexes. A change writes a new part, with all rows or (an insert) with the new ones only, and then swaps the record in
+one step, so readers see either state and a lost executor costs nothing but a rerun. Plain files ``root/table.parquet`` are tables of the default schema, to be read only.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .files import Files
 from .readers import FORMATS, kind_of, read_file, read_jdbc
 
 DEFAULT = "main"
+#: A snapshot of so many parts becomes one part at the next insert.
+MOST_PARTS = 64
 COLUMN = {"type": "text", "default": None, "null": True, "sequence": False, "primary": False, "unique": False, "related": None, "choices": None}
 
 
@@ -74,6 +76,10 @@ def definition(table: str, given: dict) -> dict:
     return bind(table, {"type": "table", "columns": columns, "constraints": constraints, "indexes": indexes})
 
 
+def parts_of(meta: dict | None) -> list[str]:
+    return [] if not meta or not meta.get("version") else meta.get("parts") or [f"v{meta['version']}"]
+
+
 class Store:
     """All tables below one root, or of one catalog or server (both read only)."""
 
@@ -84,6 +90,7 @@ class Store:
         self.undo: list[Callable[[], None]] | None = None
         self.metas: dict[tuple[str, str], dict] = {}
         self.stages: dict[tuple[str, str], list[str]] = {}
+        self.temporary: list[tuple[str, str]] = []
 
     # places
 
@@ -138,8 +145,8 @@ class Store:
             return read_jdbc(self.spark, self.root, f"{schema}.{table}")
         if self.files.exists(f"{self.path(schema, table)}/_meta.json"):
             meta = self.meta(schema, table)
-            v = meta["version"] if version is None else version
-            return self.spark.read.schema(self.schema(meta)).parquet(f"{self.path(schema, table)}/v{v}")
+            parts = meta.get("parts") or [f"v{meta['version']}"]
+            return self.spark.read.schema(self.schema(meta)).parquet(*[f"{self.path(schema, table)}/{p}" for p in ([f"v{version}"] if version else parts)])
         if plain := self._plain(schema, table):
             return read_file(self.spark, plain)
         raise StoreError(f"no table {schema}.{table}")
@@ -157,7 +164,8 @@ class Store:
         base = self.path(schema, table)
         old = self.metas.get((schema, table)) or (self.files.read_json(f"{base}/_meta.json") if self.files.exists(f"{base}/_meta.json") else None)
         version = (old or {}).get("version") or 0
-        meta = {**meta}
+        before = parts_of(old)
+        meta = {**meta, "parts": before}
         if rows is not None:
             version += 1
             kind = self.schema(meta)
@@ -166,14 +174,39 @@ class Store:
             if check and (found := self.violations(schema, table, meta, self.spark.read.schema(kind).parquet(f"{base}/v{version}"), deferred=False)):
                 self.files.delete(f"{base}/v{version}")
                 raise StoreError(f"{schema}.{table} breaks {', '.join(found)}")
+            meta["parts"] = [f"v{version}"]
         meta["version"] = version
+        self._swap(schema, table, meta, old)
+        return version
+
+    def append(self, schema: str, table: str, meta: dict, rows: DataFrame) -> int:
+        """Add ``rows``: they are one more part, and only they are checked, their keys also against the old rows'."""
+        base, old = self.path(schema, table), self.meta(schema, table)
+        before = parts_of(old)
+        if self.kind != "files" or not before or len(before) >= MOST_PARTS:  # the parts become one
+            return self.write(schema, table, meta, self.read(schema, table).unionByName(rows))
+        version, kind = old["version"] + 1, self.schema(meta)
+        rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind])
+        rows.write.mode("overwrite").parquet(f"{base}/v{version}")
+        new = self.spark.read.schema(kind).parquet(f"{base}/v{version}")
+        if found := self.violations(schema, table, meta, new, deferred=False, beside=self.read(schema, table)):
+            self.files.delete(f"{base}/v{version}")
+            raise StoreError(f"{schema}.{table} breaks {', '.join(found)}")
+        self._swap(schema, table, {**meta, "version": version, "parts": [*before, f"v{version}"]}, old)
+        return version
+
+    def _swap(self, schema: str, table: str, meta: dict, old: dict | None) -> None:
+        """Make ``meta`` the record. Parts of the snapshot before the last one go: the last stays for readers that began before."""
+        base, before = self.path(schema, table), parts_of(old)
+        stale = [p for p in (old or {}).get("prior", []) if p not in meta["parts"] and p not in before]
+        meta["prior"] = before if self.undo is None else [*dict.fromkeys([*stale, *before])]
         self.files.write_json(f"{base}/_meta.json", meta)
         self.metas[schema, table] = meta
         if self.undo is not None:
             self.undo.append(lambda: self._restore(schema, table, old))
-        elif rows is not None and version > 2:
-            self.files.delete(f"{base}/v{version - 2}")  # the last one stays for readers that began before
-        return version
+        else:
+            for p in stale:
+                self.files.delete(f"{base}/{p}")
 
     def _restore(self, schema: str, table: str, old: dict | None) -> None:
         self.metas.pop((schema, table), None)
@@ -211,8 +244,11 @@ class Store:
 
     # constraints
 
-    def violations(self, schema: str, table: str, meta: dict, rows: DataFrame, deferred: bool = True) -> list[str]:
-        """Names of the constraints (and not-null columns) that ``rows`` break; one job for nulls, one for each key."""
+    def violations(self, schema: str, table: str, meta: dict, rows: DataFrame, deferred: bool = True, beside: DataFrame | None = None) -> list[str]:
+        """Names of the constraints (and not-null columns) that ``rows`` break; one job for nulls, one for each key.
+
+        ``beside``: sound rows of the same table that the new ones come to.
+        """
         from ..functions.expressions import Context, to_column
 
         out, must = [], [k for k, c in meta["columns"].items() if not c["null"]]
@@ -227,20 +263,43 @@ class Store:
             if k.get("deferred") and not deferred or not k["columns"]:
                 continue
             cols = [F.col(f"`{c}`") for c in k["columns"]]
-            if k["type"] in ("primary", "unique"):
-                whole = rows.dropna(subset=k["columns"]) if k["type"] == "unique" else rows
+            if k["type"] in ("primary", "unique", "exclude"):  # an exclusion without operators of its own is one of equal values
+                whole = rows.dropna(subset=k["columns"]) if k["type"] != "primary" else rows
                 if whole.groupBy(*cols).count().filter("count > 1").limit(1).count():
                     out.append(name)
+                elif beside is not None and beside.select(*k["columns"]).join(whole.select(*k["columns"]), k["columns"], "left_semi").limit(1).count():
+                    out.append(name)
             elif k["type"] == "foreign" and k.get("related_name"):
                 to = split_name(k["related_name"], schema)
                 if self.exists(*to):
-                    other = rows.select(*k["columns"]) if to == (schema, table) else self.read(*to)
+                    other = rows if to == (schema, table) else self.read(*to)
+                    other = other.unionByName(beside) if to == (schema, table) and beside is not None else other
                     theirs = k.get("related_columns") or k["columns"]
                     same = [F.col(f"a.`{a}`") == F.col(f"b.`{b}`") for a, b in zip(k["columns"], theirs, strict=True)]
                     if rows.dropna(subset=k["columns"]).alias("a").join(other.alias("b"), same, "left_anti").limit(1).count():
                         out.append(name)
         return out
 
+    def referring(self, schema: str, table: str) -> list[tuple[tuple[str, str], str, list[str], list[str]]]:
+        """(table, constraint, its columns, columns here) of each foreign key of another table to this one."""
+        out = []
+        for s in self.schemas() if self.kind == "files" else []:
+            for t in self.tables(s):
+                for name, k in self.meta(s, t)["constraints"].items():
+                    if (s, t) != (schema, table) and k["type"] == "foreign" and k.get("related_name") and split_name(k["related_name"], s) == (schema, table):
+                        out.append(((s, t), name, k["columns"], k.get("related_columns") or k["columns"]))
+        return out
+
+    def check_referring(self, schema: str, table: str, gone: DataFrame, staying: DataFrame, columns: set[str] | None = None) -> None:
+        """An error if rows of another table refer to keys of ``gone`` that no row of ``staying`` has."""
+        for other, name, theirs, here in self.referring(schema, table):
+            if columns is not None and not columns & set(here):
+                continue
+            keys = gone.select(*here).dropna().join(staying.select(*here), here, "left_anti")
+            same = [F.col(f"a.`{a}`") == F.col(f"b.`{b}`") for a, b in zip(theirs, here, strict=True)]
+            if self.read(*other).alias("a").join(keys.alias("b"), same, "left_semi").limit(1).count():
+                raise StoreError(f"{'.'.join(other)} refers to rows that would go ({name})")
+
     # sequences
 
     def sequences(self, schema: str = DEFAULT) -> dict[str, dict]:
