@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six characters, so ``bytes.split()`` yields exactly the words.
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -41,6 +42,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +52,16 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what ``durable`` wrote for this application, once no result that was made from it is needed any more; how many folders."""
+    from ..sources.files import Files
+
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        Files(spark).delete(path)
+    return len(paths)
+
+
 def by_hash(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
     """About ``most`` of the ``n`` rows of ``df``: those whose hash of ``key`` lies below a threshold (all rows if n is no more)."""
     share = min(1.0, most / max(1, n))

@@ -506,15 +506,94 @@ def test_warc_awkward_archives(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).collect() == []
 
 
-def test_pipeline_stages(spark):
+def brute_quality(rows, trusted, buckets=1 << 15, keep_share=0.998):
+    """doc_id -> (llr, kept), counting by plain loops; words are hashed as Spark hashes them."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    def seeded(w, seed):
+        return xxhash.xxh64_intdigest(w.encode(), seed=seed)
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    grams = {}
+    for k, t in rows.items():
+        w = WORD.findall(t)
+        ones = [seeded(x, 42) for x in w]
+        grams[k] = [signed(h) % buckets for h in [*ones, *(seeded(x, h) for x, h in zip(w[1:], ones, strict=False))]]
+    spark = trusted.sparkSession
+    fit = {r["doc_id"]: r["fit"] for r in trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("fit")).collect()}
+    assert spark is not None
+    good, raw = collections.Counter(), collections.Counter()
+    for k, g in grams.items():
+        raw.update(g)
+        if fit.get(k):
+            good.update(g)
+    share = sum(good.values()) / sum(raw.values())
+    weight = {b: round(float(np.log((good[b] + quality.PRIOR) / (n * share + quality.PRIOR))), 3) for b, n in raw.items()}
+    failed, llr = {}, {}
+    for k, t in rows.items():
+        w = WORD.findall(t)
+        at = collections.defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].append(i)
+        failed[k] = len(w) < 50 or 100 * len({i + j for x in at.values() if len(x) > 1 for i in x for j in range(3)}) > 50 * len(w)
+        llr[k] = sum(weight[b] for b in grams[k]) / len(grams[k]) if w else 0.0
+    steps = sorted(int(np.floor(llr[k] * 1000)) for k, f in fit.items() if not f and k in llr and not failed[k])
+    floor = steps[int(np.floor((1 - keep_share) * len(steps)))] / 1000 if steps else float("-inf")
+    return {k: (llr[k], not failed[k] and llr[k] >= floor) for k in rows}, floor
+
+
+def test_pipeline_stages_against_brute_force(spark, docs):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing sources", "best-fit packing"]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = texts(docs)
+    verdict, floor = brute_quality(rows, labels.filter("quality = 1"))
+    found = docs.withColumn("extra", docs["lang"])
+    full = {r["doc_id"]: r for r in docs.collect()}
+
+    def after(stage):
+        nonlocal found
+        found = spark.createDataFrame(p.STAGES[stage][1](spark, found, SF).collect(), docs.schema)
+        assert found.columns == docs.columns
+        assert all(tuple(r) == tuple(full[r["doc_id"]]) for r in found.collect())
+        return {r["doc_id"] for r in found.collect()}
+
+    edge = {k for k, (v, _) in verdict.items() if abs(v - floor) < 2e-4}  # weights are rounded: a document at the threshold may fall either way
+    kept = after(0)
+    assert kept - edge == {k for k, (_, ok) in verdict.items() if ok} - edge and len(edge) < 4
+    groups = collections.defaultdict(list)
+    for k in kept:
+        groups[re.sub("[A-Z]", lambda m: m[0].lower(), rows[k])].append(k)
+    kept = after(1)
+    assert kept == {max(g) for g in groups.values()}
+    component = brute_components({k: rows[k] for k in kept})
+    kept = after(2)
+    assert kept == {k for k, (_, c) in component.items() if k == c}
+    some = [(k, rows[k], re.match("[^0-9]*", full[k]["source"])[0], full[k]["lang"], full[k]["source"], len(WORD.findall(rows[k]))) for k in kept]
+    copies = brute_mix(spark, some, 0.9, {}, 0.7, 1)
+    kept = after(3)
+    assert kept == {k for (k, n) in copies if n}
+    packed = p.STAGES[4][1](spark, found, SF).toPandas()
+    assert set(packed.doc_id) == kept and (packed.groupby("sequence_id").length.sum() <= 2048).all()
+    want, _ = packing.best_fit(packed.sort_values(["doc_id", "piece", "start"]).length.to_numpy(), (2048.0, 2048.0, 2048.0**2))
+    assert packed.sequence_id.nunique() == want.max() + 1
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    after = docs
-    for name, stage in p.STAGES[:-1]:
-        before, after = after, stage(spark, after, SF)
-        assert set(after.columns) == set(p.COLUMNS) and after.count() <= before.count(), name
-    assert p.run(spark, SF).select("doc_id").distinct().count() == after.count()
+    spark.createDataFrame([(6, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{i}" for i in range(120))
+    more = spark.createDataFrame([(None, long, "en", None, "clash", 1), (50, long.upper(), None, "s2", "clash", 1), (50, long + " a", "en", "s2", "c", 1), (51, long + " b", "en", "s2", "c", 1), (52, long + " b", "en", "s2", "c", 1)], awkward.schema)
+    clean = spark.createDataFrame([(100 + i, " ".join(f"c{i}x{j}" for j in range(60 + i)), "en", "s1", "h", 1) for i in range(12)], awkward.schema)
+    for df, some in ((awkward.union(more).union(clean), True), (empty, False)):
+        df.withColumn("n_chars", df["kept"].cast("long")).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        ids = collections.Counter(r["doc_id"] for r in p.run(spark, str(tmp_path)).collect())
+        assert bool(ids) == some and (not some or sum(ids[100 + i] for i in range(12)) >= 9)
+        assert not set(ids) & {1, 2, 3, 4, 5, 8, 11} and sum(ids[k] for k in (None, 50, 51, 52)) <= 1  # one of the group of near copies at most
+    assert quality.common.release(spark) > 0 and quality.common.release(spark) == 0
 
 
 def test_pipeline_drops_rows_not_ids(spark):
