@@ -1,7 +1,11 @@
 """A corpus pipeline: quality rules, exact duplicates, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``; further columns of docs, whatever their names, go.
+
+Null and empty texts have no words, so the quality rules reject them; a null doc_id is a document like others (never
+trusted, smaller than all ids). Rows that repeat an id are each judged by their own text; of rows that repeat id and text
+one stays after the exact stage. Texts of any length are judged whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: The quality model and the packing can't be written in SQL; tests/llm hold the stages against brute force.
+#: The quality model, the seeded order and the packing can't be written in SQL; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
