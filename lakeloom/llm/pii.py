@@ -122,7 +122,8 @@ class SkipChain:
     """Node weights by feature, and tables for chain and for skip edges, trained together; sum-product message passing.
 
     Trained by gradient ascent on the likelihood of all labels of a text given part of them: spans drawn at random (the
-    same in every run) are masked, the others are evidence. The expected counts in the gradient are the beliefs of loopy
+    same in every run) are masked, the others are evidence. Tokens outside every base span count less (``unlabelled``), as
+    the patterns miss some. The expected counts in the gradient are the beliefs of loopy
     message passing, for nodes and for edges.
     """
 
@@ -155,7 +156,7 @@ class SkipChain:
         np.add.at(belief, dst, msg)
         return msg, belief, pair
 
-    def fit(self, nodes: Nodes, rounds: int = 80, rate: float = 0.15, masked: float = 0.5, decay: float = 1e-3) -> None:
+    def fit(self, nodes: Nodes, rounds: int = 80, rate: float = 0.15, masked: float = 0.5, decay: float = 1e-3, unlabelled: float = 0.3) -> None:
         if not nodes.span:
             return
         x, y, n = np.array(nodes.features), np.array(nodes.label), len(KINDS) + 1
@@ -163,6 +164,7 @@ class SkipChain:
         half = len(graph[0]) // 2
         spots = np.array([zlib.crc32(f"{d}/{m}".encode()) for d, m in zip(nodes.doc, nodes.mention, strict=True)])
         want, rng, msg = np.eye(n)[y], np.random.default_rng(11), None
+        weight = np.where(y > 0, 1.0, unlabelled)[:, None] / len(x)  # what the patterns miss may be personal data all the same
         moments = [[np.zeros_like(v), np.zeros_like(v)] for v in (self.w, self.pair)]
         for step in range(1, rounds + 1):
             hidden = rng.random(1 << 12)[spots % (1 << 12)] < masked  # tokens of one span share their fate
@@ -171,12 +173,12 @@ class SkipChain:
             msg, belief, pair = self._pass(z, graph, 3, msg)
             p = _softmax(belief, (1,))
             grad_w, grad_pair = -decay * self.w, -decay * self.pair
-            np.add.at(grad_w, x.ravel(), np.repeat((want - p) / len(x), x.shape[1], 0))
+            np.add.at(grad_w, x.ravel(), np.repeat((want - p) * weight, x.shape[1], 0))
             if half:
                 a, b, kind, back = graph[0][:half], graph[1][:half], graph[2], graph[3][:half]
                 joint = _softmax((belief[a] - msg[back])[:, :, None] + (belief[b] - msg[:half])[:, None, :] + pair[:half], (1, 2))
                 np.add.at(joint, (np.arange(half), y[a], y[b]), -1.0)
-                np.add.at(grad_pair, kind, -joint / len(x))
+                np.add.at(grad_pair, kind, -joint * np.minimum(weight[a], weight[b])[:, :, None])
             for value, grad, (m, v) in zip((self.w, self.pair), (grad_w, grad_pair), moments, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.01 * (grad * grad - v)
