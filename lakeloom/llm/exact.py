@@ -28,7 +28,7 @@ def _sign(batches):
         low = _normal(b, "text")
         raw = [x.encode() for x in low.to_pylist()]
         sha = pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(raw), sha], ["doc_id", "h1", "h2", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_t"), *_halves(raw), sha], ["doc_id", "_t", "h1", "h2", "text_sha256"])
 
 
 def _lowered(batches):
@@ -38,8 +38,8 @@ def _lowered(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_halves(raw), low.cast(pa.string())], ["doc_id", "h1", "h2", "body"])
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id", text: str = "text", row_keys: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; with ``row_keys`` also _k and _t of ``common.row_key``.
 
     Texts are equal if identical after lower-casing A-Z. Rows are grouped by a 128-bit hash; in hashes that more than
     one row has, whole texts are compared (they are the grouping key, so two texts that share a hash form two groups).
@@ -52,8 +52,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id",
     """
     common.ship_code(docs.sparkSession)
     best = {"smallest": F.min, "largest": F.max}[keep]
+    k, t = common.row_key()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = rows.mapInArrow(_sign, "doc_id long, h1 long, h2 long, text_sha256 string")
+    keyed = rows.withColumn("_t", t if row_keys else F.lit(None).cast("long"))
+    signed = keyed.mapInArrow(_sign, "doc_id long, _t long, h1 long, h2 long, text_sha256 string")
     groups = signed.groupBy("h1", "h2").agg(F.count("*").alias("rows"))
     shared = common.durable(groups.filter("rows > 1").select("h1", "h2"))
     # bytes are compared here: the text itself is part of the grouping key
@@ -74,6 +76,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", doc_id: str = "doc_id",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(one | F.col("keep_id").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        *([k, "_t"] if row_keys else []),
     )
 
 
