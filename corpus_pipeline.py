@@ -10,8 +10,6 @@ one stays after the exact stage. Texts of any length are judged whole. Empty tab
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +44,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row with the largest doc_id stays."""
-    k, _ = common.row_key()
-    low = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
-    found = exact.exact_dedup(docs, keep="largest").select(k, F.col("text_sha256").alias("_t"), "kept")
-    found = common.durable(found)
-    return _without(docs, [k, F.sha2(low, 256).alias("_t")], found.filter("not kept"), found.filter("kept"))
+    found = common.durable(exact.exact_dedup(docs, keep="largest", row_keys=True).select("_k", "_t", "text_sha256", "kept"))
+    # kept rows of one id whose texts differ in capitals only: one of the texts stays
+    twice = found.filter("kept").groupBy("_k", "text_sha256").agg(F.min("_t").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    twice = common.small(common.durable(twice.drop("n")))
+    of = found.join(twice, ["_k", "text_sha256"], "left").withColumn("stays", F.col("kept") & F.coalesce(F.col("_t") == F.col("first"), F.lit(True)))
+    return _without(docs, common.row_key(), of.filter("not stays"), of.filter("stays"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
