@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from typing import Any
 
@@ -11,16 +13,19 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import QueryError
-from .operators import ddl, diffing, mutate, replicate
+from .operators import ddl, diffing, mutate, replicate, transfer
 from .operators.fingerprint import SHARD_ROWS, shard_hashes
 from .plans import scope as scopes
 from .plans.model import Model
-from .plans import sqltext
+from .plans import sqltext, validate
 from .plans.select import Compiler
 from .sources.store import DEFAULT, Store, split_name
 
 COMMANDS = ("select", "insert", "update", "delete", "truncate", "create", "alter", "drop", "show", "explain", "set")
 
+#: Tables that a copy brings over at a time.
+COPY_THREADS = 4
+
 FEATURES = frozenset({"schema", "table", "sequence", "constraint", "index", "transaction", "array", "json", "returning", "with", "lateral", "stream"})
 
 
@@ -139,11 +144,66 @@ class Database:
     def transaction(self):
         return self.store.transaction()
 
-    def _run(self, query: Any, params: Any = None) -> Any:
+    @staticmethod
+    def validate(query: Any) -> list[str]:
+        """What is wrong with a statement's outline, without running it."""
+        return validate.problems(query)
+
+    def _asked(self, what: str) -> None:
         if self.verbose:
-            print(query)
-        if self.prompt and not self.prompt(str(query)):
+            print(what)
+        if self.prompt and not self.prompt(what):
             raise QueryError("stopped at the prompt")
+
+    # rows as bytes
+
+    def copy_from(self, output: Any, table_name: str | None = None, query: Any = None, schema_name: str | None = None, columns: list[str] | None = None, params: Any = None, close: Any = False, **options: Any) -> int:
+        """Rows of a table (or of some columns of it) or of a query to ``output``, a path or a binary file object; how many.
+
+        Options: ``format`` (text, csv), ``header``, ``delimiter``, ``null``. ``close`` closes the output, or is itself closed.
+        """
+        if table_name is None and query is None:
+            raise QueryError("a table or a query is needed")
+        self._asked(f"copy from {table_name or query}")
+        options["fmt"] = options.pop("format", "text")
+        if table_name is None:
+            found = self._run(query, params)
+            rows = found.rows if isinstance(found, mutate.Result) else found
+            if rows is None:
+                raise QueryError("the query has no rows to copy")
+        else:
+            rows = self.table(table_name, schema_name)
+            rows = rows.select(*[F.col(f"`{c}`") for c in columns]) if columns else rows
+        count = transfer.write_rows(rows, output, **options)
+        if close:
+            (close if hasattr(close, "close") else output).close()
+        return count
+
+    def copy_to(self, table_name: str, source: Any, schema_name: str | None = None, columns: list[str] | None = None, transaction: bool = False, **options: Any) -> int:
+        """Rows of ``source``, a path or a binary file object, come to a table as an insert does (defaults, sequences, checks); how many."""
+        if transaction:
+            with self.store.transaction():
+                return self.copy_to(table_name, source, schema_name, columns, **options)
+        self._asked(f"copy to {table_name}")
+        options["fmt"] = options.pop("format", "text")
+        at = split_name(table_name, schema_name)
+        meta = self.store.meta(*at)
+        kinds = self.store.schema(meta)
+        if unknown := set(columns or ()) - set(kinds.names):
+            raise QueryError(f"no columns {sorted(unknown)} in {table_name}")
+        kind = type(kinds)([kinds[c] for c in columns or kinds.names])
+        held = None if isinstance(source, str) else f"{self.store.path(*at)}/_copy_{uuid.uuid4().hex}/rows"
+        try:
+            if held:
+                transfer.spool(self.spark, source, held)
+            rows = transfer.read_rows(self.spark, held or source, kind, **options)
+            return mutate.insert(self.store, self.compiler(), {"table": ".".join(at), "columns": kind.names, "values": rows}).count
+        finally:
+            if held:
+                self.store.files.delete(held.rsplit("/", 1)[0])
+
+    def _run(self, query: Any, params: Any = None) -> Any:
+        self._asked(str(query))
         if isinstance(query, str):
             found = sqltext.statement(query)
             return self._sql(query, params) if found is None else self._change(*found, params)
@@ -340,6 +400,7 @@ class Database:
         data: dict[str, Any] = {}
         differing = None if check_all else self.diff(target, scope, schema=False)
         sc = scope if scope is not None else self.scope
+        jobs = []
         for alias, tables in mine.items():
             inner = _child(sc, "schemas", alias)
             s_name, t_name = (scopes.real_name(sc, "schemas", alias, d.tag) for d in (a, b))
@@ -350,16 +411,23 @@ class Database:
                 src = (s_name, scopes.real_name(inner, "tables", t, a.tag))
                 dst = (t_name, scopes.real_name(inner, "tables", t, b.tag))
                 cols = {c: (scopes.real_name(below, "columns", c, a.tag), scopes.real_name(below, "columns", c, b.tag)) for c in tables[t]["columns"]}
-                meta = b.store.meta(*dst)
-                kinds = b.store.schema(meta)
-                left = a.store.read(*src).select(*[F.col(f"`{x}`").cast(kinds[y].dataType).alias(y) for x, y in cols.values()])
-                keys = primary_keys(meta)
-                key = keys[0] if len(keys) == 1 and any(c.get("primary") for c in meta["columns"].values()) else None
-                stage = lambda df, at=dst: b.store.stage(*at, df)
-                rows, copied, skipped = replicate.copy_rows(left, b.store.read(*dst), key, min(a.shard_rows, b.shard_rows), stage)
-                if rows is not None:
-                    b.store.write(*dst, meta, rows, check=False)
-                data.setdefault(t_name, {})[dst[1]] = {"copied": copied, "skipped": skipped}
+                jobs.append((src, dst, cols))
+
+        def one(job: tuple) -> dict:
+            src, dst, cols = job
+            meta = b.store.meta(*dst)
+            kinds = b.store.schema(meta)
+            left = a.store.read(*src).select(*[F.col(f"`{x}`").cast(kinds[y].dataType).alias(y) for x, y in cols.values()])
+            keys = primary_keys(meta)
+            key = keys[0] if len(keys) == 1 and any(c.get("primary") for c in meta["columns"].values()) else None
+            rows, copied, skipped = replicate.copy_rows(left, b.store.read(*dst), key, min(a.shard_rows, b.shard_rows), lambda df: b.store.stage(*dst, df))
+            if rows is not None:
+                b.store.write(*dst, meta, rows, check=False)
+            return {"copied": copied, "skipped": skipped}
+
+        with ThreadPoolExecutor(COPY_THREADS) as pool:  # the stages of several tables fill the cluster together
+            for (_, dst, _), done in zip(jobs, pool.map(one, jobs), strict=True):
+                data.setdefault(dst[0], {})[dst[1]] = done
         target.reset()
         return {"schema_changes": schema_changes, "data_changes": data, "final_diff": self.diff(target, scope, exclude=exclude) if final_diff else False}
 

@@ -1,5 +1,6 @@
 """Databases of our own, with boats, harbours and berths: changes, information, differences, copies, schemas, models, workflows."""
 
+import io
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.database import Database
 from lakeloom.functions.expressions import QueryError
-from lakeloom.operators import fingerprint, replicate
+from lakeloom.operators import fingerprint, mutate, replicate
 from lakeloom.operators.ddl import parse_expression, parse_statement
 from lakeloom.operators.diffing import diff, reverse
 from lakeloom.plans import sqltext
@@ -327,3 +328,47 @@ def test_parsing_and_templates():
     assert t["constraints"]["k"] == {"type": "unique", "columns": ["n", "r"], "deferrable": True, "deferred": True} and t["maybe"] and t["temporary"]
     assert parse_expression("nextval('s'::regclass)") == {"nextval": "'s'"}
     assert hydrate({"{{ names }}": {"x": "{{ item }}-{{ none? }}"}}, {"names": ["a", "b"]}) == {"a": {"x": "a-"}, "b": {"x": "b-"}}
+
+
+def test_bytes_out_and_in(db, tmp_path):
+    db.execute("CREATE TABLE log (id integer PRIMARY KEY, said text, ok boolean, at timestamp, raw bytea)")
+    said = ["plain", "tab\there", "line\nend\r", "back\\slash \\n \\\\t", "", None, "\\N", 'a "quote", comma', " spaces ", "é ✓", "|bar\\|"]
+    spark = db.spark
+    data = [(i, s, i % 2 == 0 if i else None, None, bytes([i, 255]) if i else None) for i, s in enumerate(said)]
+    mutate.insert(db.store, db.compiler(), {"table": "log", "columns": ["id", "said", "ok", "at", "raw"], "values": spark.createDataFrame(data, "id int, said string, ok boolean, at timestamp_ntz, raw binary")})
+    want = rows(db, "SELECT * FROM log")
+    for i, options in enumerate(({}, {"format": "csv"}, {"format": "csv", "header": True, "delimiter": ";"}, {"delimiter": "|"})):
+        name = f"log{i}"
+        db.execute(f"CREATE TABLE {name} (id integer PRIMARY KEY, said text, ok boolean, at timestamp, raw bytea)")
+        buffer = io.BytesIO()
+        assert db.copy_from(buffer, "log", **options) == len(said)
+        buffer.seek(0)
+        assert db.copy_to(name, buffer, **options) == len(said)
+        assert rows(db, f"SELECT * FROM {name}") == want
+        db.execute(f"TRUNCATE TABLE {name}")
+        assert db.copy_from(str(tmp_path / name), "log", **options) == len(said)
+        assert db.copy_to(name, str(tmp_path / name), **options) == len(said)
+        assert rows(db, f"SELECT * FROM {name}") == want
+
+
+def test_bytes_of_queries_and_faults(db):
+    db.execute("CREATE TABLE log (id integer PRIMARY KEY, said text DEFAULT 'none')")
+    assert db.copy_to("log", io.BytesIO(b"1\n2\n"), columns=["id"]) == 2
+    out = io.BytesIO()
+    assert db.copy_from(out, query={"select": {"data": ["said"], "from": "log", "where": {"=": ["id", 2]}}}) == 1 and out.getvalue() == b"none\n"
+    assert db.copy_from(out, query="SELECT id FROM log WHERE id > 5", close=True) == 0 and out.closed
+    for bad in (b"3\n", b"3\tx\ty\n", b"x\ty\n", b"1\tagain\n"):
+        with pytest.raises(Exception):  # noqa: B017
+            db.copy_to("log", io.BytesIO(bad), transaction=True)
+    assert rows(db, "SELECT id FROM log") == [(1,), (2,)] and db.copy_to("log", io.BytesIO(b"")) == 0
+    with pytest.raises(QueryError):
+        db.copy_from(io.BytesIO())
+    with pytest.raises(QueryError):
+        db.copy_to("log", io.BytesIO(b""), format="binary")
+
+
+def test_outline_of_statements():
+    ok = [{"select": {"data": 1}}, "SELECT 1", {"drop": {"table": "t"}}, {"create": [{"table": {"name": "t"}}, {"index": {"name": "i"}}]}, {"show": "tables"}]
+    assert Database.validate(ok) == []
+    bad = [7, {}, {"select": {}, "drop": {}}, {"sing": 1}, {"create": {"cloud": {}}}, {"drop": {"table": "a", "index": "b"}}, {"alter": None}, {"show": "moods"}, ""]
+    assert all(Database.validate(b) for b in bad)
