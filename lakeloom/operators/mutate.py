@@ -1,4 +1,4 @@
-"""insert, update, delete and truncate: each writes a new snapshot and says which rows it touched."""
+"""insert, update, delete and truncate: each writes a new snapshot (an update or delete anew only the files it touches) and says which rows it touched."""
 
 from __future__ import annotations
 
@@ -188,25 +188,39 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
             x = to_column(v, ctx)
         return x.cast(kinds[c].dataType)
 
+    by_file = store.by_file(*at)
+    rows = store.located(old) if by_file else store.stage(*at, old.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")))
     if clause.get("from") is None:
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
-        marked = old.alias(alias).select("*", where.alias("_hit"), *[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])
+        files = rows.alias(alias).filter(where)
     else:  # one partner a row: the one with the smallest values, so reruns agree
-        rows = store.stage(*at, old.withColumn("_row", F.monotonically_increasing_id()))
         both = rows.alias(alias).crossJoin(compiler.sources(clause["from"], ctx))
         both = compiler.join(both, clause.get("join"), ctx)
         if clause.get("where") is not None:
             both = both.filter(to_column(clause["where"], ctx))
-        picked = both.groupBy(F.col(f"`{alias}`.`_row`").alias("_row")).agg(F.min(F.struct(*[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])).alias("_to"))
-        marked = rows.join(picked, "_row", "left").select(*old.columns, F.col("_to").isNotNull().alias("_hit"), *[F.col(f"_to._to_{c}").alias(f"_to_{c}") for c in sets])
+        place = [F.col(f"`{alias}`.`{c}`").alias(c) for c in ("_file", "_row")]
+        files = picked = store.stage(*at, both.groupBy(*place).agg(F.min(F.struct(*[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])).alias("_to")))
+    files = [r[0] for r in files.select("_file").distinct().collect()]  # names of files, as a snapshot's record holds them
+    if not files:
+        return Result(0, _returned(clause, old.limit(0), alias, compiler))
+    if by_file:
+        touched, others, rows, rest = store.part_at(*at, files)
+    if clause.get("from") is None:
+        marked = rows.alias(alias).select(*old.columns, where.alias("_hit"), *[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])
+    else:
+        marked = rows.join(picked, ["_file", "_row"], "left").select(*old.columns, F.col("_to").isNotNull().alias("_hit"), *[F.col(f"_to._to_{c}").alias(f"_to_{c}") for c in sets])
     marked = store.stage(*at, marked)
     new = marked.select(
         *[F.when(F.col("_hit"), F.col(f"_to_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in old.columns], "_hit"
     )
     count = new.filter("_hit").count()
     if count:
-        store.check_referring(*at, marked.filter("_hit").select(*old.columns), new, set(sets))
-        store.write(*at, meta, new.drop("_hit"))
+        after = new.drop("_hit")
+        store.check_referring(*at, marked.filter("_hit").select(*old.columns), after.unionByName(rest) if by_file else after, set(sets))
+        if by_file:
+            store.replace(*at, meta, touched, others, after)
+        else:
+            store.write(*at, meta, after)
     return Result(count, _returned(clause, new.filter("_hit").drop("_hit"), alias, compiler))
 
 
@@ -220,16 +234,23 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     where = F.lit(True)
     if clause.get("where") is not None:
         where = F.coalesce(to_column(clause["where"], _context(compiler, alias, old.columns)), F.lit(False))
-    hit = old.alias(alias).filter(where)
+    by_file = store.by_file(*at) and clause.get("where") is not None
+    rows = store.located(old) if by_file else old
+    if by_file:
+        files = [r[0] for r in rows.alias(alias).filter(where).select("_file").distinct().collect()]
+        if not files:
+            return Result(0, _returned(clause, old.limit(0), alias, compiler))
+        touched, others, rows, rest = store.part_at(*at, files)
+    marked = store.stage(*at, rows.alias(alias).select(*old.columns, where.alias("_hit")))
+    hit, left = marked.filter("_hit").drop("_hit"), marked.filter("not _hit").drop("_hit")
     count = hit.count()
-    gone = _returned(clause, hit, alias, compiler)
     if count:
-        store.check_referring(*at, hit, old.alias(alias).filter(~where))
-        if clause.get("where") is None:
-            store.write(*at, meta, old.limit(0))
+        store.check_referring(*at, hit, left.unionByName(rest) if by_file else left)
+        if by_file:
+            store.replace(*at, meta, touched, others, left, check=False)
         else:
-            store.write(*at, meta, store.stage(*at, old.alias(alias).select("*", where.alias("_hit"))).filter("not _hit").drop("_hit"))
-    return Result(count, gone)
+            store.write(*at, meta, left)
+    return Result(count, _returned(clause, hit, alias, compiler))
 
 
 def truncate(store: Store, clause: Any, schema: str | None = None) -> Result:

@@ -1,8 +1,9 @@
 """Tables as immutable Parquet snapshots with a metadata record.
 
-``root/schema/table/_meta.json`` names the parts of the current snapshot (folders ``v<n>``) and holds columns, constraints
-and indexes. A change writes a new part, with all rows or (an insert) with the new ones only, and then swaps the record in
-one step, so readers see either state and a lost executor costs nothing but a rerun. Plain files ``root/table.parquet`` are tables of the default schema, to be read only.
+``root/schema/table/_meta.json`` names the parts of the current snapshot (folders ``v<n>``, or single files of them) and
+holds columns, constraints and indexes. A change writes a new part, with the new rows (an insert) or with the rows of the
+files it touches (an update, a delete), and then swaps the record in one step, so readers see either state and a lost
+executor costs nothing but a rerun. Plain files ``root/table.parquet`` are tables of the default schema, to be read only.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .files import Files
 from .readers import FORMATS, kind_of, read_file, read_jdbc
 
 DEFAULT = "main"
-#: A snapshot of so many parts becomes one part at the next insert.
+#: A snapshot of so many folders becomes one at the next change.
 MOST_PARTS = 64
 COLUMN = {"type": "text", "default": None, "null": True, "sequence": False, "primary": False, "unique": False, "related": None, "choices": None}
 
@@ -80,6 +81,10 @@ def parts_of(meta: dict | None) -> list[str]:
     return [] if not meta or not meta.get("version") else meta.get("parts") or [f"v{meta['version']}"]
 
 
+def folders(parts: list[str]) -> set[str]:
+    return {p.split("/")[0] for p in parts}
+
+
 class Store:
     """All tables below one root, or of one catalog or server (both read only)."""
 
@@ -183,7 +188,7 @@ class Store:
         """Add ``rows``: they are one more part, and only they are checked, their keys also against the old rows'."""
         base, old = self.path(schema, table), self.meta(schema, table)
         before = parts_of(old)
-        if self.kind != "files" or not before or len(before) >= MOST_PARTS:  # the parts become one
+        if self.kind != "files" or not before or len(folders(before)) >= MOST_PARTS:  # the parts become one
             return self.write(schema, table, meta, self.read(schema, table).unionByName(rows))
         version, kind = old["version"] + 1, self.schema(meta)
         rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind])
@@ -195,6 +200,44 @@ class Store:
         self._swap(schema, table, {**meta, "version": version, "parts": [*before, f"v{version}"]}, old)
         return version
 
+    def by_file(self, schema: str, table: str) -> bool:
+        """Whether a change may rewrite single files: not where the table refers to itself, as all its rows are checked then."""
+        meta = self.meta(schema, table)
+        own = (split_name(k["related_name"], schema) for k in meta["constraints"].values() if k["type"] == "foreign" and k.get("related_name"))
+        return self.kind == "files" and 0 < len(folders(parts_of(meta))) < MOST_PARTS and (schema, table) not in own
+
+    def located(self, rows: DataFrame) -> DataFrame:
+        """Rows of files with ``_file`` and ``_row``: their file and place in it, the same at every read."""
+        return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+    def _parts(self, schema: str, table: str, parts: list[str]) -> DataFrame:
+        kind = self.schema(self.meta(schema, table))
+        base = self.path(schema, table)
+        return self.spark.read.schema(kind).parquet(*[f"{base}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], kind)
+
+    def part_at(self, schema: str, table: str, files: list[str]) -> tuple[list[str], list[str], DataFrame, DataFrame]:
+        """The snapshot parted at ``files`` (values of ``_file``): names of these and of the other parts, and the rows of each (``located`` those of the files)."""
+        touched = {"/".join(f.rsplit("/", 2)[-2:]) for f in files}
+        hit, others = folders(list(touched)), []
+        for p in parts_of(self.meta(schema, table)):
+            if p in touched:
+                continue
+            names = [p] if "/" in p or p not in hit else [f"{p}/{n}" for n in self.files.names(f"{self.path(schema, table)}/{p}") if n.endswith(".parquet")]
+            others += [n for n in names if n not in touched]
+        return sorted(touched), others, self.located(self._parts(schema, table, sorted(touched))), self._parts(schema, table, others)
+
+    def replace(self, schema: str, table: str, meta: dict, touched: list[str], others: list[str], rows: DataFrame, check: bool = True) -> int:
+        """``rows`` take the place of the files ``touched``; ``others`` stay as they are. ``check``: hold the rows against the constraints."""
+        base, old = self.path(schema, table), self.meta(schema, table)
+        version, kind = old["version"] + 1, self.schema(meta)
+        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind]).write.mode("overwrite").parquet(f"{base}/v{version}")
+        new = self.spark.read.schema(kind).parquet(f"{base}/v{version}")
+        if check and (found := self.violations(schema, table, meta, new, deferred=False, beside=self._parts(schema, table, others))):
+            self.files.delete(f"{base}/v{version}")
+            raise StoreError(f"{schema}.{table} breaks {', '.join(found)}")
+        self._swap(schema, table, {**meta, "version": version, "parts": [*others, f"v{version}"]}, {**old, "parts": [*others, *touched]})
+        return version
+
     def _swap(self, schema: str, table: str, meta: dict, old: dict | None) -> None:
         """Make ``meta`` the record. Parts of the snapshot before the last one go: the last stays for readers that began before."""
         base, before = self.path(schema, table), parts_of(old)
@@ -205,8 +248,10 @@ class Store:
         if self.undo is not None:
             self.undo.append(lambda: self._restore(schema, table, old))
         else:
-            for p in stale:
-                self.files.delete(f"{base}/{p}")
+            live = folders([*meta["parts"], *before])
+            for p in {p if p.split("/")[0] in live else p.split("/")[0] for p in stale}:
+                if p not in live:  # a folder of which files are in use stays
+                    self.files.delete(f"{base}/{p}")
 
     def _restore(self, schema: str, table: str, old: dict | None) -> None:
         self.metas.pop((schema, table), None)
