@@ -62,6 +62,11 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver's collector run: Spark deletes the shuffle files of queries that have ended once it finds them unreachable."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def by_hash(df: DataFrame, key: str, most: int, n: int) -> DataFrame:
     """About ``most`` of the ``n`` rows of ``df``: those whose hash of ``key`` lies below a threshold (all rows if n is no more)."""
     share = min(1.0, most / max(1, n))

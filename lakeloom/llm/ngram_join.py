@@ -166,23 +166,30 @@ def candidates(rows: DataFrame, listed: DataFrame, sizes: DataFrame, clashing: f
     # one shuffle: regions of ordinary shingles meet whole, rows of frequent ones are spread; regions of one set go
     w = Window.partitionBy("h", "place")
     placed = rows.select("text").mapInArrow(_regions(size, percent, frequent, clashing), "h long, sid long, place short")
-    placed = placed.select("h", "sid", "place", F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
-    shared = placed.filter("lo <> hi or place <> 0").groupBy("sid").agg(F.collect_set("h").alias("hs"))
-    # sets with too few shared regions to be similar to any other go
+    met = F.when(F.col("place") == 0, F.least(F.count("*").over(w), F.lit(2**31 - 2))).otherwise(F.lit(2**31 - 1)).cast("int").alias("met")
+    placed = placed.select("h", "sid", "place", met, F.min("sid").over(w).alias("lo"), F.max("sid").over(w).alias("hi"))
+    shared = placed.filter("lo <> hi or place <> 0").groupBy("sid").agg(F.collect_set(F.struct("met", "h")).alias("hs"))
+    # sets with too few shared regions to be similar to any other go; the others list theirs from the rarest on
     regions = shared.join(sizes.select("sid", "n"), "sid").withColumn("_low", F.floor(F.col("n") * percent / 100)).filter(F.size("hs") >= _need("_low"))
-    regions = common.durable(regions.select("sid", "n", F.array_sort("hs").alias("hs")))
-    counts = regions.select("sid", F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("sid").alias("pivot"))
-    counts = common.durable(counts.filter("c > 1"))
+    regions = common.durable(regions.select("sid", "n", F.array_sort("hs")["h"].alias("hs")))
+    common.sweep(rows.sparkSession)
+    at = regions.withColumn("_low", F.floor(F.col("n") * percent / 100)).select("sid", "n", "_low", "hs", F.posexplode("hs").alias("_i", "h"))
+    at = at.select("h", "sid", "n", "_low", (F.size("hs") - F.col("_i")).alias("left"), F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i"))).alias("last"))
+    # the first region that similar sets share is followed, in both lists, by the others they must share
+    at = at.filter(F.col("left") >= _need("_low")).drop("_low")
+    counts = common.durable(at.groupBy("h").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).filter("c > 1"))
     large = common.small(counts.filter(F.col("c") > crowd).select("h", "pivot"))
-    chains = regions.select("sid", F.explode("hs").alias("h")).join(large, "h").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    at = regions.select("sid", "n", "hs", F.posexplode("hs").alias("_i", "h"))
-    at = at.select("h", "sid", "n", F.slice("hs", F.greatest(F.lit(1), F.col("_i") + 1 - LAST), F.least(F.lit(LAST), F.col("_i"))).alias("last"))
+    chains = at.select("sid", "h").join(large, "h").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     at = at.join(common.small(counts.filter(F.col("c") <= crowd).select("h")), "h", "left_semi")
-    x = at.select("h", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "last")])
-    pairs = x.join(at, "h").filter(
-        (F.col("x_sid") < F.col("sid")) & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & ~F.arrays_overlap("last", "x_last")
+    x, y = at.alias("x"), at.alias("y")
+    pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter(
+        (F.col("x.sid") < F.col("y.sid"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (F.least("x.left", "y.left") >= F.least(_need("x.n"), _need("y.n")))
+        & ~F.arrays_overlap("x.last", "y.last")
     )
-    pairs = common.durable(pairs.select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
+    pairs = common.durable(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+    common.sweep(rows.sparkSession)
     return common.durable(chains.distinct().union(_alike(pairs, regions)))
 
 

@@ -162,6 +162,22 @@ def test_components_of_a_long_chain(spark):
     assert [(r["n_shingles"], r["component_id"]) for r in got] == [(56, 0)] * 3000
 
 
+def test_common_passages_chain_no_cells(spark, monkeypatch):
+    """Shingles that all rows hold, too many for the list of frequent ones: candidates come from the rarest regions."""
+    found, made = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: found.append(made(*a)) or found[-1])
+    rows = {}
+    for i in range(160):
+        words = [f"u{i // 2}x{j}" for j in range(40)]
+        for j in range(15):
+            words[2 * j + j * 5 : 2 * j + j * 5] = [f"c{j}p{x}" for x in range(5)]
+        rows[i] = " ".join([*words, f"end{i}"])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, most_frequent=0).collect()}
+    assert got == brute_components(rows) and got[159][1] == 158
+    assert found[0].count() == 80
+
+
 def test_links_of_each_document(spark, docs):
     rng = np.random.default_rng(6)
     rows = [(k, t) for k, t in texts(docs).items()] + [(None, ""), (1, " ")]
