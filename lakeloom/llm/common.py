@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +150,17 @@ def text_groups(texts: list[str | None], most_chars: int):
         yield group
 
 
+def text_slices(batches, most_bytes: int = 1 << 21):
+    """Arrow batches in parts of about ``most_bytes`` bytes of their column ``text``; a longer text is whole, and alone."""
+    for b in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0), np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most_bytes, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixing of a uint64 array."""
     x = x ^ (x >> np.uint64(30))

@@ -190,7 +190,7 @@ def _anchors(hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.n
 
 def _list_anchors(size, gram):
     def run(batches):
-        for b in batches:
+        for b in common.text_slices(batches):
             ks, ts, hs, fs, es, ns = [], [], [], [], [], []
             words, begin = common.word_hashes([(x or "").encode() for x in b.column("text").to_pylist()])
             for i, (k, t) in enumerate(zip(b.column("_k").to_pylist(), b.column("_t").to_pylist(), strict=True)):
@@ -222,7 +222,7 @@ def _flat(column, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 
 def _list_pieces(size):
     def run(batches):
-        for b in batches:
+        for b in common.text_slices(batches):
             first, last, begins, ends, anchors, hot = _flat(b.column("runs"), ("begin", "end", "anchor", "hot"))
             begins, ends, anchors, hot = begins.tolist(), ends.tolist(), anchors.tolist(), hot.tolist()
             routes, pieces, starts, rows = [], [], [], []
@@ -279,7 +279,7 @@ def _removed(n_words: int, runs: tuple[np.ndarray, np.ndarray], firsts: tuple[np
 
 def _keep(size):
     def run(batches):
-        for b in batches:
+        for b in common.text_slices(batches):
             rx, ry, rb, re = _flat(b.column("runs"), ("begin", "end"))
             fx, fy, fb, fe = _flat(b.column("firsts"), ("begin", "end"))
             removed, sha, spans = [], [], []
@@ -304,7 +304,7 @@ def _keep(size):
 
 
 def _whole(batches):
-    for b in batches:
+    for b in common.text_slices(batches):
         words = [(x or "").encode().split() for x in b.column("text").to_pylist()]
         sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
         yield pa.RecordBatch.from_arrays(

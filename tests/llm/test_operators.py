@@ -5,9 +5,11 @@ import collections
 import gzip
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 
@@ -71,6 +73,28 @@ def test_passages(spark, hot):
     assert got == brute_passages(rows, 20)
 
 
+def test_passages_take_a_large_batch_in_parts():
+    """What a task of Python holds at once depends on a bound, not on the rows that Spark puts in a batch."""
+    rng = np.random.default_rng(8)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 1000)) for _ in range(3000)] + [None, "", LONG]
+    n = len(rows)
+    runs = [[{"begin": 0, "end": len(t.split()) - 19, "anchor": 1, "hot": False}] if t else None for t in rows]
+    at = [("begin", pa.int32()), ("end", pa.int32())]
+    lists = [("runs", pa.list_(pa.struct([*at, ("anchor", pa.int64()), ("hot", pa.bool_())]))), ("firsts", pa.list_(pa.struct(at)))]
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "_k", "_t")), ("text", pa.string()), *lists])
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "_k": range(n), "_t": range(n), "text": rows, "runs": runs, "firsts": [x and x[:0] for x in runs]}, schema)
+    for f, most in ((substring._list_anchors(20, 8), 90), (substring._list_pieces(20), 25), (substring._keep(20), 12), (substring._whole, 60)):
+        tracemalloc.start()
+        try:
+            for _ in f([batch]):
+                pass
+            assert tracemalloc.get_traced_memory()[1] < most << 20
+        finally:
+            tracemalloc.stop()
+    whole = pa.Table.from_batches(substring._whole([batch]))
+    assert whole["doc_id"].to_pylist() == list(range(n)) and whole["n_words"].to_pylist() == [len((t or "").split()) for t in rows]
+
+
 def test_one_phrase_a_million_times(spark):
     long = "one two three four five " * 200_000
     rows = {1: "zero " * 5 + long, 2: long, 3: "one two three four five " * 3 + "end " * 20, 4: " ".join(f"x{i}" for i in range(25)) + " " + "one two three four five " * 5}
