@@ -382,6 +382,17 @@ def test_toxicity_learns_and_holds_out(spark):
     assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean() + 0.3
 
 
+def test_toxicity_learns_from_long_texts_in_parts(spark):
+    rng = np.random.default_rng(9)
+    plain = lambda n: [f"p{x}" for x in rng.integers(0, 400, n)]
+    rows = [(i, " ".join(plain(24_000) + ["vile"] * 3) if i % 4 == 0 else " ".join(plain(200)), "en", int(i % 4 == 0)) for i in range(240)]
+    rows += [(1000 + i, " ".join(plain(200) + ["vile"] * (i % 2)), "en", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert df.filter("toxic = 1 and octet_length(text) < 100000").count() == 0
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df.drop("toxic"), df.filter("toxic is not null"), part_bytes=1_500_000).collect()}
+    assert len(got) == 280 and min(got[1000 + i] for i in range(1, 40, 2)) > max(got[1000 + i] for i in range(0, 40, 2))
+
+
 def water(budget, kids):
     """Shares of ``kids`` (key -> (capacity, weight)): in proportion to weight, none above its capacity."""
     out, left = {k: 0.0 for k in kids}, {k for k, (c, w) in kids.items() if w > 0 and c > 0}
