@@ -26,13 +26,13 @@ def _without(docs: DataFrame, key: list[Column], dropped: DataFrame, staying: Da
     """
     narrow = ["_k", "_t"]
     rows = docs.select(*COLUMNS, *key)
-    rest = rows.join(common.small(common.durable(dropped.select(narrow).distinct())), narrow, "left_anti")
+    rest = common.lacking(rows, common.durable(dropped.select(narrow).distinct()), narrow)
     again = common.durable(staying.groupBy(narrow).count().filter("count > 1").select(narrow))
+    common.sweep(docs.sparkSession)
     if not again.limit(1).count():
         return rest.select(*COLUMNS)
-    again = common.small(again)
-    one = rest.join(again, narrow, "left_semi").groupBy(narrow).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
-    return rest.join(again, narrow, "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
+    one = common.matching(rest, again, narrow).groupBy(narrow).agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return common.lacking(rest, again, narrow).select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,35 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _parted(rows: DataFrame, keys: DataFrame, on: list[str], words: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``on`` may be in ``keys``, and those where it surely isn't.
+
+    A bit stands for each hash of a key; 64 make a word, and at most ``words`` words are broadcast, whatever the number of keys.
+    """
+    bit = F.xxhash64(*on, F.lit("bits"))
+    word = F.shiftright(bit, 6).bitwiseAND(F.lit(words - 1))
+    one = F.expr("shiftleft(1L, cast(_bit & 63 as int))")
+    table = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    told = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word", "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
+    return told.filter(may).drop("_word", "_bit", "_bits"), told.filter(~may).drop("_word", "_bit", "_bits")
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
+    """Inner join of wide ``rows`` with narrow ``keys`` (written already); where these are too many to broadcast, rows without a key aren't shuffled."""
+    if keys.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keys), on)
+    return _parted(rows, keys, on)[0].join(keys, on)
+
+
+def lacking(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
+    """Wide ``rows`` without one of the narrow ``keys`` (written already); where these are too many to broadcast, only rows that may have one are shuffled."""
+    if keys.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keys), on, "left_anti")
+    some, rest = _parted(rows, keys, on)
+    return rest.select(*rows.columns).union(some.join(keys, on, "left_anti").select(*rows.columns))
+
+
 def release(spark: SparkSession) -> int:
     """Delete what ``durable`` wrote for this application, once no result that was made from it is needed any more; how many folders."""
     from ..sources.files import Files

@@ -357,7 +357,8 @@ def links_and_roots(rows: DataFrame, sizes: DataFrame, labels: DataFrame, size:
     parts = F.ceil(F.col("items") / cell_items).cast("int")
     keys = of.join(common.small(cells.select("label", parts.alias("parts"))), "label")
     keys = common.durable(keys.select("r._k", "r._t", "sid", "label", "copies", "parts", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")))
-    sets = rows.join(common.small(keys), ["_k", "_t"]).drop("doc_id", "_k", "_t")
+    common.sweep(rows.sparkSession)
+    sets = common.matching(rows, keys, ["_k", "_t"]).drop("doc_id", "_k", "_t")
     sets = sets.select("sid", "label", "copies", "parts", "part", "text").mapInArrow(
         _whole(size), "sid long, label long, copies long, parts int, part int, items array<long>"
     )
@@ -367,6 +368,7 @@ def links_and_roots(rows: DataFrame, sizes: DataFrame, labels: DataFrame, size:
         F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "label", "sid", "copies", "items",
     )
     found = common.durable(sets.groupBy("large", "cell", "i", "j").applyInPandas(_joined(percent, leaf), "sid long, others long, root long"))
+    common.sweep(rows.sparkSession)
     if (total["m"] or 0) <= cell_items:
         return found.select("sid", "others", F.col("root").alias("label"))
     united = common.connected_components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")))

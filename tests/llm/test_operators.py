@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
 from lakeloom.llm import exact, mixing, ngram_join, packing, pii, quality, queries, secrets, substring, toxicity, warc
 
@@ -202,6 +203,34 @@ def test_common_passages_chain_no_cells(spark, monkeypatch):
     assert found[0].count() == 80
 
 
+def test_wide_rows_without_a_key_are_not_shuffled(spark):
+    import corpus_pipeline as p
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, *none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    common = quality.common
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda x: F.sha2(F.concat(F.col("id").cast("string"), x.cast("string")), 256)), "")
+    rows = common.durable(spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    size = rows.agg(F.sum(F.length("text"))).first()[0]  # 38 MB that don't compress by half
+    keys = rows.filter("doc_id % 100 = 7").select(*common.row_key())
+    keys = common.durable(keys.union(spark.range(201_000).select((F.col("id") + 5000).alias("_k"), F.col("id").alias("_t"))))
+    began = written()
+    rest = [r["doc_id"] for r in p._without(rows, common.row_key(), keys, keys.limit(0)).select("doc_id", F.length("text")).collect()]
+    assert sorted(rest) == [k for k in range(4000) if k % 100 != 7]
+    common.durable(p._without(rows, common.row_key(), keys, keys.limit(0)))
+    common.durable(common.matching(rows.select("*", *common.row_key()), keys, ["_k", "_t"]))
+    assert written() - began < size / 2
+    for most in (1, 1000):
+        both = rows.select("doc_id", *common.row_key()), common.durable(keys.filter("_k < 5000").union(keys.filter("_k < 0")))
+        assert sorted(r["doc_id"] for r in common.matching(*both, ["_k", "_t"], most).collect()) == [k for k in range(4000) if k % 100 == 7]
+        assert sorted(r["doc_id"] for r in common.lacking(*both, ["_k", "_t"], most).collect()) == [k for k in range(4000) if k % 100 != 7]
+
+
 def test_links_of_each_document(spark, docs):
     rng = np.random.default_rng(6)
     rows = [(k, t) for k, t in texts(docs).items()] + [(None, ""), (1, " ")]
