@@ -534,6 +534,24 @@ def test_packing_takes_the_best_bin_and_opens_none_while_one_has_room(rule, cap)
             left[bins[i]] = [x - y for x, y in zip(left[bins[i]], item, strict=True)]
 
 
+def test_few_words_are_left_to_the_whole_tokeniser(monkeypatch):
+    """Marks behind words, capitals and plain letters cost no encoding of their own; the ids are those of the whole text."""
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        t = packing.WordTokens(f.read())
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdeßéüÿñqrstuv"), rng.integers(1, 12)))
+    rows = [" ".join(w + rng.choice(["", ".", ",", "?!", "'", "é.", "\u0301x", "\x0b", "-ab"], p=[0.6, 0.1, 0.1, 0.1, *[0.02] * 5]) for w in ((x.capitalize(), x.upper(), x)[rng.integers(3)] for x in (word() for _ in range(300)))) for _ in range(30)]
+    rows += ["", " ", "a.", ". a", "a<b. C. 1. <|endoftext|> D.", "\x0ba.\x0b\x0c b;;\x1c c", "x\x85. y\u2003. Z\u00a0.", "AͅΣ. ΣΑΣ AΣ. aΣ.b", "K. Å. ﬁ. İ. I\u0307."]
+    want = [np.array(t.tokenizer.encode(r, add_special_tokens=False).ids, "<u4").tobytes() for r in rows]
+    seen, whole = [], packing.WordTokens._ids
+    monkeypatch.setattr(packing.WordTokens, "_ids", lambda self, text: seen.append(len(text.split())) or whole(self, text))
+    for some in (rows, rows[::-1], rows[30:31], rows[34:35]):
+        assert t.of(some) == [want[rows.index(r)] for r in some]
+    seen.clear()
+    t.of([" ".join(f"{''.join(rng.choice(list('ABcdefüghi'), 9))}q{m}" for m in ("", ".", ",", "?!") * 100)])
+    assert t.direct and sum(seen) < 300  # each mark once, and nothing of the 400 words
+
+
 def test_case_sensitive_vocabulary_is_not_folded():
     from tokenizers import Tokenizer
 
