@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc
+from . import exact, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc, whitening
 
 
 def vocabulary() -> str:
@@ -71,11 +71,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pii, op3_exact_dedup, op4_warc, op5_mixing, op6_quality, op7_ngram_join, op8_toxicity,
-        op9_packing, op10_secrets,
+        op9_packing, op10_secrets, op11_embedding_whitening,
     )
 }
 
