@@ -3,8 +3,9 @@
 Vectors become whole numbers. Each partition multiplies their residues by several primes (products of doubles that stay
 below 2 ** 53, so they are exact), partitions' sums are reduced modulo the primes in a tree of small tasks, and Chinese
 remaindering gives the scatter as whole numbers: the same ones in every run, however the rows are dealt. The covariance
-is rounded to doubles once, entry by entry, and decomposed by a double-precision ``eigh``; eigenvalues are then taken anew
-from the exact scatter, so that small ones beside large ones keep their digits.
+is rounded to doubles once, entry by entry, and decomposed by a double-precision ``eigh``; the exact scatter in those
+components is then freed of what ``eigh`` left beside its diagonal, and gives the eigenvalues, so that small ones beside
+large ones keep their digits.
 """
 
 from __future__ import annotations
@@ -210,6 +211,33 @@ class Whitening:
         return [n * n * q - 2 * n * sum(c << 31 * i for i, c in enumerate(cs)) + own for q, *cs in zip(squares.tolist(), *crossed, strict=True)]
 
 
+def _exact_in(units: np.ndarray, centred: np.ndarray) -> np.ndarray:
+    """units . centred . units' in doubles, each entry from exact sums over the units' 52 binary places."""
+    whole = np.array([[int(x) for x in row] for row in np.rint(units * 2.0**52)], object).reshape(units.shape)
+    inner = whole @ (centred @ whole.T)
+    return np.array([[int(x) / (1 << 104) for x in row] for row in inner], float).reshape(inner.shape)
+
+
+def _rotated(units: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``units`` after Jacobi's rotations of the nearly diagonal ``b`` (their products with the matrix): each pair is judged at its own scale."""
+    units, b = units.copy(), b.copy()
+    for _ in range(12):
+        d = np.sqrt(np.maximum(np.diag(b), 0))
+        far = np.argwhere(np.triu(np.abs(b) > 1e-14 * np.outer(d, d), 1))
+        if not len(far):
+            break
+        for i, j in far:
+            if b[i, j]:
+                tau = (b[j, j] - b[i, i]) / (2 * b[i, j])
+                t = np.copysign(1, tau) / (abs(tau) + np.hypot(1, tau))
+                c = 1 / np.hypot(1, t)
+                turn = np.array([[c, -t * c], [t * c, c]])
+                units[[i, j]] = turn @ units[[i, j]]
+                b[[i, j]] = turn @ b[[i, j]]
+                b[:, [i, j]] = b[:, [i, j]] @ turn.T
+    return units / np.linalg.norm(units, axis=1, keepdims=True)
+
+
 def decompose(n: int, sums: np.ndarray, scatter: np.ndarray, most: int, scale: int) -> Whitening:
     """Components of the covariance of n vectors, from their exact sums and sums of products (Python's whole numbers)."""
     size = len(sums)
@@ -218,9 +246,9 @@ def decompose(n: int, sums: np.ndarray, scatter: np.ndarray, most: int, scale: i
     v = np.array([[x / square for x in row] for row in centred], float).reshape(size, size)
     _, vectors = np.linalg.eigh(v)
     units = vectors.T[::-1]
-    # the quotients of Rayleigh from the exact matrix: their error is that of the vectors, squared
-    whole = np.array([[int(x) for x in row] for row in np.rint(units * 2.0**52)], object).reshape(size, size)
-    variance = np.array([int(w @ (centred @ w)) / (int(w @ w) * square) for w in whole], float)
+    units = _rotated(units, _exact_in(units, centred) / square)
+    # Rayleigh's quotients from the exact matrix: their error is that of the vectors, squared
+    variance = np.diag(_exact_in(units, centred)) / (units * units).sum(1) / square
     order = np.argsort(-variance, kind="stable")[:most]
     units, variance = units[order], variance[order]
     variance = np.where(variance > NO_VARIANCE * variance.max(initial=0), variance, 0.0)
