@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc, whitening
+from . import exact, minhash, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc, whitening
 
 
 def vocabulary() -> str:
@@ -75,11 +75,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pii, op3_exact_dedup, op4_warc, op5_mixing, op6_quality, op7_ngram_join, op8_toxicity,
-        op9_packing, op10_secrets, op11_embedding_whitening,
+        op9_packing, op10_secrets, op11_embedding_whitening, op13_minhash_dedup,
     )
 }
 
