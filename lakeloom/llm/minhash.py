@@ -78,11 +78,13 @@ def candidates(sets: DataFrame, least: int = LEAST, crowd: int = CROWD, percent:
     No list is gathered in one task: lists are counted with partial counts, their members meet in joins, whose hot keys
     adaptive execution splits, and those of a crowded list meet its pivot only.
     """
-    posted = sets.select("sid", "n", F.posexplode("sig").alias("at", "value")).select("sid", "n", F.xxhash64("at", "value").alias("h"))
-    met = common.durable(posted.groupBy("h").agg(F.count("*").alias("met"), F.min("sid").alias("pivot")).filter("met > 1"))
-    shared = posted.join(common.small(met.select("h", "met")), "h").groupBy("sid").agg(F.min("n").alias("n"), F.collect_list(F.struct("met", "h")).alias("hs"))
+    posted = sets.select("sid", F.posexplode("sig").alias("at", "value")).select("sid", F.xxhash64("at", "value").alias("h"))
+    met = common.durable(posted.groupBy("h").agg(F.count("*").alias("met")).filter("met > 1"))
+    common.sweep(sets.sparkSession)  # the counts' shuffle goes before the lists' members are shuffled
+    shared = posted.join(common.small(met), "h").groupBy("sid").agg(F.collect_list(F.struct("met", "h")).alias("hs"))
     # fewer shared lists than a wanted pair must share: no partner
-    lists = common.durable(shared.filter(F.size("hs") >= least).select("sid", "n", F.array_sort("hs")["h"].alias("hs")))
+    shared = shared.filter(F.size("hs") >= least).select("sid", F.array_sort("hs")["h"].alias("hs"))
+    lists = common.durable(shared.join(sets.select("sid", "n"), "sid").select("sid", "n", "hs"))
     common.sweep(sets.sparkSession)
     prefix = F.slice("hs", 1, F.size("hs") - least + 1)
     at = lists.select("sid", "n", F.size("hs").alias("all"), prefix.alias("hs")).select("sid", "n", "all", "hs", F.posexplode("hs").alias("i", "h"))
