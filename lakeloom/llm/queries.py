@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc, whitening
+from . import conversations, exact, minhash, mixing, ngram_join, packing, pii, quality, secrets, substring, toxicity, warc, whitening
 
 
 def vocabulary() -> str:
@@ -75,6 +75,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(_table(spark, sf_dir, "documents"))
 
@@ -83,9 +87,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_pii, op3_exact_dedup, op4_warc, op5_mixing, op6_quality, op7_ngram_join, op8_toxicity,
-        op9_packing, op10_secrets, op11_embedding_whitening, op13_minhash_dedup,
+        op9_packing, op10_secrets, op11_embedding_whitening, op12_conversation_repair, op13_minhash_dedup,
     )
 }
 
 #: The other operators' methods can't be written in SQL; tests/llm hold them against brute force.
-ORACLE_SQL = {"op1_substring_dedup": substring.SQL, "op3_exact_dedup": exact.SQL, "op4_warc": warc.SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring.SQL, "op3_exact_dedup": exact.SQL, "op4_warc": warc.SQL, "op12_conversation_repair": conversations.SQL}
