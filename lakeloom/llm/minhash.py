@@ -76,12 +76,12 @@ def candidates(sets: DataFrame, least: int = LEAST, crowd: int = CROWD, percent:
     """Pairs (a, b) of ``sets`` (sid, n, sig): those whose signatures agree in ``least`` coordinates or more, and chains of crowded lists.
 
     No list is gathered in one task: lists are counted with partial counts, their members meet in joins, whose hot keys
-    adaptive execution splits, and those of a crowded list meet its pivot only.
+    adaptive execution splits, and those of a crowded list meet its pivot only. The plan is the same one at every size.
     """
     posted = sets.select("sid", F.posexplode("sig").alias("at", "value")).select("sid", F.xxhash64("at", "value").alias("h"))
     met = common.durable(posted.groupBy("h").agg(F.count("*").alias("met")).filter("met > 1"))
     common.sweep(sets.sparkSession)  # the counts' shuffle goes before the lists' members are shuffled
-    shared = posted.join(common.small(met), "h").groupBy("sid").agg(F.collect_list(F.struct("met", "h")).alias("hs"))
+    shared = posted.join(met, "h").groupBy("sid").agg(F.collect_list(F.struct("met", "h")).alias("hs"))
     # fewer shared lists than a wanted pair must share: no partner
     shared = shared.filter(F.size("hs") >= least).select("sid", F.array_sort("hs")["h"].alias("hs"))
     lists = common.durable(shared.join(sets.select("sid", "n"), "sid").select("sid", "n", "hs"))
@@ -93,7 +93,7 @@ def candidates(sets: DataFrame, least: int = LEAST, crowd: int = CROWD, percent:
     counts = common.durable(at.groupBy("h").agg(F.count("*").alias("c"), F.min("sid").alias("pivot")).filter("c > 1"))
     crowded = common.small(counts.filter(F.col("c") > crowd).select("h", "pivot"))
     chains = at.select("sid", "h").join(crowded, "h").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    at = at.join(common.small(counts.filter(F.col("c") <= crowd).select("h")), "h", "left_semi")
+    at = at.join(counts.filter(F.col("c") <= crowd).select("h"), "h", "left_semi")  # the pairs' join has the same partitioning
     x, y = at.alias("x"), at.alias("y")
     pairs = x.join(y, F.col("x.h") == F.col("y.h")).filter(
         (F.col("x.sid") < F.col("y.sid"))
