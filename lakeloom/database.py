@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -19,12 +21,15 @@ from .plans import scope as scopes
 from .plans.model import Model
 from .plans import sqltext, validate
 from .plans.select import Compiler
+from .sources.log import Conflict
 from .sources.store import DEFAULT, Store, split_name
 
 COMMANDS = ("select", "insert", "update", "delete", "truncate", "create", "alter", "drop", "show", "explain", "set")
 
 #: Tables that a copy brings over at a time.
 COPY_THREADS = 4
+#: How often a statement is run anew because other writers were faster.
+RETRIES = 20
 
 FEATURES = frozenset({"schema", "table", "sequence", "constraint", "index", "transaction", "array", "json", "returning", "with", "lateral", "stream"})
 
@@ -56,8 +61,7 @@ class Database:
 
     def close(self) -> None:
         """Forgets what is cached; temporary tables go."""
-        for at in self.store.temporary:
-            self.store.drop(*at)
+        self.store.files.delete(f"{self.store.root}/_sessions/{self.store.session}")
         self.store.temporary.clear()
         self.store.reset()
 
@@ -197,21 +201,24 @@ class Database:
             if held:
                 transfer.spool(self.spark, source, held)
             rows = transfer.read_rows(self.spark, held or source, kind, **options)
-            return mutate.insert(self.store, self.compiler(), {"table": ".".join(at), "columns": kind.names, "values": rows}).count
+            return again(self.store, lambda: mutate.insert(self.store, self.compiler(), {"table": ".".join(at), "columns": kind.names, "values": rows}).count)
         finally:
             if held:
                 self.store.files.delete(held.rsplit("/", 1)[0])
 
     def _run(self, query: Any, params: Any = None) -> Any:
-        self._asked(str(query))
-        if isinstance(query, str):
-            found = sqltext.statement(query)
-            return self._sql(query, params) if found is None else self._change(*found, params)
         if isinstance(query, list):
             out = None
             for q in query:
                 out = self._run(q)
             return out
+        self._asked(str(query))
+        return again(self.store, lambda: self._run_one(query, params))
+
+    def _run_one(self, query: Any, params: Any = None) -> Any:
+        if isinstance(query, str):
+            found = sqltext.statement(query)
+            return self._sql(query, params) if found is None else self._change(*found, params)
         if not isinstance(query, dict) or len(query) != 1 or next(iter(query)) not in COMMANDS:
             raise QueryError(f"not a statement: {query!r}")
         (command, clause), = query.items()
@@ -426,7 +433,7 @@ class Database:
             return {"copied": copied, "skipped": skipped}
 
         with ThreadPoolExecutor(COPY_THREADS) as pool:  # the stages of several tables fill the cluster together
-            for (_, dst, _), done in zip(jobs, pool.map(one, jobs), strict=True):
+            for (_, dst, _), done in zip(jobs, pool.map(lambda job: again(b.store, lambda: one(job)), jobs), strict=True):
                 data.setdefault(dst[0], {})[dst[1]] = done
         target.reset()
         return {"schema_changes": schema_changes, "data_changes": data, "final_diff": self.diff(target, scope, exclude=exclude) if final_diff else False}
@@ -475,6 +482,20 @@ class Database:
         self._run({"alter": {"column": {**patch, "name": name, "on": f"{schema or DEFAULT}.{table}"}}})
 
 
+def again(store: Store, run: Callable[[], Any]) -> Any:
+    """``run`` as one statement of ``store``, on the new state whenever another writer was faster; inside one, or a transaction, once."""
+    if store.view is not None:
+        return run()
+    for left in range(RETRIES, -1, -1):
+        try:
+            with store.statement():
+                return run()
+        except Conflict:
+            if not left:
+                raise
+            time.sleep(random.random() * 0.1 * (RETRIES + 1 - left))
+
+
 def primary_keys(meta: dict) -> list[str]:
     """The single primary key, or else all columns."""
     found = [k for k, c in meta["columns"].items() if c.get("primary")]

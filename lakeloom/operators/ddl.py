@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from copy import deepcopy
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -50,7 +51,7 @@ def _schema(store, compiler, item, schema):
 
 def _table(store, compiler, item, schema):
     at = split_name(item["name"], item.get("schema") or schema)
-    if store.exists(*at):
+    if store.exists(*at) and not (item.get("temporary") and at not in store.temporary):
         if item.get("maybe"):
             return
         raise StoreError(f"table {at[0]}.{at[1]} exists")
@@ -59,36 +60,38 @@ def _table(store, compiler, item, schema):
         from ..functions.types import type_name
 
         meta = definition(at[1], {"columns": {f.name: {"type": type_name(f.dataType)} for f in rows.schema}})
+        _begin(store, at, item)
         store.write(*at, meta, rows)
-        if item.get("temporary"):
-            store.temporary.append(at)
         return
     meta = definition(at[1], item)
     for k in meta["constraints"].values():
         if k["type"] not in CONSTRAINTS:
             raise QueryError(f"unknown constraint type: {k['type']}")
+    _begin(store, at, item)
     store.write(*at, meta, store.spark.createDataFrame([], store.schema(meta)))
-    if item.get("temporary"):
-        store.temporary.append(at)
-    counters = store.sequences(at[0])
     for name, c in meta["columns"].items():
         if c.get("sequence"):
-            counters[f"{at[1]}__{name}__seq"] = {"type": "sequence", "value": None, "increment": 1}
-    if counters:
-        store.save_sequences(at[0], counters)
+            store.define_sequence(at[0], f"{at[1]}__{name}__seq", {"type": "sequence", "value": None, "increment": 1})
+
+
+def _begin(store: Store, at: tuple[str, str], item: dict) -> None:
+    """A temporary table is one of this session's own folder from now on."""
+    if item.get("temporary"):
+        store.temporary.add(at)
+        if (view := store.view) is not None:
+            view.seen.pop(at, None)
+            view.undo.append(lambda: store.temporary.discard(at))
 
 
 def _sequence(store, compiler, item, schema):
     at = split_name(item["name"], schema)
-    counters = store.sequences(at[0])
-    if at[1] in counters:
+    if at[1] in store.sequences(at[0]):
         if item.get("maybe"):
             return
         raise StoreError(f"sequence {at[1]} exists")
     step = item.get("increment", 1)
     first = item.get("start", item.get("min", 1))
-    counters[at[1]] = {"type": "sequence", "value": first - step, "increment": step, "min": item.get("min"), "max": item.get("max"), "owned_by": item.get("owned_by")}
-    store.save_sequences(at[0], counters)
+    store.define_sequence(at[0], at[1], {"type": "sequence", "value": first - step, "increment": step, "min": item.get("min"), "max": item.get("max"), "owned_by": item.get("owned_by")})
 
 
 def _part(kind):
@@ -133,8 +136,14 @@ def alter(store: Store, compiler: Compiler, clause: Any, schema: str | None = No
     for on, c in merged.items():
         change(store, on, c, schema)
     for given in last:
-        store.files.move(store.path(given["name"]), store.path(given["rename"]))
-        store.reset()
+        for t in store.tables(given["rename"]) if given["rename"] in store.schemas() else []:
+            raise StoreError(f"schema {given['rename']} holds {t}")
+        store.files.make(store.path(given["rename"]))
+        for t in store.tables(given["name"]):
+            store.rename((given["name"], t), (given["rename"], t))
+        for name, value in store.sequences(given["name"]).items():
+            store.define_sequence(given["rename"], name, value)
+        store.retire(given["name"])
 
 
 def _listed(x: Any) -> list[dict]:
@@ -149,7 +158,7 @@ def _listed(x: Any) -> list[dict]:
 def change(store: Store, on: Any, c: dict, schema: str | None = None) -> None:
     """Apply the changes ``c`` to one table: a new record, and a new snapshot only if rows change."""
     at = split_name(on, schema)
-    meta = {k: ({n: dict(v) for n, v in w.items()} if isinstance(w, dict) else w) for k, w in store.meta(*at).items()}
+    meta = deepcopy(store.meta(*at))
     rows, old = None, store.read(*at)
     current = lambda: old if rows is None else rows
     for part in c.get("drop") or []:
@@ -227,10 +236,7 @@ def change(store: Store, on: Any, c: dict, schema: str | None = None) -> None:
         new = split_name(c["rename"], at[0])
         if store.exists(*new):
             raise StoreError(f"table {new[1]} exists")
-        store.files.move(store.path(*at), store.path(*new))
-        store.metas.pop(at, None)
-        if store.undo is not None:
-            store.undo.append(lambda: store.files.move(store.path(*new), store.path(*at)))
+        store.rename(at, new)
 
 
 def drop(store: Store, clause: Any, schema: str | None = None) -> None:
@@ -248,7 +254,7 @@ def drop(store: Store, clause: Any, schema: str | None = None) -> None:
                         raise StoreError(f"schema {name} is not empty")
                     for t in store.tables(name):
                         store.drop(name, t)
-                    store.files.delete(store.path(name))
+                    store.retire(name)
                 elif kind == "table":
                     at = split_name(name, schema)
                     if not store.exists(*at):
@@ -264,10 +270,9 @@ def drop(store: Store, clause: Any, schema: str | None = None) -> None:
                     store.drop(*at)
                 elif kind == "sequence":
                     at = split_name(name, schema)
-                    counters = store.sequences(at[0])
-                    if counters.pop(at[1], None) is None and not maybe:
+                    if at[1] not in store.sequences(at[0]) and not maybe:
                         raise StoreError(f"no sequence {name}")
-                    store.save_sequences(at[0], counters)
+                    store.define_sequence(at[0], at[1], None)
                 elif kind in ("column", "constraint", "index"):
                     on = item.get("on") or item.get("table")
                     if not on:

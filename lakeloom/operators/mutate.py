@@ -71,31 +71,42 @@ def with_sequence(store: Store, schema: str, table: str, meta: dict, rows: DataF
     """Fill sequence columns: partitions count their rows first, then number them from the counter on (no global sort)."""
     for name in missing:
         key = counter_of(table, name, meta["columns"][name])
-        counters = store.sequences(schema)
-        old = store.read(schema, table)
-        last = counters.get(key, {}).get("value")
-        if last is None:
-            last = old.agg(F.max(F.col(f"`{name}`"))).first()[0] or 0
-        step = counters.get(key, {}).get("increment", 1)
-        kept = store.stage(schema, table, rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-        parts = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}  # one row a partition
+        part, row, before_col = (_own(rows, c) for c in ("part", "row", "before"))
+        kept = store.stage(schema, table, rows.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+        parts = {r[0]: r[1] for r in kept.groupBy(part).count().collect()}  # one row a partition
         before, total = {}, 0
         for p in sorted(parts):
             before[p], total = total, total + parts[p]
-        limits = counters.get(key, {})
-        final = last + total * step
-        if total and ((limits.get("max") is not None and final > limits["max"]) or (limits.get("min") is not None and final < limits["min"])):
-            raise StoreError(f"sequence {key} ends at {limits['max' if step > 0 else 'min']}")
-        offsets = F.broadcast(store.spark.createDataFrame(list(before.items()), "_part int, _before long"))
-        kept = kept.join(offsets, "_part")
-        number = F.row_number().over(Window.partitionBy("_part").orderBy("_row")) + F.col("_before")
-        value = F.lit(last) + number * F.lit(step)
-        rows = kept.withColumn(name, F.coalesce(F.col(name), value)).drop("_part", "_row", "_before")
-        counters[key] = {**counters.get(key, {}), "type": "sequence", "increment": step, "value": last + total * step}
-        store.save_sequences(schema, counters)
+        largest = None
+        if store.sequences(schema).get(key, {}).get("value") is None:
+            largest = store.read(schema, table).agg(F.max(F.col(f"`{name}`"))).first()[0] or 0
+
+        def take(counters: dict, key=key, total=total, largest=largest) -> tuple[int, int]:
+            """Numbers for all rows at once: nobody else gets them."""
+            c = counters.setdefault(key, {"type": "sequence", "increment": 1, "value": None})
+            last, step = largest if c.get("value") is None else c["value"], c.get("increment", 1)
+            final = last + total * step
+            if total and ((c.get("max") is not None and final > c["max"]) or (c.get("min") is not None and final < c["min"])):
+                raise StoreError(f"sequence {key} ends at {c['max' if step > 0 else 'min']}")
+            c["value"] = final
+            return last, step
+
+        last, step = store.change_sequences(schema, take)
+        offsets = F.broadcast(store.spark.createDataFrame(list(before.items()), f"{part} int, {before_col} long"))
+        kept = kept.join(offsets, part)
+        number = F.row_number().over(Window.partitionBy(part).orderBy(row)) + F.col(before_col)
+        rows = kept.withColumn(name, F.coalesce(F.col(name), F.lit(last) + number * F.lit(step))).drop(part, row, before_col)
     return rows
 
 
+def _own(rows: DataFrame, stem: str) -> str:
+    """A column's name that none of ``rows`` has."""
+    taken, name = {c.lower() for c in rows.columns}, f"_lk_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def insert(store: Store, compiler: Compiler, clause: Any, schema: str | None = None) -> Result:
     clause = {"table": clause} if isinstance(clause, str) else clause
     name, alias = _target(clause)
@@ -189,7 +200,8 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
         return x.cast(kinds[c].dataType)
 
     by_file = store.by_file(*at)
-    rows = store.located(old) if by_file else store.stage(*at, old.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row")))
+    file, row, hit, to = (_own(old, c) for c in ("file", "row", "hit", "to"))
+    rows = store.located(old, file, row) if by_file else store.stage(*at, old.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row)))
     if clause.get("from") is None:
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
         files = rows.alias(alias).filter(where)
@@ -198,30 +210,30 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
         both = compiler.join(both, clause.get("join"), ctx)
         if clause.get("where") is not None:
             both = both.filter(to_column(clause["where"], ctx))
-        place = [F.col(f"`{alias}`.`{c}`").alias(c) for c in ("_file", "_row")]
-        files = picked = store.stage(*at, both.groupBy(*place).agg(F.min(F.struct(*[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])).alias("_to")))
-    files = [r[0] for r in files.select("_file").distinct().collect()]  # names of files, as a snapshot's record holds them
+        place = [F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]
+        files = picked = store.stage(*at, both.groupBy(*place).agg(F.min(F.struct(*[value(c, v).alias(c) for c, v in sets.items()])).alias(to)))
+    files = [r[0] for r in files.select(file).distinct().collect()]  # names of files, as a snapshot's record holds them
     if not files:
         return Result(0, _returned(clause, old.limit(0), alias, compiler))
     if by_file:
         touched, others, rows, rest = store.part_at(*at, files)
+        rows = store.located(rows, file, row)
+    kept = [F.col(f"`{c}`") for c in old.columns]
     if clause.get("from") is None:
-        marked = rows.alias(alias).select(*old.columns, where.alias("_hit"), *[value(c, v).alias(f"_to_{c}") for c, v in sets.items()])
+        marked = rows.alias(alias).select(*kept, where.alias(hit), F.struct(*[value(c, v).alias(c) for c, v in sets.items()]).alias(to))
     else:
-        marked = rows.join(picked, ["_file", "_row"], "left").select(*old.columns, F.col("_to").isNotNull().alias("_hit"), *[F.col(f"_to._to_{c}").alias(f"_to_{c}") for c in sets])
+        marked = rows.join(picked, [file, row], "left").select(*kept, F.col(to).isNotNull().alias(hit), F.col(to))
     marked = store.stage(*at, marked)
-    new = marked.select(
-        *[F.when(F.col("_hit"), F.col(f"_to_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in old.columns], "_hit"
-    )
-    count = new.filter("_hit").count()
+    new = marked.select(*[F.when(F.col(hit), F.col(to)[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in old.columns], hit)
+    count = new.filter(hit).count()
     if count:
-        after = new.drop("_hit")
-        store.check_referring(*at, marked.filter("_hit").select(*old.columns), after.unionByName(rest) if by_file else after, set(sets))
+        after = new.drop(hit)
+        store.check_referring(*at, marked.filter(hit).select(*kept), after.unionByName(rest) if by_file else after, set(sets))
         if by_file:
             store.replace(*at, meta, touched, others, after)
         else:
             store.write(*at, meta, after)
-    return Result(count, _returned(clause, new.filter("_hit").drop("_hit"), alias, compiler))
+    return Result(count, _returned(clause, new.filter(hit).drop(hit), alias, compiler))
 
 
 def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = None) -> Result:
@@ -235,14 +247,15 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     if clause.get("where") is not None:
         where = F.coalesce(to_column(clause["where"], _context(compiler, alias, old.columns)), F.lit(False))
     by_file = store.by_file(*at) and clause.get("where") is not None
-    rows = store.located(old) if by_file else old
+    file, row, mark = (_own(old, c) for c in ("file", "row", "hit"))
+    rows = store.located(old, file, row) if by_file else old
     if by_file:
-        files = [r[0] for r in rows.alias(alias).filter(where).select("_file").distinct().collect()]
+        files = [r[0] for r in rows.alias(alias).filter(where).select(file).distinct().collect()]
         if not files:
             return Result(0, _returned(clause, old.limit(0), alias, compiler))
         touched, others, rows, rest = store.part_at(*at, files)
-    marked = store.stage(*at, rows.alias(alias).select(*old.columns, where.alias("_hit")))
-    hit, left = marked.filter("_hit").drop("_hit"), marked.filter("not _hit").drop("_hit")
+    marked = store.stage(*at, rows.alias(alias).select(*[F.col(f"`{c}`") for c in old.columns], where.alias(mark)))
+    hit, left = marked.filter(F.col(mark)).drop(mark), marked.filter(~F.col(mark)).drop(mark)
     count = hit.count()
     if count:
         store.check_referring(*at, hit, left.unionByName(rest) if by_file else left)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import time
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -37,6 +40,49 @@ class Files:
         if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(new)):
             raise OSError(f"can't move {old} to {new}")
 
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        p, fs = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000 if fs.exists(p) else 0.0
+
+    def size(self, path: str) -> int:
+        """Bytes of a file or of all files of a folder."""
+        p, fs = self._at(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+    def create_json(self, path: str, value: Any) -> bool:
+        """Write a file whole, unless there is one: of several writers one is told that it was the one."""
+        to, fs = self._at(path)
+        aside, _ = self._at(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        body = json.dumps(value, default=str).encode()
+        if fs.getScheme() == "file":  # here a rename would replace; a link doesn't
+            here, at = to.toUri().getPath(), aside.toUri().getPath()
+            os.makedirs(os.path.dirname(here), exist_ok=True)
+            with open(at, "wb") as f:
+                f.write(body)
+            try:
+                os.link(at, here)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(at)
+            return True
+        out = fs.create(aside, True)
+        out.write(bytearray(body))
+        out.close()
+        from py4j.protocol import Py4JJavaError
+        from pyspark import SparkContext
+
+        none = SparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.conf).rename(aside, to, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.toString():
+                raise
+            fs.delete(aside, False)
+            return False
+        return True
+
     def read_json(self, path: str) -> Any:
         p, fs = self._at(path)
         stream = fs.open(p)
