@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import QueryError
-from .operators import ddl, diffing, mutate, replicate, transfer
+from .operators import ddl, diffing, manifest, mutate, replicate, transfer
 from .operators.fingerprint import SHARD_ROWS, shard_hashes
 from .plans import scope as scopes
 from .plans.model import Model
@@ -424,13 +424,19 @@ class Database:
             src, dst, cols = job
             meta = b.store.meta(*dst)
             kinds = b.store.schema(meta)
-            left = a.store.read(*src).select(*[F.col(f"`{x}`").cast(kinds[y].dataType).alias(y) for x, y in cols.values()])
             keys = primary_keys(meta)
             key = keys[0] if len(keys) == 1 and any(c.get("primary") for c in meta["columns"].values()) else None
-            rows, copied, skipped = replicate.copy_rows(left, b.store.read(*dst), key, min(a.shard_rows, b.shard_rows), lambda df: b.store.stage(*dst, df))
-            if rows is not None:
-                b.store.write(*dst, meta, rows, check=False)
-            return {"copied": copied, "skipped": skipped}
+            shard_rows = min(a.shard_rows, b.shard_rows)
+            left = {y: F.col(f"`{x}`").cast(kinds[y].dataType) for x, y in cols.values()}
+            done = None
+            if b.store.record(*dst) is not None and set(left) == set(kinds.names):
+                done = manifest.copy_files(manifest.Side(a.store, src, left, key), manifest.Side(b.store, dst, {y: F.col(f"`{y}`").cast(kinds[y].dataType) for y in left}, key), shard_rows)
+            if done is None:  # null keys, or columns of the target's own
+                mine = a.store.read(*src).select(*[c.alias(y) for y, c in left.items()])
+                rows, *done = replicate.copy_rows(mine, b.store.read(*dst), key, shard_rows, lambda df: b.store.stage(*dst, df))
+                if rows is not None:
+                    b.store.write(*dst, meta, rows, check=False)
+            return {"copied": done[0], "skipped": done[1]}
 
         with ThreadPoolExecutor(COPY_THREADS) as pool:  # the stages of several tables fill the cluster together
             for (_, dst, _), done in zip(jobs, pool.map(lambda job: again(b.store, lambda: one(job)), jobs), strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -31,32 +32,63 @@ def how_many_cuts(rows: int) -> int:
     return max(64, min(MOST_CUTS, rows // PART_ROWS))
 
 
-def cut_points(df: DataFrame, key: str, most: int | None = None) -> list[Any]:
-    """Key values that part the rows about evenly: a bounded uniform sample, the same in every run."""
+class Cuts:
+    """Values that part a column's range, in order, as texts from which its type reads them back exactly."""
+
+    def __init__(self, texts: list[str], kind: str):
+        self.texts, self.kind = texts, kind
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def value(self, i: int) -> Column:
+        return F.lit(self.texts[i]).cast(self.kind)
+
+    def table(self) -> Column:
+        """All of them as one constant: one literal is parsed once, however many there are."""
+        return F.from_json(F.lit(json.dumps(self.texts)), "array<string>").cast(f"array<{self.kind}>")
+
+
+def cuts_of(values: DataFrame) -> Cuts:
+    """The distinct values of a bounded one-column table."""
+    kind = values.schema[0].dataType.simpleString()
+    k = F.col(f"`{values.columns[0]}`")
+    text = F.base64(k).cast("string") if kind == "binary" else k.cast("string")
+    return Cuts([r[0] for r in values.filter(k.isNotNull()).distinct().orderBy(k).select(text).collect()], kind)
+
+
+def cut_points(df: DataFrame, key: str, most: int | None = None) -> Cuts:
+    """Key values that part the rows about evenly: those whose hash lies below a threshold, about ``most`` of them, the same in every run.
+
+    A task sends its share of the sample, not ``most`` rows, and no task gets more than the sample as a whole.
+    """
     k = F.col(f"`{key}`")
-    most = how_many_cuts(df.count()) if most is None else most
-    some = df.filter(k.isNotNull()).select(k.alias("k")).orderBy(F.xxhash64("k"), "k").limit(most)
-    return [r["k"] for r in some.distinct().orderBy("k").collect()]
+    n = df.count()
+    most = how_many_cuts(n) if most is None else most
+    share = min(1.0, most / max(1, n))
+    some = df.filter(F.pmod(F.xxhash64(k, F.lit("cut")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else df
+    return cuts_of(some.select(k.alias("k")))
 
 
-def bucket_of(key: Column, cuts: list[Any]) -> Column:
-    """How many cut points are at or below the key: a binary search, log2 comparisons a row."""
+def bucket_of(key: Column, cuts: Cuts, strict: bool = False) -> Column:
+    """How many cut points are at or below (``strict``: below) the key: a binary search, log2 comparisons a row."""
+    above = (lambda c: key <= c) if strict else (lambda c: key < c)
 
     def between(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+        return F.when(above(cuts.value(mid)), between(lo, mid)).otherwise(between(mid + 1, hi))
 
-    if len(cuts) <= 64:
+    if len(cuts) <= 64 and cuts.kind != "binary":
         return between(0, len(cuts))
-    table = F.array(*[F.lit(c) for c in cuts])  # folded to one constant
+    table = F.transform(cuts.table(), lambda x: F.unbase64(x.cast("string"))) if cuts.kind == "binary" else cuts.table()
     steps = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
-    ahead = lambda at, step: (at + step <= len(cuts)) & F.coalesce(F.get(table, at + step - 1) <= key, key.isNull())
+    ahead = lambda at, step: (at + step <= len(cuts)) & F.coalesce(~above(F.get(table, at + step - 1)), key.isNull())
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
 
 
-def numbered(df: DataFrame, key: str, shard_rows: int = SHARD_ROWS, cuts: list[Any] | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, shard_rows: int = SHARD_ROWS, cuts: Cuts | None = None) -> DataFrame:
     """``df`` with ``_bucket`` and ``_shard``: rows in order of ``key``, ``shard_rows`` to a shard.
 
     Rows are parted at sampled cut points (one for about a million rows) and numbered inside each part; the parts'

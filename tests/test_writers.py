@@ -186,4 +186,4 @@ def test_old_files_go_after_a_while(pair, monkeypatch):
     a.execute("UPDATE cargo SET tons = 8")
     a.execute("UPDATE cargo SET tons = 9 WHERE id = 1")
     kept = [n for n in a.store.files.names(a.store.path("main", "cargo")) if n.startswith("d-")]
-    assert len(kept) <= 2 and ids(a) == [1, 2]
+    assert len(kept) <= 3 and ids(a) == [1, 2]  # the first, empty part among them
