@@ -218,7 +218,7 @@ class Database:
     def _run_one(self, query: Any, params: Any = None) -> Any:
         if isinstance(query, str):
             found = sqltext.statement(query)
-            return self._sql(query, params) if found is None else self._change(*found, params)
+            return self._sql(query, params) if found is None else self._change(query, found, params)
         if not isinstance(query, dict) or len(query) != 1 or next(iter(query)) not in COMMANDS:
             raise QueryError(f"not a statement: {query!r}")
         (command, clause), = query.items()
@@ -263,26 +263,46 @@ class Database:
             return text, params
         return text, [params[i] for i in order] if order else list(params)
 
-    def _sql(self, text: str, params: Any) -> DataFrame:
+    def _sql(self, text: str, params: Any, views: sqltext.Views | None = None) -> DataFrame:
         """SQL that reads this database's tables; a schema's name chooses its own table, and quoted text stays as it is."""
+        if views is None:
+            with sqltext.Views(self.store) as views:
+                return self._sql(text, params, views)
         text, values = self._marked(text, params)
-        with sqltext.Views(self.store) as views:
-            text = sqltext.bind_tables(text, views.resolve)
-            return self.spark.sql(text) if values is None else self.spark.sql(text, args=values)
+        text = sqltext.bind_tables(text, views.resolve)
+        return self.spark.sql(text) if values is None else self.spark.sql(text, args=values)
 
-    def _change(self, kind: str, m: re.Match, params: Any) -> mutate.Result:
+    def _change(self, text: str, found: sqltext.Change, params: Any) -> mutate.Result:
         """A statement given as text that changes tables or schemas, through the same code as its JSON form."""
-        clause, source = sqltext.change(kind, m)
+        if params is not None and (found.ctes or found.source is None):
+            found, params = sqltext.statement(_filled({"raw": text}, params)["raw"]), None
+        clause = found.clause
         with sqltext.Views(self.store) as views:
-            if source is not None:
-                rows = self._sql(source, params)
+            for name, query in found.ctes:
+                views.define(name, self._sql(query, None, views))
+            bound = lambda x: _each_raw(x, lambda raw: sqltext.bind_tables(raw, views.resolve))
+            if found.source is not None:
+                rows = self._sql(found.source, params, views)
                 if "insert" in clause:
-                    return mutate.insert(self.store, self.compiler(), {**clause["insert"], "values": rows})
+                    return mutate.insert(self.store, self.compiler(), bound({**clause["insert"], "values": rows}))
                 ddl.create(self.store, self.compiler(), {"table": {**clause["create"]["table"], "as": rows}})
                 return mutate.Result(0)
-            if params is not None:
-                clause = _filled(clause, params)
-            return self._run(_each_raw(clause, lambda text: sqltext.bind_tables(text, views.resolve)))
+            (command, inner), = clause.items()
+            if command in ("update", "delete"):
+                inner = dict(inner)
+                for key in {"from", "using"} & set(inner):
+                    inner[key] = [self._given(x, views) for x in inner[key]]
+                return getattr(mutate, command)(self.store, self.compiler(), bound(inner))
+            return self._run(bound(clause))
+
+    def _given(self, source: Any, views: sqltext.Views) -> Any:
+        """A source of a change as text: the rows of a query or common table expression, or a table's name."""
+        alias, what = next(iter(source.items())) if isinstance(source, dict) else (source.rpartition(".")[2], source)
+        if isinstance(what, dict):
+            return {alias: self._sql(what["raw"], None, views)}
+        if (view := views.ctes.get(what.lower())) is not None:
+            return {alias: self.spark.table(view)}
+        return {alias: what}
 
     # information
 

@@ -107,7 +107,7 @@ def _between(xs: list[Column]) -> list[Column]:
 
 def json_text(c: Column) -> Column:
     """A value as JSON text; null is null; any type."""
-    j = F.to_json(F.struct(c.alias("v")))
+    j = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
     return F.when(c.isNull(), F.lit("null")).otherwise(j.substr(F.lit(6), F.length(j) - 6))
 
 
@@ -121,7 +121,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "json_agg": lambda x: F.to_json(F.collect_list(x), {"ignoreNullFields": "false"}),
     "json_aggregate": lambda x: F.to_json(F.collect_list(x), {"ignoreNullFields": "false"}),
     "json_group_array": lambda x: F.to_json(F.collect_list(x), {"ignoreNullFields": "false"}),
-    "array_to_json": F.to_json, "array_agg": F.collect_list, "unnest": F.explode,
+    "array_to_json": lambda x: F.to_json(x, {"ignoreNullFields": "false"}), "array_agg": F.collect_list, "unnest": F.explode,
     "generate_series": lambda a, b, *step: F.explode(F.sequence(a, b, *step)), "array_length": lambda a, dim=None: F.size(a),
     "array_to_string": lambda a, sep: F.call_function("array_join", F.transform(a, lambda x: x.cast("string")), sep),
     "group_concat": lambda x, sep=None: F.listagg(x.cast("string"), F.lit(",") if sep is None else sep),
@@ -235,10 +235,19 @@ def _quantified(name: str, left: Any, how: str, arg: Any, ctx: Context) -> Colum
         rows, every = _subquery(only, ctx), how == "all"
         if (name == "=" and not every) or (name in ("!=", "<>") and every):
             return ~value.isin(rows) if every else value.isin(rows)
-        if name not in ("<", "<=", ">", ">="):
+        if name not in ("=", "!=", "<>", "<", "<=", ">", ">="):
             raise QueryError(f"{name} {how} takes an array, not a select")
-        edge = F.max if (name[0] == ">") == every else F.min  # above all: above the largest; above any: above the smallest
-        return OPERATORS[name](value, rows.agg(edge(F.col(_quoted([rows.columns[0]])))).scalar())
+        v = F.col(_quoted([rows.columns[0]]))
+        found = rows.agg(F.struct(F.count("*").alias("rows"), F.count(v).alias("known"), F.min(v).alias("low"), F.max(v).alias("high")).alias("s")).scalar()
+        n = F.coalesce(found["rows"], F.lit(0))
+        if name in ("=", "!=", "<>"):  # equal to all: to the smallest and to the largest; unlike any: unlike one of them
+            ends = [OPERATORS[name](value, found[e]) for e in ("low", "high")]
+            test = ends[0] & ends[1] if every else ends[0] | ends[1]
+        else:  # above all: above the largest; above any: above the smallest
+            test = OPERATORS[name](value, found["high" if (name[0] == ">") == every else "low"])
+        # a null among the values leaves open what the others don't settle; of no values all are, and none is
+        settled = F.when(~test, F.lit(False)) if every else F.when(test, F.lit(True))
+        return F.when(n == 0, F.lit(every)).otherwise(F.coalesce(settled, F.when(found["known"] == n, test)))
     elements = to_column(only, ctx)
     test = F.exists if how in ("any", "some") else F.forall
     return test(elements, lambda e: OPERATORS[name](value, e))

@@ -118,7 +118,7 @@ def insert(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     columns = [identifier(c)[-1] for c in ([columns] if isinstance(columns, str) else columns)]
     if unknown := set(columns) - set(names):
         raise QueryError(f"no columns {sorted(unknown)} in {name}")
-    values = clause.get("values")
+    values, numbered = clause.get("values"), []
     if isinstance(values, DataFrame) or isinstance(values, dict) and "select" in values:
         new = values if isinstance(values, DataFrame) else compiler.run(values)
         if len(new.columns) != len(columns):
@@ -146,9 +146,10 @@ def insert(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
                 made.append(F.struct(*[x.cast(store.schema(meta)[c].dataType).alias(c) for c, x in zip(columns, cells, strict=True)]))
             new = store.spark.range(1).select(F.inline(F.array(*made)))
         given = set(columns)
+        numbered = [c for i, c in enumerate(columns) if counter_of(at[1], c, meta["columns"][c]) and any(r[i] == {"default": None} for r in rows)]
     absent = [c for c in names if c not in given]
     new = new.select("*", *[default_of(store, at[0], meta["columns"][c]).cast(store.schema(meta)[c].dataType).alias(c) for c in absent])
-    new = with_sequence(store, *at, meta, new.select(*[F.col(f"`{c}`").cast(store.schema(meta)[c].dataType).alias(c) for c in names]), [c for c in absent if counter_of(at[1], c, meta["columns"][c])])
+    new = with_sequence(store, *at, meta, new.select(*[F.col(f"`{c}`").cast(store.schema(meta)[c].dataType).alias(c) for c in names]), [*numbered, *(c for c in absent if counter_of(at[1], c, meta["columns"][c]))])
     new = store.stage(*at, new)
     count = new.count()
     if count:
@@ -243,18 +244,29 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
     alias = alias or at[1]
     meta, old = store.meta(*at), store.read(*at)
     compiler.bind(clause.get("with"))
-    where = F.lit(True)
-    if clause.get("where") is not None:
-        where = F.coalesce(to_column(clause["where"], _context(compiler, alias, old.columns)), F.lit(False))
-    by_file = store.by_file(*at) and clause.get("where") is not None
+    ctx, where = _context(compiler, alias, old.columns), F.lit(True)
+    using, by_file = clause.get("using"), store.by_file(*at) and (clause.get("where") is not None or clause.get("using") is not None)
     file, row, mark = (_own(old, c) for c in ("file", "row", "hit"))
-    rows = store.located(old, file, row) if by_file else old
+    rows = store.located(old, file, row) if by_file else store.stage(*at, old.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))) if using is not None else old
+    if using is None:
+        where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
+        files = rows.alias(alias).filter(where)
+    else:  # rows with one partner or more
+        both = compiler.join(rows.alias(alias).crossJoin(compiler.sources(using, ctx)), clause.get("join"), ctx)
+        both = both.filter(to_column(clause["where"], ctx)) if clause.get("where") is not None else both
+        files = picked = store.stage(*at, both.select(*[F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]).distinct())
     if by_file:
-        files = [r[0] for r in rows.alias(alias).filter(where).select(file).distinct().collect()]
-        if not files:
+        names = [r[0] for r in files.select(file).distinct().collect()]
+        if not names:
             return Result(0, _returned(clause, old.limit(0), alias, compiler))
-        touched, others, rows, rest = store.part_at(*at, files)
-    marked = store.stage(*at, rows.alias(alias).select(*[F.col(f"`{c}`") for c in old.columns], where.alias(mark)))
+        touched, others, rows, rest = store.part_at(*at, names)
+        rows = store.located(rows, file, row)
+    kept = [F.col(f"`{c}`") for c in old.columns]
+    if using is None:
+        marked = rows.alias(alias).select(*kept, where.alias(mark))
+    else:
+        marked = rows.join(picked.withColumn(mark, F.lit(True)), [file, row], "left").select(*kept, F.coalesce(F.col(mark), F.lit(False)).alias(mark))
+    marked = store.stage(*at, marked)
     hit, left = marked.filter(F.col(mark)).drop(mark), marked.filter(~F.col(mark)).drop(mark)
     count = hit.count()
     if count:

@@ -429,3 +429,75 @@ def _apply(spark, sf_dir):
     assert db.apply({"main": {"nation": {"columns": wanted}}}) == {}
     columns = db.get_info(data=False)["main"]["nation"]["columns"]
     return spark.createDataFrame([(k, v["type"], bool(v["primary"])) for k, v in columns.items()], "name string, type string, is_key boolean")
+
+
+# more statements as text
+
+
+@made("text_update_returning", "SELECT n_nationkey AS id, upper(n_name) AS title, n_regionkey * 2 AS twice FROM nation WHERE n_regionkey = 1")
+def _text_update_returning(spark, sf_dir):
+    return _text(spark, sf_dir).execute("UPDATE nation SET name = upper(name) WHERE region = 1 RETURNING id, name AS title, region * 2 AS twice")
+
+
+@made("text_insert_returning", "SELECT n_nationkey + 100 AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey = 3")
+def _text_insert_returning(spark, sf_dir):
+    return _text(spark, sf_dir).execute("INSERT INTO nation (id, name, region) SELECT id + 100, name, region FROM nation WHERE region = 3 RETURNING *")
+
+
+@made("text_with_before_changes", "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 2 THEN 'in ' || n_regionkey ELSE n_name END AS name, n_regionkey AS region FROM nation WHERE n_name NOT LIKE '%A' UNION ALL SELECT n_nationkey + 500, n_name, 0 FROM nation WHERE n_nationkey < 4")
+def _text_with(spark, sf_dir):
+    return _text(
+        spark, sf_dir,
+        "WITH gone AS (SELECT n_nationkey AS k FROM raw.nation WHERE n_name LIKE '%A') DELETE FROM nation AS n USING gone WHERE n.id = gone.k",
+        "WITH two (k, label) AS (SELECT id, concat('in ', region) FROM nation WHERE region = 2), again AS (SELECT * FROM two) UPDATE nation SET name = again.label FROM again WHERE nation.id = again.k",
+        "WITH few AS (SELECT * FROM raw.nation WHERE n_nationkey < 4) INSERT INTO nation SELECT n_nationkey + 500, n_name, 0 FROM few",
+    ).table("nation")
+
+
+@made("text_defaults", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT n_nationkey + 200, n_name, 42 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey + 300, 'none', 42 FROM nation WHERE n_nationkey = 8 UNION ALL SELECT 999, 'none', 42")
+def _text_defaults(spark, sf_dir):
+    db = _text(
+        spark, sf_dir, "ALTER TABLE nation ALTER COLUMN region SET DEFAULT 42, ALTER name SET DEFAULT 'none'", "INSERT INTO nation (id, name) SELECT id + 200, name FROM nation WHERE region = 0",
+        "INSERT INTO nation VALUES ((SELECT max(id) FROM nation WHERE id < 100) + 284, DEFAULT, DEFAULT)", "ALTER TABLE nation ALTER id SET DEFAULT 999", "INSERT INTO nation DEFAULT VALUES",
+    )
+    return db.table("nation")
+
+
+@made("text_delete_using", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT LIKE 'A%'")
+def _text_delete_using(spark, sf_dir):
+    return _text(spark, sf_dir, "DELETE FROM nation USING raw.region r WHERE nation.region = r.r_regionkey AND r.r_name LIKE 'A%'").table("nation")
+
+
+@made("text_update_row_of_select", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 9 THEN r_name ELSE n_name END AS name, CASE WHEN n_nationkey < 9 THEN n_regionkey + 10 ELSE n_regionkey END AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _text_update_row(spark, sf_dir):
+    return _text(spark, sf_dir, "UPDATE nation SET (name, region) = (SELECT max(r_name), max(r_regionkey) + 10 FROM raw.region WHERE r_regionkey = region) WHERE id < 9").table("nation")
+
+
+@made("text_index_and_tables", "SELECT * FROM (VALUES ('main', 'nation', 'nation__id__pk,nation__name__ix,by_region'), ('raw', 'nation', ''), ('raw', 'region', '')) AS t(schema, name, objects)")
+def _text_index(spark, sf_dir):
+    db = _text(spark, sf_dir, "CREATE INDEX ON nation (name)", "CREATE INDEX IF NOT EXISTS by_region ON nation USING hash (region, id)", "CREATE INDEX IF NOT EXISTS by_region ON nation (region)")
+    info = db.get_info(data=False)
+    return spark.createDataFrame([(s, t, ",".join([*v["constraints"], *v["indexes"]])) for s, ts in info.items() for t, v in ts.items() if s == "main" or t in db.store.tables(s)], "schema string, name string, objects string")
+
+
+# any and all of a select: empty sets, and sets with nulls
+
+
+def _quantified(name: str, test: Any, condition: str) -> None:
+    query(f"quantified_{name}", {"data": ["n_nationkey", {"negated": {"coalesce": [{"not": test}, None]}}], "from": "nation"}, f"SELECT n_nationkey, NOT ({condition}) AS negated FROM nation")
+
+
+_quantified("above_all_of_none", {">": ["n_nationkey", {"all": {"select": {"data": "r_regionkey", "from": "region", "where": {"<": ["r_regionkey", 0]}}}}]}, "n_nationkey > ALL (SELECT r_regionkey FROM region WHERE r_regionkey < 0)")
+_quantified("above_any_of_none", {">": ["n_nationkey", {"any": {"select": {"data": "r_regionkey", "from": "region", "where": {"<": ["r_regionkey", 0]}}}}]}, "n_nationkey > ANY (SELECT r_regionkey FROM region WHERE r_regionkey < 0)")
+_quantified("not_below_all_with_null", {">=": ["n_nationkey", {"all": {"select": {"data": {"v": {"nullif": ["r_regionkey", 3]}}, "from": "region"}}}]}, "n_nationkey >= ALL (SELECT nullif(r_regionkey, 3) FROM region)")
+_quantified("below_any_with_null", {"<": ["n_nationkey", {"any": {"select": {"data": {"v": {"nullif": ["r_regionkey", 4]}}, "from": "region"}}}]}, "n_nationkey < ANY (SELECT nullif(r_regionkey, 4) FROM region)")
+_quantified("equal_to_all", {"=": ["n_regionkey", {"all": {"select": {"data": "r_regionkey", "from": "region", "where": {"=": ["r_regionkey", 2]}}}}]}, "n_regionkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey = 2)")
+_quantified("equal_to_all_with_null", {"=": ["n_regionkey", {"all": {"select": {"data": {"v": {"nullif": ["r_regionkey", 3]}}, "from": "region", "where": {">": ["r_regionkey", 1]}}}}]}, "n_regionkey = ALL (SELECT nullif(r_regionkey, 3) FROM region WHERE r_regionkey > 1)")
+_quantified("unlike_any", {"<>": ["n_regionkey", {"any": {"select": {"data": "r_regionkey", "from": "region", "where": {"=": ["r_regionkey", 2]}}}}]}, "n_regionkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey = 2)")
+_quantified("null_value", {"<=": [{"nullif": ["n_regionkey", 1]}, {"all": {"select": {"data": "r_regionkey", "from": "region", "where": {">": ["r_regionkey", 1]}}}}]}, "nullif(n_regionkey, 1) <= ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 1)")
+
+query(
+    "json_rows_with_nulls",
+    {"data": ["n_nationkey", {"j": {"json_build_object": ["'k'", {"named_struct": ["'x'", "n_nationkey", "'y'", {"nullif": ["n_regionkey", 1]}]}]}}, {"a": {"json_build_array": [{"named_struct": ["'y'", {"nullif": ["n_regionkey", 1]}]}]}}], "from": "nation"},
+    "SELECT n_nationkey, '{\"k\": {\"x\":' || n_nationkey || ',\"y\":' || coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null') || '}}' AS j, '[{\"y\":' || coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null') || '}]' AS a FROM nation",
+)

@@ -61,7 +61,9 @@ class Compiler:
     # sources
 
     def relation(self, source: Any, alias: str | None, ctx: Context) -> DataFrame:
-        if isinstance(source, str) or (path := identifier(source)) is not None:
+        if isinstance(source, DataFrame):
+            df = source
+        elif isinstance(source, str) or (path := identifier(source)) is not None:
             name = source if isinstance(source, str) else ".".join(path)
             df, alias = self.table(name), alias or name.split(".")[-1]
         elif isinstance(source, dict) and set(source) == {"lateral"}:

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from ..database import Database
+from . import sqltext
 
 SPLIT = 5000
 _TEMPLATE = re.compile(r"\{\{\s*([^}?]+?)\s*(\?)?\s*\}\}")
@@ -183,13 +184,16 @@ def split_query(db: Database, query: Any, split: Any) -> Iterator[Any]:
     lo, hi = db.query_one_row({"select": {"data": {"lo": {"min": column}, "hi": {"max": column}}, "from": table}})
     if lo is None:
         return
-    step: Any = datetime.timedelta(seconds=size) if isinstance(lo, datetime.date) else size
+    step: Any = size
+    if isinstance(lo, datetime.datetime):
+        step = datetime.timedelta(seconds=size)
+    elif isinstance(lo, datetime.date):
+        step = datetime.timedelta(days=max(1, -(-size // 86400)))  # a date's ranges are whole days
     at, n = lo + step * skip, 0
     while at <= hi:
         if isinstance(query, str):
-            joined = "AND" if re.search(r"\bwhere\b", query, re.I) else "WHERE"
-            show = lambda v: f"TIMESTAMP '{v}'" if isinstance(v, datetime.date) else str(v)
-            yield f"{query} {joined} {on} >= {show(at)} AND {on} < {show(at + step)}"
+            show = lambda v: f"TIMESTAMP '{v}'" if isinstance(v, datetime.datetime) else f"DATE '{v}'" if isinstance(v, datetime.date) else str(v)
+            yield sqltext.within(query, f"{on} >= {show(at)} AND {on} < {show(at + step)}")
         else:
             (command, clause), = query.items()
             both = [{">=": [on, {"literal": at}]}, {"<": [on, {"literal": at + step}]}]
