@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -209,7 +210,10 @@ _SEEN = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def _number(x: str | None) -> int | None:
-    return int(x) if x is not None and x.lstrip("-").isdigit() else None
+    """A whole number of 64 bits; anything else in such a header is no number."""
+    if x is None or not re.fullmatch("-?[0-9]{1,19}", x):
+        return None
+    return int(x) if -(2**63) <= int(x) < 2**63 else None
 
 
 def _rows(records) -> pa.RecordBatch:
