@@ -64,8 +64,9 @@ def mix_sources(
     """doc_id, domain, lang, source, n_tokens, copies, kept; and the columns ``carry``: one row per document.
 
     The budget is ``share`` of all tokens, dealt down the tree domain - language - source. A leaf reads its documents in
-    the order of a seeded hash, another one in each epoch; it takes whole epochs, then the longest prefix of the next
-    one that its budget holds. copies says how often a document was taken.
+    the order of a seeded hash, another one in each epoch; it takes whole epochs, then the prefix of the next one that has
+    just as many tokens as its budget has left. copies says how often a document was taken whole (kept: at all), taken how many of its
+    tokens were: the document in which a prefix ends counts up to there, so all of the budget is used where there are tokens for it.
 
     The running sum that finds the end of a prefix is taken over at most ``SLICES`` slices of the hash range first (one
     row each); only the documents of the slice in which the prefix ends are sorted, so a leaf that holds a third of all
@@ -105,8 +106,11 @@ def mix_sources(
     placed = placed.join(common.small(ends, most_leaves), same, "left").drop(*drop)
     inner = Window.partitionBy(*levels).orderBy("_u", "_k", "_t")
     last = placed.filter(F.col("_slice") == F.col("_end"))
-    last = last.withColumn("_in", F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before") <= F.col("_rest"))
-    other = placed.filter(F.col("_end").isNull() | (F.col("_slice") != F.col("_end"))).withColumn("_in", F.col("_end").isNull() | (F.col("_slice") < F.col("_end")))
+    last = last.withColumn("_left", F.col("_rest") - F.col("_before") - F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    last = last.withColumn("_in", F.col("_left") >= 0).withColumn("_cut", F.greatest(F.lit(0), F.col("n_tokens") + F.col("_left"))).drop("_left")
+    other = placed.filter(F.col("_end").isNull() | (F.col("_slice") != F.col("_end"))).withColumn("_in", F.col("_end").isNull() | (F.col("_slice") < F.col("_end"))).withColumn("_cut", F.lit(0))
     extra = F.when(F.col("_in") & (F.col("_full") < most_epochs), 1).otherwise(0)
     out = other.unionByName(last).withColumn("copies", (F.col("_full") + extra).cast("int"))
-    return out.select("doc_id", *levels, "n_tokens", "copies", (F.col("copies") > 0).alias("kept"), *[F.col(a).alias(c) for a, c in given.items()])
+    part = F.when(~F.col("_in") & (F.col("_full") < most_epochs), F.col("_cut")).otherwise(0)
+    taken = (F.col("copies") * F.col("n_tokens") + part).cast("long").alias("taken")
+    return out.select("doc_id", *levels, "n_tokens", "copies", (F.col("copies") > 0).alias("kept"), taken, *[F.col(a).alias(c) for a, c in given.items()])

@@ -442,7 +442,7 @@ def water(budget, kids):
 
 
 def brute_mix(spark, rows, share, weights, power, most_epochs):
-    """Copies of each of ``rows`` (doc_id, text, domain, lang, source, n)."""
+    """Copies and tokens taken of each of ``rows`` (doc_id, text, domain, lang, source, n), and the budget of all leaves."""
     from pyspark.sql import functions as F
 
     budget = {(): share * sum(r[5] for r in rows)}
@@ -465,9 +465,12 @@ def brute_mix(spark, rows, share, weights, power, most_epochs):
         order = hashed.withColumn("u", F.pmod(F.xxhash64("_k", "_t", F.lit(0), F.lit(full)), F.lit(mixing.SPACE))).collect()
         run = 0
         for h in sorted(order, key=lambda h: (h["u"], h["_k"], h["_t"])):
-            run += mine[h["i"]][5]
-            out[mine[h["i"]][0], full + (run <= b - full * total and full < most_epochs)] += 1
-    return out
+            n, rest = mine[h["i"]][5], b - full * total
+            run += n
+            whole = run <= rest and full < most_epochs
+            part = max(0, n - (run - rest)) if not whole and full < most_epochs else 0
+            out[mine[h["i"]][0], full + whole, (full + whole) * n + part] += 1
+    return out, sum(int(b + 1e-6) for k, b in budget.items() if len(k) == 3)
 
 
 @pytest.mark.parametrize("share, epochs, given", [(0.5, 1, {}), (0.9, 3, mixing.TARGETS), (1.4, 2, {("long",): 1, ("medium",): 1e-3, ("short",): 0.0, ("long", "en"): 1, ("long", "de"): 5})])
@@ -477,9 +480,10 @@ def test_mixing_against_brute_force(spark, docs, share, epochs, given):
     some = docs.limit(150).select("doc_id", "text", "lang", F.concat(F.lit("s"), F.col("doc_id") % 3).alias("source"))
     rows = [(r["doc_id"], r["text"], "long" if len(t := r["text"] or "") >= 10_000 else "medium" if len(t) >= 1_000 else "short", r["lang"], r["source"], len(WORD.findall(t))) for r in some.collect()]
     got = mixing.mix_sources(some, share=share, weights=given, most_epochs=epochs, domain=mixing.length_class(F.col("text")))
-    got = collections.Counter((r["doc_id"], r["copies"]) for r in got.collect())
-    assert got == brute_mix(spark, rows, share, given, 0.7, epochs)
-    assert len({c for _, c in got}) > 1
+    got = collections.Counter((r["doc_id"], r["copies"], r["taken"]) for r in got.collect())
+    want, budget = brute_mix(spark, rows, share, given, 0.7, epochs)
+    assert got == want and sum(t * k for (_, _, t), k in got.items()) == budget  # not a token of any leaf's budget is lost
+    assert len({c for _, c, _ in got}) > 1
 
 
 def test_shortages_climb():
@@ -599,6 +603,11 @@ def test_warc_awkward_archives(spark):
     hello = hashlib.sha1(b"hello").hexdigest()
     want = [("warcinfo", 4, hashlib.sha1(b"a: b").hexdigest()), ("revisit", None, hello), ("response", 5, hello)]
     assert sorted((r["record_type"], r["payload_bytes"] or -1, r["payload_digest"]) for r in got) == sorted((k, n or -1, d) for k, n, d in want * 2)
+    odd = ["--5", "\u00b2", "", "1e3", "9" * 19, "-" + "9" * 30, " 7 ", "-12"]
+    record = "WARC/1.0\r\nWARC-Type: resource\r\nX-Page-Id: {}\r\nX-Refers-To-Page: {}\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    blob = b"".join(gzip.compress(record.format(x, x).encode()) for x in odd)
+    found = warc.read_warc(spark.createDataFrame([(blob,)], "content binary")).select("page_id", "refers_to").collect()
+    assert [tuple(r) for r in found] == [(x, x) for x in (None, None, None, None, None, None, 7, -12)]
     assert all(r["page_id"] is None and r["refers_to"] is None for r in got)
     pages = spark.createDataFrame([(7, None, "y" * 300_000), (7, None, "y" * 300_000), (None, None, "y" * 300_000), (5, "u", "y" * 300_000)], "page_id long, url string, html string")
     rows = warc.read_warc(warc.write_warc(pages, chunk_bytes=1000)).collect()
