@@ -45,7 +45,34 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lk_path = path
+    return out
+
+
+def settled(spark: SparkSession, make) -> DataFrame:
+    """The result of ``make()``, durable; every other table that was made durable on the way goes."""
+    from ..sources.files import Files
+
+    paths = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(paths)
+    out = durable(make())
+    for path in [p for p in paths if p not in before and p != out._lk_path]:
+        Files(spark).delete(path)
+        paths.remove(path)
+    sweep(spark)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables from which nothing is read any more."""
+    from ..sources.files import Files
+
+    for t in tables:
+        paths = _written.get(t.sparkSession.sparkContext.applicationId, [])
+        if getattr(t, "_lk_path", None) in paths:
+            Files(t.sparkSession).delete(t._lk_path)
+            paths.remove(t._lk_path)
 
 
 def small(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -53,32 +80,44 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _parted(rows: DataFrame, keys: DataFrame, on: list[str], words: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``on`` may be in ``keys``, and those where it surely isn't.
+#: Bits of a table for each key, and how many there are at most (32 MB, broadcast): enough for 2 ** 25 keys.
+KEY_BITS, MOST_BITS = 8, 1 << 28
+
+
+def _parted(rows: DataFrame, keys: DataFrame, on: list[str], n: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``on`` may be among the ``n`` ``keys``, and those where it surely isn't (all but about an eighth of these).
 
-    A bit stands for each hash of a key; 64 make a word, and at most ``words`` words are broadcast, whatever the number of keys.
+    A bit stands for each hash of a key; 64 make a word, 128 words a row of the table that is broadcast.
     """
-    bit = F.xxhash64(*on, F.lit("bits"))
-    word = F.shiftright(bit, 6).bitwiseAND(F.lit(words - 1))
+    bits = 1 << max(13, (KEY_BITS * n - 1).bit_length())
+    hashed = F.xxhash64(*on, F.lit("bits")).bitwiseAND(F.lit(bits - 1))
     one = F.expr("shiftleft(1L, cast(_bit & 63 as int))")
-    table = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
-    told = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word", "left")
-    may = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
-    return told.filter(may).drop("_word", "_bit", "_bits"), told.filter(~may).drop("_word", "_bit", "_bits")
+    words = keys.select(hashed.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    table = words.groupBy(F.shiftright("_word", 7).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_word").bitwiseAND(F.lit(127)).cast("int"), "_bits"))).alias("_words"))
+    table = table.select("_row", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.coalesce(F.try_element_at("_words", i), F.lit(0))).alias("_words"))
+    told = rows.withColumn("_bit", hashed).withColumn("_row", F.shiftright("_bit", 13)).join(F.broadcast(durable(table)), "_row", "left")
+    word = F.get("_words", F.shiftright("_bit", 6).bitwiseAND(F.lit(127)).cast("int"))
+    may = F.coalesce(word.bitwiseAND(one) != 0, F.lit(False))
+    return told.filter(may).drop("_row", "_bit", "_words"), told.filter(~may).drop("_row", "_bit", "_words")
 
 
 def matching(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
-    """Inner join of wide ``rows`` with narrow ``keys`` (written already); where these are too many to broadcast, rows without a key aren't shuffled."""
-    if keys.limit(most + 1).count() <= most:
+    """Inner join of wide ``rows`` with narrow ``keys`` (written already); where these are too many to broadcast, rows without a key
+    aren't shuffled, unless the keys are so many that a table of bits would say nothing (from ``MOST_BITS / KEY_BITS`` on)."""
+    n = keys.count()
+    if n <= most:
         return rows.join(F.broadcast(keys), on)
-    return _parted(rows, keys, on)[0].join(keys, on)
+    return (_parted(rows, keys, on, n)[0] if KEY_BITS * n <= MOST_BITS else rows).join(keys, on)
 
 
 def lacking(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 200_000) -> DataFrame:
-    """Wide ``rows`` without one of the narrow ``keys`` (written already); where these are too many to broadcast, only rows that may have one are shuffled."""
-    if keys.limit(most + 1).count() <= most:
+    """Wide ``rows`` without one of the narrow ``keys`` (written already); shuffled are the same rows as in ``matching``, the others are read in a second pass."""
+    n = keys.count()
+    if n <= most:
         return rows.join(F.broadcast(keys), on, "left_anti")
-    some, rest = _parted(rows, keys, on)
+    if KEY_BITS * n > MOST_BITS:
+        return rows.join(keys, on, "left_anti")
+    some, rest = _parted(rows, keys, on, n)
     return rest.select(*rows.columns).union(some.join(keys, on, "left_anti").select(*rows.columns))
 
 
@@ -237,7 +276,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     )
     labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    moved = 1
+    moved, prior = 1, labels
     while moved:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -254,5 +293,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = durable(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         moved = after.filter("old <> label").limit(1).count()
-        labels = after.select("node", "label")
+        discard(prior, step)
+        prior, labels = after, after.select("node", "label")
+    discard(both)
     return labels

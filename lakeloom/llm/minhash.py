@@ -106,7 +106,9 @@ def candidates(sets: DataFrame, least: int = LEAST, crowd: int = CROWD, percent:
     a = lists.select(F.col("sid").alias("a"), F.col("hs").alias("ha"))
     b = lists.select(F.col("sid").alias("b"), F.col("hs").alias("hb"))
     collide = pairs.join(a, "a").join(b, "b").filter(F.size(F.array_intersect("ha", "hb")) >= least).select("a", "b")
-    return common.durable(chains.distinct().union(collide))
+    out = common.durable(chains.distinct().union(collide))
+    common.discard(met, lists, counts, pairs)
+    return out
 
 
 def minhash_components(

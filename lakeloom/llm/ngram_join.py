@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
+#: Of so many sets one (by its hash) reports all its shingles, and so many reports tell a frequent one.
+SAMPLE, SIGHTINGS = 64, 3
 #: How many regions before its own each row of a region names, so that a pair comes from the first region it shares.
 LAST = 4
 #: A region of a cell that is no larger is measured as it is; a larger one is parted by so many pivots.
@@ -66,13 +68,19 @@ def _listed_rows(*given) -> pa.RecordBatch:
 
 
 def _identity(size, most=1 << 20):
-    """A row for each document: its set's id and size; and rows (h, c) for shingles that several documents of the part hold.
+    """A row for each document: its set's id and size; rows (h, c) for shingles that several documents of the part hold; and
+    rows (h, -c) for all shingles of one set in ``SAMPLE``, so that those that stand once in each of many parts are told of, too.
 
     The table of shingles keeps at most about ``most``: when full it forgets the rarest (they only decide an order).
     """
 
+    def told(shingles):
+        k, c = np.unique(np.concatenate(shingles), return_counts=True)
+        return _listed_rows(None, None, None, None, None, None, k.view(np.int64), -c)
+
     def run(batches):
         keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        some, held = [], 0
         for b in batches:
             at = 0
             for group in common.text_groups(b.column("text").to_pylist(), 1 << 21):
@@ -83,6 +91,11 @@ def _identity(size, most=1 << 20):
                 yield _listed_rows(
                     part.column("doc_id"), part.column("_k"), part.column("_t"), [x for x, _ in ids], [y for _, y in ids], [len(s) for s in sets], None, None
                 )
+                chosen = [s for s, (low, _) in zip(sets, ids, strict=True) if low is not None and low % SAMPLE == 0]
+                some, held = some + chosen, held + sum(map(len, chosen))
+                if held >= most:
+                    yield told(some)
+                    some, held = [], 0
                 k, c = np.unique(np.concatenate(sets), return_counts=True)
                 at_key = np.searchsorted(keys, k)
                 hit = keys[np.minimum(at_key, len(keys) - 1)] == k if len(keys) else np.zeros(len(k), bool)
@@ -96,16 +109,21 @@ def _identity(size, most=1 << 20):
                 keys, times = keys[order], times[order]
         ok = times > 1
         yield _listed_rows(None, None, None, None, None, None, keys[ok].view(np.int64), times[ok])
+        if held:
+            yield told(some)
 
     return run
 
 
 def frequent_shingles(listed: DataFrame, least: int, most: int) -> np.ndarray:
-    """Shingles held by at least ``least`` rows (as far as the parts told of them), the ``most`` most frequent: a bounded list.
+    """Shingles held by at least ``least`` rows (as the parts told of them, or the sampled sets), the ``most`` most frequent: a bounded list.
 
-    It only decides the order of shingles, never the result.
+    It only decides the order of shingles, never the result. A shingle that both miss is held by few rows: each part has it once, and the sample hardly ever.
     """
-    seen = listed.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c"))
+    parts = F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("c"))), F.lit(0))
+    sample = F.coalesce(-F.sum(F.when(F.col("c") < 0, F.col("c"))), F.lit(0))
+    counted = F.greatest(parts, F.when(sample >= SIGHTINGS, sample * SAMPLE).otherwise(0))
+    seen = listed.filter("h is not null").groupBy("h").agg(counted.alias("c"))
     top = seen.filter(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(most).select("h").toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -190,7 +208,9 @@ def candidates(rows: DataFrame, listed: DataFrame, sizes: DataFrame, clashing: f
     )
     pairs = common.durable(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
     common.sweep(rows.sparkSession)
-    return common.durable(chains.distinct().union(_alike(pairs, regions)))
+    out = common.durable(chains.distinct().union(_alike(pairs, regions)))
+    common.discard(regions, counts, pairs)
+    return out
 
 
 class Cell:
@@ -368,6 +388,7 @@ def links_and_roots(rows: DataFrame, sizes: DataFrame, labels: DataFrame, size:
         F.least("part", "_other").alias("i"), F.greatest("part", "_other").alias("j"), "part", "label", "sid", "copies", "items",
     )
     found = common.durable(sets.groupBy("large", "cell", "i", "j").applyInPandas(_joined(percent, leaf), "sid long, others long, root long"))
+    common.discard(cells, keys)
     common.sweep(rows.sparkSession)
     if (total["m"] or 0) <= cell_items:
         return found.select("sid", "others", F.col("root").alias("label"))

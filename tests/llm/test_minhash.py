@@ -6,7 +6,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from lakeloom.llm import minhash
+from lakeloom.llm import common, minhash, ngram_join
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,3 +92,34 @@ def test_signatures_agree_as_sets_do():
         agree.append(int((sig[0] == sig[1]).sum()))
     assert abs(np.mean(agree) - 51.2) < 0.3 and abs(np.std(agree) - 3.2) < 0.2 and min(agree) > 36
     assert sum(comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(minhash.LEAST)) < 2e-8
+
+
+def test_shingles_that_parts_hold_once_are_told_of(spark):
+    """One passage in every one of many parts, once in each: no part sees it twice, the sample of sets does."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 8)) + " one passage that stands in every text") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(750)
+    listed = df.select("doc_id", "text", *common.row_key()).mapInArrow(ngram_join._identity(5), ngram_join._LISTED)
+    passage = ngram_join.shingle_sets(["one passage that stands in every text"], 5)[0]
+    found = ngram_join.frequent_shingles(listed, 32, 1000)
+    assert set(passage.tolist()) <= set(found.tolist()) and len(found) < 20
+
+
+def test_joins_of_wide_rows_by_bits(spark):
+    """Whatever the number of keys: the same rows as a plain join, and about an eighth of the others looked at."""
+    rows = spark.range(40_000).selectExpr("id AS _k", "id % 7 AS _t", "repeat('x', 50) AS text")
+    keys = common.durable(spark.range(0, 80_000, 9).selectExpr("id AS _k", "id % 7 AS _t"))
+    for most in (100, 100_000):
+        assert common.matching(rows, keys, ["_k", "_t"], most).count() == rows.join(keys, ["_k", "_t"]).count() == 4445
+        assert common.lacking(rows, keys, ["_k", "_t"], most).count() == 40_000 - 4445
+    some, rest = common._parted(rows, keys, ["_k", "_t"], keys.count())
+    assert some.count() + rest.count() == 40_000 and 4445 <= some.count() < 4445 + 40_000 / 5
+
+
+def test_tables_go_when_nothing_is_read_from_them(spark):
+    made = len(common._written.get(spark.sparkContext.applicationId, []))
+    df = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    out = common.settled(spark, lambda: minhash.minhash_components(df))
+    assert out.count() == 20 and len(common._written[spark.sparkContext.applicationId]) == made + 1
+    common.discard(out)
+    assert len(common._written[spark.sparkContext.applicationId]) == made
