@@ -44,7 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row with the largest doc_id stays."""
-    found = common.durable(exact.exact_dedup(docs, keep="largest", row_keys=True).select("_k", "_t", "text_sha256", "kept"))
+    found = common.settled(spark, lambda: exact.exact_dedup(docs, keep="largest", row_keys=True).select("_k", "_t", "text_sha256", "kept"))
     # kept rows of one id whose texts differ in capitals only: one of the texts stays
     twice = found.filter("kept").groupBy("_k", "text_sha256").agg(F.min("_t").alias("first"), F.count("*").alias("n")).filter("n > 1")
     twice = common.small(common.durable(twice.drop("n")))
@@ -54,7 +54,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) one row with the smallest doc_id stays."""
-    found = common.durable(ngram_join.jaccard_components(docs, row_keys=True).filter("label is not null"))
+    found = common.settled(spark, lambda: ngram_join.jaccard_components(docs, row_keys=True).filter("label is not null"))
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_k", "_t")).alias("best"), F.count("*").alias("n"))
     best = common.small(common.durable(best.filter("n > 1").select("label", "best")))
     of = found.join(best, "label").withColumn("stays", (F.col("best._k") == F.col("_k")) & (F.col("best._t") == F.col("_t")))
@@ -87,7 +87,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.durable(docs)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        before, docs = docs, common.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        common.discard(before)
