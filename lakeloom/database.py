@@ -103,7 +103,7 @@ class Database:
     # queries
 
     def compiler(self) -> Compiler:
-        return Compiler(self.spark, self.table)
+        return Compiler(self.spark, self.table, lambda name, bounds: self.store.read_where(*split_name(name), bounds))
 
     def compile(self, query: Any) -> DataFrame:
         """A select (JSON, or SQL text over this database's tables) as a DataFrame."""

@@ -199,7 +199,10 @@ def change(store: Store, on: Any, c: dict, schema: str | None = None) -> None:
         elif kind == "index":
             if body.get("type", "btree") not in INDEXES:
                 raise QueryError(f"unknown index type: {body['type']}")
+            if name in meta["indexes"] and item.get("maybe"):
+                continue
             meta["indexes"] |= definition(at[1], {"indexes": {name: body}})["indexes"]
+            rows = current()  # its files are written anew, in the index's order
         else:
             raise QueryError(f"can't add a {kind} to a table")
     renames: list[tuple[str, str, str]] = []

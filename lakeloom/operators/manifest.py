@@ -125,7 +125,7 @@ def copy_files(source: Side, target: Side, shard_rows: int) -> tuple[int, int] |
         if key is not None and everything.select(source.columns[key].alias("k")).filter("k is null").limit(1).count():
             return None
         rows = source.rows(everything)
-        store.write(*at, store.meta(*at), laid_out(rows, key, total, rows_per_file(total, shard_rows)) if key is not None and total else rows, check=False)
+        store.write(*at, store.meta(*at), laid_out(rows, key, total, rows_per_file(total, shard_rows)) if key is not None and total else rows, check=False, sort=key is None)
         return total, 0
     if have["nulls"] or own and want["nulls"]:
         return None
@@ -161,5 +161,5 @@ def copy_files(source: Side, target: Side, shard_rows: int) -> tuple[int, int] |
     rows = rows.join(bad, bucket_of(F.col(f"`{key}`"), tops, strict=True) == F.col("_lk_shard"), "left_semi")
     touched = [r["file"] for r in placed.join(bad, F.col("shard") == F.col("_lk_shard"), "left_semi").select("file").collect()]
     touched, others, _, _ = store.part_at(*at, touched)
-    store.replace(*at, store.meta(*at), touched, others, laid_out(rows, key, copied, rows_per_file(copied + settled, shard_rows)), check=False)
+    store.replace(*at, store.meta(*at), touched, others, laid_out(rows, key, copied, rows_per_file(copied + settled, shard_rows)), check=False, sort=False)
     return copied, settled

@@ -501,3 +501,30 @@ query(
     {"data": ["n_nationkey", {"j": {"json_build_object": ["'k'", {"named_struct": ["'x'", "n_nationkey", "'y'", {"nullif": ["n_regionkey", 1]}]}]}}, {"a": {"json_build_array": [{"named_struct": ["'y'", {"nullif": ["n_regionkey", 1]}]}]}}], "from": "nation"},
     "SELECT n_nationkey, '{\"k\": {\"x\":' || n_nationkey || ',\"y\":' || coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null') || '}}' AS j, '[{\"y\":' || coalesce(nullif(n_regionkey, 1)::VARCHAR, 'null') || '}]' AS a FROM nation",
 )
+
+
+# indexes: a lookup opens the files that may hold its rows
+
+
+def _indexed(spark, sf_dir, column: str, kind: str = "btree") -> Database:
+    db = _loaded(spark, sf_dir, "orders", "o_orderkey")
+    db.store.write("main", "orders", db.store.meta("main", "orders"), db.table("orders").repartition(12), check=False)
+    db.create_index("orders", f"by_{column}", {"columns": [column], "type": kind})
+    return db
+
+
+@made("index_key_lookup", "SELECT * FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def _index_lookup(spark, sf_dir):
+    db = _indexed(spark, sf_dir, "o_orderkey")
+    return db.compile(db.get_model("orders").key(db.query_one_value("SELECT max(o_orderkey) FROM orders")).select())
+
+
+@made("index_range_with_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 200000 AND o_totalprice < 300000.5 ORDER BY o_totalprice, o_orderkey LIMIT 40")
+def _index_range(spark, sf_dir):
+    both = [{">=": ["o_totalprice", 200000]}, {">": [300000.5, "o_totalprice"]}]
+    return _indexed(spark, sf_dir, "o_totalprice").compile({"select": {"data": ["o_orderkey", "o_totalprice"], "from": "orders", "where": {"and": both}, "order": ["o_totalprice", "o_orderkey"], "limit": 40}})
+
+
+@made("index_hash_lookup", "SELECT o_orderkey FROM orders WHERE o_custkey = 77")
+def _index_hash(spark, sf_dir):
+    return _indexed(spark, sf_dir, "o_custkey", "hash").compile({"select": {"data": "o_orderkey", "from": "orders", "where": {"=": ["o_custkey", 77]}}})

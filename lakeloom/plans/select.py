@@ -18,8 +18,8 @@ Tables = Callable[[str], DataFrame]
 class Compiler:
     """Compiles selects against ``tables`` (name -> DataFrame); CTE names come first."""
 
-    def __init__(self, spark: SparkSession, tables: Tables):
-        self.spark, self.tables = spark, tables
+    def __init__(self, spark: SparkSession, tables: Tables, narrowed: Callable[[str, dict], DataFrame] | None = None):
+        self.spark, self.tables, self.narrowed = spark, tables, narrowed
         self.ctes: list[dict[str, DataFrame]] = []
 
     def run(self, query: dict, outer: Context | None = None) -> DataFrame:
@@ -65,7 +65,9 @@ class Compiler:
             df = source
         elif isinstance(source, str) or (path := identifier(source)) is not None:
             name = source if isinstance(source, str) else ".".join(path)
-            df, alias = self.table(name), alias or name.split(".")[-1]
+            bounds, alias = ctx.defaults.pop("bounds", None), alias or name.split(".")[-1]
+            own = self.narrowed is None or not bounds or any(name in frame for frame in self.ctes)
+            df = self.table(name) if own else self.narrowed(name, bounds)
         elif isinstance(source, dict) and set(source) == {"lateral"}:
             raise QueryError("lateral follows another source")
         elif isinstance(source, dict) and set(source) == {"select"}:
@@ -158,6 +160,8 @@ class Compiler:
 
     def _select(self, clause: dict, outer: Context | None) -> DataFrame:
         ctx = Context(self.run, outer)
+        if (source := single_table(clause)) is not None and (found := bounds_of(clause.get("where"), source)):
+            ctx.defaults["bounds"] = found
         df = self.join(self.sources(clause.get("from"), ctx), clause.get("join"), ctx)
         if clause.get("where") is not None:
             df = df.filter(to_column(clause["where"], ctx))
@@ -233,3 +237,54 @@ class Compiler:
 
 def literal_value(x: Any) -> Any:
     return x[1:-1] if isinstance(x, str) and is_literal_text(x) else x
+
+
+def single_table(clause: dict) -> str | None:
+    """The alias of the one table that a select reads."""
+    source = clause.get("from")
+    source = source[0] if isinstance(source, list) and len(source) == 1 else source
+    if clause.get("join") or not source:
+        return None
+    if isinstance(source, str):
+        return source.split(".")[-1]
+    (alias, what), *more = source.items() if isinstance(source, dict) else ((None, None),)
+    return alias if isinstance(what, str) and not more else None
+
+
+def _value(x: Any) -> Any:
+    """A literal's value; None for anything else."""
+    if isinstance(x, dict) and set(x) == {"literal"} and not isinstance(x["literal"], (list, dict)):
+        x = x["literal"]
+        return None if isinstance(x, bool) else x
+    if isinstance(x, str):
+        return x[1:-1] if is_literal_text(x) else None
+    return x if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+
+
+def bounds_of(where: Any, alias: str) -> dict[str, tuple[Any, Any]]:
+    """column -> (least, largest) that the conditions which all must hold leave to it; a bound itself counts as inside."""
+    if not isinstance(where, dict) or len(where) != 1:
+        return {}
+    (name, args), = where.items()
+    out: dict[str, tuple[Any, Any]] = {}
+    if name.lower() == "and" and isinstance(args, list):
+        for a in args:
+            for c, (low, high) in bounds_of(a, alias).items():
+                before = out.get(c, (None, None))
+                out[c] = (low if before[0] is None else before[0], high if before[1] is None else before[1])
+        return out
+    if name.lower() == "between" and isinstance(args, dict) and not args.get("symmetric"):
+        pairs = [(args.get("value"), _value(args.get("min")), _value(args.get("max")))]
+    elif name in ("=", "<", "<=", ">", ">=") and isinstance(args, list) and len(args) == 2:
+        left, right = args
+        turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+        pairs = []
+        for c, v, op in ((left, _value(right), name), (right, _value(left), turned.get(name, name))):
+            pairs.append((c, v if op[0] in "=>" else None, v if op[0] in "=<" else None))
+    else:
+        return {}
+    for c, low, high in pairs:
+        path = identifier(c) if not isinstance(c, (int, float)) else None
+        if path and (len(path) == 1 or path[-2] == alias) and (low is not None or high is not None):
+            out[path[-1]] = (low, high)
+    return out

@@ -230,15 +230,67 @@ class Store:
     def schema(meta: dict) -> T.StructType:
         return T.StructType([T.StructField(k, spark_type(c["type"]), True) for k, c in meta["columns"].items()])
 
+    # indexes: files are sorted by range and known by it (btree), or hold Bloom filters (hash)
+
+    def ranges(self, schema: str, table: str, meta: dict, column: str) -> DataFrame:
+        """file, n, lo, hi of each file of a snapshot, for one column; a folder's lines are computed once, as its files never change."""
+        parts, base = parts_of(meta), f"{self.place(schema, table, meta)}/_ranges/{uuid.uuid5(uuid.NAMESPACE_OID, column + meta['columns'][column]['type']).hex}"
+        held = {}
+        for f in sorted(folders(parts)):
+            done = lambda f=f: next((f"{base}/{f}/{n}" for n in self.files.names(f"{base}/{f}") if self.files.exists(f"{base}/{f}/{n}/_SUCCESS")), None)
+            if done() is None:
+                path = F.concat_ws("/", F.slice(F.split(F.col("_metadata.file_path"), "/"), -2, 2)).alias("file")
+                rows = self._parts(schema, table, [f], meta).select(path, F.col(f"`{column}`").alias("k"))
+                rows.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).coalesce(1).write.parquet(f"{base}/{f}/m-{uuid.uuid4().hex}")
+            held[f] = done()
+        lines = self.spark.read.parquet(*held.values())
+        single = [p for p in parts if "/" in p]
+        if not single:
+            return lines
+        named = self.spark.createDataFrame([(p,) for p in single], "file string")
+        return lines.filter(F.substring_index("file", "/", 1).isin([p for p in parts if "/" not in p])).unionByName(lines.join(named, "file", "left_semi"))
+
+    def between(self, schema: str, table: str, meta: dict, column: str, low: Any, high: Any) -> list[str]:
+        """Names of the files that may hold values of an indexed column from ``low`` to ``high`` (None: no bound)."""
+        kind = self.schema(meta)[column].dataType
+        lines = self.ranges(schema, table, meta, column)
+        for bound, test in ((low, lambda b: F.col("hi") >= b), (high, lambda b: F.col("lo") <= b)):
+            lines = lines.filter(test(F.lit(bound).cast(kind))) if bound is not None else lines
+        return sorted(r["file"] for r in lines.select("file").collect())
+
+    def read_where(self, schema: str, table: str, bounds: dict[str, tuple[Any, Any]]) -> DataFrame:
+        """As ``read``, less files that surely hold no row within the ``bounds`` of an indexed column."""
+        meta = self.record(schema, table)
+        fits = lambda c: all(b is None or _alike(b, self.schema(meta)[c].dataType) for b in bounds[c])
+        column = next((c for c in sorted_by(meta) if c in bounds and fits(c)), None) if meta is not None and parts_of(meta) else None
+        if column is None:
+            return self.read(schema, table)
+        return self._parts(schema, table, self.between(schema, table, meta, column, *bounds[column]), meta)
+
+    def _beside(self, schema: str, table: str, meta: dict, new: DataFrame) -> Callable[[list[str] | None], DataFrame]:
+        """The old rows among which keys of the new ones may be found: where the key's first column is indexed, those of files in its range."""
+
+        def rows(columns: list[str] | None) -> DataFrame:
+            if columns and columns[0] in sorted_by(meta) and parts_of(meta):
+                low, high = new.agg(F.min(F.col(f"`{columns[0]}`")), F.max(F.col(f"`{columns[0]}`"))).first()
+                return self._parts(schema, table, self.between(schema, table, meta, columns[0], low, high) if low is not None else [], meta)
+            return self._parts(schema, table, parts_of(meta), meta)
+
+        return rows
+
     # writing: a new part, then the record
 
-    def _new_part(self, schema: str, table: str, meta: dict, rows: DataFrame) -> tuple[str, DataFrame, int]:
+    def _new_part(self, schema: str, table: str, meta: dict, rows: DataFrame, sort: bool = True) -> tuple[str, DataFrame, int]:
         """``rows`` as a part of a name of its own: the name, the part read back, its bytes."""
         kind, part = self.schema(meta), f"d-{uuid.uuid4().hex}"
         path = f"{self.place(schema, table, meta)}/{part}"
         if self.view is not None:
             self.view.fresh.append(path)
-        rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind]).write.parquet(path)
+        rows = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind])
+        if sort and (lead := sorted_by(meta)[:1]):
+            rows = rows.repartitionByRange(F.col(f"`{lead[0]}`")).sortWithinPartitions(f"`{lead[0]}`")
+        options = {f"parquet.bloom.filter.enabled#{c}": "true" for i in (meta.get("indexes") or {}).values() if i["type"] == "hash" for c in i["columns"]}
+        rows.write.options(**options).parquet(path)
         return part, self.spark.read.schema(kind).parquet(path), self.files.size(path)
 
     def _checked(self, schema: str, table: str, meta: dict, part: str, found: list[str]) -> None:
@@ -246,14 +298,14 @@ class Store:
             self.files.delete(f"{self.place(schema, table, meta)}/{part}")
             raise StoreError(f"{schema}.{table} breaks {', '.join(found)}")
 
-    def write(self, schema: str, table: str, meta: dict, rows: DataFrame | None, check: bool = True) -> int:
+    def write(self, schema: str, table: str, meta: dict, rows: DataFrame | None, check: bool = True, sort: bool = True) -> int:
         """Save ``rows`` (None: no change of rows) under ``meta``, in place of all that is there; returns the new version."""
         if self.kind != "files":
             raise StoreError("this store is read only")
         old = self.record(schema, table)
         meta = {**meta, "home": (old or {}).get("home"), "parts": parts_of(old), "sizes": (old or {}).get("sizes", {})}
         if rows is not None:
-            part, new, size = self._new_part(schema, table, meta, rows)
+            part, new, size = self._new_part(schema, table, meta, rows, sort)
             if check:
                 self._checked(schema, table, meta, part, self.violations(schema, table, meta, new, deferred=False))
             meta |= {"parts": [part], "sizes": {part: size}}
@@ -274,7 +326,7 @@ class Store:
         if self.kind != "files" or old is None:
             return self.write(schema, table, meta, self.read(schema, table).unionByName(rows))
         part, new, size = self._new_part(schema, table, old, rows)
-        self._checked(schema, table, old, part, self.violations(schema, table, old, new, deferred=False, beside=self.read(schema, table)))
+        self._checked(schema, table, old, part, self.violations(schema, table, old, new, deferred=False, beside=self._beside(schema, table, old, new)))
         known = [set(parts_of(old))]
 
         def onto(now: dict | None) -> dict:
@@ -359,13 +411,13 @@ class Store:
                 others += [n for n in names if n not in touched]
         return others
 
-    def replace(self, schema: str, table: str, meta: dict, touched: list[str], others: list[str], rows: DataFrame, check: bool = True) -> int:
+    def replace(self, schema: str, table: str, meta: dict, touched: list[str], others: list[str], rows: DataFrame, check: bool = True, sort: bool = True) -> int:
         """``rows`` take the place of the files ``touched``; ``others`` stay as they are. ``check``: hold the rows against the constraints.
 
         Others' commits in between are no conflict if these files are still there and the definition is the same.
         """
         old = self.record(schema, table)
-        part, new, size = self._new_part(schema, table, old, rows)
+        part, new, size = self._new_part(schema, table, old, rows, sort)
         if check:
             self._checked(schema, table, old, part, self.violations(schema, table, meta, new, deferred=False, beside=self._parts(schema, table, others)))
         known = [set(parts_of(old)) | set(others)]
@@ -520,11 +572,12 @@ class Store:
 
     # constraints
 
-    def violations(self, schema: str, table: str, meta: dict, rows: DataFrame, deferred: bool = True, beside: DataFrame | None = None) -> list[str]:
+    def violations(self, schema: str, table: str, meta: dict, rows: DataFrame, deferred: bool = True, beside: DataFrame | Callable[[list[str] | None], DataFrame] | None = None) -> list[str]:
         """Names of the constraints (and not-null columns) that ``rows`` break; one job for nulls, one for each key.
 
-        ``beside``: sound rows of the same table that the new ones come to.
+        ``beside``: sound rows of the same table that the new ones come to, or what gives them for a key's columns.
         """
+        near = beside if callable(beside) else lambda columns: beside
         from ..functions.expressions import Context, to_column
 
         out, must = [], [k for k, c in meta["columns"].items() if not c["null"]]
@@ -543,7 +596,7 @@ class Store:
                 whole = rows.dropna(subset=k["columns"]) if k["type"] != "primary" else rows
                 if whole.groupBy(*cols).count().filter("count > 1").limit(1).count():
                     out.append(name)
-                elif beside is not None and beside.select(*k["columns"]).join(whole.select(*k["columns"]), k["columns"], "left_semi").limit(1).count():
+                elif beside is not None and near(k["columns"]).select(*k["columns"]).join(whole.select(*k["columns"]), k["columns"], "left_semi").limit(1).count():
                     out.append(name)
             elif k["type"] == "foreign" and k.get("related_name"):
                 to = split_name(k["related_name"], schema)
@@ -551,7 +604,7 @@ class Store:
                     self.view.rested.add(to)
                 if self.exists(*to):
                     other = rows if to == (schema, table) else self.read(*to)
-                    other = other.unionByName(beside) if to == (schema, table) and beside is not None else other
+                    other = other.unionByName(near(None)) if to == (schema, table) and beside is not None else other
                     theirs = k.get("related_columns") or k["columns"]
                     same = [F.col(f"a.`{a}`") == F.col(f"b.`{b}`") for a, b in zip(k["columns"], theirs, strict=True)]
                     if rows.dropna(subset=k["columns"]).alias("a").join(other.alias("b"), same, "left_anti").limit(1).count():
@@ -609,6 +662,18 @@ class Store:
             self.shared.undo.append(lambda: put(before))
 
 
+def _alike(bound: Any, kind: T.DataType) -> bool:
+    """Whether a value and a column of this type are compared in the column's own order."""
+    if isinstance(bound, str):
+        return isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return isinstance(kind, T.NumericType) if isinstance(bound, (int, float)) else isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def sorted_by(meta: dict | None) -> list[str]:
+    """Columns by which a table's files can be chosen: the first ones of its btree indexes, in order."""
+    return list(dict.fromkeys(i["columns"][0] for i in (meta or {}).get("indexes", {}).values() if i.get("type", "btree") == "btree" and i.get("columns")))
+
+
 def _stamp(meta: dict | None) -> str | None:
     return None if meta is None else meta.get("stamp")
 
