@@ -1,4 +1,4 @@
-"""Readers by URL: a folder of Parquet files, a Spark catalog, or a server through JDBC."""
+"""Readers by URL: a folder of Parquet files, a Spark catalog, an SQLite file, or a server through JDBC."""
 
 from __future__ import annotations
 
@@ -10,13 +10,20 @@ FORMATS = ("parquet", "orc", "json", "csv")
 
 
 def kind_of(url: str) -> str:
-    """``jdbc`` for server URLs, ``catalog`` for catalog:name, else ``files``."""
+    """``jdbc`` for server URLs, ``catalog`` for catalog:name, ``sqlite`` for sqlite:path, else ``files``."""
     scheme = urlsplit(url).scheme.lower()
+    if scheme == "sqlite":
+        return "sqlite"
     if scheme in ("postgres", "postgresql", "mysql", "jdbc"):
         return "jdbc"
     return "catalog" if scheme == "catalog" else "files"
 
 
+def sqlite_path(url: str) -> str:
+    rest = url.split(":", 1)[1]
+    return rest[2:] if rest.startswith("//") else rest
+
+
 def jdbc_url(url: str) -> str:
     if url.startswith("jdbc:"):
         return url

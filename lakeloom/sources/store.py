@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from ..functions.types import spark_type, type_name
 from .files import Files
 from .log import LEASE, Conflict, Log, commit_together
-from .readers import FORMATS, kind_of, read_file, read_jdbc
+from . import sqlite
+from .readers import FORMATS, kind_of, read_file, read_jdbc, sqlite_path
 
 DEFAULT = "main"
 #: So many parts of about one size (within a factor of as much) are merged into one.
@@ -114,6 +115,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.kind = spark, kind_of(root)
         self.root = root.removeprefix("file://") if root.startswith("file:///") else root.rstrip("/")
+        self.file = sqlite_path(root) if self.kind == "sqlite" else None
+        if self.file:  # what is staged on the way lies beside the file
+            self.root = f"{self.file}.stages"
         self.files, self.lease = Files(spark), LEASE
         self.plain: dict[tuple[str, str], dict] = {}
         self.logs: dict[str, Log] = {}
@@ -133,6 +137,8 @@ class Store:
     def schemas(self) -> list[str]:
         if self.kind == "catalog":
             return [d.name for d in self.spark.catalog.listDatabases()]
+        if self.file:
+            return [DEFAULT]
         names = self.files.names(self.root)
         plain = [n for n in names if n.rsplit(".", 1)[-1] in FORMATS]
         own = [n for n in names if n not in plain and not n.startswith(("_", ".")) and not (self.files.exists(f"{self.root}/{n}/_gone") and not self.tables(n))]
@@ -141,6 +147,8 @@ class Store:
     def tables(self, schema: str = DEFAULT) -> list[str]:
         if self.kind == "catalog":
             return [t.name for t in self.spark.catalog.listTables(schema)]
+        if self.file:
+            return sqlite.tables(self.file) if schema == DEFAULT else []
         names = {n for n in self.files.names(self.path(schema)) if not n.startswith("_")} | {t for s, t in [*self.temporary, *(self.view.own if self.view else ())] if s == schema}
         own = [n for n in names if self.record(schema, n) is not None]
         plain = [n.rsplit(".", 1)[0] for n in self.files.names(self.root) if n.rsplit(".", 1)[-1] in FORMATS] if schema == DEFAULT else []
@@ -205,6 +213,9 @@ class Store:
     def meta(self, schema: str, table: str) -> dict:
         if (found := self.record(schema, table)) is not None:
             return found
+        if self.file and self.exists(schema, table):
+            found = {n: COLUMN | c | {"default": None} for n, c in sqlite.columns(self.file, table).items()}
+            return bind(table, {"type": "table", "columns": found, "constraints": {}, "indexes": {}, "version": None})
         if (schema, table) not in self.plain:
             df = self.read(schema, table)
             self.plain[schema, table] = {"type": "table", "columns": {f.name: COLUMN | {"type": type_name(f.dataType), "null": f.nullable} for f in df.schema}, "constraints": {}, "indexes": {}, "version": None}
@@ -220,6 +231,8 @@ class Store:
             return self.spark.table(f"`{schema}`.`{table}`")
         if self.kind == "jdbc":
             return read_jdbc(self.spark, self.root, f"{schema}.{table}")
+        if self.file and self.exists(schema, table):
+            return sqlite.read(self.spark, self.file, table)
         if (meta := self.record(schema, table)) is not None:
             return self._parts(schema, table, parts_of(meta), meta)
         if plain := self._plain(schema, table):
@@ -260,6 +273,10 @@ class Store:
 
     def read_where(self, schema: str, table: str, bounds: dict[str, tuple[Any, Any]]) -> DataFrame:
         """As ``read``, less files that surely hold no row within the ``bounds`` of an indexed column."""
+        if self.file and self.exists(schema, table):
+            kinds, plain = sqlite.schema(self.file, table), (T.IntegralType, T.DoubleType, T.StringType)
+            given = {c: b for c, b in bounds.items() if c in kinds.names and isinstance(kinds[c].dataType, plain) and all(x is None or (isinstance(x, str) == isinstance(kinds[c].dataType, T.StringType) and isinstance(x, (int, float, str))) for x in b)}
+            return sqlite.read(self.spark, self.file, table, bounds=given)
         meta = self.record(schema, table)
         fits = lambda c: all(b is None or _alike(b, self.schema(meta)[c].dataType) for b in bounds[c])
         column = next((c for c in sorted_by(meta) if c in bounds and fits(c)), None) if meta is not None and parts_of(meta) else None
@@ -300,6 +317,11 @@ class Store:
 
     def write(self, schema: str, table: str, meta: dict, rows: DataFrame | None, check: bool = True, sort: bool = True) -> int:
         """Save ``rows`` (None: no change of rows) under ``meta``, in place of all that is there; returns the new version."""
+        if self.file:
+            rows = self.read(schema, table) if rows is None else rows
+            kind = self.schema(meta)
+            sqlite.write(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind]), self.file, table, sqlite.create_text(table, meta))
+            return 0
         if self.kind != "files":
             raise StoreError("this store is read only")
         old = self.record(schema, table)
@@ -322,6 +344,10 @@ class Store:
 
         Others' commits in between are no conflict unless they changed the table's definition: their new rows are checked as well.
         """
+        if self.file:
+            kind = self.schema(meta)
+            sqlite.write(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind]), self.file, table)
+            return 0
         old = self.record(schema, table)
         if self.kind != "files" or old is None:
             return self.write(schema, table, meta, self.read(schema, table).unionByName(rows))
@@ -497,6 +523,9 @@ class Store:
     def drop(self, schema: str, table: str) -> None:
         """The table is gone with its next record; a transaction's drop takes effect with it, and only then do the files go."""
         at, meta = (schema, table), self.record(schema, table)
+        if self.file:
+            sqlite.drop(self.file, table)
+            return
         if meta is None:
             if self._plain(*at):
                 raise StoreError(f"{schema}.{table} is a plain file, to be read only")
