@@ -1,7 +1,7 @@
 """Manifests: for each data file of a table its rows, key range and order-free 128-bit hash; and copies that follow them.
 
 Files never change, so a file's line is computed once, when it is first asked for, and kept beside the table. A shard of the
-target is a run of its files whose key ranges overlap (files written here don't, so mostly a file is a shard). Source files
+target is a run of its files whose key ranges overlap (files written here don't, so mostly a file is a shard; small ones are taken together). Source files
 that lie in one shard count by their line; only those across a border are read. Shards with equal sums are settled without
 reading a row; of the others the target's files are replaced by the source's rows of that key range.
 """
@@ -76,14 +76,17 @@ def added() -> list[Column]:
     return [F.sum(c).cast("decimal(38,0)").alias(c) for c in SUMS]
 
 
-def shard_tops(lines: DataFrame) -> Cuts:
-    """The upper ends of all shards but the last: runs of files whose ranges overlap; neighbours are taken together beyond ``MOST_CUTS``.
+def shard_tops(lines: DataFrame, shard_rows: int) -> Cuts:
+    """The upper ends of all shards but the last: runs of files whose ranges overlap, neighbours being taken together up to
+    ``shard_rows`` rows, and further beyond ``MOST_CUTS`` shards.
 
     One line a file goes through one task, as the runs follow one another.
     """
-    by = Window.partitionBy(F.lit(0)).orderBy("lo", "hi")
-    seen = lines.filter("lo is not null").withColumn("before", F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = seen.filter(F.col("before") < F.col("lo")).select(F.col("before").alias("top"))
+    by = Window.partitionBy(F.lit(0)).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lines.filter("lo is not null").select("lo", F.max("hi").over(by).alias("top"), F.floor(F.sum("n").over(by) / shard_rows).alias("shard"))
+    ends = seen.filter(F.col("top") < F.col("lo"))
+    after = F.coalesce(F.lag("shard").over(Window.partitionBy(F.lit(0)).orderBy("lo")), F.lit(0))
+    ends = ends.withColumn("new", F.col("shard") > after).filter("new").select("top")
     n = ends.count()
     if n > MOST_CUTS:
         step = math.ceil(n / MOST_CUTS)
@@ -129,7 +132,7 @@ def copy_files(source: Side, target: Side, shard_rows: int) -> tuple[int, int] |
         return total, 0
     if have["nulls"] or own and want["nulls"]:
         return None
-    tops = shard_tops(theirs)
+    tops = shard_tops(theirs, shard_rows)
     shard = lambda c: bucket_of(F.col(c), tops, strict=True)
     placed = theirs.withColumn("shard", shard("hi"))
     right = placed.filter("n > 0").groupBy("shard").agg(*added())
