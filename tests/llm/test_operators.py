@@ -683,9 +683,9 @@ def test_pipeline_stages_against_brute_force(spark, docs):
     kept = after(2)
     assert kept == {k for k, (_, c) in component.items() if k == c}
     some = [(k, rows[k], re.match("[^0-9]*", full[k]["source"])[0], full[k]["lang"], full[k]["source"], len(WORD.findall(rows[k]))) for k in kept]
-    copies = brute_mix(spark, some, 0.9, {}, 0.7, 1)
+    copies, _ = brute_mix(spark, some, 0.9, {}, 0.7, 1)
     kept = after(3)
-    assert kept == {k for (k, n) in copies if n}
+    assert kept == {k for (k, n, _) in copies if n}
     packed = p.STAGES[4][1](spark, found, SF).toPandas()
     assert set(packed.doc_id) == kept and (packed.groupby("sequence_id").length.sum() <= 2048).all()
     want, _ = packing.best_fit(packed.sort_values(["doc_id", "piece", "start"]).length.to_numpy(), (2048.0, 2048.0, 2048.0**2))
