@@ -232,7 +232,7 @@ def change(store: Store, on: Any, c: dict, schema: str | None = None) -> None:
         if kind == "column":
             rows = current().withColumnRenamed(name, to)
             for other in (*meta["constraints"].values(), *meta["indexes"].values()):
-                other["columns"] = [to if x == name else x for x in other["columns"]]
+                other |= {part: [to if x == name else x for x in other[part]] for part in ("columns", "overlap") if part in other}
     meta = bind(at[1], meta)
     store.write(*at, meta, rows)
     if c.get("rename"):
@@ -294,6 +294,9 @@ def drop(store: Store, clause: Any, schema: str | None = None) -> None:
 _CREATE = re.compile(r"\s*create\s+(temp(?:orary)?\s+)?table\s+(if\s+not\s+exists\s+)?([\w.\"`]+)\s*\((.*)\)\s*;?\s*", re.I | re.S)
 _NAMED = re.compile(r"(?:constraint\s+([\w\"`]+)\s+)?(primary\s+key|unique|foreign\s+key|check)\s*\((.*?)\)\s*(?:references\s+([\w.\"`]+)\s*(?:\(([^)]*)\))?)?(.*)", re.I | re.S)
 
+_EXCLUDE = re.compile(r"(?:constraint\s+([\w\"`]+)\s+)?exclude\s*(?:using\s+\w+\s*)?\((.*)\)(.*)", re.I | re.S)
+_SPAN = re.compile(r"\w*range\s*\(([^,()]+),([^,()]+)\)\s*with\s*&&", re.I)
+
 
 def _split(text: str) -> list[str]:
     """Parts between top-level commas; quotes and brackets hold together."""
@@ -337,6 +340,21 @@ def parse_statement(text: str) -> dict:
     table |= {"temporary": True} if m[1] else {}
     table |= {"maybe": True} if m[2] else {}
     for part in _split(m[4]):
+        if k := _EXCLUDE.fullmatch(part):
+            body = {"type": "exclude", "columns": []}
+            for element in _split(k[2]):
+                if span := _SPAN.fullmatch(element.strip()):
+                    body["overlap"] = [plain(span[1]), plain(span[2])]
+                    body["columns"] += body["overlap"]
+                elif one := re.fullmatch(r"([\w\"`]+)\s+with\s*=", element.strip(), re.I):
+                    body["columns"].append(plain(one[1]))
+                else:
+                    raise QueryError(f"an exclusion compares columns with = and one span with &&: {element.strip()}")
+            tail = k[3].lower()
+            body |= {"deferrable": True} if "deferrable" in tail and "not deferrable" not in tail else {}
+            body |= {"deferred": True} if "initially deferred" in tail else {}
+            table["constraints"][plain(k[1]) if k[1] else f"{table['name']}__{'_'.join(body['columns'])}__exclude"] = body
+            continue
         if (k := _NAMED.fullmatch(part)) and re.match(r"(constraint|primary|unique\s*\(|foreign|check)\b", part, re.I):
             kind = k[2].lower().split()[0]
             name = plain(k[1]) if k[1] else f"{table['name']}__{re.sub(r'[^0-9A-Za-z]+', '_', k[3])}__{kind}"

@@ -207,7 +207,7 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
         files = rows.alias(alias).filter(where)
     else:  # one partner a row: the one with the smallest values, so reruns agree
-        both = rows.alias(alias).crossJoin(compiler.sources(clause["from"], ctx))
+        both = compiler.sources(clause["from"], ctx, clause.get("where"), rows.alias(alias))
         both = compiler.join(both, clause.get("join"), ctx)
         if clause.get("where") is not None:
             both = both.filter(to_column(clause["where"], ctx))
@@ -252,7 +252,7 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
         files = rows.alias(alias).filter(where)
     else:  # rows with one partner or more
-        both = compiler.join(rows.alias(alias).crossJoin(compiler.sources(using, ctx)), clause.get("join"), ctx)
+        both = compiler.join(compiler.sources(using, ctx, clause.get("where"), rows.alias(alias)), clause.get("join"), ctx)
         both = both.filter(to_column(clause["where"], ctx)) if clause.get("where") is not None else both
         files = picked = store.stage(*at, both.select(*[F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]).distinct())
     if by_file:

@@ -528,3 +528,76 @@ def _index_range(spark, sf_dir):
 @made("index_hash_lookup", "SELECT o_orderkey FROM orders WHERE o_custkey = 77")
 def _index_hash(spark, sf_dir):
     return _indexed(spark, sf_dir, "o_custkey", "hash").compile({"select": {"data": "o_orderkey", "from": "orders", "where": {"=": ["o_custkey", 77]}}})
+
+
+# joins by bands, and exclusion by overlap: no equality, hot values
+
+query(
+    "range_join_between",
+    {
+        "data": ["p.p_brand", {"n": {"count": "*"}}, {"least": {"min": "o.o_totalprice"}}],
+        "from": {"o": "orders"},
+        "join": {"to": "part", "as": "p", "on": {"between": {"value": "o.o_totalprice", "min": {"*": ["p.p_retailprice", 100]}, "max": {"+": [{"*": ["p.p_retailprice", 100]}, "p.p_size"]}}}},
+        "group": "p.p_brand",
+    },
+    "SELECT p_brand, count(*) AS n, min(o_totalprice) AS least FROM orders JOIN part ON o_totalprice BETWEEN p_retailprice * 100 AND p_retailprice * 100 + p_size GROUP BY p_brand",
+)
+query(
+    "range_join_hot_left",
+    {
+        "data": ["l.l_quantity", {"n": {"count": "*"}}, {"found": {"count": "n.n_name"}}],
+        "from": {"l": "lineitem"},
+        "join": {"to": "nation", "as": "n", "type": "left", "on": {"and": [{">=": ["l.l_quantity", {"*": ["n.n_nationkey", 3]}]}, {"<": ["l.l_quantity", {"+": [{"*": ["n.n_nationkey", 3]}, {"%": ["n.n_nationkey", 7]}]}]}]}},
+        "group": "l.l_quantity",
+    },
+    "SELECT l_quantity, count(*) AS n, count(n_name) AS found FROM lineitem LEFT JOIN nation ON l_quantity >= n_nationkey * 3 AND l_quantity < n_nationkey * 3 + n_nationkey % 7 GROUP BY l_quantity",
+)
+query(
+    "overlap_join_full",
+    {
+        "data": ["s.s_suppkey", "p.p_partkey"],
+        "from": {"s": "supplier"},
+        "join": {"to": "part", "as": "p", "type": "full", "on": {"and": [{"<=": [{"-": ["s.s_acctbal", 5]}, {"+": ["p.p_retailprice", "p.p_size"]}]}, {">": [{"+": ["s.s_acctbal", "s.s_nationkey"]}, "p.p_retailprice"]}]}},
+    },
+    "SELECT s_suppkey, p_partkey FROM supplier FULL JOIN part ON s_acctbal - 5 <= p_retailprice + p_size AND s_acctbal + s_nationkey > p_retailprice",
+)
+query(
+    "range_join_side_by_side",
+    {
+        "data": ["n.n_name", {"n": {"count": "*"}}],
+        "from": {"e": "events", "n": "nation"},
+        "where": {"and": [{"between": {"value": "e.value", "min": {"*": ["n.n_nationkey", 10]}, "max": {"+": [{"*": ["n.n_nationkey", 12]}, 1]}}}, {"<>": ["e.user_id", 3]}]},
+        "group": "n.n_name",
+    },
+    "SELECT n_name, count(*) AS n FROM events, nation WHERE value BETWEEN n_nationkey * 10 AND n_nationkey * 12 + 1 AND user_id <> 3 GROUP BY n_name",
+)
+
+
+@made("range_update_from", "SELECT s_suppkey, coalesce((SELECT min(p_partkey) FROM part WHERE s_acctbal >= p_retailprice AND s_acctbal < p_retailprice + p_size), -1 - s_nationkey) AS mark FROM supplier")
+def _range_update(spark, sf_dir):
+    source = Database(spark, sf_dir)
+    db = _loaded(spark, sf_dir, "supplier")
+    band = {"and": [{">=": ["s.s_acctbal", "p.p_retailprice"]}, {"<": ["s.s_acctbal", {"+": ["p.p_retailprice", "p.p_size"]}]}]}
+    db.execute({"update": {"table": {"s": "supplier"}, "set": {"s_nationkey": {"-": [-1, "s.s_nationkey"]}}}})
+    db.execute({"update": {"table": {"s": "supplier"}, "set": {"s_nationkey": "p.p_partkey"}, "from": {"p": source.table("part")}, "where": band}})
+    return db.table("supplier").selectExpr("s_suppkey", "cast(s_nationkey as bigint) AS mark")
+
+
+@made("exclusion_by_overlap", """SELECT width, NOT EXISTS (SELECT 1 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) < width) AS accepted
+    FROM (VALUES (CAST(0.001 AS DOUBLE)), (100), (10000)) AS t(width)""")
+def _exclusion(spark, sf_dir):
+    """Orders as spans of their price, put in as two halves: what of one customer overlaps is refused."""
+    from ..sources.store import StoreError
+
+    orders, out = spark.read.parquet(f"{sf_dir}/orders.parquet"), []
+    for i, width in enumerate((0.001, 100.0, 10000.0)):
+        db = Database(spark, workspace(spark))
+        db.create_table("held", {"columns": {"cust": {"type": "bigint"}, "low": {"type": "double"}, "high": {"type": "double"}}, "constraints": {"apart": {"type": "exclude", "columns": ["cust", "low", "high"], "overlap": ["low", "high"]}}})
+        spans = orders.select("o_orderkey", F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("low"), (F.col("o_totalprice") + width).alias("high"))
+        try:
+            for half in (0, 1):
+                db.execute({"insert": {"table": "held", "values": spans.filter(F.col("o_orderkey") % 2 == half).drop("o_orderkey")}})
+            out.append((width, True))
+        except StoreError:
+            out.append((width, False))
+    return spark.createDataFrame(out, "width double, accepted boolean")

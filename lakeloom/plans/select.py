@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Context, QueryError, arguments, identifier, is_literal_text, to_column
+from ..operators import bands
 
 JOINS = {"inner": "inner", "left": "left", "left outer": "left", "right": "right", "right outer": "right", "full": "full", "full outer": "full", "cross": "cross"}
 CLAUSES = {"with", "data", "from", "join", "where", "group", "having", "union", "order", "limit", "offset"}
@@ -96,7 +97,8 @@ class Compiler:
             c = F.explode(c)
         return self.spark.range(1).select(c.alias(alias))
 
-    def sources(self, source: Any, ctx: Context) -> DataFrame:
+    def sources(self, source: Any, ctx: Context, where: Any = None, before: DataFrame | None = None) -> DataFrame:
+        """The sources side by side, and beside ``before``; a band in ``where`` joins two of them, the rest of it is the caller's to apply."""
         if source is None:
             return self.spark.range(1).select()
         items: list[tuple[str | None, Any]] = []
@@ -105,7 +107,7 @@ class Compiler:
                 items += list(s.items())
             else:
                 items.append((None, s))
-        out = None
+        out = before
         for alias, s in items:
             if isinstance(s, dict) and set(s) == {"lateral"}:
                 if out is None:
@@ -114,8 +116,10 @@ class Compiler:
                 ctx.relations[alias] = [a or self._name(x) for a, x in self.outputs(s["lateral"]["select"]["data"], ctx)[0]]  # not analysable on its own
                 out = out.lateralJoin(sub.alias(alias))
                 continue
+            known = set(ctx.relations)
             df = self.relation(s, alias, ctx)
-            out = df if out is None else out.crossJoin(df)
+            banded = bands.joined(out, df, where, ctx, set(ctx.relations) - known, whole=False) if out is not None and where is not None else None
+            out = df if out is None else out.crossJoin(df) if banded is None else banded
         return out
 
     def join(self, df: DataFrame, joins: Any, ctx: Context) -> DataFrame:
@@ -130,12 +134,15 @@ class Compiler:
             to, alias = j["to"], j.get("as")
             if isinstance(to, dict) and len(to) == 1 and "select" not in to:
                 (alias, to), = to.items()
+            known = set(ctx.relations)
             other = self.relation(to, alias, ctx)
             if how == "cross" or (j.get("on") is None and how == "inner"):
                 df = df.crossJoin(other)
                 df = df.filter(to_column(j["on"], ctx)) if j.get("on") is not None else df
             elif j.get("on") is None:
                 raise QueryError(f"a {how} join needs on")
+            elif (banded := bands.joined(df, other, j["on"], ctx, set(ctx.relations) - known, how)) is not None:
+                df = banded
             else:
                 df = df.join(other, to_column(j["on"], ctx), how)
         return df
@@ -162,7 +169,7 @@ class Compiler:
         ctx = Context(self.run, outer)
         if (source := single_table(clause)) is not None and (found := bounds_of(clause.get("where"), source)):
             ctx.defaults["bounds"] = found
-        df = self.join(self.sources(clause.get("from"), ctx), clause.get("join"), ctx)
+        df = self.join(self.sources(clause.get("from"), ctx, clause.get("where")), clause.get("join"), ctx)
         if clause.get("where") is not None:
             df = df.filter(to_column(clause["where"], ctx))
         items, distinct = self.outputs(clause["data"], ctx)

@@ -81,6 +81,11 @@ def definition(table: str, given: dict) -> dict:
         full = {"type": v["type"], "columns": [cols] if isinstance(cols, str) else list(cols), "deferrable": bool(v.get("deferrable")), "deferred": bool(v.get("deferred")), "check": v.get("check")}
         if v["type"] == "foreign":
             full |= {"related_name": v.get("related_name"), "related_columns": v.get("related_columns")}
+        if v["type"] == "exclude" and v.get("overlap"):  # two of the columns: a span's low and high end
+            full |= {"overlap": list(v["overlap"])}
+            kinds = [columns[c]["type"] for c in full["overlap"] if c in columns]
+            if len(full["overlap"]) != 2 or set(full["overlap"]) - set(full["columns"]) or any(spark_type(x).simpleString() == "string" for x in kinds):
+                raise StoreError(f"{k}: overlap names two columns of the constraint, a span's low and high end")
         constraints[k] = full
     indexes = {}
     for k, v in named(given.get("indexes"), "index").items():
@@ -621,7 +626,13 @@ class Store:
             if k.get("deferred") and not deferred or not k["columns"]:
                 continue
             cols = [F.col(f"`{c}`") for c in k["columns"]]
-            if k["type"] in ("primary", "unique", "exclude"):  # an exclusion without operators of its own is one of equal values
+            if k.get("overlap"):
+                from ..operators import bands
+
+                equal = [c for c in k["columns"] if c not in k["overlap"]]
+                if bands.clashes(rows, equal, k["overlap"]) or beside is not None and bands.clashes(rows, equal, k["overlap"], near(equal or None)):
+                    out.append(name)
+            elif k["type"] in ("primary", "unique", "exclude"):  # an exclusion without operators of its own is one of equal values
                 whole = rows.dropna(subset=k["columns"]) if k["type"] != "primary" else rows
                 if whole.groupBy(*cols).count().filter("count > 1").limit(1).count():
                     out.append(name)
