@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from typing import Any
 
@@ -38,6 +39,12 @@ class Cuts:
     def __init__(self, texts: list[str], kind: str):
         self.texts, self.kind = texts, kind
 
+    @classmethod
+    def of(cls, values: list) -> Cuts:
+        """Plain values of one kind, in order."""
+        kinds = {int: "bigint", float: "double", datetime.date: "date", datetime.datetime: "timestamp_ntz"}
+        return cls([str(v) for v in values], kinds.get(type(values[0]), "string") if values else "string")
+
     def __len__(self) -> int:
         return len(self.texts)
 
@@ -70,8 +77,9 @@ def cut_points(df: DataFrame, key: str, most: int | None = None) -> Cuts:
     return cuts_of(some.select(k.alias("k")))
 
 
-def bucket_of(key: Column, cuts: Cuts, strict: bool = False) -> Column:
+def bucket_of(key: Column, cuts: Cuts | list, strict: bool = False) -> Column:
     """How many cut points are at or below (``strict``: below) the key: a binary search, log2 comparisons a row."""
+    cuts = cuts if isinstance(cuts, Cuts) else Cuts.of(cuts)
     above = (lambda c: key <= c) if strict else (lambda c: key < c)
 
     def between(lo: int, hi: int) -> Column:
