@@ -37,13 +37,14 @@ FEATURES = frozenset({"schema", "table", "sequence", "constraint", "index", "tra
 class Database:
     """One root folder (or catalog, or server) of tables, seen through a scope.
 
-    ``tag`` says under which name ("source", "target") the scope lists this database's own names.
+    ``tag`` says under which name ("source", "target") the scope lists this database's own names. ``results`` is a folder for
+    kept results; without one those of its own tables lie below the root, and those of plain files are not kept.
     """
 
-    def __init__(self, spark: SparkSession, url: str, name: str | None = None, scope: Any = None, tag: str | None = None, alias: str | None = None, verbose: bool = False, prompt: Callable[[str], bool] | None = None):
+    def __init__(self, spark: SparkSession, url: str, name: str | None = None, scope: Any = None, tag: str | None = None, alias: str | None = None, verbose: bool = False, prompt: Callable[[str], bool] | None = None, results: str | None = None):
         self.spark, self.url, self.name, self.scope, self.tag = spark, url, name or url, scope, tag
         self.alias, self.verbose, self.prompt = alias or name or url, verbose, prompt
-        self.store = Store(spark, url)
+        self.store = Store(spark, url, results)
         self.shard_rows = SHARD_ROWS
 
     # catalogue
@@ -109,6 +110,33 @@ class Database:
         """A select (JSON, or SQL text over this database's tables) as a DataFrame."""
         return self._sql(query, None) if isinstance(query, str) else self.compiler().run(query)
 
+    def kept(self, query: Any, params: Any = None) -> DataFrame:
+        """The rows of a select, from an earlier run of the same statement (in any session) while no table it looks at has changed.
+
+        The statement is compiled each time, as that tells the tables; only its run is spared. Statements whose rows may differ
+        from run to run (chance, the clock, registered functions, names that aren't this database's) are run each time.
+        """
+
+        def run() -> DataFrame:
+            outside: list[str] = []
+            if isinstance(query, str):
+                if sqltext.statement(query) is not None:
+                    raise QueryError("only the rows of a select are kept")
+                with sqltext.Views(self.store) as views:
+                    rows = self._sql(query, params, views)
+                    outside += views.outside
+            else:
+                rows = self.compiler().run(query)
+                _each_raw(query, lambda raw: (outside.append(raw) if re.search(r"\bselect\b", raw, re.I) else None, raw)[1])
+            return rows if outside else self.store.results.rows(["select", query, params], self.store.looked_at(), rows)
+
+        self._asked(str(query))
+        return again(self.store, run)
+
+    def forget(self) -> None:
+        """Deletes all kept results."""
+        self.store.results.clear()
+
     def query(self, query: Any, params: Any = None, many: bool = True, columns: bool = True) -> Any:
         """Rows, one row, one column or one value; more than one row where one was asked for is an error."""
         result = self._run(query, params)
@@ -307,6 +335,11 @@ class Database:
     # information
 
     def table_info(self, schema: str, table: str, scope: Any = True, data: bool = True, with_schema: bool = True, hashes: bool = False, exclude: Any = None) -> dict:
+        """Rows (count, ranges, hashes), columns, constraints and indexes, all of one state of the table."""
+        with self.store.statement():
+            return self._table_info(schema, table, scope, data, with_schema, hashes, exclude)
+
+    def _table_info(self, schema: str, table: str, scope: Any, data: bool, with_schema: bool, hashes: bool, exclude: Any) -> dict:
         meta = self.store.meta(schema, table)
         names = {g: scopes.translation(scope, g, list(meta[g]), self.tag) for g in ("columns", "constraints", "indexes")}
         alias = {g: {real: a for real, (a, _) in found.items()} for g, found in names.items()}
@@ -316,17 +349,21 @@ class Database:
             df = self.store.read(schema, table)
             options = scope if isinstance(scope, dict) else {}
             ranged = [k for k in dict.fromkeys([*keys, options.get("on_create"), options.get("on_update")]) if k in alias["columns"]]
-            r = df.agg(F.count("*"), *[f(F.col(f"`{k}`")) for k in ranged for f in (F.min, F.max)]).first()
+            keep = lambda what, make: self.store.results.document([what, schema, table], [(schema, table)], make)
+            r = keep(["range", ranged], lambda: list(df.agg(F.count("*"), *[f(F.col(f"`{k}`")) for k in ranged for f in (F.min, F.max)]).first()))
             rows: dict[str, Any] = {"count": r[0], "range": {alias["columns"][k]: {"min": r[1 + 2 * i], "max": r[2 + 2 * i]} for i, k in enumerate(ranged)}}
             if hashes:
                 by = {a: real for real, a in alias["columns"].items()}
                 if len(keys) == 1:
-                    rows["hashes"] = {h["min_pk"]: h["md5"] for h in shard_hashes(df, keys[0], by, self.shard_rows).collect()}
+                    rows["hashes"] = keep(["md5", keys, by, self.shard_rows], lambda: {h["min_pk"]: h["md5"] for h in shard_hashes(df, keys[0], by, self.shard_rows).collect()})
                 else:
                     from .operators.replicate import _prints
 
-                    p = df.select(*by.values()).agg(*_prints(list(by.values()))).first()
-                    rows["hashes"] = {None: f"{p['n']}:{p['hash']}:{p['hash_b']}"}
+                    def prints() -> dict:
+                        p = df.select(*by.values()).agg(*_prints(list(by.values()))).first()
+                        return {None: f"{p['n']}:{p['hash']}:{p['hash_b']}"}
+
+                    rows["hashes"] = keep(["prints", by], prints)
             out["rows"] = rows
         if with_schema:
             for g in ("columns", "constraints", "indexes"):

@@ -601,3 +601,100 @@ def _exclusion(spark, sf_dir):
         except StoreError:
             out.append((width, False))
     return spark.createDataFrame(out, "width double, accepted boolean")
+
+
+# results kept by the state of their tables
+
+
+@made("kept_rows_after_commits", """WITH now AS (SELECT o_orderpriority AS p, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderpriority, 'new' FROM orders WHERE o_orderkey % 3 = 0)
+    SELECT 'before' AS seen, o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'after', p, s, count(*) FROM now GROUP BY ALL""")
+def _kept_rows(spark, sf_dir):
+    """One statement before and after another writer's changes, each time asked twice: the second answer is the first one's files."""
+    db = _loaded(spark, sf_dir, "orders", "o_orderkey")
+    text = "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus"
+    other, gone = Database(spark, db.url), Database(spark, sf_dir).table("orders").filter("o_orderkey % 3 = 0")
+    db.kept(text)
+    before = other.kept(text).withColumn("seen", F.lit("before"))
+    other.execute(["DELETE FROM orders WHERE o_orderkey % 3 = 0", "UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey % 5 = 0"])
+    other.execute({"insert": {"table": "orders", "values": gone.withColumn("o_orderstatus", F.lit("new"))}})
+    other.kept(text)
+    return before.unionByName(db.kept(text).withColumn("seen", F.lit("after")))
+
+
+@made("model_adds_sets_deletes", "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT max(c_custkey) + 1, 'late', 'NONE' FROM customer")
+def _model_changes(spark, sf_dir):
+    db = _loaded(spark, sf_dir, "customer", "c_custkey")
+    customers = db.get_model("customer")
+    top = customers.sort("-c_custkey").limit(1).field("c_custkey").get()[0]
+    customers.where(c_acctbal__lt=0).set(c_mktsegment="debtor")
+    customers.where(c_nationkey=3).delete()
+    customers.add({"c_custkey": top + 1, "c_name": "late", "c_nationkey": 0, "c_acctbal": 0.0, "c_mktsegment": "NONE"})
+    return db.compile(customers.take("c_custkey", "c_name", "c_mktsegment").select())
+
+
+@made("byte_stream_round_trip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders")
+def _byte_streams(spark, sf_dir):
+    """Rows to lines in files and back, nulls among them."""
+    db, lines = Database(spark, workspace(spark)), f"{workspace(spark)}/lines"
+    source = Database(spark, sf_dir)
+    source.copy_from(lines, query="SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders")
+    columns = {k: v for k, v in source.store.meta("main", "orders")["columns"].items() if k != "o_orderstatus"}
+    db.create_table("orders", {"columns": columns})
+    db.copy_to("orders", lines)
+    return db.table("orders")
+
+
+@made("workflow_split_update", "SELECT o_orderkey, o_custkey + CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS o_custkey FROM orders")
+def _workflow_split(spark, sf_dir):
+    """An update in ranges of a time column: each row that it is for is touched once."""
+    from .workflow import Workflow
+
+    db = _loaded(spark, sf_dir, "orders")
+    lo, hi = db.query_one_row("SELECT min(o_orderdate), max(o_orderdate) FROM orders")
+    step = {"type": "query", "source": "here", "query": "UPDATE orders SET o_custkey = o_custkey + 1 WHERE o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'", "split": {"on": "o_orderdate", "size": int((hi - lo).total_seconds()) // 3 + 1}}
+    Workflow(spark, {"databases": {"here": db.url}, "workflows": {"bump": [step]}}, "bump").run()
+    return db.table("orders").select("o_orderkey", "o_custkey")
+
+
+@made("schema_parts_made_and_dropped", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier UNION ALL SELECT max(s_suppkey) + 1, NULL, 7 FROM supplier")
+def _schema_parts(spark, sf_dir):
+    """Columns and constraints come, change and go; what they demand holds for the row put in last."""
+    db = _loaded(spark, sf_dir, "supplier", "s_suppkey")
+    db.create_column("supplier", "seen", {"type": "integer", "null": True})
+    db.create_constraint("supplier", "named", {"type": "unique", "columns": ["s_name"]})
+    db.alter_column("supplier", "s_nationkey", {"type": "bigint", "default": 7})
+    db.alter_column("supplier", "s_name", {"null": True})
+    db.drop_constraint("supplier", "named")
+    db.drop_column("supplier", "seen")
+    db.drop_column("supplier", "s_acctbal")
+    db.execute("INSERT INTO supplier (s_suppkey) SELECT max(s_suppkey) + 1 FROM supplier")
+    return db.table("supplier")
+
+
+@made("copy_of_included_names", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'land', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+def _included(spark, sf_dir):
+    """A scope of wildcards, an exclusion and a new name says which tables a copy brings over."""
+    target = Database(spark, workspace(spark))
+    scope = {"schemas": {"main": {"tables": {"c*r": True, "ord*": True, "conv*": False, "land": {"source": "nation", "target": "land"}}}}}
+    Database(spark, sf_dir).copy(target, scope, final_diff=False)
+    counts = [target.table(t).select(F.lit(t).alias("name")).groupBy("name").agg(F.count("*").alias("n")) for t in target.store.tables("main")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@made("rows_of_two_databases", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY n_name")
+def _two_databases(spark, sf_dir):
+    other = _loaded(spark, sf_dir, "nation", "n_nationkey")
+    few = {"c": Database(spark, sf_dir).table("customer")}
+    return other.compile({"select": {"data": ["n.n_name", {"n": {"count": "*"}}], "from": few, "join": {"to": "nation", "as": "n", "on": {"=": ["c.c_nationkey", "n.n_nationkey"]}}, "where": {"=": ["n.n_regionkey", 1]}, "group": "n.n_name"}})
+
+
+@made("rows_numbered_by_sequence", "SELECT count(*) AS n, count(*) AS distinct_ids, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(DISTINCT event_type) AS kinds FROM events")
+def _sequence(spark, sf_dir):
+    """Rows without a key get one from the column's sequence: numbers from 1 on, none twice, none left out."""
+    db = Database(spark, workspace(spark))
+    db.create_table("event", {"columns": {"id": {"type": "bigint", "primary": True, "sequence": True}, "kind": {"type": "text"}}})
+    db.execute({"insert": {"table": "event", "columns": "kind", "values": Database(spark, sf_dir).table("events").select("event_type")}})
+    return db.table("event").agg(F.count("*").alias("n"), F.countDistinct("id").alias("distinct_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("kind").alias("kinds"))

@@ -109,6 +109,7 @@ class Views:
 
     def __init__(self, store):
         self.store, self.made, self.ctes = store, {}, {}
+        self.outside: list[str] = []  # names that are left to Spark
 
     def define(self, name: str, rows) -> None:
         """A common table expression: its name means these rows, before any table's."""
@@ -124,11 +125,13 @@ class Views:
             homes = [s for s in [DEFAULT, *self.store.schemas()] if self.store.exists(s, table)]
             homes = list(dict.fromkeys(homes))
             if not homes:
+                self.outside.append(table)
                 return None
             if homes[0] != DEFAULT and len(homes) > 1:
                 raise QueryError(f"{table} is in several schemas: {', '.join(homes)}")
             schema = homes[0]
         elif not self.store.exists(schema, table):
+            self.outside.append(f"{schema}.{table}")
             return None
         if (schema, table) not in self.made:
             name = f"_lk_{uuid.uuid4().hex}"

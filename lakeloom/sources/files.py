@@ -45,6 +45,15 @@ class Files:
         p, fs = self._at(path)
         return time.time() - fs.getFileStatus(p).getModificationTime() / 1000 if fs.exists(p) else 0.0
 
+    def stamps(self, path: str) -> list[list]:
+        """Name, bytes and time of a file, or of all files of a folder."""
+        p, fs = self._at(path)
+        found, each = [], fs.listFiles(p, True)
+        while each.hasNext():
+            s = each.next()
+            found.append([s.getPath().toString(), s.getLen(), s.getModificationTime()])
+        return sorted(found)
+
     def size(self, path: str) -> int:
         """Bytes of a file or of all files of a folder."""
         p, fs = self._at(path)

@@ -30,6 +30,7 @@ from .files import Files
 from .log import LEASE, Conflict, Log, commit_together
 from . import sqlite
 from .readers import FORMATS, kind_of, read_file, read_jdbc, sqlite_path
+from .results import Results
 
 DEFAULT = "main"
 #: So many parts of about one size (within a factor of as much) are merged into one.
@@ -112,18 +113,20 @@ class _View:
         self.rested: set[tuple[str, str]] = set()
         self.undo: list[Callable[[], None]] = []
         self.fresh: list[str] = []
+        self.stamps: dict[tuple[str, str], list] = {}
 
 
 class Store:
     """All tables below one root, or of one catalog or server (both read only)."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, results: str | None = None):
         self.spark, self.kind = spark, kind_of(root)
         self.root = root.removeprefix("file://") if root.startswith("file:///") else root.rstrip("/")
         self.file = sqlite_path(root) if self.kind == "sqlite" else None
         if self.file:  # what is staged on the way lies beside the file
             self.root = f"{self.file}.stages"
         self.files, self.lease = Files(spark), LEASE
+        self.results = Results(self, results)
         self.plain: dict[tuple[str, str], dict] = {}
         self.logs: dict[str, Log] = {}
         self.stages: dict[tuple, list[str]] = {}
@@ -213,6 +216,18 @@ class Store:
             view.seen[at] = found
         return found
 
+    def looked_at(self) -> list[tuple[str, str]]:
+        """The tables that the statement or transaction has looked for so far."""
+        return [*self.view.seen, *self.view.own] if self.view is not None else []
+
+    def stamps(self, schema: str, table: str, path: str, now: bool = False) -> list:
+        """Sizes and times of a plain table's files, at the statement's first look (or ``now``)."""
+        if self.view is None or now:
+            return self.files.stamps(path)
+        if (schema, table) not in self.view.stamps:
+            self.view.stamps[schema, table] = self.files.stamps(path)
+        return self.view.stamps[schema, table]
+
     # reading
 
     def meta(self, schema: str, table: str) -> dict:
@@ -241,6 +256,8 @@ class Store:
         if (meta := self.record(schema, table)) is not None:
             return self._parts(schema, table, parts_of(meta), meta)
         if plain := self._plain(schema, table):
+            if self.results.given:
+                self.stamps(schema, table, plain)
             return read_file(self.spark, plain)
         raise StoreError(f"no table {schema}.{table}")
 
