@@ -3,7 +3,7 @@
 Text: one line a row, fields parted by a tab, ``\\N`` for null, backslash escapes for tabs, line ends and backslashes, so a
 line is always a row and files can be read in splits. CSV: quotes are doubled, null is an empty field, an empty string ``""``;
 a quoted line end keeps a file from being split, so one file is one task. Booleans are ``t`` and ``f``, bytes are hexadecimal
-after ``\\x``; arrays and other nested values are an error. A sink or source is a path (folder of part files, each made or
+after ``\\x``; arrays are ``{1,2,NULL}``, their texts in double quotes where need be; maps and structs are an error. A sink or source is a path (folder of part files, each made or
 read by its own task) or a binary file object (streamed: the driver holds one partition or one block of bytes at a time).
 """
 
@@ -25,20 +25,65 @@ BLOCK = 1 << 20
 _ESCAPES = (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 
 
+#: An array's text in pieces: quoted elements, plain ones, and the marks between them. Nothing is tried twice, so long elements need no stack.
+_PIECE = r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|(?:[^{},"\\]|\\.)++|[{},]'''
+#: Elements that are written in quotes.
+_QUOTED = r'''(?s)^$|^(?i:null)$|[{},"\\\s]'''
+
+
 def _shown(name: str, kind: T.DataType) -> Column:
     """A value as COPY writes it, null as null."""
-    c = F.col(f"`{name}`")
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        raise QueryError(f"column {name} is nested, which COPY can't write here")
+    return _text_of(F.col(f"`{name}`"), kind, name)
+
+
+def _text_of(c: Column, kind: T.DataType, name: str) -> Column:
+    if isinstance(kind, (T.MapType, T.StructType)):
+        raise QueryError(f"column {name} holds maps or structs, which COPY can't write here")
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("{"), F.array_join(F.transform(c, lambda x: _element(x, kind.elementType, name)), ","), F.lit("}"))
     if isinstance(kind, T.BooleanType):
         return F.when(c, "t").when(~c, "f")
     return F.concat(F.lit("\\x"), F.lower(F.hex(c))) if isinstance(kind, T.BinaryType) else c.cast("string")
 
 
+def _element(x: Column, kind: T.DataType, name: str) -> Column:
+    text = _text_of(x, kind, name)
+    if not isinstance(kind, T.ArrayType):
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        text = F.when(text.rlike(_QUOTED), quoted).otherwise(text)
+    return F.coalesce(text, F.lit("NULL"))
+
+
 def _read_value(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return _read_array(c, kind)
     return F.unhex(F.substring(c, 3, 2**31 - 1)) if isinstance(kind, T.BinaryType) else c.cast(kind)
 
 
+def _read_array(c: Column, kind: T.ArrayType) -> Column:
+    """``{a,"b c",{…}}`` by way of the JSON text of the same shape; what is left over between its pieces is an error, as is another depth."""
+
+    def as_json(t: Column) -> Column:
+        marks = F.when(t == "{", "[").when(t == "}", "]").when((t == ",") | (F.trim(t) == ""), F.trim(t)).when(F.lower(F.trim(t)) == "null", "null")
+        bare = F.when(t.startswith('"'), F.substring(t, 2, F.length(t) - 2)).otherwise(F.trim(t))
+        text = F.to_json(F.struct(F.regexp_replace(bare, r"(?s)\\(.)", "$1").alias("v")))
+        return marks.otherwise(text.substr(F.lit(6), F.length(text) - 6))
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+    whole = F.when((F.array_join(pieces, "") == c) & F.trim(c).startswith("{") & F.trim(c).endswith("}"), F.array_join(F.transform(pieces, as_json), ""))
+    texts, element = T.ArrayType(T.StringType()), kind.elementType
+    while isinstance(element, T.ArrayType):
+        texts, element = T.ArrayType(texts), element.elementType
+    wrong = F.raise_error(F.concat(F.lit("COPY: not an array: "), c))
+    read = F.from_json(F.concat(F.lit('{"a":'), F.coalesce(whole, wrong), F.lit("}")), T.StructType([T.StructField("a", texts)]), {"mode": "FAILFAST"})["a"]
+
+    def deep(a: Column, kind: T.ArrayType) -> Column:
+        inner = kind.elementType
+        return F.transform(a, lambda x: deep(x, inner) if isinstance(inner, T.ArrayType) else _read_value(x, inner))
+
+    return F.when(c.isNotNull(), deep(read, kind))
+
+
 def _csv_options(delimiter: str, null: str) -> dict[str, str]:
     return {"sep": delimiter, "escape": '"', "nullValue": null, "emptyValue": '""', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 

@@ -698,3 +698,13 @@ def _sequence(spark, sf_dir):
     db.create_table("event", {"columns": {"id": {"type": "bigint", "primary": True, "sequence": True}, "kind": {"type": "text"}}})
     db.execute({"insert": {"table": "event", "columns": "kind", "values": Database(spark, sf_dir).table("events").select("event_type")}})
     return db.table("event").agg(F.count("*").alias("n"), F.countDistinct("id").alias("distinct_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("kind").alias("kinds"))
+
+
+@made("array_stream_round_trip", "SELECT doc_id, len(string_split(text, ' ')) AS n_words, md5(text) AS digest FROM documents")
+def _array_streams(spark, sf_dir):
+    """Whole texts as arrays of words, written as lines and read back."""
+    db, lines = Database(spark, workspace(spark)), f"{workspace(spark)}/lines"
+    Database(spark, sf_dir).copy_from(lines, query="SELECT doc_id, split(text, ' ') AS words FROM documents")
+    db.create_table("said", {"columns": {"doc_id": {"type": "bigint"}, "words": {"type": "text[]"}}})
+    db.copy_to("said", lines)
+    return db.compile("SELECT doc_id, cast(size(words) AS bigint) AS n_words, md5(array_join(words, ' ')) AS digest FROM said")
