@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import Context, QueryError, identifier, to_column
 from ..plans.select import Compiler
 from ..sources.store import Store, StoreError, split_name
+from . import bands
 
 
 class Result:
@@ -168,6 +169,23 @@ def _fit(v: Any, kind: Any) -> Any:
     return float(v) if s in ("double", "float") else v
 
 
+def _one_source(source: Any) -> tuple[str | None, Any] | None:
+    """(alias, source) where there is but one, and it is a table."""
+    source = source[0] if isinstance(source, list) and len(source) == 1 else source
+    (alias, source), *more = source.items() if isinstance(source, dict) and source else ((None, source),)
+    return (alias, source) if not more and isinstance(source, (str, DataFrame)) else None
+
+
+def _least(compiler: Compiler, clause: dict, source: Any, rows: DataFrame, alias: str, ctx: Context, sets: dict[str, Any], value: Any, name: str) -> DataFrame | None:
+    """Rows that have partners by a band, with their least values as ``name``; None where the pairs are needed for that."""
+    if clause.get("where") is None or clause.get("join") or (one := _one_source(source)) is None:
+        return None
+    before, ctx.relations = ctx.relations, dict(ctx.relations)
+    found = bands.least(rows, alias, compiler.relation(one[1], one[0], ctx), clause["where"], ctx, sets, value, name)
+    ctx.relations = before if found is None else ctx.relations
+    return found
+
+
 def update(store: Store, compiler: Compiler, clause: dict, schema: str | None = None) -> Result:
     name, alias = _target(clause)
     at = split_name(name, schema)
@@ -207,12 +225,16 @@ def update(store: Store, compiler: Compiler, clause: dict, schema: str | None =
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
         files = rows.alias(alias).filter(where)
     else:  # one partner a row: the one with the smallest values, so reruns agree
-        both = compiler.sources(clause["from"], ctx, clause.get("where"), rows.alias(alias))
-        both = compiler.join(both, clause.get("join"), ctx)
-        if clause.get("where") is not None:
-            both = both.filter(to_column(clause["where"], ctx))
         place = [F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]
-        files = picked = store.stage(*at, both.groupBy(*place).agg(F.min(F.struct(*[value(c, v).alias(c) for c, v in sets.items()])).alias(to)))
+        found = _least(compiler, clause, clause["from"], rows.alias(alias), alias, ctx, sets, value, to)
+        if found is not None:
+            files = picked = store.stage(*at, found.select(*place, F.col(to)))
+        else:
+            both = compiler.sources(clause["from"], ctx, clause.get("where"), rows.alias(alias))
+            both = compiler.join(both, clause.get("join"), ctx)
+            if clause.get("where") is not None:
+                both = both.filter(to_column(clause["where"], ctx))
+            files = picked = store.stage(*at, both.groupBy(*place).agg(F.min(F.struct(*[value(c, v).alias(c) for c, v in sets.items()])).alias(to)))
     files = [r[0] for r in files.select(file).distinct().collect()]  # names of files, as a snapshot's record holds them
     if not files:
         return Result(0, _returned(clause, old.limit(0), alias, compiler))
@@ -252,9 +274,12 @@ def delete(store: Store, compiler: Compiler, clause: Any, schema: str | None = N
         where = F.lit(True) if clause.get("where") is None else F.coalesce(to_column(clause["where"], ctx), F.lit(False))
         files = rows.alias(alias).filter(where)
     else:  # rows with one partner or more
-        both = compiler.join(compiler.sources(using, ctx, clause.get("where"), rows.alias(alias)), clause.get("join"), ctx)
-        both = both.filter(to_column(clause["where"], ctx)) if clause.get("where") is not None else both
-        files = picked = store.stage(*at, both.select(*[F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]).distinct())
+        place = [F.col(f"`{alias}`.`{c}`").alias(c) for c in (file, row)]
+        both = _least(compiler, clause, using, rows.alias(alias), alias, ctx, {mark: {"literal": True}}, lambda c, v: F.lit(True), mark)
+        if both is None:
+            both = compiler.join(compiler.sources(using, ctx, clause.get("where"), rows.alias(alias)), clause.get("join"), ctx)
+            both = both.filter(to_column(clause["where"], ctx)) if clause.get("where") is not None else both
+        files = picked = store.stage(*at, both.select(*place).distinct())
     if by_file:
         names = [r[0] for r in files.select(file).distinct().collect()]
         if not names:
