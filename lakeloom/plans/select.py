@@ -169,16 +169,20 @@ class Compiler:
         ctx = Context(self.run, outer)
         if (source := single_table(clause)) is not None and (found := bounds_of(clause.get("where"), source)):
             ctx.defaults["bounds"] = found
+        items, distinct = self.outputs(clause["data"], ctx)
+        ctx.defaults["needed"] = bands.words(clause)
         df = self.join(self.sources(clause.get("from"), ctx, clause.get("where")), clause.get("join"), ctx)
         if clause.get("where") is not None:
             df = df.filter(to_column(clause["where"], ctx))
-        items, distinct = self.outputs(clause["data"], ctx)
         named = [(a or self._name(x), x) for a, x in items]
         columns = [to_column(x, ctx).alias(a) if a else to_column(x, ctx) for a, x in named]
         if clause.get("group") is not None or clause.get("having") is not None:
             df = self._grouped(df, clause, [(a, x) for a, x in named if a], columns, ctx)
         else:
             df = df.select(*columns)
+        return self._finished(df, clause, distinct, ctx, outer)
+
+    def _finished(self, df: DataFrame, clause: dict, distinct: bool, ctx: Context, outer: Context | None) -> DataFrame:
         if distinct:
             df = df.distinct()
         for u in self._list(clause.get("union")):

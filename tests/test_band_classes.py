@@ -1,6 +1,7 @@
 """Joins by bands on many equal rows: what is judged is classes of them, and crowded bins are cut."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.database import Database
 from lakeloom.operators import bands
@@ -43,3 +44,19 @@ def test_update_takes_the_least_partner_of_a_class(db, judged):
 def test_delete_by_classes(db, judged):
     assert db.execute({"delete": {"table": {"x": "a"}, "using": {"y": "b"}, "where": ON}}) == 200
     assert judged == [2] and {r["at"] for r in db.table("a").collect()} == {20.0, None}
+
+
+def test_full_join_gives_all_pairs_from_lists(db, judged):
+    df = db.compile({"select": {"data": [{"p": "x.id"}, {"q": "y.id"}], "from": {"x": "a"}, "join": {"to": "b", "as": "y", "type": "full", "on": ON}}})
+    n = df.agg(F.count("*"), F.count_distinct("p", "q"), F.count_if(F.col("p").isNull()), F.count_if(F.col("q").isNull())).first()
+    assert tuple(n) == (20300, 20000, 100, 200) and max(judged) == 2
+
+
+@pytest.mark.parametrize("data", [[{"p": "x.id"}, {"q": "y.id"}], ["*"]])
+def test_blocks_of_crowded_bins(db, monkeypatch, data):
+    monkeypatch.setattr(bands, "BLOCK", 37)
+    monkeypatch.setattr(bands, "LIST", 5)
+    df = db.compile({"select": {"data": data, "from": {"x": "a"}, "join": {"to": "b", "as": "y", "on": ON}}})
+    names = ["p", "q", *df.columns[2:]] if data != ["*"] else ["p", "at", "q", "low", "high"]
+    rows = df.toDF(*names).select("p", "q").collect()
+    assert sorted(map(tuple, rows)) == [(p, q) for p in range(400) for q in range(300) if p % 4 == q % 3 and p % 4 < 2]
