@@ -170,6 +170,8 @@ class Compiler:
         if (source := single_table(clause)) is not None and (found := bounds_of(clause.get("where"), source)):
             ctx.defaults["bounds"] = found
         items, distinct = self.outputs(clause["data"], ctx)
+        if (folded := self._folded(clause, items, distinct, ctx)) is not None:
+            return self._finished(folded, clause, distinct, ctx, outer)
         ctx.defaults["needed"] = bands.words(clause)
         df = self.join(self.sources(clause.get("from"), ctx, clause.get("where")), clause.get("join"), ctx)
         if clause.get("where") is not None:
@@ -182,6 +184,26 @@ class Compiler:
             df = df.select(*columns)
         return self._finished(df, clause, distinct, ctx, outer)
 
+    def _folded(self, clause: dict, items: list, distinct: bool, ctx: Context) -> DataFrame | None:
+        """Groups of two tables that a band joins, without their pairs; None for any other statement."""
+        joins, group = self._list(clause.get("join")), self._list(clause.get("group"))
+        first, named = clause.get("from"), [(a or self._name(x), x) for a, x in items]
+        if len(joins) != 1 or clause.get("group") is None or clause.get("where") is not None or clause.get("having") is not None or isinstance(clause["group"], dict):
+            return None
+        if not isinstance(j := joins[0], dict) or JOINS.get(str(j.get("type", "inner")).lower()) != "inner" or j.get("on") is None or not isinstance(j.get("to"), str) or ctx.outer is not None:
+            return None
+        if not (isinstance(first, dict) and len(first) == 1 and isinstance(next(iter(first.values())), str)) or any(identifier(g) is None for g in group) or not all(a for a, _ in named):
+            return None
+        (alias, name), = first.items()
+        own = Context(self.run)
+        df, known = self.relation(name, alias, own), set(own.relations)
+        other = self.relation(j["to"], j.get("as"), own)
+        (right,) = set(own.relations) - known
+        found = bands.folded(df, other, j["on"], own, right, group, named)
+        if found is not None:
+            ctx.relations |= own.relations
+        return found
+
     def _finished(self, df: DataFrame, clause: dict, distinct: bool, ctx: Context, outer: Context | None) -> DataFrame:
         if distinct:
             df = df.distinct()

@@ -46,6 +46,12 @@ def test_delete_by_classes(db, judged):
     assert judged == [2] and {r["at"] for r in db.table("a").collect()} == {20.0, None}
 
 
+def test_groups_are_counted_by_classes(db, judged):
+    data = [{"high": "y.high"}, {"n": {"count": "*"}}, {"m": {"count": "x.at"}}, {"least": {"min": {"+": ["x.id", 1]}}}, {"most": {"max": "y.id"}}]
+    df = db.compile({"select": {"data": data, "from": {"x": "a"}, "join": {"to": "b", "as": "y", "on": ON}, "group": "y.high"}})
+    assert sorted(tuple(r) for r in df.collect()) == [(7.0, 10000, 10000, 1, 297), (17.0, 10000, 10000, 2, 298)] and judged == [2]
+
+
 def test_full_join_gives_all_pairs_from_lists(db, judged):
     df = db.compile({"select": {"data": [{"p": "x.id"}, {"q": "y.id"}], "from": {"x": "a"}, "join": {"to": "b", "as": "y", "type": "full", "on": ON}}})
     n = df.agg(F.count("*"), F.count_distinct("p", "q"), F.count_if(F.col("p").isNull()), F.count_if(F.col("q").isNull())).first()
