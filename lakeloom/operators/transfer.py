@@ -27,6 +27,8 @@ _ESCAPES = (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 
 #: An array's text in pieces: quoted elements, plain ones, and the marks between them. Nothing is tried twice, so long elements need no stack.
 _PIECE = r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|(?:[^{},"\\]|\\.)++|[{},]'''
+#: Elements of an array without inner ones, as this writer shows them.
+_SIMPLE = r'''(?s)(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^{},"\\\s]++)(?=[,}])'''
 #: Elements that are written in quotes.
 _QUOTED = r'''(?s)^$|^(?i:null)$|[{},"\\\s]'''
 
@@ -69,18 +71,33 @@ def _read_array(c: Column, kind: T.ArrayType) -> Column:
         text = F.to_json(F.struct(F.regexp_replace(bare, r"(?s)\\(.)", "$1").alias("v")))
         return marks.otherwise(text.substr(F.lit(6), F.length(text) - 6))
 
-    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
-    whole = F.when((F.array_join(pieces, "") == c) & F.trim(c).startswith("{") & F.trim(c).endswith("}"), F.array_join(F.transform(pieces, as_json), ""))
     texts, element = T.ArrayType(T.StringType()), kind.elementType
     while isinstance(element, T.ArrayType):
         texts, element = T.ArrayType(texts), element.elementType
     wrong = F.raise_error(F.concat(F.lit("COPY: not an array: "), c))
-    read = F.from_json(F.concat(F.lit('{"a":'), F.coalesce(whole, wrong), F.lit("}")), T.StructType([T.StructField("a", texts)]), {"mode": "FAILFAST"})["a"]
+
+    def any_shape(c: Column) -> Column:
+        pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+        whole = F.when((F.array_join(pieces, "") == c) & F.trim(c).startswith("{") & F.trim(c).endswith("}"), F.array_join(F.transform(pieces, as_json), ""))
+        return F.from_json(F.concat(F.lit('{"a":'), F.coalesce(whole, wrong), F.lit("}")), T.StructType([T.StructField("a", texts)]), {"mode": "FAILFAST"})["a"]
+
+    def simple(x: Column) -> Column:
+        inside = F.substring(x, 2, F.length(x) - 2)
+        inside = F.when(F.instr(inside, "\\") == 0, inside).otherwise(F.regexp_replace(inside, r"(?s)\\(.)", "$1"))
+        return F.when(x.startswith('"'), inside).when((F.length(x) != 4) | (F.lower(x) != "null"), x)
 
     def deep(a: Column, kind: T.ArrayType) -> Column:
         inner = kind.elementType
+        if isinstance(inner, T.StringType):
+            return a
         return F.transform(a, lambda x: deep(x, inner) if isinstance(inner, T.ArrayType) else _read_value(x, inner))
 
+    read = any_shape(c)
+    if not isinstance(kind.elementType, T.ArrayType):
+        # what is put together again from its elements is all there was, and needs no JSON; a list of one array holds them, so that they are made once
+        found = F.array(F.regexp_extract_all(c, F.lit(_SIMPLE), F.lit(0)))
+        made = F.transform(found, lambda xs: F.when(F.concat(F.lit("{"), F.array_join(xs, ","), F.lit("}")) == c, F.transform(xs, simple)))[0]
+        read = F.coalesce(made, read)
     return F.when(c.isNotNull(), deep(read, kind))
 
 
@@ -176,4 +193,5 @@ def read_rows(spark: SparkSession, path: str, kind: T.StructType, fmt: str = "te
         whole = F.array_join(F.transform(F.split(c, r"\\\\", -1), unescaped), "\\")
         return F.when(c != none, F.when(F.instr(c, "\\") == 0, c).otherwise(whole))
 
-    return fields.select(*[_read_value(plain(F.col("f")[i]), f.dataType).alias(f.name) for i, f in enumerate(kind)])
+    texts = fields.select(*[plain(F.col("f")[i]).alias(f"c{i}") for i in range(len(kind))])  # apart, as arrays look at theirs several times
+    return texts.select(*[_read_value(F.col(f"c{i}"), f.dataType).alias(f.name) for i, f in enumerate(kind)])

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from lakeloom.database import Database
 from lakeloom.operators import transfer
@@ -67,3 +68,16 @@ def test_random_texts_come_back(spark, tmp_path):
         at = str(tmp_path / form)
         transfer.write_rows(df, at, form)
         assert sorted(tuple(r) for r in transfer.read_rows(spark, at, df.schema, form).collect()) == rows
+
+
+@pytest.mark.parametrize("form", ["text", "csv"])
+def test_plain_lists_need_no_json(spark, tmp_path, monkeypatch, form):
+    """Arrays without inner ones, as this writer shows them, are read by their elements; other shapes still go by way of JSON."""
+    df = spark.createDataFrame([r for r in ROWS if r.words is None or len(r.words) != 1], SHAPE).select("id", "words", "nums", "flags", "days")
+    transfer.write_rows(df, str(tmp_path / "rows"), form)
+    (tmp_path / "spaced").write_text("{ a ,b}\n" if form == "text" else '"{ a ,b}"\n')
+    monkeypatch.setattr(transfer.F, "from_json", lambda *_: F.struct(F.raise_error(F.lit("by way of JSON")).cast("array<string>").alias("a")))
+    read = transfer.read_rows(spark, str(tmp_path / "rows"), df.schema, form).collect()
+    assert sorted(read, key=lambda r: r.id) == df.orderBy("id").collect()
+    with pytest.raises(Exception, match="by way of JSON"):
+        transfer.read_rows(spark, str(tmp_path / "spaced"), df.select("words").schema, form).collect()
