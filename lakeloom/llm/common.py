@@ -18,8 +18,14 @@ _shipped: set[str] = set()
 _written: dict[str, list[str]] = {}
 
 
+#: Rows go to Python in batches of about so many bytes: Spark's own bound of 10,000 rows says nothing of their size, and copies of a batch stand in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't share the driver's folders (once per application)."""
+    """Make this package importable on executors that don't share the driver's folders (once per application), and have batches for Python bounded, unless the session says how."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -49,6 +49,27 @@ def test_sql(spark, name):
     same(spark, SF, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Ten thousand long texts would be one batch; a bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    spark.conf.unset(key)
+    try:
+        quality.common.ship_code(spark)
+        got = rows.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 300 and max(r["size"] for r in got) <= quality.common.BATCH_BYTES + 100_000
+        spark.conf.set(key, "1000000")
+        quality.common.ship_code(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
 def brute_passages(rows, size):
     first, words = {}, {k: t.encode().split() for k, t in rows.items()}
     for k in sorted(words):
@@ -542,6 +563,19 @@ def test_packing_takes_the_best_bin_and_opens_none_while_one_has_room(rule, cap)
             left[bins[i]] = [x - y for x, y in zip(left[bins[i]], item, strict=True)]
 
 
+def test_words_remembered_are_bounded_in_bytes():
+    """Many new words, long ones among them, in text after text; those in use since are the ones that stay."""
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        t = packing.WordTokens(f.read(), most=1 << 16)
+    rng = np.random.default_rng(4)
+    long, held = "".join(rng.choice(list("abcdefgh"), 30_000)), []
+    for i in range(40):
+        text = " ".join([f"often stays. {long[i : i + 3000 * (i % 5)]}", *("".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(60))])
+        assert t.of([text])[0] == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        held.append(sum(len(w) + len(ids) for some in (t, t.old) for w, ids in some.items()))
+    assert b"often" in t and max(held) < 3 * (1 << 16) and max(len(t), len(t.old)) < 1000
+
+
 def test_few_words_are_left_to_the_whole_tokeniser(monkeypatch):
     """Marks behind words, capitals and plain letters cost no encoding of their own; the ids are those of the whole text."""
     with open(queries.vocabulary(), encoding="utf-8") as f:
